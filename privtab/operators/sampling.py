@@ -113,8 +113,9 @@ def stratified_split(df: DataFrame, target: str, test_size: float, seed, key: st
         g = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         t = (totals.withColumn("_tot", F.sum("_n").over(g))
              .withColumn("_nt", F.ceil(F.lit(float(test_size)) * F.col("_tot")).cast("bigint"))
-             .withColumn("_q", F.floor(F.col("_nt") * F.col("_n") / F.col("_tot")).cast("bigint"))
-             .withColumn("_rem", F.pmod(F.col("_nt") * F.col("_n"), F.col("_tot")))
+             # exact integer arithmetic (decimal avoids bigint overflow at scale)
+             .withColumn("_q", F.expr("(cast(_nt as decimal(38,0)) * _n) div _tot").cast("bigint"))
+             .withColumn("_rem", F.expr("pmod(cast(_nt as decimal(38,0)) * _n, _tot)"))
              .withColumn("_short", F.col("_nt") - F.sum("_q").over(g)))
         order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))) \
             .orderBy(F.col("_rem").desc(), F.col(target).asc())
