@@ -66,25 +66,25 @@ def combined_label(model, setting) -> Column:
 
 def mean_of(text) -> Column:
     """the number before ``±`` (or the whole text), NULL if not numeric."""
-    return F.try_cast(F.trim(F.split(_c(text), "±").getItem(0)), "double")
+    return (F.trim(F.split(_c(text), "±").getItem(0))).try_cast("double")
 
 
 def std_of(text) -> Column:
     """the number after ``±``; 0 when the text has no ``±``."""
     t = _c(text)
     return F.when(t.contains("±"),
-                  F.try_cast(F.trim(F.split(t, "±").getItem(1)), "double")
+                  (F.trim(F.split(t, "±").getItem(1))).try_cast("double")
                   ).otherwise(F.lit(0.0))
 
 
 def epsilon_of(setting) -> Column:
     """ε parsed from ``e=<number>``; NULL if absent."""
-    return F.try_cast(F.regexp_extract(_c(setting), EPS_PATTERN, 1), "double")
+    return (F.regexp_extract(_c(setting), EPS_PATTERN, 1)).try_cast("double")
 
 
 def k_of(setting) -> Column:
     """k parsed from ``k=<int>``; NULL if absent."""
-    return F.try_cast(F.regexp_extract(_c(setting), r"k=(\d+)", 1), "int")
+    return (F.regexp_extract(_c(setting), r"k=(\d+)", 1)).try_cast("int")
 
 
 def setting_text(kind: str, *params) -> Column:

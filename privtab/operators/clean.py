@@ -48,7 +48,7 @@ def recode(df: DataFrame, col: str, mapping: Mapping, out: str | None = None) ->
 def to_numeric(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Coercing cast to double; text that is not a number becomes NULL."""
     for c in cols:
-        df = df.withColumn(c, F.try_cast(F.trim(F.col(c).cast("string")), "double"))
+        df = df.withColumn(c, (F.trim(F.col(c).cast("string"))).try_cast("double"))
     return df
 
 

@@ -44,12 +44,16 @@ def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def minmax_params(train: DataFrame, cols: Sequence[str]) -> dict:
-    """Per-column (min, max) of ``train`` as lazy scalar subqueries."""
-    stats = {}
-    for c in cols:
-        stats[c] = (train.select(F.min(F.col(c).cast("double"))).scalar(),
-                    train.select(F.max(F.col(c).cast("double"))).scalar())
-    return stats
+    """Per-column (min, max) of ``train``.
+
+    One aggregate for all columns, entering the plan as a single scalar
+    subquery (a struct), so the fit is one scan however many columns."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
+    stats = train.select(F.struct(*aggs)).scalar()
+    return {c: (stats[f"mn{i}"], stats[f"mx{i}"]) for i, c in enumerate(cols)}
 
 
 def minmax_apply(df: DataFrame, params: dict, suffix: str = "") -> DataFrame:

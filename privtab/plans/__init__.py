@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from privtab.plans import kanon
+from privtab.plans import kanon, prep
 
-_MODULES = [kanon]
+_MODULES = [kanon, prep]
 
 
 def queries():
