@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from privtab.plans import kanon, prep
+from privtab.plans import kanon, prep, reports
 
-_MODULES = [kanon, prep]
+_MODULES = [kanon, prep, reports]
 
 
 def queries():
