@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from privtab.plans import kanon, prep, reports
+from privtab.plans import kanon, prep, reports, scoring
 
-_MODULES = [kanon, prep, reports]
+_MODULES = [kanon, prep, reports, scoring]
 
 
 def queries():
