@@ -40,11 +40,13 @@ def _coef_lookup(groups: list, coefs: Mapping, gcol: str | None, j: int) -> Colu
 def newton_lr(df: DataFrame, features: Sequence[str], label: str,
               weight: str | None = None, group: str | None = None, l2: float = 1.0,
               fit_intercept: bool = True, linear_term: Mapping | None = None,
-              max_iter: int = 50, tol: float = 1e-9, persist: bool = True) -> dict:
+              max_iter: int = 50, tol: float = 1e-9, persist: bool = True,
+              init: Mapping | None = None) -> dict:
     """Fit one model per value of ``group`` (or one model when None).
 
     Returns ``{group_value: (coef ndarray(d), intercept float)}``.
     ``linear_term``: ``{group_value: ndarray(d [+1])}`` added to the gradient.
+    ``init``: starting ``{group_value: ndarray(d [+1])}`` (default zeros).
     """
     feats = list(features)
     d = len(feats)
@@ -60,7 +62,8 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
         groups = sorted(r[0] for r in base.select("_g").distinct().collect())
     else:
         groups = [None]
-    coefs = {g: np.zeros(p) for g in groups}
+    coefs = {g: (np.array(init[g], dtype=float) if init is not None and g in init
+                 else np.zeros(p)) for g in groups}
     xs = [F.col(f"_x{j}") for j in range(d)] + ([F.lit(1.0)] if fit_intercept else [])
     penal = np.array([l2] * d + ([0.0] if fit_intercept else []))
     try:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from privtab.plans import kanon, prep, reports, scoring
+from privtab.plans import kanon, models, prep, reports, scoring
 
-_MODULES = [kanon, prep, reports, scoring]
+_MODULES = [kanon, prep, reports, scoring, models]
 
 
 def queries():

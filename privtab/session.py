@@ -58,3 +58,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder and return
+    the re-read frame.  Used where one derived table (e.g. a seeded split
+    cohort) feeds many jobs — iterative fits, scalar subqueries, several
+    evaluations — so its plan is not re-executed by each of them.  A
+    reliable checkpoint survives executor loss (a local one would not)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
