@@ -45,7 +45,7 @@ def read_first(spark: SparkSession, paths: Sequence[str], **kwargs) -> DataFrame
             df.schema  # resolve now so a missing path fails here
             return df
         except AnalysisException as exc:  # PATH_NOT_FOUND and friends
-            errors.append(f"{path}: {exc.getErrorClass() or exc}")
+            errors.append(f"{path}: {exc.getCondition() or exc}")
     raise FileNotFoundError("none of the candidate tables exists; expected one of "
                             f"{list(paths)} ({'; '.join(errors)})")
 
