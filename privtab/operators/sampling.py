@@ -34,6 +34,9 @@ def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
              out: str = "part", digits: int = 5) -> DataFrame:
     """Label each row with the number of cut positions below its rank.
 
+    Two jobs: one aggregate pass that locates the cuts (its result is
+    groups x cuts rows), then one labelling pass over the input.
+
     ``cuts(totals)`` receives one row per group (``by`` columns and ``_n``, the
     group's row count) and returns ``by`` columns plus ``_cuts``
     (array<bigint>, 1-based rank positions).  A row of rank r gets
@@ -60,10 +63,14 @@ def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
                       & (F.col("_c") <= F.col("_off") + F.col("_bn")))
                .select(*by, "_c", "_b", "_off"))
     # one row per group: every cut with the bucket holding it (NULL bucket
-    # when the cut is <= 0 or beyond the group's size)
-    lookup = (cuts_long.join(located, by + ["_c"], "left")
-              .groupBy(*by)
-              .agg(F.collect_list(F.struct("_c", "_b", "_off")).alias("_cl")))
+    # when the cut is <= 0 or beyond the group's size).  This table has
+    # (groups x cuts) rows, bounded by the caller's parameters, so it is
+    # computed once here and enters the labelling pass as a local relation
+    # instead of re-deriving counts and offsets inside every branch.
+    lookup_df = (cuts_long.join(located, by + ["_c"], "left")
+                 .groupBy(*by)
+                 .agg(F.collect_list(F.struct("_c", "_b", "_off")).alias("_cl")))
+    lookup = df.sparkSession.createDataFrame(lookup_df.collect(), lookup_df.schema)
 
     rows = d.join(F.broadcast(lookup), by, "left")
     cl = F.coalesce(F.col("_cl"), F.array().cast(lookup.schema["_cl"].dataType))
