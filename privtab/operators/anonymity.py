@@ -41,6 +41,17 @@ def quasi_identifiers(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     return qis
 
 
+def model_features(features: Sequence[str], bands: dict[str, str]) -> list[str]:
+    """Replace each precise feature by its band column (when banded),
+    de-duplicated in order."""
+    out: list[str] = []
+    for f in features:
+        g = bands.get(f, f)
+        if g not in out:
+            out.append(g)
+    return out
+
+
 def class_sizes(df: DataFrame, qis: Sequence[str], by: Sequence[str] = (),
                 null_policy: str = "suppress", target: str | None = None) -> DataFrame:
     """K1: rows per equivalence class.

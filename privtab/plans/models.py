@@ -107,36 +107,36 @@ def rf_utility(spark, sf):
 
 def k_utility(spark, sf, ks=(2, 10, 50), seed=42):
     """Suppress the train set per k, rescale on it (E3), fit balanced LR,
-    test on the untouched test rows; skipped runs carry NULL metrics."""
+    test on the untouched test rows.  The baseline row carries the k = 1
+    statistics (K8); skipped runs (K9) carry NULL metrics and the reason."""
     from privtab.operators.encode import balanced_weights
     qis = ["o_orderpriority", "o_year", "o_month"]
     sp = _split(order_cohort(spark, sf), seed, "o_orderkey")
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
-    stats = K.skip_reason(K.k_sweep(train, qis, list(ks), target="target")).collect()  # |ks| rows
-    out = []
-    for st in stats:
-        setting = f"K-anonymity k={st['k']}"
+    stats = K.skip_reason(K.k_sweep(train, qis, [1] + list(ks), target="target")).collect()
+    runs, report = [], []
+    for st in stats:  # |ks| + 1 rows
+        base = st["k"] == 1
+        model = "Logistic Regression" if base else "K-anonymised Logistic Regression"
+        setting = "Baseline (No Privacy)" if base else f"K-anonymity k={st['k']}"
+        report.append((model, setting, *[st[c] for c in K_STATS], st["skipped_reason"]))
         if st["skipped_reason"]:
-            out.append(M.evaluate(test.limit(0).select(
-                F.lit(seed).alias("seed"), F.lit("K-anonymised Logistic Regression").alias("model"),
-                F.lit(setting).alias("setting"), F.col("target").alias("actual"),
-                F.col("target").alias("predicted")), KEYS)
-                .withColumn("skipped_reason", F.lit(st["skipped_reason"])))
             continue
-        kept = materialize(K.k_suppress(train, qis, st["k"]))
+        kept = train if base else materialize(K.k_suppress(train, qis, st["k"]))
         tr = minmax_scale(kept, ORD_FEATS, fit_on=kept)
         te = minmax_scale(test, ORD_FEATS, fit_on=kept)
-        model = ml.fit_lr(balanced_weights(tr, "target"), ORD_FEATS, "target", "weight")
-        out.append(_evaluate(ml.predict(model, te, ORD_FEATS), seed,
-                             "K-anonymised Logistic Regression", setting)
-                   .withColumn("skipped_reason", F.lit("")))
-    metrics = R.union_results(out)
-    st_df = spark.createDataFrame([r.asDict() for r in stats]).select(
-        F.format_string("K-anonymity k=%d", F.col("k")).alias("setting"),
-        "train_rows_used", "rows_suppressed", "suppression_rate", "classes_before",
-        "classes_after", "min_class_size")
-    full = metrics.join(st_df, "setting", "left")
-    return full
+        fit = ml.fit_lr(balanced_weights(tr, "target"), ORD_FEATS, "target", "weight")
+        runs.append(_evaluate(ml.predict(fit, te, ORD_FEATS), seed, model, setting))
+    stats_df = spark.createDataFrame(
+        report, "model string, setting string, train_rows_used long, rows_suppressed long, "
+                "suppression_rate double, classes_before long, classes_after long, "
+                "min_class_size long, skipped_reason string")
+    return stats_df.join(R.union_results(runs), ["model", "setting"], "left") \
+        .withColumn("seed", F.lit(seed))
+
+
+K_STATS = ["train_rows_used", "rows_suppressed", "suppression_rate", "classes_before",
+           "classes_after", "min_class_size"]
 
 
 def hidden_utility(spark, sf):
