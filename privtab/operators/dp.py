@@ -73,17 +73,28 @@ def perturbation_terms(epsilon: float, n: int, d: int, seed: int | None,
 def fit_dp_lr(train: DataFrame, features: Sequence[str], label: str, epsilon: float,
               seed: int | None = None, data_norm: float = 1.0) -> dict:
     """Returns {'coef': ndarray over clipped features incl. intercept,
-    'features': clipped names, 'n': rows}."""
+    'features': names, 'n': rows}."""
+    return fit_dp_lr_sweep(train, features, label, [epsilon], seed, data_norm)[epsilon]
+
+
+def fit_dp_lr_sweep(train: DataFrame, features: Sequence[str], label: str,
+                    epsilons: Sequence[float], seed: int | None = None,
+                    data_norm: float = 1.0) -> dict:
+    """D1 for several ε at once: the clipped rows are repeated per ε (a
+    generator) and every ε's perturbed objective is one group of the same
+    Newton aggregates, so the sweep costs the jobs of a single fit."""
     clipped, names = clip_rows(train, features, data_norm, intercept=True)
     n = clipped.count()
     if n == 0:
         raise ValueError("no training rows")
-    b, delta = perturbation_terms(epsilon, n, len(names), seed)
-    l2 = 1.0 + n * delta
-    fit = newton_lr(clipped, names, label, l2=l2, fit_intercept=False,
-                    linear_term={None: b})
-    coef, _ = fit[None]
-    return {"coef": coef, "features": list(features), "norm": data_norm, "n": n}
+    rng_seeds = {e: (None if seed is None else seed * 1000 + i) for i, e in enumerate(epsilons)}
+    terms = {i: perturbation_terms(e, n, len(names), rng_seeds[e]) for i, e in enumerate(epsilons)}
+    x = clipped.withColumn("_eps", F.explode(F.array(*[F.lit(i) for i in range(len(epsilons))])))
+    fit = newton_lr(x, names, label, group="_eps", fit_intercept=False,
+                    l2={i: 1.0 + n * t[1] for i, t in terms.items()},
+                    linear_term={i: t[0] for i, t in terms.items()})
+    return {e: {"coef": fit[i][0], "features": list(features), "norm": data_norm, "n": n}
+            for i, e in enumerate(epsilons)}
 
 
 def predict_dp_lr(df: DataFrame, model: dict, out: str = "predicted") -> DataFrame:

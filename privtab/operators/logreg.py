@@ -38,7 +38,7 @@ def _coef_lookup(groups: list, coefs: Mapping, gcol: str | None, j: int) -> Colu
 
 
 def newton_lr(df: DataFrame, features: Sequence[str], label: str,
-              weight: str | None = None, group: str | None = None, l2: float = 1.0,
+              weight: str | None = None, group: str | None = None, l2=1.0,
               fit_intercept: bool = True, linear_term: Mapping | None = None,
               max_iter: int = 50, tol: float = 1e-9, persist: bool = True,
               init: Mapping | None = None) -> dict:
@@ -47,6 +47,7 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
     Returns ``{group_value: (coef ndarray(d), intercept float)}``.
     ``linear_term``: ``{group_value: ndarray(d [+1])}`` added to the gradient.
     ``init``: starting ``{group_value: ndarray(d [+1])}`` (default zeros).
+    ``l2``: a number, or ``{group_value: number}`` for per-group ridge.
     """
     feats = list(features)
     d = len(feats)
@@ -65,7 +66,9 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
     coefs = {g: (np.array(init[g], dtype=float) if init is not None and g in init
                  else np.zeros(p)) for g in groups}
     xs = [F.col(f"_x{j}") for j in range(d)] + ([F.lit(1.0)] if fit_intercept else [])
-    penal = np.array([l2] * d + ([0.0] if fit_intercept else []))
+    def penal_of(g):
+        lam = l2[g] if isinstance(l2, Mapping) else l2
+        return np.array([float(lam)] * d + ([0.0] if fit_intercept else []))
     try:
         for _ in range(max_iter):
             score = F.lit(0.0)
@@ -83,6 +86,7 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
             for row in rows:
                 g = row["_g"] if group else None
                 beta = coefs[g]
+                penal = penal_of(g)
                 grad = np.array([row[f"g{j}"] or 0.0 for j in range(p)]) + penal * beta
                 if linear_term is not None:
                     grad = grad + np.asarray(linear_term[g], dtype=float)[:p]

@@ -35,7 +35,7 @@ def silo_prob_columns(df: DataFrame, models: dict, features: Sequence[str],
         s = F.lit(float(b))
         for c, w in zip(features, coef):
             s = s + F.col(c).cast("double") * F.lit(float(w))
-        name = f"{prefix}{g}"
+        name = f"{prefix}{g}".replace(":", "_")
         df = df.withColumn(name, sigmoid(s))
         names.append(name)
     return df, names

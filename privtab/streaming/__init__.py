@@ -1,0 +1,9 @@
+"""Streaming.
+
+The reference has no streams, watermarks, windows over time or state, so
+nothing is built here.  Every operator in ``privtab.operators`` that is a
+pure aggregation (class sizes, confusion cells, metrics) is written with
+DataFrame aggregates only and would run unchanged on a streaming
+DataFrame in complete/update mode; the splits, checkpoints and model fits
+are batch by nature.
+"""
