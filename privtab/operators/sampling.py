@@ -29,6 +29,10 @@ from privtab.functions.hashing import hash_bucket, hash_hex
 
 CutFn = Callable[[DataFrame], DataFrame]
 
+# Above this many groups the cut lookup stays a distributed table (AQE then
+# picks the join) instead of a broadcast local relation.
+MAX_LOCAL_LOOKUP = 100_000
+
 
 def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
              out: str = "part", digits: int = 5) -> DataFrame:
@@ -70,9 +74,13 @@ def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
     lookup_df = (cuts_long.join(located, by + ["_c"], "left")
                  .groupBy(*by)
                  .agg(F.collect_list(F.struct("_c", "_b", "_off")).alias("_cl")))
-    lookup = df.sparkSession.createDataFrame(lookup_df.collect(), lookup_df.schema)
+    head = lookup_df.limit(MAX_LOCAL_LOOKUP + 1).collect()
+    if len(head) <= MAX_LOCAL_LOOKUP:
+        lookup = F.broadcast(df.sparkSession.createDataFrame(head, lookup_df.schema))
+    else:  # many groups (e.g. a sample per customer): keep it distributed
+        lookup = lookup_df
 
-    rows = d.join(F.broadcast(lookup), by, "left")
+    rows = d.join(lookup, by, "left")
     cl = F.coalesce(F.col("_cl"), F.array().cast(lookup.schema["_cl"].dataType))
     base = F.size(F.filter(cl, lambda x: (x["_c"] <= 0) | (x["_b"] < F.col("_b"))))
     on_cut = F.exists(cl, lambda x: x["_b"] == F.col("_b"))

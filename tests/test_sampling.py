@@ -44,3 +44,12 @@ def test_silo_sizes_like_ntile(spark):
     assert sizes == [100] * 7 + [101] * 3
     one = assign_silo(df, 1, 3, "key")
     assert one.select("silo").distinct().collect()[0][0] == 0
+
+
+def test_many_groups_keep_lookup_distributed(spark, monkeypatch):
+    import privtab.operators.sampling as S
+    monkeypatch.setattr(S, "MAX_LOCAL_LOOKUP", 3)
+    df = spark.range(400).select(F.col("id").alias("key"), (F.col("id") % 10).alias("g"))
+    s = S.sample_exact(df, 7, 5, "key", by=["g"], digits=2)
+    sizes = {r["g"]: r["count"] for r in s.groupBy("g").count().collect()}
+    assert sizes == {g: 7 for g in range(10)}
