@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from privtab.functions import labels as L
 from privtab.functions.exprs import band, recode
 from privtab.operators import anonymity as K
 from privtab.operators.sampling import stratified_split, with_seeds
@@ -71,8 +72,9 @@ def k_sweep_seeds(spark, sf):
 def k_skip_reasons(spark, sf):
     train = seeded_split(spark, sf).where(~F.col("is_test"))
     stats = K.k_sweep(train, SPLIT_QIS, K_VALUES, by=["seed"], target="target")
-    return K.skip_reason(stats).select("seed", "k", "train_rows_used", "pos_kept",
-                                       "skipped_reason")
+    return K.skip_reason(stats).select(
+        "seed", "k", L.setting_text("kanon", F.col("k")).alias("setting"),
+        "train_rows_used", "pos_kept", "skipped_reason")
 
 
 def band_right_closed(spark, sf):
@@ -143,7 +145,7 @@ SELECT *, 'group' AS policy FROM ({sweep_sql(
         "WHERE NOT is_test GROUP BY seed, o_orderpriority, o_year, o_month",
         by="seed", ks=[1] + K_VALUES),
     "k_skip_reasons": f"""
-SELECT seed, k, train_rows_used, pos_kept,
+SELECT seed, k, 'K-anonymity k=' || CAST(k AS VARCHAR) AS setting, train_rows_used, pos_kept,
        CASE WHEN train_rows_used = 0 THEN '{K.NO_ROWS}'
             WHEN pos_kept = 0 OR pos_kept = train_rows_used THEN '{K.ONE_CLASS}'
             ELSE '' END AS skipped_reason

@@ -16,6 +16,17 @@ from privtab.sources import load
 SITE_SETTINGS = [3, 5, 10]
 
 
+def profile_orders(spark, sf):
+    """Guard the wanted columns, drop date columns if present,
+    report the shape of the projected table."""
+    from privtab.sources import existing, profile
+    o = load(spark, sf, "orders")
+    wanted = existing(o, ["o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate",
+                          "o_shipdate", "o_orderstatus"])
+    proj = o.select(*wanted).drop("o_orderdate", "o_shipdate")
+    return profile(proj)
+
+
 def join_three(spark, sf):
     """Orders ⋈ customer ⋈ nation, projected."""
     o = load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"),
@@ -134,6 +145,7 @@ def silo_assign(spark, sf):
 
 
 QUERIES = {
+    "profile_orders": profile_orders,
     "join_three": join_three,
     "join_labels": join_labels,
     "clean_strict": clean_strict,
@@ -169,6 +181,7 @@ def _minmax_sql(src: str, fit: str, cols) -> str:
 
 
 ORACLES = {
+    "profile_orders": "SELECT count(*) AS n_rows, 4 AS n_columns FROM orders",
     "join_three": """
 SELECT c_nationkey AS nationkey, o_custkey AS custkey, o_orderkey, o_totalprice, c_acctbal, n_name
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
