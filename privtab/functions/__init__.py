@@ -5,6 +5,7 @@ from privtab.functions.exprs import (
     mean_std_text,
     ratio,
     recode,
+    round_fixed,
     round_half_up_ratio,
     sigmoid,
     threshold,
@@ -25,6 +26,6 @@ from privtab.functions.labels import (
 __all__ = [
     "band", "combined_label", "epsilon_of", "finite_or", "hash_bucket", "hash_hex",
     "hash_unit", "k_of", "mean_of", "mean_std_text", "model_from_method", "ratio",
-    "recode", "round_half_up_ratio", "setting_from_model", "setting_text",
+    "recode", "round_fixed", "round_half_up_ratio", "setting_from_model", "setting_text",
     "short_model", "short_setting", "sigmoid", "std_of", "threshold",
 ]

@@ -65,6 +65,18 @@ def round_half_up_ratio(num, den, places: int, scale: int = 1) -> Column:
     return F.when(_c(den) == 0, F.lit(0.0)).otherwise(q.cast("double") / F.lit(float(p)))
 
 
+def round_fixed(col, places: int) -> Column:
+    """Round half-up to ``places`` decimals as ``floor(x * 10^p + 0.5) / 10^p``.
+
+    Built only from IEEE operations, so any engine computing the same
+    double gets the same rounded double (decimal-text rounding and
+    binary-value rounding disagree on values whose shortest text ends in 5).
+    """
+    p = float(10 ** places)
+    x = _c(col).cast("double")
+    return F.floor(x * F.lit(p) + F.lit(0.5)).cast("double") / F.lit(p)
+
+
 def sigmoid(score) -> Column:
     """logistic function."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(score)))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from privtab.functions.exprs import mean_std_text, round_half_up_ratio
+from privtab.functions.exprs import mean_std_text, round_fixed, round_half_up_ratio
 from privtab.functions.labels import epsilon_of, k_of
 
 # K order of the published k-anonymity reports.
@@ -27,12 +27,13 @@ def union_results(parts: Sequence[DataFrame]) -> DataFrame:
 def summarise(results: DataFrame, keys: Sequence[str], metrics: Sequence[str],
               digits: int | None = None, name: str = "{metric}_{stat}") -> DataFrame:
     """A1 (A2 with ``digits``): mean and sample std of each metric per group.
-    NULL metrics are skipped; a single run gives a NULL std (T6)."""
+    NULL metrics are skipped; a single run gives a NULL std (T6).  Rounding
+    is half-up (``round_fixed``)."""
     aggs = []
     for m in metrics:
         mean, std = F.avg(m), F.stddev_samp(m)
         if digits is not None:
-            mean, std = F.round(mean, digits), F.round(std, digits)
+            mean, std = round_fixed(mean, digits), round_fixed(std, digits)
         aggs += [mean.alias(name.format(metric=m, stat="mean")),
                  std.alias(name.format(metric=m, stat="std"))]
     return results.groupBy(*keys).agg(*aggs)

@@ -13,6 +13,7 @@ from privtab.functions import labels as L
 from privtab.operators import metrics as M
 from privtab.operators import report as R
 from privtab.plans.kanon import _SPLIT, seeded_split
+from privtab.plans.sqlparts import rnd
 
 # Scoring grid: (model, setting, price threshold); a row is predicted
 # positive when o_totalprice exceeds the threshold.
@@ -145,8 +146,8 @@ metrics AS (SELECT seed, model, setting,
 
 
 def _summary_sql(digits: int, src: str = "metrics", metrics=M.METRICS) -> str:
-    cols = ", ".join(f"round(avg({m}), {digits}) AS {m}_mean, round(stddev_samp({m}), {digits})"
-                     f" AS {m}_std" for m in metrics)
+    cols = ", ".join(f"{rnd(f'avg({m})', digits)} AS {m}_mean, "
+                     f"{rnd(f'stddev_samp({m})', digits)} AS {m}_std" for m in metrics)
     return f"SELECT model, setting, {cols} FROM {src} GROUP BY model, setting"
 
 
@@ -221,9 +222,9 @@ sel AS (SELECT * FROM metrics WHERE NOT coalesce(contains(lower(setting), 'basel
         UNION ALL
         SELECT * FROM metrics WHERE coalesce(contains(lower(setting), 'baseline'), false)
           AND model IN ('Logistic Regression', 'Random Forest')),
-s AS (SELECT model, setting, round(avg(accuracy), 10) AS accuracy_mean,
-             coalesce(round(stddev_samp(accuracy), 10), 0.0) AS accuracy_std,
-             round(avg(f1), 10) AS f1_mean, coalesce(round(stddev_samp(f1), 10), 0.0) AS f1_std
+s AS (SELECT model, setting, {rnd('avg(accuracy)', 10)} AS accuracy_mean,
+             coalesce({rnd('stddev_samp(accuracy)', 10)}, 0.0) AS accuracy_std,
+             {rnd('avg(f1)', 10)} AS f1_mean, coalesce({rnd('stddev_samp(f1)', 10)}, 0.0) AS f1_std
       FROM sel GROUP BY ALL),
 fam AS (SELECT *, CASE WHEN contains(model, 'Logistic') THEN 'LR'
                        WHEN contains(model, 'Random Forest') THEN 'RF' ELSE 'other' END AS fam FROM s),

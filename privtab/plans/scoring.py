@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from privtab.functions.exprs import round_fixed
 from privtab.operators import dp as D
 from privtab.operators import masked as MK
 from privtab.operators import metrics as M
@@ -16,7 +17,7 @@ from privtab.operators.linear import ensemble_mean as _ensemble_mean
 from privtab.operators.linear import linear_score as _linear_score
 from privtab.operators.sampling import stratified_split
 from privtab.plans.kanon import _LAB, _SPLIT, orders_labelled, seeded_split
-from privtab.plans.sqlparts import md5_of
+from privtab.plans.sqlparts import md5_of, rnd
 from privtab.sources import load
 
 FEATS = ["o_totalprice", "c_acctbal", "c_nationkey"]
@@ -44,8 +45,8 @@ def features(spark, sf, split: bool = False):
 
 def linear_score(spark, sf):
     s = _linear_score(features(spark, sf), WEIGHTS, BIAS)
-    return s.select("o_orderkey", F.round("score", 10).alias("score"),
-                    F.round("prob", 10).alias("prob"), "label")
+    return s.select("o_orderkey", round_fixed("score", 10).alias("score"),
+                    round_fixed("prob", 10).alias("prob"), "label")
 
 
 def hidden_score(spark, sf):
@@ -55,7 +56,7 @@ def hidden_score(spark, sf):
     sa = MK.score_share(a, w, "o_orderkey", "score_a")
     sb = MK.score_share(b, w, "o_orderkey", "score_b")
     r = MK.recombine(sa, sb, "o_orderkey", BIAS, a="score_a", b="score_b")
-    return r.select("o_orderkey", "score_a", "score_b", F.round("score", 10).alias("score"),
+    return r.select("o_orderkey", "score_a", "score_b", round_fixed("score", 10).alias("score"),
                     "label")
 
 
@@ -75,7 +76,7 @@ def hidden_vs_plain(spark, sf):
 
 def ensemble_mean(spark, sf):
     e = _ensemble_mean(features(spark, sf), ENSEMBLE)
-    return e.select("o_orderkey", F.round("prob", 10).alias("prob"), "label")
+    return e.select("o_orderkey", round_fixed("prob", 10).alias("prob"), "label")
 
 
 def dp_forest_counts(spark, sf):
@@ -166,14 +167,14 @@ _ENS = " + ".join(_sig(_score_sql(w, b)) for w, b in ENSEMBLE)
 
 ORACLES = {
     "linear_score": f"""{_FEAT}
-SELECT o_orderkey, round({_score_sql(WEIGHTS, BIAS)}, 10) AS score,
-       round({_sig(_score_sql(WEIGHTS, BIAS))}, 10) AS prob,
+SELECT o_orderkey, {rnd(_score_sql(WEIGHTS, BIAS), 10)} AS score,
+       {rnd(_sig(_score_sql(WEIGHTS, BIAS)), 10)} AS prob,
        CASE WHEN {_sig(_score_sql(WEIGHTS, BIAS))} >= 0.5 THEN 1 ELSE 0 END AS label FROM f""",
     "hidden_score": f"""{_FEAT}, {_hidden_sql('f')}
-SELECT o_orderkey, score_a, score_b, round(score, 10) AS score,
+SELECT o_orderkey, score_a, score_b, {rnd('score', 10)} AS score,
        CASE WHEN {_sig('score')} >= 0.5 THEN 1 ELSE 0 END AS label FROM hs""",
     "ensemble_mean": f"""{_FEAT}
-SELECT o_orderkey, round(({_ENS}) / {float(len(ENSEMBLE))}, 10) AS prob,
+SELECT o_orderkey, {rnd(f'({_ENS}) / {float(len(ENSEMBLE))}', 10)} AS prob,
        CASE WHEN ({_ENS}) / {float(len(ENSEMBLE))} >= 0.5 THEN 1 ELSE 0 END AS label FROM f""",
     "dp_forest_counts": _forest_sql(),
 }

@@ -73,3 +73,9 @@ def band_sql(expr: str, edges) -> str:
     for i in range(1, len(e) - 1):
         parts.append(f"WHEN {expr} > {e[i]} AND {expr} <= {e[i + 1]} THEN {i}")
     return f"CAST(CASE {' '.join(parts)} END AS INTEGER)"
+
+
+def rnd(expr: str, places: int) -> str:
+    """SQL twin of ``functions.exprs.round_fixed``."""
+    p = float(10 ** places)
+    return f"(CAST(floor(CAST({expr} AS DOUBLE) * {p!r} + 0.5) AS DOUBLE) / {p!r})"
