@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DICTIONARY = 1_000_000
+MAX_DICTIONARY = 100_000
 
 
 def label_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:

@@ -62,7 +62,7 @@ def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(w), F.lit(0)))
 
     cuts_long = cut_df.select(*by, F.explode("_cuts").alias("_c"))
-    located = (offsets.join(F.broadcast(cuts_long), by)
+    located = (offsets.join(cuts_long, by)  # AQE broadcasts it when small
                .where((F.col("_c") > F.col("_off"))
                       & (F.col("_c") <= F.col("_off") + F.col("_bn")))
                .select(*by, "_c", "_b", "_off"))

@@ -64,16 +64,27 @@ def fit_rf_by_silo(train: DataFrame, features: Sequence[str], label: str, silo:
 
 
 def ensemble_rf_by_silo(test: DataFrame, models: dict, features: Sequence[str],
-                        key: str, prob: str = "prob", out: str = "predicted") -> DataFrame:
-    """V4 for forests: per-site probabilities joined by key, then averaged."""
-    base = test
+                        key: str | None = None, prob: str = "prob",
+                        out: str = "predicted") -> DataFrame:
+    """V4 for forests: every site model scores the same rows in turn (each
+    transform only adds a column, so no join), then probabilities are
+    averaged."""
+    from pyspark.ml.functions import vector_to_array
+
+    from privtab.operators.ml import assemble
+    df = assemble(test, features, "_feat")
     names = []
     for s, m in sorted(models.items()):
-        p = predict(m, test.select(key, *features), features, prob=f"p_{s}").select(key, f"p_{s}")
-        base = base.join(p, key)
-        names.append(f"p_{s}")
+        name = f"p_{s}"
+        df = (m.copy({m.featuresCol: "_feat", m.probabilityCol: "_prob",
+                      m.rawPredictionCol: "_raw", m.predictionCol: "_pred"})
+              .transform(df)
+              .withColumn(name, vector_to_array(F.col("_prob"))[1])
+              .drop("_prob", "_raw", "_pred"))
+        names.append(name)
     mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / F.lit(float(len(names)))
-    return base.withColumn(prob, mean).withColumn(out, threshold(F.col(prob))).drop(*names)
+    return (df.withColumn(prob, mean).withColumn(out, threshold(F.col(prob)))
+              .drop(*names, "_feat"))
 
 
 def fed_avg(train: DataFrame, features: Sequence[str], label: str, silo: str = "silo",
