@@ -24,6 +24,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from privtab.functions.hashing import hash_bucket, hash_hex
 
@@ -32,14 +33,120 @@ CutFn = Callable[[DataFrame], DataFrame]
 # Above this many groups the cut lookup stays a distributed table (AQE then
 # picks the join) instead of a broadcast local relation.
 MAX_LOCAL_LOOKUP = 100_000
+# Two-level cut search: 16^3 coarse buckets, each split into 16^3 fine ones.
+LEVEL_DIGITS = 3
+MAX_HIST = 200_000
 
 
 def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
-             out: str = "part", digits: int = 5) -> DataFrame:
+             out: str = "part", digits: int | None = None) -> DataFrame:
     """Label each row with the number of cut positions below its rank.
 
-    Two jobs: one aggregate pass that locates the cuts (its result is
-    groups x cuts rows), then one labelling pass over the input.
+    ``cuts(totals)`` receives one row per group (``by`` columns and ``_n``, the
+    group's row count) and returns ``by`` columns plus ``_cuts``
+    (array<bigint>, 1-based rank positions).  A row of rank r gets
+    ``#{c in _cuts : c < r}``.
+
+    Cut search in two small jobs: a coarse histogram over 16^3 hash buckets
+    per group (at most groups x 4096 rows reach the driver), then a fine
+    histogram over 16^3 sub-buckets of only the buckets that hold a cut.  The
+    labelling pass then ranks only the rows of the fine buckets holding a
+    cut (about n / 16^6 rows each).  With more than ``MAX_HIST`` coarse
+    cells (very many groups) the search stays distributed instead.
+    """
+    if digits is not None:
+        return _rank_cut_distributed(df, key, seed, by, cuts, out, digits)
+    spark = df.sparkSession
+    by = list(by)
+    const_group = not by
+    if const_group:
+        df = df.withColumn("_g", F.lit(0))
+        by = ["_g"]
+    d = (df.withColumn("_h", hash_hex(seed, key))
+           .withColumn("_b", hash_bucket(F.col("_h"), 2 * LEVEL_DIGITS)))
+    coarse = d.groupBy(*by, F.shiftright("_b", 4 * LEVEL_DIGITS).alias("_b1")) \
+              .agg(F.count(F.lit(1)).alias("_bn"))
+    hist = coarse.limit(MAX_HIST + 1).collect()
+    if len(hist) > MAX_HIST:
+        return _rank_cut_distributed(df.drop("_g") if const_group else df, key, seed,
+                                     [] if const_group else by, cuts, out)
+    key_of = lambda r: tuple(r[c] for c in by)
+    per_group: dict = {}
+    for r in hist:
+        per_group.setdefault(key_of(r), []).append((r["_b1"], r["_bn"]))
+    group_schema = StructType([d.schema[c] for c in by] + [StructField("_n", LongType())])
+    totals = spark.createDataFrame(
+        [(*g, sum(n for _, n in v)) for g, v in per_group.items()], group_schema)
+    cut_map = {key_of(r): [int(c) for c in (r["_cuts"] or [])]
+               for r in cuts(totals).select(*by, "_cuts").collect()}
+
+    def locate(buckets, cut):  # buckets sorted by id: (id, n); returns (id, offset)
+        off = 0
+        for b, n in buckets:
+            if off < cut <= off + n:
+                return b, off
+            off += n
+        return None, None
+
+    coarse_hits = {}  # (group, coarse bucket) -> coarse offset
+    for g, cs in cut_map.items():
+        buckets = sorted(per_group.get(g, []))
+        for c in cs:
+            b1, off1 = locate(buckets, c)
+            if b1 is not None:
+                coarse_hits[(g, b1)] = off1
+    fine_counts: dict = {}
+    if coarse_hits:
+        hit_schema = StructType([d.schema[c] for c in by] + [StructField("_b1", LongType())])
+        hits = spark.createDataFrame([(*g, b1) for g, b1 in coarse_hits], hit_schema)
+        fine = (d.withColumn("_b1", F.shiftright("_b", 4 * LEVEL_DIGITS))
+                 .join(F.broadcast(hits), by + ["_b1"])  # <= groups x cuts rows
+                 .groupBy(*by, "_b1", "_b").agg(F.count(F.lit(1)).alias("_bn")).collect())
+        for r in fine:
+            fine_counts.setdefault((key_of(r), r["_b1"]), []).append((r["_b"], r["_bn"]))
+    lookup_rows = []
+    for g, cs in cut_map.items():
+        buckets = sorted(per_group.get(g, []))
+        entries = []
+        for c in cs:
+            b1, off1 = locate(buckets, c)
+            if b1 is None:
+                entries.append((c, None, None))
+                continue
+            b, off = locate(sorted(fine_counts[(g, b1)]), c - off1)
+            entries.append((c, b, off1 + off))
+        lookup_rows.append((*g, entries))
+    entry_t = StructType([StructField("_c", LongType()), StructField("_b", LongType()),
+                          StructField("_off", LongType())])
+    lookup = F.broadcast(spark.createDataFrame(
+        lookup_rows, StructType([d.schema[c] for c in by] +
+                                [StructField("_cl", ArrayType(entry_t))])))
+    return _label(d, lookup, by, key, out, const_group)
+
+
+def _label(d: DataFrame, lookup: DataFrame, by, key: str, out: str,
+           const_group: bool) -> DataFrame:
+    """Labelling pass shared by both cut searches: rows outside cut buckets
+    are labelled from the lookup; rows inside are ranked per bucket."""
+    rows = d.join(lookup, by, "left")
+    cl = F.coalesce(F.col("_cl"), F.array().cast(lookup.schema["_cl"].dataType))
+    base = F.size(F.filter(cl, lambda x: (x["_c"] <= 0) | (x["_b"] < F.col("_b"))))
+    on_cut = F.exists(cl, lambda x: x["_b"] == F.col("_b"))
+    fast = rows.where(~on_cut).withColumn(out, base)
+    wr = Window.partitionBy(*by, "_b").orderBy("_h", key)
+    slow = rows.where(on_cut).withColumn("_rn", F.row_number().over(wr))
+    off_b = F.filter(cl, lambda x: x["_b"] == F.col("_b")).getItem(0)["_off"]
+    rank = off_b + F.col("_rn")
+    slow = slow.withColumn(
+        out, base + F.size(F.filter(cl, lambda x: (x["_b"] == F.col("_b")) & (x["_c"] < rank))))
+    helpers = ["_h", "_b", "_cl", "_rn"] + (["_g"] if const_group else [])
+    return fast.drop(*helpers).unionByName(slow.drop(*helpers))
+
+
+def _rank_cut_distributed(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
+                          out: str = "part", digits: int = 5) -> DataFrame:
+    """``rank_cut`` for very many groups: the cut search stays distributed
+    (bucket offsets by a window per group over the bucket counts).
 
     ``cuts(totals)`` receives one row per group (``by`` columns and ``_n``, the
     group's row count) and returns ``by`` columns plus ``_cuts``
@@ -80,26 +187,11 @@ def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
     else:  # many groups (e.g. a sample per customer): keep it distributed
         lookup = lookup_df
 
-    rows = d.join(lookup, by, "left")
-    cl = F.coalesce(F.col("_cl"), F.array().cast(lookup.schema["_cl"].dataType))
-    base = F.size(F.filter(cl, lambda x: (x["_c"] <= 0) | (x["_b"] < F.col("_b"))))
-    on_cut = F.exists(cl, lambda x: x["_b"] == F.col("_b"))
-
-    fast = rows.where(~on_cut).withColumn(out, base)
-    wr = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    slow = rows.where(on_cut).withColumn("_rn", F.row_number().over(wr))
-    off_b = F.filter(cl, lambda x: x["_b"] == F.col("_b")).getItem(0)["_off"]
-    rank = off_b + F.col("_rn")
-    slow = slow.withColumn(
-        out, base + F.size(F.filter(cl, lambda x: (x["_b"] == F.col("_b")) & (x["_c"] < rank))))
-    helpers = ["_h", "_b", "_cl", "_rn"] + (["_g"] if const_group else [])
-    fast = fast.drop(*helpers)
-    slow = slow.drop(*helpers)
-    return fast.unionByName(slow)
+    return _label(d, lookup, by, key, out, const_group)
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, key: str, by: Sequence[str] = (),
-                 digits: int = 5) -> DataFrame:
+                 digits: int | None = None) -> DataFrame:
     """Exactly ``n`` rows per group without replacement (all rows when the
     group is not larger than ``n``): the ``n`` smallest md5(seed:key)."""
     def cuts(totals: DataFrame) -> DataFrame:
@@ -112,7 +204,7 @@ def sample_exact(df: DataFrame, n: int, seed: int, key: str, by: Sequence[str] =
 
 def stratified_split(df: DataFrame, target: str, test_size: float, seed, key: str,
                      by: Sequence[str] = (), out: str = "is_test",
-                     digits: int = 5) -> DataFrame:
+                     digits: int | None = None) -> DataFrame:
     """E5: seeded stratified split; adds boolean ``out`` (True = test row).
 
     Test size is ``ceil(test_size * n)`` (double arithmetic, as the usual
@@ -143,7 +235,7 @@ def stratified_split(df: DataFrame, target: str, test_size: float, seed, key: st
 
 
 def assign_silo(df: DataFrame, n_sites, seed, key: str, by: Sequence[str] = (),
-                out: str = "silo", digits: int = 5) -> DataFrame:
+                out: str = "silo", digits: int | None = None) -> DataFrame:
     """Contiguous near-equal split of the hash order into ``n_sites``
     parts (0-based); the first ``n % n_sites`` parts get one row more — the
     same sizes as SQL ``ntile``.  ``n_sites`` may be an int or a column."""

@@ -53,3 +53,17 @@ def test_many_groups_keep_lookup_distributed(spark, monkeypatch):
     s = S.sample_exact(df, 7, 5, "key", by=["g"], digits=2)
     sizes = {r["g"]: r["count"] for r in s.groupBy("g").count().collect()}
     assert sizes == {g: 7 for g in range(10)}
+
+
+def test_two_level_search_matches_window_form(spark):
+    df = with_seeds(_frame(spark, 5000), [1, 2, 3])
+    sp = stratified_split(df, "y", 0.2, F.col("seed"), "key", by=["seed"])  # default path
+    dist = stratified_split(df, "y", 0.2, F.col("seed"), "key", by=["seed"], digits=3)
+    a = sorted((r["seed"], r["key"], r["is_test"]) for r in sp.collect())
+    b = sorted((r["seed"], r["key"], r["is_test"]) for r in dist.collect())
+    assert a == b
+    sil = assign_silo(_frame(spark, 2003), 7, 5, "key")
+    w = Window.orderBy(hash_hex(5, "key"), "key")
+    ref = _frame(spark, 2003).withColumn("silo", F.ntile(7).over(w) - 1)
+    assert sorted(map(tuple, sil.select("key", "silo").collect())) == \
+        sorted(map(tuple, ref.select("key", "silo").collect()))
