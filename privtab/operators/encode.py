@@ -72,6 +72,25 @@ def minmax_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
     return minmax_apply(df, minmax_params(fit_on if fit_on is not None else df, cols), suffix)
 
 
+def minmax_by(df: DataFrame, cols: Sequence[str], by: Sequence[str],
+              fit_on: DataFrame | None = None) -> DataFrame:
+    """E3 per group: min-max fitted on ``fit_on`` (default ``df``) separately
+    for each ``by`` group (e.g. every k of a sweep) and applied to ``df``.
+    The fitted table has one row per group and is broadcast."""
+    src = fit_on if fit_on is not None else df
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"_mn{i}"), F.max(x).alias(f"_mx{i}")]
+    params = src.groupBy(*by).agg(*aggs)
+    out = df.join(F.broadcast(params), list(by), "inner")
+    for i, c in enumerate(cols):
+        x, mn, mx = F.col(c).cast("double"), F.col(f"_mn{i}"), F.col(f"_mx{i}")
+        out = out.withColumn(c, F.when(x.isNull(), None).otherwise(
+            F.coalesce(F.try_divide(x - mn, F.nullif(mx - mn, F.lit(0.0))), F.lit(0.0))))
+    return out.drop(*[f"_mn{i}" for i in range(len(cols))], *[f"_mx{i}" for i in range(len(cols))])
+
+
 def balanced_weights(df: DataFrame, target: str, by: Sequence[str] = (),
                      out: str = "weight") -> DataFrame:
     """Class weight ``n / (n_classes * n_c)`` on every row.

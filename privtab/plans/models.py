@@ -70,26 +70,23 @@ def _evaluate(pred, seed, model, setting):
     return M.evaluate(p, KEYS)
 
 
-def _lr_runs(spark, sf, seeds=(42,)):
-    base = doc_cohort(spark, sf)
-    out = []
-    for s in seeds:
-        sp = _split(base, s, "doc_id")
-        train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
-        plain = ml.fit_lr(train, DOC_FEATS, "target")
-        out.append(_evaluate(ml.predict(plain, test, DOC_FEATS), s, "Logistic Regression",
-                             "Baseline (No Privacy)"))
-        wtrain = R.union_results([train])  # same rows
-        from privtab.operators.encode import balanced_weights
-        bal = ml.fit_lr(balanced_weights(wtrain, "target"), DOC_FEATS, "target", "weight")
-        out.append(_evaluate(ml.predict(bal, test, DOC_FEATS), s, "Logistic Regression",
-                             "Baseline (balanced)"))
-    return R.union_results(out)
-
-
-def lr_utility(spark, sf):
-    """L1 + L3 + A12 on the document cohort (plain and balanced)."""
-    return _lr_runs(spark, sf)
+def lr_utility(spark, sf, seed=42):
+    """L1 + L3 + A12 on the document cohort: the plain and the class-balanced
+    model are two groups of ONE Newton fit of the L1 objective (rows repeated
+    per variant, weight 1 or n/(2 n_c))."""
+    from privtab.operators.encode import balanced_weights
+    from privtab.operators.logreg import newton_lr, predict_grouped
+    sp = _split(doc_cohort(spark, sf), seed, "doc_id")
+    train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
+    variants = F.explode(F.array(F.lit("Baseline (No Privacy)"), F.lit("Baseline (balanced)")))
+    x = balanced_weights(train, "target").withColumn("setting", variants)
+    x = x.withColumn("weight", F.when(F.col("setting") == "Baseline (balanced)", F.col("weight"))
+                     .otherwise(F.lit(1.0)))
+    fits = newton_lr(x, DOC_FEATS, "target", weight="weight", group="setting")
+    pred = predict_grouped(test.withColumn("setting", variants), fits, DOC_FEATS, "setting")
+    p = pred.select(F.lit(seed).alias("seed"), F.lit("Logistic Regression").alias("model"),
+                    "setting", F.col("target").alias("actual"), "predicted")
+    return M.evaluate(p, KEYS)
 
 
 def rf_utility(spark, sf):
@@ -106,33 +103,40 @@ def rf_utility(spark, sf):
 
 
 def k_utility(spark, sf, ks=(2, 10, 50), seed=42):
-    """Suppress the train set per k, rescale on it (E3), fit balanced LR,
-    test on the untouched test rows.  The baseline row carries the k = 1
-    statistics (K8); skipped runs (K9) carry NULL metrics and the reason."""
-    from privtab.operators.encode import balanced_weights
+    """K10 for every k in one set of jobs: rows of the train set are repeated
+    per k where their class has at least k rows (K2 via W1), rescaled per k
+    on the kept rows (E3, one grouped min/max), weighted per k (E6) and fitted
+    as groups of ONE Newton run (balanced L2 LR, the L1 objective); the test
+    rows are scored by their k's model and evaluated per k.  k = 1 is the
+    baseline (K8 statistics).  Skipped runs (K9) carry NULL metrics."""
+    from privtab.operators.encode import balanced_weights, minmax_by
+    from privtab.operators.logreg import newton_lr, predict_grouped
     qis = ["o_orderpriority", "o_year", "o_month"]
     sp = _split(order_cohort(spark, sf), seed, "o_orderkey")
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
     stats = K.skip_reason(K.k_sweep(train, qis, [1] + list(ks), target="target")).collect()
-    runs, report = [], []
+    run_ks = [st["k"] for st in stats if not st["skipped_reason"]]
+    report = []
     for st in stats:  # |ks| + 1 rows
         base = st["k"] == 1
-        model = "Logistic Regression" if base else "K-anonymised Logistic Regression"
-        setting = "Baseline (No Privacy)" if base else f"K-anonymity k={st['k']}"
-        report.append((model, setting, *[st[c] for c in K_STATS], st["skipped_reason"]))
-        if st["skipped_reason"]:
-            continue
-        kept = train if base else materialize(K.k_suppress(train, qis, st["k"]))
-        tr = minmax_scale(kept, ORD_FEATS, fit_on=kept)
-        te = minmax_scale(test, ORD_FEATS, fit_on=kept)
-        fit = ml.fit_lr(balanced_weights(tr, "target"), ORD_FEATS, "target", "weight")
-        runs.append(_evaluate(ml.predict(fit, te, ORD_FEATS), seed, model, setting))
+        report.append(("Logistic Regression" if base else "K-anonymised Logistic Regression",
+                       "Baseline (No Privacy)" if base else f"K-anonymity k={st['k']}",
+                       int(st["k"]), *[st[c] for c in K_STATS], st["skipped_reason"]))
     stats_df = spark.createDataFrame(
-        report, "model string, setting string, train_rows_used long, rows_suppressed long, "
-                "suppression_rate double, classes_before long, classes_after long, "
-                "min_class_size long, skipped_reason string")
-    return stats_df.join(R.union_results(runs), ["model", "setting"], "left") \
-        .withColumn("seed", F.lit(seed))
+        report, "model string, setting string, k int, train_rows_used long, "
+                "rows_suppressed long, suppression_rate double, classes_before long, "
+                "classes_after long, min_class_size long, skipped_reason string")
+    if not run_ks:
+        return stats_df.drop("k").withColumn("seed", F.lit(seed))
+    ks_col = F.explode(F.array(*[F.lit(k) for k in run_ks]))
+    kept = (K.with_class_size(train, qis).withColumn("k", ks_col)
+            .where(F.col("class_size") >= F.col("k")))
+    kept = materialize(balanced_weights(minmax_by(kept, ORD_FEATS, ["k"]), "target", by=["k"]))
+    fits = newton_lr(kept, ORD_FEATS, "target", weight="weight", group="k")
+    tests = minmax_by(test.withColumn("k", ks_col), ORD_FEATS, ["k"], fit_on=kept)
+    pred = predict_grouped(tests, fits, ORD_FEATS, "k")
+    metrics = M.evaluate(pred.select("k", F.col("target").alias("actual"), "predicted"), ["k"])
+    return (stats_df.join(metrics, "k", "left").drop("k").withColumn("seed", F.lit(seed)))
 
 
 K_STATS = ["train_rows_used", "rows_suppressed", "suppression_rate", "classes_before",
@@ -188,19 +192,20 @@ def fed_avg(spark, sf, n_sites=3, rounds=5):
 
 
 def silo_utility(spark, sf, settings=((3, 10), (5, 20)), seed=42):
-    """V6: site settings with the balanced LR baseline.  Every setting's
-    sites are groups of ONE Newton fit (rows repeated per setting by a
-    generator), then each setting's ensemble is scored."""
-    from privtab.operators.encode import balanced_weights
+    """V6: the balanced LR baseline and every site of every setting are
+    groups of ONE Newton fit (rows repeated per setting by a generator); each
+    setting's sites are then averaged (V4) and evaluated."""
+    from privtab.operators.logreg import predict_grouped
     train, test = _silo_data(spark, sf, seed)
-    out = []
-    base = ml.fit_lr(balanced_weights(train, "target"), ORD_FEATS, "target", "weight")
-    out.append(_evaluate(ml.predict(base, test, ORD_FEATS), seed, "Logistic Regression",
-                         "Baseline (No Privacy)"))
     x = train.withColumn("n_sites", F.explode(F.array(*[F.lit(p) for p, _ in settings])))
     x = assign_silo(x, F.col("n_sites"), seed, "o_orderkey", by=["n_sites"])
-    x = materialize(x.withColumn("site", F.format_string("%d:%d", F.col("n_sites"), F.col("silo"))))
+    x = x.withColumn("site", F.format_string("%d:%d", F.col("n_sites"), F.col("silo")))
+    base = train.withColumn("site", F.lit("base"))
+    x = materialize(x.select(*base.columns).unionByName(base))
     fits = V.fit_lr_by_silo(x, ORD_FEATS, "target", silo="site")
+    out = [_evaluate(predict_grouped(test.withColumn("site", F.lit("base")),
+                                     {"base": fits["base"]}, ORD_FEATS, "site"),
+                     seed, "Logistic Regression", "Baseline (No Privacy)")]
     for n_sites, rounds in settings:
         mine = {k: v for k, v in fits.items() if k.startswith(f"{n_sites}:")}
         pred = V.ensemble_by_silo(test, mine, ORD_FEATS)
