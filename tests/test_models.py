@@ -69,3 +69,15 @@ def test_dp_forest_large_epsilon_is_majority(spark):
     for (t, leaf), c in table.items():
         if c.get(0, 0) != c.get(1, 0):
             assert labels[t][leaf] == max(c, key=c.get)
+
+
+def test_grouped_fit_equals_separate_fits(spark):
+    from privtab.operators.encode import minmax_by
+    df = _data(spark, 900).withColumn("grp", (F.col("key") % 3).cast("int"))
+    scaled = minmax_by(df, ["a", "b", "c"], ["grp"])
+    fits = newton_lr(scaled, ["a", "b", "c"], "y", group="grp")
+    for g in range(3):
+        alone = newton_lr(scaled.where(F.col("grp") == g), ["a", "b", "c"], "y")[None]
+        assert np.allclose(fits[g][0], alone[0], atol=1e-8) and fits[g][1] == pytest.approx(alone[1])
+    mins = scaled.groupBy("grp").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).collect()
+    assert all(r["lo"] == 0.0 and r["hi"] == 1.0 for r in mins)
