@@ -36,6 +36,9 @@ MAX_LOCAL_LOOKUP = 100_000
 # Two-level cut search: 16^3 coarse buckets, each split into 16^3 fine ones.
 LEVEL_DIGITS = 3
 MAX_HIST = 200_000
+# Rows one window partition may rank directly (a cut bucket above this is
+# refined to 16^3 sub-buckets first).
+MAX_WINDOW_ROWS = 200_000
 
 
 def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
@@ -49,9 +52,10 @@ def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
 
     Cut search in two small jobs: a coarse histogram over 16^3 hash buckets
     per group (at most groups x 4096 rows reach the driver), then a fine
-    histogram over 16^3 sub-buckets of only the buckets that hold a cut.  The
-    labelling pass then ranks only the rows of the fine buckets holding a
-    cut (about n / 16^6 rows each).  With more than ``MAX_HIST`` coarse
+    histogram over 16^3 sub-buckets of only the buckets that hold a cut —
+    skipped while every such bucket has at most ``MAX_WINDOW_ROWS`` rows.
+    The labelling pass then ranks only the rows of the buckets holding a
+    cut (at most ``MAX_WINDOW_ROWS``, or about n / 16^6, rows each).  With more than ``MAX_HIST`` coarse
     cells (very many groups) the search stays distributed instead.
     """
     if digits is not None:
@@ -95,8 +99,14 @@ def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
             b1, off1 = locate(buckets, c)
             if b1 is not None:
                 coarse_hits[(g, b1)] = off1
+    # A cut bucket small enough to rank directly needs no fine histogram
+    # (one pass less); large groups still refine to 16^6 buckets.
+    sizes = {(g, b): n for g, v in per_group.items() for b, n in v}
+    refine = any(sizes[h] > MAX_WINDOW_ROWS for h in coarse_hits)
+    if not refine:
+        d = d.withColumn("_b", F.shiftright("_b", 4 * LEVEL_DIGITS))
     fine_counts: dict = {}
-    if coarse_hits:
+    if coarse_hits and refine:
         hit_schema = StructType([d.schema[c] for c in by] + [StructField("_b1", LongType())])
         hits = spark.createDataFrame([(*g, b1) for g, b1 in coarse_hits], hit_schema)
         fine = (d.withColumn("_b1", F.shiftright("_b", 4 * LEVEL_DIGITS))
@@ -113,6 +123,9 @@ def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
             if b1 is None:
                 entries.append((c, None, None))
                 continue
+            if not refine:
+                entries.append((c, b1, off1))
+                continue
             b, off = locate(sorted(fine_counts[(g, b1)]), c - off1)
             entries.append((c, b, off1 + off))
         lookup_rows.append((*g, entries))

@@ -67,3 +67,13 @@ def test_two_level_search_matches_window_form(spark):
     ref = _frame(spark, 2003).withColumn("silo", F.ntile(7).over(w) - 1)
     assert sorted(map(tuple, sil.select("key", "silo").collect())) == \
         sorted(map(tuple, ref.select("key", "silo").collect()))
+
+
+def test_fine_level_refinement_path(spark, monkeypatch):
+    import privtab.operators.sampling as S
+    monkeypatch.setattr(S, "MAX_WINDOW_ROWS", 1)  # force the fine histogram job
+    df = with_seeds(_frame(spark, 3000), [1, 2])
+    fine = S.stratified_split(df, "y", 0.2, F.col("seed"), "key", by=["seed"])
+    ref = S.stratified_split(df, "y", 0.2, F.col("seed"), "key", by=["seed"], digits=3)
+    assert sorted(map(tuple, fine.select("seed", "key", "is_test").collect())) == \
+        sorted(map(tuple, ref.select("seed", "key", "is_test").collect()))
