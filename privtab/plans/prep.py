@@ -11,6 +11,7 @@ from privtab.operators.report import class_distribution as _class_distribution
 from privtab.operators.sampling import assign_silo, sample_exact, stratified_split, with_seeds
 from privtab.plans.kanon import _LAB, _SPLIT, orders_labelled, seeded_split
 from privtab.plans.sqlparts import md5_of, split_ctes
+from privtab.session import materialize
 from privtab.sources import load
 
 SITE_SETTINGS = [3, 5, 10]
@@ -139,7 +140,9 @@ def balanced_weights(spark, sf):
 
 def silo_assign(spark, sf):
     """The train rows of each seed split into 3, 5 and 10 sites."""
-    train = seeded_split(spark, sf, [42, 43]).where(~F.col("is_test")).select("seed", "o_orderkey")
+    # the split feeds a second cut search: materialise it once
+    train = materialize(seeded_split(spark, sf, [42, 43]).where(~F.col("is_test"))
+                        .select("seed", "o_orderkey"))
     x = train.withColumn("n_sites", F.explode(F.array(*[F.lit(p) for p in SITE_SETTINGS])))
     return assign_silo(x, F.col("n_sites"), F.col("seed"), "o_orderkey", by=["seed", "n_sites"])
 

@@ -50,3 +50,10 @@ def test_with_baseline_and_orders(spark):
 def test_runtime_column_either_name(spark):
     df = spark.createDataFrame([(1.5,)], "`Train Time (s)` double")
     assert R.runtime_column(df).first()["runtime"] == 1.5
+
+
+def test_u1_union_by_name_with_missing_columns(spark):
+    a = spark.createDataFrame([("m", 0.5)], "model string, accuracy double")
+    b = spark.createDataFrame([("n", 0.7, "why")], "model string, accuracy double, reason string")
+    u = R.union_results([a, b]).collect()
+    assert len(u) == 2 and {r["reason"] for r in u} == {None, "why"}
