@@ -18,6 +18,7 @@ from privtab.operators.linear import linear_score as _linear_score
 from privtab.operators.sampling import stratified_split
 from privtab.plans.kanon import _LAB, _SPLIT, orders_labelled, seeded_split
 from privtab.plans.sqlparts import md5_of, rnd
+from privtab.session import materialize
 from privtab.sources import load
 
 FEATS = ["o_totalprice", "c_acctbal", "c_nationkey"]
@@ -63,7 +64,8 @@ def hidden_score(spark, sf):
 def hidden_vs_plain(spark, sf):
     """M2: plain float scoring vs hidden fixed-point scoring on the seed-42
     test rows: metrics of both methods, side by side."""
-    df = features(spark, sf, split=True).where(F.col("is_test"))
+    # both scoring paths read the test rows: materialise them once
+    df = materialize(features(spark, sf, split=True).where(F.col("is_test")))
     plain = _linear_score(df, WEIGHTS, BIAS).select(
         "o_orderkey", F.col("target").alias("actual"), F.col("label").alias("predicted"),
         F.lit("Normal Logistic Regression").alias("method"))
