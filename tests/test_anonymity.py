@@ -49,3 +49,16 @@ def test_suppression_properties(spark):
     # metamorphic: repartitioning the input changes nothing
     again = K.k_sweep(o.repartition(7), qis, [1, 2, 5, 10, 20]).collect()
     assert sorted(again, key=lambda r: r["k"]) == rows
+
+
+def test_hot_class_third_of_rows(spark):
+    """One equivalence class holds a third of all rows: results stay exact."""
+    hot = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+            F.concat(F.lit("c"), (F.col("id") % 97).cast("string"))).alias("q"),
+        (F.col("id") % 2).cast("int").alias("y"))
+    sized = K.with_class_size(hot, ["q"]).where(F.col("q") == "hot")
+    assert sized.select("class_size").distinct().collect()[0][0] == 1000
+    st = K.k_stats(hot, ["q"], 25).first()
+    assert st["train_rows_used"] == K.k_suppress(hot, ["q"], 25).count()
+    assert st["classes_before"] == 98
