@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from privtab.functions.exprs import sigmoid, threshold
 from privtab.operators.encode import balanced_weights
 from privtab.operators.logreg import newton_lr
-from privtab.operators.ml import fit_rf, predict
+from privtab.operators.ml import fit_rf
 
 
 def fit_lr_by_silo(train: DataFrame, features: Sequence[str], label: str,

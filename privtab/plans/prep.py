@@ -8,9 +8,9 @@ from privtab.operators import clean as C
 from privtab.operators import encode as E
 from privtab.operators.joins import join_all
 from privtab.operators.report import class_distribution as _class_distribution
-from privtab.operators.sampling import assign_silo, sample_exact, stratified_split, with_seeds
-from privtab.plans.kanon import _LAB, _SPLIT, orders_labelled, seeded_split
-from privtab.plans.sqlparts import md5_of, split_ctes
+from privtab.operators.sampling import assign_silo, sample_exact
+from privtab.plans.kanon import _SPLIT, seeded_split
+from privtab.plans.sqlparts import md5_of
 from privtab.session import materialize
 from privtab.sources import load
 

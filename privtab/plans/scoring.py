@@ -16,7 +16,7 @@ from privtab.operators.encode import minmax_scale
 from privtab.operators.linear import ensemble_mean as _ensemble_mean
 from privtab.operators.linear import linear_score as _linear_score
 from privtab.operators.sampling import stratified_split
-from privtab.plans.kanon import _LAB, _SPLIT, orders_labelled, seeded_split
+from privtab.plans.kanon import _LAB, _SPLIT, orders_labelled
 from privtab.plans.sqlparts import md5_of, rnd
 from privtab.session import materialize
 from privtab.sources import load

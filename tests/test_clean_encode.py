@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from privtab.operators import clean as C
 from privtab.operators import encode as E

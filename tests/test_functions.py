@@ -1,9 +1,6 @@
 """Semantic traps of SURVEY §1.1 / FIXTURES §4 on hand-made rows."""
 
-import math
-
 import pytest
-from pyspark.sql import functions as F
 
 from privtab.functions import (band, combined_label, epsilon_of, finite_or, k_of, mean_of,
                                mean_std_text, short_model, short_setting, std_of, threshold)

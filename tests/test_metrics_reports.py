@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from privtab.operators import metrics as M
 from privtab.operators import report as R

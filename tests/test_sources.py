@@ -2,7 +2,7 @@ import tempfile
 
 import pytest
 
-from privtab.sources import existing, read_first, read_table, resolve_target, write_table
+from privtab.sources import existing, read_first, resolve_target, write_table
 
 
 def test_roundtrip_and_first_existing(spark):
