@@ -40,23 +40,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder for cut lineage (``spark.checkpoint.dir``).
 
     A cluster names it in its configuration; only when it is unset (local
-    tests) do we create a private scratch folder.
+    tests) do we create a private scratch folder.  Without a SparkContext
+    (Spark Connect) the server's configuration decides and None is returned.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return configured
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir()
     if current:
         return current
     local = tempfile.mkdtemp(prefix="privtab-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 
