@@ -1,7 +1,7 @@
 """Feature encoding (E1-E3, E6): label codes, min-max scaling, class weights.
 
-Fitted constants (min, max, class sizes) enter the plan as scalar
-subqueries or small broadcast tables, so fit and apply stay one lazy plan.
+Fitted constants enter the plan as literals (min/max: one aggregate job) or
+as small broadcast tables (per-group min/max, class sizes, dictionaries).
 """
 
 from __future__ import annotations
@@ -44,16 +44,16 @@ def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def minmax_params(train: DataFrame, cols: Sequence[str]) -> dict:
-    """Per-column (min, max) of ``train``.
-
-    One aggregate for all columns, entering the plan as a single scalar
-    subquery (a struct), so the fit is one scan however many columns."""
+    """Per-column (min, max) of ``train``: one aggregate job for all
+    columns whose 2 x columns numbers come back as literals (as a fitted
+    scaler's parameters; a scalar subquery would be re-run per reference)."""
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
-    stats = train.select(F.struct(*aggs)).scalar()
-    return {c: (stats[f"mn{i}"], stats[f"mx{i}"]) for i, c in enumerate(cols)}
+    row = train.agg(*aggs).first()
+    return {c: (F.lit(row[f"mn{i}"]).cast("double"), F.lit(row[f"mx{i}"]).cast("double"))
+            for i, c in enumerate(cols)}
 
 
 def minmax_apply(df: DataFrame, params: dict, suffix: str = "") -> DataFrame:
