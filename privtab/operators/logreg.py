@@ -59,12 +59,11 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
     if persist:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     gcol = "_g" if group else None
-    if group:
-        groups = sorted(r[0] for r in base.select("_g").distinct().collect())
-    else:
-        groups = [None]
-    coefs = {g: (np.array(init[g], dtype=float) if init is not None and g in init
-                 else np.zeros(p)) for g in groups}
+    # groups come from the init table, or from the first step's aggregate
+    # (all coefficients start at zero, so that step needs no group lookup)
+    groups = sorted(init) if (group and init is not None) else ([] if group else [None])
+    coefs = {g: np.array(init[g], dtype=float) for g in groups} if (group and init) \
+        else {g: np.zeros(p) for g in groups}
     xs = [F.col(f"_x{j}") for j in range(d)] + ([F.lit(1.0)] if fit_intercept else [])
     def penal_of(g):
         lam = l2[g] if isinstance(l2, Mapping) else l2
@@ -72,8 +71,9 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
     try:
         for _ in range(max_iter):
             score = F.lit(0.0)
-            for j in range(p):
-                score = score + xs[j] * _coef_lookup(groups, coefs, gcol, j)
+            if groups:
+                for j in range(p):
+                    score = score + xs[j] * _coef_lookup(groups, coefs, gcol, j)
             prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
             r = F.col("_w") * (prob - F.col("_y"))
             h = F.col("_w") * prob * (F.lit(1.0) - prob)
@@ -83,8 +83,13 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
             grouped = base.groupBy("_g") if group else base.groupBy()
             rows = grouped.agg(*aggs).collect()  # one row per group
             max_step = 0.0
+            if not groups:
+                groups = sorted(row["_g"] for row in rows)
+                coefs = {g: np.zeros(p) for g in groups}
             for row in rows:
                 g = row["_g"] if group else None
+                if g not in coefs:  # a group absent from ``init``
+                    continue
                 beta = coefs[g]
                 penal = penal_of(g)
                 grad = np.array([row[f"g{j}"] or 0.0 for j in range(p)]) + penal * beta
