@@ -12,13 +12,14 @@ parallel), and only the two per-row share scores are combined:
 * recombine: ``(S_A + S_B) mod P``, centred to a signed value, divided by
   2^40, plus the bias, then sigmoid and threshold.
 
-The recombined score equals the plain fixed-point score exactly.  The
-masks here come from md5 of (seed, key, feature) so tests can replay them;
-a deployment must draw them from a secure random source.
+The recombined score equals the plain fixed-point score exactly.  With
+``seed=None`` the masks are keyed SHA-256 values under a secret salt from
+the operating system; an int seed gives md5 masks that tests can replay.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,17 +42,25 @@ def fixed_weight(w: float) -> int:
     return int(round(w * 2 ** FRAC_BITS))
 
 
-def _mask(seed: int, key: str, j: int) -> Column:
-    h = hash_hex(seed, key, F.lit(j))
+def _mask(seed, key: str, j: int) -> Column:
+    if isinstance(seed, str):  # secret salt: keyed SHA-256
+        h = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.lit(str(j))), 256)
+    else:  # replayable draw for tests
+        h = hash_hex(seed, key, F.lit(j))
     return F.conv(F.substring(h, 1, 15), 16, 10).cast(DEC)
 
 
-def share(df: DataFrame, cols: Sequence[str], key: str, seed: int = 0
+def share(df: DataFrame, cols: Sequence[str], key: str, seed: int | None = 0
           ) -> tuple[DataFrame, DataFrame]:
-    """M1: two share tables (key, s_0..s_{d-1}); either alone is uniform noise."""
+    """M1: two share tables (key, s_0..s_{d-1}); either alone is uniform noise.
+
+    ``seed=None`` draws a 256-bit secret salt from the operating system and
+    derives the masks as keyed SHA-256 values (nobody without the salt can
+    recompute them); an int seed gives replayable md5 masks for tests."""
+    salt = secrets.token_hex(32) if seed is None else seed
     p = F.lit(MODULUS).cast(DEC)
-    a = df.select(key, *[_mask(seed, key, j).alias(f"s_{j}") for j in range(len(cols))])
-    b = df.select(key, *[F.pmod(fixed_point(c) - _mask(seed, key, j), p).alias(f"s_{j}")
+    a = df.select(key, *[_mask(salt, key, j).alias(f"s_{j}") for j in range(len(cols))])
+    b = df.select(key, *[F.pmod(fixed_point(c) - _mask(salt, key, j), p).alias(f"s_{j}")
                          for j, c in enumerate(cols)])
     return a, b
 
@@ -96,7 +105,7 @@ def plain_fixed_score(df: DataFrame, cols: Sequence[str], weights: Sequence[floa
 
 
 def hidden_score(df: DataFrame, cols: Sequence[str], weights: Sequence[float], bias: float,
-                 key: str, seed: int = 0) -> DataFrame:
+                 key: str, seed: int | None = 0) -> DataFrame:
     """M1 end to end: share, score each share table, recombine."""
     a, b = share(df, cols, key, seed)
     return recombine(score_share(a, weights, key), score_share(b, weights, key), key, bias)

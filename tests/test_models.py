@@ -81,3 +81,17 @@ def test_grouped_fit_equals_separate_fits(spark):
         assert np.allclose(fits[g][0], alone[0], atol=1e-8) and fits[g][1] == pytest.approx(alone[1])
     mins = scaled.groupBy("grp").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).collect()
     assert all(r["lo"] == 0.0 and r["hi"] == 1.0 for r in mins)
+
+
+def test_secret_salt_masks_recombine_exactly(spark):
+    df = _data(spark, 150)
+    w = [0.75, -1.5, 2.0]
+    a, b = MK.share(df, ["a", "b", "c"], "key", seed=None)
+    hid = MK.recombine(MK.score_share(a, w, "key"), MK.score_share(b, w, "key"), "key", -0.2)
+    plain = MK.plain_fixed_score(df, ["a", "b", "c"], w, -0.2, "key").select(
+        "key", F.col("score").alias("plain"))
+    j = hid.select("key", "score").join(plain, "key")
+    assert j.count() == 150 and j.where(F.col("score") != F.col("plain")).count() == 0
+    seeded, _ = MK.share(df, ["a", "b", "c"], "key", seed=0)
+    same = a.alias("x").join(seeded.alias("y"), "key").where(F.col("x.s_0") == F.col("y.s_0"))
+    assert same.count() == 0  # salted masks are not the replayable ones
