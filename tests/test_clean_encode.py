@@ -69,3 +69,21 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "y int")
     w = {r["y"]: r["weight"] for r in E.balanced_weights(df, "y").collect()}
     assert w[0] == pytest.approx(8 / (2 * 6)) and w[1] == pytest.approx(8 / (2 * 2))
+
+
+def test_label_codes_large_dictionary_fallback(spark, monkeypatch):
+    monkeypatch.setattr(E, "MAX_DICTIONARY", 2)  # force the zipWithIndex path
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, "c"), (5, "d")],
+                               "id int, v string")
+    got = [r["v"] for r in E.label_encode(df, ["v"]).orderBy("id").collect()]
+    assert got == [1, 0, 1, 2, 3]
+
+
+def test_join_all_suffixes_overlaps(spark):
+    from privtab.operators.joins import join_all
+    a = spark.createDataFrame([(1, "x", 1.0)], "k int, name string, v double")
+    b = spark.createDataFrame([(1, "y"), (2, "z")], "k int, name string")
+    c = spark.createDataFrame([(1, True)], "k int, flag boolean")
+    out = join_all([a, b, c], "k")
+    assert sorted(out.columns) == ["flag", "k", "name_x", "name_y", "v"]
+    assert out.count() == 1  # inner: k = 2 drops

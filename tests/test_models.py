@@ -95,3 +95,18 @@ def test_secret_salt_masks_recombine_exactly(spark):
     seeded, _ = MK.share(df, ["a", "b", "c"], "key", seed=0)
     same = a.alias("x").join(seeded.alias("y"), "key").where(F.col("x.s_0") == F.col("y.s_0"))
     assert same.count() == 0  # salted masks are not the replayable ones
+
+
+def test_site_forest_ensemble_and_dp_forest_predict(spark):
+    from privtab.operators.silo import ensemble_rf_by_silo, fit_rf_by_silo
+    df = _data(spark, 600).withColumn("silo", (F.col("key") % 2).cast("int"))
+    models = fit_rf_by_silo(df, ["a", "b", "c"], "y", trees_per_round=3, rounds=1, max_depth=3)
+    assert sorted(models) == [0, 1]
+    pred = ensemble_rf_by_silo(df, models, ["a", "b", "c"]).collect()
+    assert len(pred) == 600 and all(0.0 <= r["prob"] <= 1.0 for r in pred)
+    assert all(r["predicted"] == (1 if r["prob"] >= 0.5 else 0) for r in pred)
+    forest = D.fit_dp_forest(df, ["a", "b", "c"], "y", "key", epsilon=1e9,
+                             bounds=[(0.0, 1.0)] * 3, n_trees=4, depth=2, seed=5)
+    scored = D.predict_dp_forest(df, forest, prob="votes").collect()
+    assert {r["predicted"] for r in scored} <= {0, 1}
+    assert all(r["votes"] in (0.0, 0.25, 0.5, 0.75, 1.0) for r in scored)
