@@ -106,9 +106,10 @@ def k_utility(spark, sf, ks=(2, 10, 50), seed=42):
     """K10 for every k in one set of jobs: rows of the train set are repeated
     per k where their class has at least k rows (K2 via W1), rescaled per k
     on the kept rows (E3, one grouped min/max), weighted per k (E6) and fitted
-    as groups of ONE Newton run (balanced L2 LR, the L1 objective); the test
-    rows are scored by their k's model and evaluated per k.  k = 1 is the
-    baseline (K8 statistics).  Skipped runs (K9) carry NULL metrics."""
+    as groups of ONE Newton run (balanced L2 LR, the L1 objective), plus one
+    balanced forest per k (L2); the test rows are scored by their k's models
+    and evaluated per k and model.  k = 1 is the baseline (K8 statistics).
+    Skipped runs (K9) carry NULL metrics."""
     from privtab.operators.encode import balanced_weights, minmax_by
     from privtab.operators.logreg import newton_lr, predict_grouped
     qis = ["o_orderpriority", "o_year", "o_month"]
@@ -117,11 +118,12 @@ def k_utility(spark, sf, ks=(2, 10, 50), seed=42):
     stats = K.skip_reason(K.k_sweep(train, qis, [1] + list(ks), target="target")).collect()
     run_ks = [st["k"] for st in stats if not st["skipped_reason"]]
     report = []
-    for st in stats:  # |ks| + 1 rows
+    for st in stats:  # |ks| + 1 rows, two model families each
         base = st["k"] == 1
-        report.append(("Logistic Regression" if base else "K-anonymised Logistic Regression",
-                       "Baseline (No Privacy)" if base else f"K-anonymity k={st['k']}",
-                       int(st["k"]), *[st[c] for c in K_STATS], st["skipped_reason"]))
+        for fam in ("Logistic Regression", "Random Forest"):
+            report.append((fam if base else f"K-anonymised {fam}",
+                           "Baseline (No Privacy)" if base else f"K-anonymity k={st['k']}",
+                           int(st["k"]), *[st[c] for c in K_STATS], st["skipped_reason"]))
     stats_df = spark.createDataFrame(
         report, "model string, setting string, k int, train_rows_used long, "
                 "rows_suppressed long, suppression_rate double, classes_before long, "
@@ -135,8 +137,18 @@ def k_utility(spark, sf, ks=(2, 10, 50), seed=42):
     fits = newton_lr(kept, ORD_FEATS, "target", weight="weight", group="k")
     tests = minmax_by(test.withColumn("k", ks_col), ORD_FEATS, ["k"], fit_on=kept)
     pred = predict_grouped(tests, fits, ORD_FEATS, "k")
-    metrics = M.evaluate(pred.select("k", F.col("target").alias("actual"), "predicted"), ["k"])
-    return (stats_df.join(metrics, "k", "left").drop("k").withColumn("seed", F.lit(seed)))
+    fam = F.when(F.col("k") == 1, F.lit("Logistic Regression")).otherwise(
+        F.lit("K-anonymised Logistic Regression"))
+    runs = [pred.select("k", fam.alias("model"), F.col("target").alias("actual"), "predicted")]
+    for k in run_ks:  # balanced forests (L2): one distributed fit per k
+        rf = ml.fit_rf(kept.where(F.col("k") == k), ORD_FEATS, "target", "weight",
+                       num_trees=20, max_depth=8, seed=seed)
+        name = "Random Forest" if k == 1 else "K-anonymised Random Forest"
+        runs.append(ml.predict(rf, tests.where(F.col("k") == k), ORD_FEATS).select(
+            "k", F.lit(name).alias("model"), F.col("target").alias("actual"), "predicted"))
+    metrics = M.evaluate(R.union_results(runs), ["k", "model"])
+    return (stats_df.join(metrics, ["k", "model"], "left").drop("k")
+            .withColumn("seed", F.lit(seed)))
 
 
 K_STATS = ["train_rows_used", "rows_suppressed", "suppression_rate", "classes_before",
