@@ -140,9 +140,18 @@ def k_utility(spark, sf, ks=(2, 10, 50), seed=42):
     fam = F.when(F.col("k") == 1, F.lit("Logistic Regression")).otherwise(
         F.lit("K-anonymised Logistic Regression"))
     runs = [pred.select("k", fam.alias("model"), F.col("target").alias("actual"), "predicted")]
-    for k in run_ks:  # balanced forests (L2): one distributed fit per k
-        rf = ml.fit_rf(kept.where(F.col("k") == k), ORD_FEATS, "target", "weight",
-                       num_trees=20, max_depth=8, seed=seed)
+    # balanced forests (L2): one distributed fit per k, submitted from a few
+    # driver threads so independent fits share the executors
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit_k(k):
+        return ml.fit_rf(kept.where(F.col("k") == k), ORD_FEATS, "target", "weight",
+                         num_trees=20, max_depth=8, seed=seed)
+
+    with ThreadPoolExecutor(max_workers=min(4, len(run_ks))) as pool:
+        forests = dict(zip(run_ks, pool.map(fit_k, run_ks)))
+    for k in run_ks:
+        rf = forests[k]
         name = "Random Forest" if k == 1 else "K-anonymised Random Forest"
         runs.append(ml.predict(rf, tests.where(F.col("k") == k), ORD_FEATS).select(
             "k", F.lit(name).alias("model"), F.col("target").alias("actual"), "predicted"))
