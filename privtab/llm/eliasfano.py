@@ -89,14 +89,17 @@ class EliasFano:
             some = x[a:a + self.CHUNK]
             top = (some >> U(self.low_bits)).astype(np.int64)
             at, end = self._before_bucket(top), self._before_bucket(top + 1)
+            # binary search for the successor inside the bucket
             open_ = np.flatnonzero(at < end)
             while len(open_):
-                got = self.access(at[open_])
+                middle = (at[open_] + end[open_]) >> 1
+                got = self.access(middle)
                 same = got == some[open_]
-                out[a + open_[same]] = at[open_[same]]
-                open_ = open_[got < some[open_]]
-                at[open_] += 1
-                open_ = open_[at[open_] < end[open_]]
+                out[a + open_[same]] = middle[same]
+                less = got < some[open_]
+                at[open_] = np.where(less, middle + 1, at[open_])
+                end[open_] = np.where(less, end[open_], middle)
+                open_ = open_[~same & (at[open_] < end[open_])]
         return out
 
     def parts(self) -> list[np.ndarray]:

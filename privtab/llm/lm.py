@@ -129,21 +129,24 @@ def _shard(total: int, distinct: int, frequent: np.ndarray, frequent_n: np.ndarr
     def grid(x):
         return np.rint(np.log10(x) * STEP).astype(np.int16)
 
-    def trie_of(words, contexts):
-        """From the (sorted) training bigrams of the shard."""
+    def trie_of(words, contexts, met):
+        """From the (sorted) training bigrams of the shard; a frequent word
+        that the shard has ``met`` is known though its bigrams may lie elsewhere."""
         new_word = np.r_[True, words[1:] != words[:-1]] if len(words) else np.zeros(0, bool)
         new = new_word | np.r_[True, contexts[1:] != contexts[:-1]] if len(words) else new_word
         first = np.flatnonzero(new)
         c2 = np.diff(np.r_[first, len(words)])
         heads = np.flatnonzero(new_word)
-        own = words[heads]
-        c1 = np.diff(np.r_[heads, len(words)]).astype(np.int64)
-        if len(frequent) and len(own):
-            at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-            c1 = np.where(frequent[at] == own, frequent_n[at], c1)
-        of = np.cumsum(new_word)[first] - 1
-        back = prior * (c1 + 1) / scale
-        return Trie.build(own, c1, grid(back), grid(c1 + prior), of, contexts[first], grid(c2 + back[of]), 0, 1 << 64)
+        own, c1 = words[heads], np.diff(np.r_[heads, len(words)])
+        every = np.union1d(own, np.intersect1d(frequent, met))
+        counts = np.zeros(len(every), np.int64)
+        counts[np.searchsorted(every, own)] = c1
+        if len(frequent) and len(every):
+            at = np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)
+            counts = np.where(frequent[at] == every, frequent_n[at], counts)
+        of = np.searchsorted(every, words[first])
+        back = prior * (counts + 1) / scale
+        return Trie.build(every, counts, grid(back), grid(counts + prior), of, contexts[first], grid(c2 + back[of]), 0, 1 << 64)
 
     def run(table: pa.Table) -> pa.Table:
         out, flags, asked = [], {}, []
@@ -162,7 +165,7 @@ def _shard(total: int, distinct: int, frequent: np.ndarray, frequent_n: np.ndarr
             train = np.concatenate([~flags[r["block"]][d] for r, d in zip(asked, docs)])
             order = np.lexsort((contexts, words))
             words, contexts, train = words[order], contexts[order], train[order]
-            trie = Trie.from_buffer(trie_of(words[train], contexts[train]).to_bytes())
+            trie = Trie.from_buffer(trie_of(words[train], contexts[train], words).to_bytes())
             new = np.r_[True, (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])]
             first = np.flatnonzero(new)
             w, u = words[first], contexts[first]
