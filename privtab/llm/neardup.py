@@ -11,12 +11,15 @@ distance meet in a key.  Sets of similarity 0.75 meet with probability
 1 - 5e-10 (each chunk alone has at most one error with probability 0.74), and
 every pair that meets is confirmed on the full sets.
 
-Only links matter that join classes, so no key emits all its pairs.  Round 1
-pairs each text with the least text of its keys; round 2 with the least text
-of every key whose members are still in different classes; the last round
-takes the pairs of members that are still in different classes, each confirmed
-as the others are.  A group of thousands of copies is one class after the
-first rounds, at one pair per member.
+Only links matter that join classes, so no key emits all its pairs.  A text
+that shares many keys with many others is central (the source of a group of
+edited copies).  Round 1 pairs each text with the most central text it shares
+a key with, so a group of thousands of copies is mostly one class at one pair
+per member.  Round 2 takes the keys that still hold several classes: their
+members, gathered by the key's most central text, are compared on their full
+sets in pairs of blocks of bounded size (a matrix product counts the shared
+shingles), and a task returns a spanning forest of the links it finds between
+classes.  So no link is lost and pairs are never rows.
 
 Equal texts are one node (a hash of the text), so exact copies never form
 pairs.  Lineage between rounds is cut with tables in the checkpoint folder.
@@ -40,6 +43,8 @@ SHINGLE = 5
 SYMBOLS, CHUNK = 64, 4
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
+#: Shingles that a block of a group's members holds.
+BLOCK = 200_000
 
 _SEEDS = np.random.default_rng(20240501)
 _MULTIPLY = (_SEEDS.integers(1, 1 << 32, SYMBOLS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -105,8 +110,8 @@ def _features(batches):
             names=["doc_id", "node", "n", "keys"])
 
 
-def _confirmed(batches):
-    """Pairs with both texts -> pairs whose full sets are similar enough."""
+def _compared(batches):
+    """Pairs with both texts -> whether their full sets are similar enough."""
     last = {}
 
     def shingles(node, packed):
@@ -119,23 +124,86 @@ def _confirmed(batches):
 
     for batch in batches:
         rows = [batch.column(i).to_pylist() for i in range(4)]
-        keep = []
+        linked = []
         for a, b, ta, tb in zip(*rows):
             x, y = shingles(a, ta), shingles(b, tb)
-            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                continue
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                keep.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], pa.int64()) for i in (0, 1)],
-                                         names=["a", "b"])
+            union = len(np.union1d(x, y))
+            both = len(x) + len(y) - union
+            linked.append(100 * both >= PERCENT * union)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
+                                         names=["a", "b", "linked"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, linked) of pairs of nodes, on their full sets."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return (pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-            .mapInArrow(_confirmed, "a long, b long"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return C.stored(met.mapInArrow(_compared, "a long, b long, linked boolean"), "tested")
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, exactly."""
+    def flat(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (vx, rx), (vy, ry) = flat(x), flat(y)
+    shared = np.intersect1d(vx, vy)
+    out = np.zeros((len(x), len(y)), np.int64)
+
+    def columns(values, rows):
+        at = np.searchsorted(shared, values)
+        known = at < len(shared)
+        known[known] = shared[at[known]] == values[known]
+        at, rows = at[known], rows[known]
+        order = np.argsort(at, kind="stable")
+        return at[order], rows[order]
+
+    (ax, rx), (ay, ry) = columns(vx, rx), columns(vy, ry)
+    for c in range(0, len(shared), chunk):
+        width = min(chunk, len(shared) - c)
+        m = []
+        for at, rows, n in ((ax, rx, len(x)), (ay, ry, len(y))):
+            a, b = np.searchsorted(at, (c, c + width))
+            dense = np.zeros((n, width), np.float32)
+            dense[rows[a:b], at[a:b] - c] = 1
+            m.append(dense)
+        out += np.rint(m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between classes among the members of one pair of blocks, of one
+    group or of several small ones; at most a spanning forest of them."""
+    found: dict[int, int] = {}
+
+    def root(v):
+        while found.setdefault(v, v) != v:
+            found[v] = v = found[found[v]]
+        return v
+
+    groups: dict[int, list] = {}
+    for r in table.to_pylist():
+        groups.setdefault(r["head"], []).append(r)
+    links = []
+    for rows in groups.values():
+        for r in rows:
+            words = C.unzip_text(r["text"]).lower().split()
+            r["set"] = shingle_sets(np.asarray([len(words)]), C.word_hashes(words))[1]
+        x = [r for r in rows if r["block"] == r["bi"]]
+        y = [r for r in rows if r["block"] == r["bj"]]
+        if not x or not y:
+            continue
+        both = _overlaps([r["set"] for r in x], [r["set"] for r in y])
+        union = np.asarray([len(r["set"]) for r in x])[:, None] + np.asarray([len(r["set"]) for r in y])[None] - both
+        lx, ly = np.asarray([r["label"] for r in x]), np.asarray([r["label"] for r in y])
+        i, j = np.nonzero((100 * both >= PERCENT * union) & (lx[:, None] != ly[None]))
+        for a, b in np.unique(np.stack([lx[i], ly[j]], 1), axis=0).tolist():
+            a, b = root(a), root(b)
+            if a != b:
+                found[max(a, b)] = min(a, b)
+                links.append((a, b))
+    return pa.Table.from_arrays([pa.array([k[n] for k in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
 
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
@@ -167,52 +235,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = C.stored(base.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
                                  F.col("doc_id").isNull().alias("no_id"), "node", "text").mapInArrow(_features, "doc_id long, node long, n long, keys array<long>"), "features")
 
-    # members of keys that at least two texts share, with the least text of each key
+    # members of keys that at least two texts share; a text that shares many keys
+    # with many others is central, and each key's most central text is its head
     once = feats.filter("n > 0").select("node", "n", "keys").dropDuplicates(["node"])
     spread = once.select(F.explode("keys").alias("key"), "node", "n").repartition("key")
-    least = spread.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    members = C.stored(spread.join(least.select("key", "least"), "key").select("key", "node", "n", "least"), "members")
-    wanted = members.select("node").distinct()
+    shared = spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = C.stored(spread.join(shared, "key"), "members")
+    central = met.groupBy("node").agg(F.sum("size").alias("central"))
+    met = met.join(central, "node")
+    heads = (met.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"))
+             .select("key", F.col("top.node").alias("head"), F.col("top.central").alias("weight")))
+    members = C.stored(met.join(heads, "key").select("key", "node", "n", "head", "weight"), "members")
     some = (C.zipped_texts(base.filter("text IS NOT NULL").select("node", "text"))
             .groupBy("node").agg(F.first("text").alias("text")))
-    texts = C.stored(some.join(wanted, "node", "left_semi"), "texts")
+    texts = C.stored(some.join(members.select("node").distinct(), "node", "left_semi"), "texts")
 
-    # round 1: each text with the least of all its keys' texts
-    first = (members.filter("least != node").groupBy(F.col("node").alias("a")).agg(F.min("least").alias("b")))
-    tried = C.stored(first, "tried")
-    links = C.stored(_links(tried, texts), "links")
-    labels = components(links)
-
-    def classed(labels):
-        return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def mixed(labels):
+    def torn(labels):
         """Members of keys that still hold several classes."""
-        now = classed(labels)
-        torn = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-        return now.join(torn.select("key"), "key", "left_semi")
-
-    # round 2: the members of each torn key with the least text of the key
-    torn = mixed(labels)
-    heads = torn.filter("node = least").select("key", F.col("label").alias("head_label"), F.col("n").alias("head_n"))
-    close = F.expr(f"100 * least(n, head_n) >= {PERCENT} * greatest(n, head_n)")
-    second = (torn.join(heads, "key").filter((F.col("label") != F.col("head_label")) & close)
-              .select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-              .join(tried, ["a", "b"], "left_anti"))
-    tried2 = C.stored(second, "tried")
-    links = C.stored(links.unionByName(_links(tried2, texts)), "links")
-    labels = components(links)
-
-    # last round: members still in different classes, each such pair once
-    torn = C.stored(mixed(labels), "torn")
-    left = torn.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = torn.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    rest = (left.join(right, "key").filter("a > b AND la != lb")
-            .filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-            .select("a", "b").distinct()
-            .join(tried.unionByName(tried2), ["a", "b"], "left_anti"))
-    links = C.stored(links.unionByName(_links(rest, texts)), "links")
-    labels = components(links)
+        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+        return now.join(mixed.select("key"), "key", "left_semi")
+
+    # round 1: each text with the most central of its keys' heads
+    first = (members.filter("head != node").groupBy(F.col("node").alias("a"))
+             .agg(F.max(F.struct("weight", "head")).alias("top")).select("a", F.col("top.head").alias("b")))
+    tests = _tested(first, texts)
+    labels = components(tests.filter("linked").select("a", "b"))
+
+    # round 2: the members of torn keys, gathered by the key's head and compared
+    # on their full sets block by block; a block has BLOCK shingles, so a large
+    # group becomes many tasks of bounded size, and small groups share one
+    group = C.stored(torn(labels).select("head", "node", "label", "n").distinct(), "torn")
+    sizes = group.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    packs = max(1, (group.agg(F.sum("n")).first()[0] or 0) // BLOCK)
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    spots = (group.join(sizes, "head").withColumn("block", F.pmod(F.hash("node"), "blocks"))
+             .withColumn("task", F.when(F.col("blocks") > 1, F.col("head")).otherwise(F.pmod("head", F.lit(packs))))
+             .withColumn("with", F.explode(each))
+             .select("task", "head", "node", "label", "block", F.least("block", "with").alias("bi"),
+                     F.greatest("block", "with").alias("bj")))
+    met2 = spots.join(texts, "node").select("task", "head", "bi", "bj", "block", "node", "label", "text")
+    more = C.stored(met2.groupBy("task", "bi", "bj").applyInArrow(_block_links, "a long, b long"), "links")
+    labels = components(tests.filter("linked").select("a", "b").unionByName(more))
 
     rows = (feats.select("doc_id", "node", "n").join(labels, "node", "left")
             .select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")))
