@@ -29,9 +29,9 @@ from pyspark.sql.types import StructType
 
 from privtab.llm import common as C
 
-FEATURES, CLUSTERS, SAMPLE = 2048, 4, 600
+FEATURES, CLUSTERS, SAMPLE = 2048, 4, 1000
 #: A text is rejected below this share of the lowest cosine of the sample.
-REJECT = 0.5
+REJECT = 0.6
 UNKNOWN = "und"
 
 _TABLE: list[np.ndarray] = []
@@ -73,6 +73,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(size > 0, size, 1)
 
 
+def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Term frequency times inverse document frequency (idf is 1 for what all texts have)."""
+    return counts * idf
+
+
 def _frequencies(batches):
     total, n = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
@@ -89,7 +94,7 @@ def _vectors(idf: np.ndarray):
     def run(batches):
         for batch in batches:
             for small in C.sliced([batch], 256):
-                rows = [(l, unit(np.log1p(v) * idf).astype(np.float32).tobytes())
+                rows = [(l, unit(weigh(v, idf)).astype(np.float32).tobytes())
                         for l, t in zip(small.column("lang").to_pylist(), small.column("text").to_pylist())
                         for v, some in [counts_of(t or "")] if some]
                 if rows:
@@ -128,7 +133,7 @@ class Model:
         found = [(i, v) for i, t in enumerate(texts) if t for v, some in [counts_of(t)] if some]
         if not found or not self.langs:
             return out
-        vectors = unit(np.log1p(np.stack([v for _, v in found])) * self.idf)
+        vectors = unit(weigh(np.stack([v for _, v in found]), self.idf))
         cosine = vectors @ self.centroids.T
         best = cosine.argmax(1)
         for (i, _), k, row in zip(found, best, cosine):
@@ -144,7 +149,7 @@ def fit(train: DataFrame) -> Model:
     df = np.zeros(FEATURES + 1)
     for place, n in sums:
         df[place + 1] = n
-    idf = np.log((1 + df[0]) / (1 + df[1:])) + 0.05
+    idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
     # about SAMPLE texts per language: those whose hash falls under the language's share
     sizes = train.groupBy("lang").count().collect()  # a row per language, as the model has
     limit = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, (SAMPLE << 20) // n)]) if sizes else None
