@@ -43,6 +43,8 @@ SHINGLE = 5
 SYMBOLS, CHUNK = 64, 4
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
+#: Parts into which a class is split where its members are joined with its head.
+SALT = 32
 #: Shingles that a block of a group's members holds.
 BLOCK = 200_000
 
@@ -278,10 +280,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = C.stored(met2.groupBy("task", "bi", "bj").applyInArrow(_block_links, "a long, b long"), "links")
     labels = components(tests.filter("linked").select("a", "b").unionByName(more))
 
-    rows = (feats.select("doc_id", "node", "n").join(labels, "node", "left")
-            .select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")))
-    heads = (rows.filter("label IS NOT NULL").groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("head")))
-    return (rows.join(heads, rows.label == heads.of, "left")
+    # the least id of each text, then of each class; a class can hold a large
+    # share of the texts, so that join is salted
+    low = feats.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
+    linked = low.join(labels, "node").withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT)))
+    heads = (linked.groupBy("label").agg(F.min("low").alias("head"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
+    of = linked.join(heads, ["label", "salt"]).select("node", "head")
+    heads = low.join(of, "node", "left").select("node", F.coalesce("head", "low").alias("head"))
+    return (feats.select("doc_id", "node", "n").join(heads, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True))))
