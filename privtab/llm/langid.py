@@ -31,7 +31,7 @@ from privtab.llm import common as C
 
 FEATURES, CLUSTERS, SAMPLE = 2048, 4, 1000
 #: A text is rejected below this share of the lowest cosine of the sample.
-REJECT = 0.6
+REJECT = 0.15
 UNKNOWN = "und"
 
 _TABLE: list[np.ndarray] = []
