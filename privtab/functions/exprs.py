@@ -83,8 +83,8 @@ def sigmoid(score) -> Column:
 
 
 def threshold(prob, cut: float = 0.5) -> Column:
-    """Label 1 when probability >= cut."""
-    return F.when(_c(prob) >= F.lit(cut), F.lit(1)).otherwise(F.lit(0))
+    """Label 1 when probability >= cut; NULL stays NULL."""
+    return (_c(prob) >= F.lit(cut)).cast("int")
 
 
 def mean_std_text(mean, std, na_text: str | None = "NA") -> Column:

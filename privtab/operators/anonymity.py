@@ -105,12 +105,13 @@ def sweep_sizes(sizes: DataFrame, ks: Sequence[int], by: Sequence[str] = ()) ->
     """
     has_pos = "n_pos" in sizes.columns
     x = sizes.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
-    kept = ~F.col("unclassed") & (F.col("n") >= F.col("k"))
+    # k = 1 is the baseline: it suppresses nothing, unclassed rows included
+    kept = (F.col("k") <= 1) | ~F.col("unclassed") & (F.col("n") >= F.col("k"))
     aggs = [
         F.sum("n").alias("_total"),
         F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0)).alias("train_rows_used"),
         F.count_if(~F.col("unclassed")).alias("classes_before"),
-        F.count_if(kept).alias("classes_after"),
+        F.count_if(kept & ~F.col("unclassed")).alias("classes_after"),
         F.coalesce(F.min(F.when(kept, F.col("n"))), F.lit(0)).alias("min_class_size"),
     ]
     if has_pos:

@@ -21,6 +21,10 @@ from privtab.operators.quantile import exact_medians
 SENTINELS = ["Missing", "Unknown", "NA", "NaN"]
 
 
+#: What counts as a number in text (no type suffixes as in "1.5d").
+NUMBER = r"(?i)^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity)$"
+
+
 def keep_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
     """Rows whose ``col`` is in ``values`` (pushed down to Parquet)."""
     return df.where(F.col(col).isin(list(values)))
@@ -47,9 +51,11 @@ def recode(df: DataFrame, col: str, mapping: Mapping, out: str | None = None) ->
 
 def to_numeric(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Coercing cast to double; text that is not a number becomes NULL."""
+    cols = list(cols)
     for c in cols:
-        df = df.withColumn(c, (F.trim(F.col(c).cast("string"))).try_cast("double"))
-    return df
+        text = F.trim(F.col(c).cast("string"))
+        df = df.withColumn(c, F.when(text.rlike(NUMBER), text.try_cast("double")))
+    return nan_to_null(df, cols)
 
 
 def nan_to_null(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
@@ -68,8 +74,11 @@ def finite_or(df: DataFrame, cols: Iterable[str], value: float = 0.0) -> DataFra
 
 
 def impute_const(df: DataFrame, cols: Iterable[str], value: str = "Unknown") -> DataFrame:
-    """Categorical NULL becomes a constant."""
-    return df.na.fill(value, subset=list(cols))
+    """Categorical NULL becomes a constant.  A column of another type
+    (boolean, date) becomes text, which the constant is."""
+    for c in cols:
+        df = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(value)))
+    return df
 
 
 def numeric_columns(df: DataFrame, cols: Iterable[str] | None = None) -> list[str]:
@@ -81,8 +90,8 @@ def numeric_columns(df: DataFrame, cols: Iterable[str] | None = None) -> list[st
 def impute_median(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Numeric NULL becomes the column's exact median.
 
-    The medians are computed by distributed range refinement
-    (``quantile.exact_medians``); only the medians reach the driver.
+    The medians are narrowed by rank for all columns together
+    (``quantile.exact_medians``); only edges and counts reach the driver.
     """
     cols = list(cols)
     medians = exact_medians(df, cols)

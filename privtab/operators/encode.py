@@ -11,25 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DICTIONARY = 100_000
-
+from privtab.session import materialize
 
 def label_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     """Dictionary of ``col``: each distinct non-null value (as text) and its
     0-based position in sorted order.
 
-    Categorical columns have few values; the sorted window then runs over a
-    small table.  Past ``MAX_DICTIONARY`` values a global window would be
-    one task, so the positions come from a range-partitioned sort and
-    ``zipWithIndex`` instead.
+    The distinct values are dealt out by range and kept in the checkpoint
+    folder with their partition; a position is the number of values in the
+    partitions before plus the place inside the partition.  The only global
+    window runs over one row per partition.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = df.select(F.col(col).cast("string").alias(col)).where(F.col(col).isNotNull()).distinct()
-    n = values.count()
-    if n <= MAX_DICTIONARY:
-        return values.withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
-    spark = df.sparkSession
-    indexed = values.orderBy(col).rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
-    return spark.createDataFrame(indexed, f"{col} string, {out} int")
+    dealt = materialize(values.repartitionByRange(parts, col).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(col)) - 1
+    return (dealt.withColumn("_place", place).join(offsets, "_part")
+            .select(col, (F.col("_off") + F.col("_place")).cast("int").alias(out)))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -76,14 +77,14 @@ def minmax_by(df: DataFrame, cols: Sequence[str], by: Sequence[str],
               fit_on: DataFrame | None = None) -> DataFrame:
     """E3 per group: min-max fitted on ``fit_on`` (default ``df``) separately
     for each ``by`` group (e.g. every k of a sweep) and applied to ``df``.
-    The fitted table has one row per group and is broadcast."""
+    The fitted table has one row per group (AQE broadcasts it when small)."""
     src = fit_on if fit_on is not None else df
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.min(x).alias(f"_mn{i}"), F.max(x).alias(f"_mx{i}")]
     params = src.groupBy(*by).agg(*aggs)
-    out = df.join(F.broadcast(params), list(by), "inner")
+    out = df.join(params, list(by), "inner")
     for i, c in enumerate(cols):
         x, mn, mx = F.col(c).cast("double"), F.col(f"_mn{i}"), F.col(f"_mx{i}")
         out = out.withColumn(c, F.when(x.isNull(), None).otherwise(
@@ -104,4 +105,4 @@ def balanced_weights(df: DataFrame, target: str, by: Sequence[str] = (),
                     .select(*by, target,
                             (F.col("_n").cast("double") / (F.col("_k") * F.col("_nc")).cast("double"))
                             .alias(out)))
-    return df.join(F.broadcast(counts), [*by, target], "left")
+    return df.join(counts, [*by, target], "left")

@@ -117,13 +117,14 @@ def coef_dict(features: Sequence[str], coef) -> dict:
 
 def predict_grouped(df: DataFrame, fits: dict, features: Sequence[str], group: str,
                     out: str = "predicted", prob: str | None = None) -> DataFrame:
-    """Label rows with their own group's model (CASE over the few groups)."""
+    """Label rows with their own group's model (CASE over the few groups); a
+    group without a model gives NULL."""
     groups = sorted(fits)
     d = len(features)
     coefs = {g: list(fits[g][0]) + [fits[g][1]] for g in groups}
     score = _coef_lookup(groups, coefs, group, d)
     for j, c in enumerate(features):
         score = score + F.col(c).cast("double") * _coef_lookup(groups, coefs, group, j)
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
-    df = df.withColumn(out, F.when(p >= 0.5, 1).otherwise(0))
+    p = F.when(F.col(group).isin(groups), F.lit(1.0) / (F.lit(1.0) + F.exp(-score)))
+    df = df.withColumn(out, (p >= 0.5).cast("int"))
     return df.withColumn(prob, p) if prob else df

@@ -7,12 +7,13 @@ parallel), and only the two per-row share scores are combined:
 
 * fixed point: features and weights are scaled by 2^20 and rounded;
 * shares: ``A_j = r_j`` and ``B_j = (X_j - r_j) mod P`` with P = 2^61 - 1
-  and ``r_j`` uniform below 2^60;
+  and ``r_j`` 64 hash bits mod P (uniform to within 2^-61 of each value);
 * each party: ``S = (Σ W_j * share_j) mod P`` in ``decimal(38,0)``;
 * recombine: ``(S_A + S_B) mod P``, centred to a signed value, divided by
   2^40, plus the bias, then sigmoid and threshold.
 
-The recombined score equals the plain fixed-point score exactly.  With
+The recombined score equals the plain fixed-point score exactly; a row whose
+score could leave the range of the modulus is refused (``checked``).  With
 ``seed=None`` the masks are keyed SHA-256 values under a secret salt from
 the operating system; an int seed gives md5 masks that tests can replay.
 """
@@ -47,10 +48,21 @@ def _mask(seed, key: str, j: int) -> Column:
         h = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.lit(str(j))), 256)
     else:  # replayable draw for tests
         h = hash_hex(seed, key, F.lit(j))
-    return F.conv(F.substring(h, 1, 15), 16, 10).cast(DEC)
+    return F.pmod(F.conv(F.substring(h, 1, 16), 16, 10).cast(DEC), F.lit(MODULUS).cast(DEC))
 
 
-def share(df: DataFrame, cols: Sequence[str], key: str, seed: int | None = 0
+def checked(df: DataFrame, cols: Sequence[str], weights: Sequence[float]) -> DataFrame:
+    """Refuse a row with ``Σ |W_j X_j| >= 2^60``: its score would wrap around."""
+    bound = F.lit(0.0)
+    for c, w in zip(cols, weights):
+        bound = bound + F.coalesce(F.abs(F.col(c).cast("double")), F.lit(0.0)) * F.lit(float(abs(fixed_weight(w))))
+    fits = bound * F.lit(float(2 ** FRAC_BITS)) < F.lit(float(2 ** 60))
+    first = cols[0]
+    return df.withColumn(first, F.when(fits, F.col(first)).otherwise(
+        F.raise_error(F.lit("score out of range: scale the features first"))))
+
+
+def share(df: DataFrame, cols: Sequence[str], key: str, seed: int | None = None
           ) -> tuple[DataFrame, DataFrame]:
     """M1: two share tables (key, s_0..s_{d-1}); either alone is uniform noise.
 
@@ -105,9 +117,9 @@ def plain_fixed_score(df: DataFrame, cols: Sequence[str], weights: Sequence[floa
 
 
 def hidden_score(df: DataFrame, cols: Sequence[str], weights: Sequence[float], bias: float,
-                 key: str, seed: int | None = 0) -> DataFrame:
+                 key: str, seed: int | None = None) -> DataFrame:
     """M1 end to end: share, score each share table, recombine."""
-    a, b = share(df, cols, key, seed)
+    a, b = share(checked(df, cols, weights), cols, key, seed)
     return recombine(score_share(a, weights, key), score_share(b, weights, key), key, bias)
 
 

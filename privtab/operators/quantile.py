@@ -1,13 +1,15 @@
-"""Exact quantiles without gathering a column into one task.
+"""Exact medians without gathering a column into one task.
 
 Spark's exact ``percentile``/``median`` merges every distinct value of the
 column into one aggregation buffer; on a continuous column of billions of
-rows that buffer is the whole column.  Here the k-th value is found by
-range refinement instead: each pass counts rows in up to ``buckets``
-equal-width sub-ranges (a partial aggregate whose output is at most
-``buckets`` rows), keeps the sub-range holding rank k, and stops when the
-range holds one distinct value or few enough rows to order directly.
-A value shared by a third of all rows ends the search at once (min = max).
+rows that buffer is the whole column.  Here the value at the middle rank is
+narrowed by rank: each pass takes approximate quantiles of the values still in
+question as edges (they are values of the column, so infinities and any spread
+of magnitudes are fine), counts the rows below and up to each edge exactly, and
+keeps the open interval between two edges that holds the rank.  A pass leaves
+about 1 / EDGES of the rows and ends the search if an edge is the value itself,
+so a value shared by many rows ends it at once.  All columns are searched in
+the same two jobs per pass.
 """
 
 from __future__ import annotations
@@ -17,38 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_RANGE = 100_000
-MAX_PASSES = 16
-
-
-def kth_smallest(df: DataFrame, col: str, k: int, lo: float, hi: float,
-                 buckets: int = 4096) -> float:
-    """Value of 0-based rank ``k`` among the non-null values of ``col``
-    (NaN excluded; ``lo``/``hi`` are the column's min and max)."""
-    x = F.col(col)
-    for _ in range(MAX_PASSES):
-        if lo == hi:
-            return lo
-        in_range = df.where(x.isNotNull() & ~F.isnan(x) & (x >= F.lit(lo)) & (x <= F.lit(hi)))
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)),
-                    F.lit(buckets - 1))
-        hist = (in_range.groupBy(b.alias("_b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx"))
-                .orderBy("_b").collect())  # at most `buckets` rows
-        for row in hist:
-            if k < row["n"]:
-                if row["n"] <= SMALL_RANGE:
-                    vals = (in_range.where((x >= F.lit(row["mn"])) & (x <= F.lit(row["mx"])))
-                            .select(x).orderBy(x).limit(k + 1).collect())
-                    return float(vals[k][0])
-                lo, hi = float(row["mn"]), float(row["mx"])
-                break
-            k -= row["n"]
-        else:
-            raise ValueError("rank beyond the number of values")
-    # each pass splits the range 4096 ways; doubles run out of distinct
-    # values long before MAX_PASSES, so this is unreachable in practice
-    raise RuntimeError(f"quantile search did not converge on {col}")
+EDGES = 32
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
@@ -56,20 +27,50 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
     for an even count (NULL and NaN ignored); None for an empty column."""
     if not cols:
         return {}
-    aggs = []
-    for c in cols:
-        v = F.when(~F.isnan(F.col(c)), F.col(c))
-        aggs += [F.count(v).alias(f"n_{c}"), F.min(v).alias(f"lo_{c}"), F.max(v).alias(f"hi_{c}")]
-    stats = df.agg(*aggs).first()
-    out: dict[str, float | None] = {}
+    value = {}
     for c in cols:
-        n, lo, hi = stats[f"n_{c}"], stats[f"lo_{c}"], stats[f"hi_{c}"]
-        if not n:
-            out[c] = None
-            continue
-        lo, hi = float(lo), float(hi)
-        k1, k2 = (n - 1) // 2, n // 2
-        v1 = kth_smallest(df, c, k1, lo, hi)
-        v2 = v1 if k2 == k1 else kth_smallest(df, c, k2, lo, hi)
-        out[c] = v1 if v1 == v2 else v1 + (v2 - v1) * 0.5
+        x = F.col(c).cast("double")
+        value[c] = F.when(~F.isnan(x), x)
+    counts = df.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    size = {c: counts[f"n{i}"] for i, c in enumerate(cols)}
+    low: dict[str, float | None] = {c: None for c in cols}   # the answer is above
+    high: dict[str, float | None] = {c: None for c in cols}  # and below
+    found: dict[str, float] = {}
+    shares = [(2 * i + 1) / (2 * EDGES) for i in range(EDGES)]
+    while open_ := [c for c in cols if size[c] and c not in found]:
+        aggs = []
+        for i, c in enumerate(open_):
+            inside = value[c].isNotNull()
+            if low[c] is not None:
+                inside = inside & (value[c] > F.lit(low[c]))
+            if high[c] is not None:
+                inside = inside & (value[c] < F.lit(high[c]))
+            v = F.when(inside, value[c])
+            aggs += [F.percentile_approx(v, shares, 1000).alias(f"q{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}")]
+        row = df.agg(*aggs).first()
+        edges = {c: sorted({*row[f"q{i}"], row[f"a{i}"], row[f"z{i}"]}) for i, c in enumerate(open_)}
+        aggs = [f(value[c], e).alias(f"{name}{i}_{j}") for i, c in enumerate(open_) for j, e in enumerate(edges[c])
+                for name, f in (("b", lambda x, e: F.count_if(x < F.lit(e))), ("u", lambda x, e: F.count_if(x <= F.lit(e))))]
+        row = df.agg(*aggs).first()
+        for i, c in enumerate(open_):
+            rank = (size[c] - 1) // 2
+            for j, e in enumerate(edges[c]):
+                if rank < row[f"b{i}_{j}"]:
+                    high[c] = e
+                    break
+                if rank < row[f"u{i}_{j}"]:
+                    found[c] = e
+                    break
+                low[c] = e
+    # an even count needs the value of the next rank: the same one or the next larger
+    even = [c for c in found if size[c] % 2 == 0]
+    if even:
+        row = df.agg(*[f.alias(f"{name}{i}") for i, c in enumerate(even) for name, f in (
+            ("u", F.count_if(value[c] <= F.lit(found[c]))),
+            ("m", F.min(F.when(value[c] > F.lit(found[c]), value[c]))))]).first()
+    out: dict[str, float | None] = {c: found.get(c) for c in cols}
+    for i, c in enumerate(even):
+        if row[f"u{i}"] <= size[c] // 2:
+            v1, v2 = found[c], row[f"m{i}"]
+            out[c] = v1 + (v2 - v1) * 0.5
     return out

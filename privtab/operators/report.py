@@ -90,7 +90,7 @@ def with_baseline(summary: DataFrame, model: str, setting: str, cols: Sequence[s
             .groupBy(*by, "_fam")
             .agg(*[F.min_by(F.col(c), F.col(model)).alias(prefix + c) for c in cols]))
     rows = summary.where(~is_baseline(setting)).withColumn("_fam", fam)
-    return rows.join(F.broadcast(base), [*by, "_fam"], "left").drop("_fam")
+    return rows.join(base, [*by, "_fam"], "left").drop("_fam")
 
 
 def dp_order(model: str, setting: str) -> list[Column]:

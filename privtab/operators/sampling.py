@@ -2,17 +2,21 @@
 
 All three are "rank the rows by md5(seed:key) inside a group and cut the
 ranking at given positions".  A window ordered over a whole group would put
-every row of a class (or of the table) into one task, so the cut is found in
-three steps instead:
-
-1. count rows per (group, hash bucket) — a partial aggregate, output bounded
-   by groups x 16^digits;
-2. turn the counts into bucket offsets (a window over that small table) and
-   find the bucket that holds each cut position;
-3. label rows: a row whose bucket holds no cut gets its label from a
-   broadcast lookup of at most (groups x cuts) entries; only rows in the few
-   buckets that hold a cut are ranked, each bucket in its own window
-   partition (about n / 16^digits rows).
+every row of a class (or of the table) into one task, so the rows at the cut
+positions are found first, in tables whose size does not depend on the rows:
+
+1. rows are counted per (group, first three hash digits); bucket offsets (a
+   window over that small table) say which bucket holds each cut;
+2. rows of those buckets are counted by the next three digits, which leaves
+   about n / 16^6 rows per cut, each cut's in a window partition of its own;
+   the row at the cut is its exact (hash, key);
+3. every row is labelled by comparing its (hash, key) with its group's cuts:
+   one scan and one join, no window and no union.
+
+The same path is taken at every size and for any number of groups, and nothing
+comes to the driver.  Groups match null-safely, so a NULL class or group is a
+group like any other.  A cut that falls between two rows of one key cannot be
+made and is refused: the key must tell rows of a group apart.
 
 The result equals ``row_number() OVER (PARTITION BY group ORDER BY hash, key)``
 compared with the cuts, which is what the SQL oracles use.
@@ -24,142 +28,36 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from privtab.functions.hashing import hash_bucket, hash_hex
+from privtab.functions.hashing import hash_hex
+from privtab.session import materialize
 
 CutFn = Callable[[DataFrame], DataFrame]
 
-# Above this many groups the cut lookup stays a distributed table (AQE then
-# picks the join) instead of a broadcast local relation.
-MAX_LOCAL_LOOKUP = 100_000
-# Two-level cut search: 16^3 coarse buckets, each split into 16^3 fine ones.
+#: Hash digits of each of the two counting levels (16^3 buckets).
 LEVEL_DIGITS = 3
-MAX_HIST = 200_000
-# Rows one window partition may rank directly (a cut bucket above this is
-# refined to 16^3 sub-buckets first).
-MAX_WINDOW_ROWS = 200_000
-
-
-def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
-             out: str = "part", digits: int | None = None) -> DataFrame:
-    """Label each row with the number of cut positions below its rank.
-
-    ``cuts(totals)`` receives one row per group (``by`` columns and ``_n``, the
-    group's row count) and returns ``by`` columns plus ``_cuts``
-    (array<bigint>, 1-based rank positions).  A row of rank r gets
-    ``#{c in _cuts : c < r}``.
 
-    Cut search in two small jobs: a coarse histogram over 16^3 hash buckets
-    per group (at most groups x 4096 rows reach the driver), then a fine
-    histogram over 16^3 sub-buckets of only the buckets that hold a cut —
-    skipped while every such bucket has at most ``MAX_WINDOW_ROWS`` rows.
-    The labelling pass then ranks only the rows of the buckets holding a
-    cut (at most ``MAX_WINDOW_ROWS``, or about n / 16^6, rows each).  With more than ``MAX_HIST`` coarse
-    cells (very many groups) the search stays distributed instead.
-    """
-    if digits is not None:
-        return _rank_cut_distributed(df, key, seed, by, cuts, out, digits)
-    spark = df.sparkSession
-    by = list(by)
-    const_group = not by
-    if const_group:
-        df = df.withColumn("_g", F.lit(0))
-        by = ["_g"]
-    d = (df.withColumn("_h", hash_hex(seed, key))
-           .withColumn("_b", hash_bucket(F.col("_h"), 2 * LEVEL_DIGITS)))
-    coarse = d.groupBy(*by, F.shiftright("_b", 4 * LEVEL_DIGITS).alias("_b1")) \
-              .agg(F.count(F.lit(1)).alias("_bn"))
-    hist = coarse.limit(MAX_HIST + 1).collect()
-    if len(hist) > MAX_HIST:
-        return _rank_cut_distributed(df.drop("_g") if const_group else df, key, seed,
-                                     [] if const_group else by, cuts, out)
-    key_of = lambda r: tuple(r[c] for c in by)
-    per_group: dict = {}
-    for r in hist:
-        per_group.setdefault(key_of(r), []).append((r["_b1"], r["_bn"]))
-    group_schema = StructType([d.schema[c] for c in by] + [StructField("_n", LongType())])
-    totals = spark.createDataFrame(
-        [(*g, sum(n for _, n in v)) for g, v in per_group.items()], group_schema)
-    cut_map = {key_of(r): [int(c) for c in (r["_cuts"] or [])]
-               for r in cuts(totals).select(*by, "_cuts").collect()}
 
-    def locate(buckets, cut):  # buckets sorted by id: (id, n); returns (id, offset)
-        off = 0
-        for b, n in buckets:
-            if off < cut <= off + n:
-                return b, off
-            off += n
-        return None, None
+def _join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe equi-join on ``cols``, which the result has once."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in cols})
+    cond = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in cols]
+    return left.join(renamed, cond, how).drop(*[f"_right_{c}" for c in cols])
 
-    coarse_hits = {}  # (group, coarse bucket) -> coarse offset
-    for g, cs in cut_map.items():
-        buckets = sorted(per_group.get(g, []))
-        for c in cs:
-            b1, off1 = locate(buckets, c)
-            if b1 is not None:
-                coarse_hits[(g, b1)] = off1
-    # A cut bucket small enough to rank directly needs no fine histogram
-    # (one pass less); large groups still refine to 16^6 buckets.
-    sizes = {(g, b): n for g, v in per_group.items() for b, n in v}
-    refine = any(sizes[h] > MAX_WINDOW_ROWS for h in coarse_hits)
-    if not refine:
-        d = d.withColumn("_b", F.shiftright("_b", 4 * LEVEL_DIGITS))
-    fine_counts: dict = {}
-    if coarse_hits and refine:
-        hit_schema = StructType([d.schema[c] for c in by] + [StructField("_b1", LongType())])
-        hits = spark.createDataFrame([(*g, b1) for g, b1 in coarse_hits], hit_schema)
-        fine = (d.withColumn("_b1", F.shiftright("_b", 4 * LEVEL_DIGITS))
-                 .join(F.broadcast(hits), by + ["_b1"])  # <= groups x cuts rows
-                 .groupBy(*by, "_b1", "_b").agg(F.count(F.lit(1)).alias("_bn")).collect())
-        for r in fine:
-            fine_counts.setdefault((key_of(r), r["_b1"]), []).append((r["_b"], r["_bn"]))
-    lookup_rows = []
-    for g, cs in cut_map.items():
-        buckets = sorted(per_group.get(g, []))
-        entries = []
-        for c in cs:
-            b1, off1 = locate(buckets, c)
-            if b1 is None:
-                entries.append((c, None, None))
-                continue
-            if not refine:
-                entries.append((c, b1, off1))
-                continue
-            b, off = locate(sorted(fine_counts[(g, b1)]), c - off1)
-            entries.append((c, b, off1 + off))
-        lookup_rows.append((*g, entries))
-    entry_t = StructType([StructField("_c", LongType()), StructField("_b", LongType()),
-                          StructField("_off", LongType())])
-    lookup = F.broadcast(spark.createDataFrame(
-        lookup_rows, StructType([d.schema[c] for c in by] +
-                                [StructField("_cl", ArrayType(entry_t))])))
-    return _label(d, lookup, by, key, out, const_group)
 
-
-def _label(d: DataFrame, lookup: DataFrame, by, key: str, out: str,
-           const_group: bool) -> DataFrame:
-    """Labelling pass shared by both cut searches: rows outside cut buckets
-    are labelled from the lookup; rows inside are ranked per bucket."""
-    rows = d.join(lookup, by, "left")
-    cl = F.coalesce(F.col("_cl"), F.array().cast(lookup.schema["_cl"].dataType))
-    base = F.size(F.filter(cl, lambda x: (x["_c"] <= 0) | (x["_b"] < F.col("_b"))))
-    on_cut = F.exists(cl, lambda x: x["_b"] == F.col("_b"))
-    fast = rows.where(~on_cut).withColumn(out, base)
-    wr = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    slow = rows.where(on_cut).withColumn("_rn", F.row_number().over(wr))
-    off_b = F.filter(cl, lambda x: x["_b"] == F.col("_b")).getItem(0)["_off"]
-    rank = off_b + F.col("_rn")
-    slow = slow.withColumn(
-        out, base + F.size(F.filter(cl, lambda x: (x["_b"] == F.col("_b")) & (x["_c"] < rank))))
-    helpers = ["_h", "_b", "_cl", "_rn"] + (["_g"] if const_group else [])
-    return fast.drop(*helpers).unionByName(slow.drop(*helpers))
+def _locate(counts: DataFrame, cuts: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
+    """The bucket that holds each cut ``_c`` (a rank within ``by``), with the
+    cut's rank inside the bucket."""
+    w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(w), F.lit(0)))
+    return (_join(offsets, cuts, by)
+            .where((F.col("_c") > F.col("_off")) & (F.col("_c") <= F.col("_off") + F.col("_bn")))
+            .select(*by, bucket, (F.col("_c") - F.col("_off")).alias("_c")))
 
 
-def _rank_cut_distributed(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
-                          out: str = "part", digits: int = 5) -> DataFrame:
-    """``rank_cut`` for very many groups: the cut search stays distributed
-    (bucket offsets by a window per group over the bucket counts).
+def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
+             out: str = "part") -> DataFrame:
+    """Label each row with the number of cut positions below its rank.
 
     ``cuts(totals)`` receives one row per group (``by`` columns and ``_n``, the
     group's row count) and returns ``by`` columns plus ``_cuts``
@@ -167,57 +65,55 @@ def _rank_cut_distributed(df: DataFrame, key: str, seed, by: Sequence[str], cuts
     ``#{c in _cuts : c < r}``.
     """
     by = list(by)
-    const_group = not by
-    if const_group:
-        df = df.withColumn("_g", F.lit(0))
-        by = ["_g"]
-    d = (df.withColumn("_h", hash_hex(seed, key))
-           .withColumn("_b", hash_bucket(F.col("_h"), digits)))
-
-    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    totals = counts.groupBy(*by).agg(F.sum("_bn").alias("_n"))
-    cut_df = cuts(totals).select(*by, "_cuts")
-
-    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(w), F.lit(0)))
-
-    cuts_long = cut_df.select(*by, F.explode("_cuts").alias("_c"))
-    located = (offsets.join(cuts_long, by)  # AQE broadcasts it when small
-               .where((F.col("_c") > F.col("_off"))
-                      & (F.col("_c") <= F.col("_off") + F.col("_bn")))
-               .select(*by, "_c", "_b", "_off"))
-    # one row per group: every cut with the bucket holding it (NULL bucket
-    # when the cut is <= 0 or beyond the group's size).  This table has
-    # (groups x cuts) rows, bounded by the caller's parameters, so it is
-    # computed once here and enters the labelling pass as a local relation
-    # instead of re-deriving counts and offsets inside every branch.
-    lookup_df = (cuts_long.join(located, by + ["_c"], "left")
-                 .groupBy(*by)
-                 .agg(F.collect_list(F.struct("_c", "_b", "_off")).alias("_cl")))
-    head = lookup_df.limit(MAX_LOCAL_LOOKUP + 1).collect()
-    if len(head) <= MAX_LOCAL_LOOKUP:
-        lookup = F.broadcast(df.sparkSession.createDataFrame(head, lookup_df.schema))
-    else:  # many groups (e.g. a sample per customer): keep it distributed
-        lookup = lookup_df
-
-    return _label(d, lookup, by, key, out, const_group)
-
-
-def sample_exact(df: DataFrame, n: int, seed: int, key: str, by: Sequence[str] = (),
-                 digits: int | None = None) -> DataFrame:
+    helpers = ["_h", "_points", "_low"]
+    if not by:
+        df, by = df.withColumn("_g", F.lit(0)), ["_g"]
+        helpers.append("_g")
+    rows = df.withColumn("_h", hash_hex(seed, key))
+    slim = rows.select(*by, "_h", F.col(key).alias("_k"),
+                       F.substring("_h", 1, LEVEL_DIGITS).alias("_b1"),
+                       F.substring("_h", 1 + LEVEL_DIGITS, LEVEL_DIGITS).alias("_b2"))
+    # groups x 4096 rows at most, read by the totals and by the search
+    coarse = materialize(slim.groupBy(*by, "_b1").agg(F.count(F.lit(1)).alias("_bn")))
+    totals = coarse.groupBy(*by).agg(F.sum("_bn").alias("_n"))
+    wanted = materialize(cuts(totals).select(*by, F.explode("_cuts").alias("_c")))
+    at1 = materialize(_locate(coarse, wanted, by, "_b1"))
+    level1 = [*by, "_b1"]
+    fine = (_join(slim, at1.select(*level1).distinct(), level1)
+            .groupBy(*level1, "_b2").agg(F.count(F.lit(1)).alias("_bn")))
+    at2 = materialize(_locate(fine, at1, level1, "_b2"))
+    level2 = [*level1, "_b2"]
+    order = Window.partitionBy(*level2).orderBy("_h", "_k")
+    ranked = (_join(slim, at2.select(*level2).distinct(), level2)
+              .withColumn("_rn", F.row_number().over(order))
+              .withColumn("_same", F.lead("_k").over(order).eqNullSafe(F.col("_k"))
+                          & (F.lead("_h").over(order) == F.col("_h"))))
+    point = F.struct("_h", F.when(F.col("_same"), F.raise_error(F.lit(f"key {key} is not unique at a cut")))
+                     .otherwise(F.col("_k")).alias("_k"))
+    points = (_join(ranked, at2, level2).where(F.col("_rn") == F.col("_c"))
+              .groupBy(*by).agg(F.collect_list(point).alias("_points")))
+    low = wanted.groupBy(*by).agg(F.count_if(F.col("_c") <= 0).alias("_low"))
+    table = materialize(_join(low, points, by, "left"))
+    labelled = _join(rows, table, by, "left")  # groups x cuts rows; AQE broadcasts it when small
+    above = F.size(F.filter(F.coalesce("_points", F.array()), lambda x: (x["_h"] < F.col("_h"))
+                            | ((x["_h"] == F.col("_h")) & (x["_k"] < F.col(key)))))
+    return labelled.withColumn(out, (F.coalesce("_low", F.lit(0)) + above).cast("int")).drop(*helpers)
+
+
+def sample_exact(df: DataFrame, n: int, seed: int, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Exactly ``n`` rows per group without replacement (all rows when the
     group is not larger than ``n``): the ``n`` smallest md5(seed:key)."""
     def cuts(totals: DataFrame) -> DataFrame:
         return totals.withColumn(
             "_cuts", F.when(F.col("_n") > n, F.array(F.lit(n).cast("bigint")))
                       .otherwise(F.array().cast("array<bigint>")))
-    labelled = rank_cut(df, key, seed, by, cuts, out="_part", digits=digits)
+    labelled = rank_cut(df, key, seed, by, cuts, out="_part")
     return labelled.where(F.col("_part") == 0).drop("_part")
 
 
 def stratified_split(df: DataFrame, target: str, test_size: float, seed, key: str,
                      by: Sequence[str] = (), out: str = "is_test",
-                     digits: int | None = None) -> DataFrame:
+    ) -> DataFrame:
     """E5: seeded stratified split; adds boolean ``out`` (True = test row).
 
     Test size is ``ceil(test_size * n)`` (double arithmetic, as the usual
@@ -243,12 +139,12 @@ def stratified_split(df: DataFrame, target: str, test_size: float, seed, key: st
                          .otherwise(0))
         return t.withColumn("_cuts", F.array(F.col("_q").cast("bigint")))
 
-    labelled = rank_cut(df, key, seed, by + [target], cuts, out="_part", digits=digits)
+    labelled = rank_cut(df, key, seed, by + [target], cuts, out="_part")
     return labelled.withColumn(out, F.col("_part") == 0).drop("_part")
 
 
 def assign_silo(df: DataFrame, n_sites, seed, key: str, by: Sequence[str] = (),
-                out: str = "silo", digits: int | None = None) -> DataFrame:
+                out: str = "silo") -> DataFrame:
     """Contiguous near-equal split of the hash order into ``n_sites``
     parts (0-based); the first ``n % n_sites`` parts get one row more — the
     same sizes as SQL ``ntile``.  ``n_sites`` may be an int or a column."""
@@ -262,7 +158,7 @@ def assign_silo(df: DataFrame, n_sites, seed, key: str, by: Sequence[str] = (),
         return totals.withColumn(
             "_cuts", F.coalesce(arr, F.array().cast("array<bigint>")))
 
-    return rank_cut(df, key, seed, by, cuts, out=out, digits=digits)
+    return rank_cut(df, key, seed, by, cuts, out=out)
 
 
 def with_seeds(df: DataFrame, seeds: Sequence[int], col: str = "seed") -> DataFrame:

@@ -129,8 +129,8 @@ _P = MK.MODULUS
 def _hidden_sql(src: str) -> str:
     """Shares, per-party scores and recombination over ``src`` (o_orderkey, FEATS)."""
     x = [f"CAST(round({c} * 1048576.0) AS HUGEINT)" for c in FEATS]
-    r = [f"CAST(('0x' || substr(md5(concat_ws(':', '0', CAST(o_orderkey AS VARCHAR), '{j}')), 1, 15))"
-         f"::BIGINT AS HUGEINT)" for j in range(len(FEATS))]
+    r = [f"(CAST(('0x' || substr(md5(concat_ws(':', '0', CAST(o_orderkey AS VARCHAR), '{j}')), 1, 16))"
+         f"::UBIGINT AS HUGEINT) % {_P})" for j in range(len(FEATS))]
     w = [MK.fixed_weight(WEIGHTS[c]) for c in FEATS]
     sa = " + ".join(f"({wj}) * {rj}" for wj, rj in zip(w, r))
     sb = " + ".join(f"({wj}) * ((({xj} - {rj}) % {_P} + {_P}) % {_P})"

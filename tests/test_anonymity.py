@@ -62,3 +62,11 @@ def test_hot_class_third_of_rows(spark):
     st = K.k_stats(hot, ["q"], 25).first()
     assert st["train_rows_used"] == K.k_suppress(hot, ["q"], 25).count()
     assert st["classes_before"] == 98
+
+
+def test_baseline_suppresses_nothing(spark):
+    from privtab.operators.anonymity import k_stats
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "q string")
+    r = k_stats(df, ["q"], 1).first()
+    assert (r["train_rows_used"], r["rows_suppressed"], r["suppression_rate"]) == (3, 0, 0.0)
+    assert k_stats(df, ["q"], 2).first()["rows_suppressed"] == 1

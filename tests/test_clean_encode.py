@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import numpy as np
 import pytest
 
@@ -71,12 +72,38 @@ def test_balanced_weights(spark):
     assert w[0] == pytest.approx(8 / (2 * 6)) and w[1] == pytest.approx(8 / (2 * 2))
 
 
-def test_label_codes_large_dictionary_fallback(spark, monkeypatch):
-    monkeypatch.setattr(E, "MAX_DICTIONARY", 2)  # force the zipWithIndex path
-    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, "c"), (5, "d")],
-                               "id int, v string")
-    got = [r["v"] for r in E.label_encode(df, ["v"]).orderBy("id").collect()]
-    assert got == [1, 0, 1, 2, 3]
+def test_label_codes_of_a_large_dictionary(spark):
+    df = spark.range(120_000).select(F.format_string("v%06d", "id").alias("v"), "id")
+    codes = E.label_codes(df, "v")
+    assert codes.where(F.col("code") != F.substring("v", 2, 6).cast("int")).count() == 0
+    assert codes.count() == 120_000
+
+
+def test_medians_of_wide_and_infinite_values(spark):
+    inf = float("inf")
+    df = spark.range(250_000).select(F.when(F.col("id") == 0, inf).otherwise(F.col("id").cast("double")).alias("a"),
+                                     (F.pow(F.lit(10.0), F.col("id") % 581 - 290) + 0).alias("b"),
+                                     F.when(F.col("id") < 1, 1.0).when(F.col("id") < 3, inf).alias("c"),
+                                     F.lit(None).cast("double").alias("d"))
+    got = exact_medians(df, ["a", "b", "c", "d"])
+    values = sorted(10.0 ** (i % 581 - 290) for i in range(250_000))
+    assert got["a"] == 125_000.5 and got["c"] == inf and got["d"] is None
+    assert got["b"] == pytest.approx((values[124_999] + values[125_000]) / 2)
+
+
+def test_only_numbers_become_numbers(spark):
+    from privtab.operators.clean import to_numeric
+    texts = ["1.5d", "12f", "3D", "nan", "", None, " 7 ", "-1e3", ".5", "0x10", "2."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.t for r in to_numeric(df, ["t"]).orderBy("i").collect()]
+    assert got == [None] * 6 + [7.0, -1000.0, 0.5, None, 2.0]
+
+
+def test_constant_fill_of_other_types(spark):
+    from privtab.operators.clean import impute_recipe
+    df = spark.createDataFrame([(1.0, True, "x"), (2.0, None, None), (3.0, False, "y")], "a double, b boolean, c string")
+    rows = impute_recipe(df, ["a", "b", "c"]).orderBy("a").collect()
+    assert [(r.b, r.c) for r in rows] == [("true", "x"), ("Unknown", "Unknown"), ("false", "y")]
 
 
 def test_join_all_suffixes_overlaps(spark):

@@ -110,3 +110,19 @@ def test_site_forest_ensemble_and_dp_forest_predict(spark):
     scored = D.predict_dp_forest(df, forest, prob="votes").collect()
     assert {r["predicted"] for r in scored} <= {0, 1}
     assert all(r["votes"] in (0.0, 0.25, 0.5, 0.75, 1.0) for r in scored)
+
+
+def test_scores_out_of_range_are_refused(spark):
+    df = spark.createDataFrame([(1, 5e5), (2, 1.0)], "key int, a double")
+    with pytest.raises(Exception, match="out of range"):
+        MK.hidden_score(df, ["a"], [2.5], 0.0, "key").collect()
+    assert MK.hidden_score(df.where("key = 2"), ["a"], [2.5], 0.0, "key").first()["score"] == 2.5
+
+
+def test_null_feature_and_unknown_group_have_no_label(spark):
+    from privtab.operators.logreg import predict_grouped
+    df = spark.createDataFrame([(1, None)], "key int, a double")
+    assert MK.hidden_score(df, ["a"], [1.0], 0.0, "key").first()["label"] is None
+    rows = spark.createDataFrame([("g", 1.0), ("h", 1.0)], "grp string, a double")
+    got = {r.grp: r.predicted for r in predict_grouped(rows, {"g": ([1.0], 0.0)}, ["a"], "grp").collect()}
+    assert got == {"g": 1, "h": None}
