@@ -133,10 +133,19 @@ def he_order(model: str, setting: str) -> list[Column]:
     return [rank.cast("double").alias("order_1"), F.lit(0).alias("order_2")]
 
 
+#: Fixed format: the mean of a ``mean ± std`` text.
+MEAN_TEXT = r"^\s*([+-]?[0-9.]+)\s*±"
+
+
 def runtime_column(df: DataFrame, names: Sequence[str] = ("Runtime Seconds", "Train Time (s)"),
                    out: str = "runtime") -> DataFrame:
-    """The run-time column under whichever name the table uses."""
+    """The run-time column under whichever name the table uses; the mean
+    of its ``mean ± std`` text if only that is there."""
     have = [c for c in names if c in df.columns]
+    texts = [f"{c} mean ± std" for c in names if f"{c} mean ± std" in df.columns]
+    if texts and not have:
+        mean = F.regexp_extract(F.coalesce(*[F.col(f"`{c}`") for c in texts]), MEAN_TEXT, 1)
+        return df.withColumn(out, mean.try_cast("double"))
     if not have:
         raise ValueError(f"no run-time column; expected one of {list(names)}")
     return df.withColumn(out, F.coalesce(*[F.col(c) for c in have]))

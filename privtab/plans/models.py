@@ -236,7 +236,11 @@ def silo_utility(spark, sf, settings=((3, 10), (5, 20)), seed=42):
     return R.union_results(out)
 
 
-def dp_lr(spark, sf, epsilons=(10.0, 1.0, 0.1), seed=42):
+# The published privacy budgets.
+EPSILONS = (10.0, 5.0, 1.0, 0.5, 0.1)
+
+
+def dp_lr(spark, sf, epsilons=EPSILONS, seed=42):
     """Objective-perturbation LR, all ε in one Newton run."""
     train, test = _silo_data(spark, sf, seed)
     fits = D.fit_dp_lr_sweep(train, ORD_FEATS, "target", list(epsilons), seed=seed)
@@ -245,7 +249,7 @@ def dp_lr(spark, sf, epsilons=(10.0, 1.0, 0.1), seed=42):
         for eps in epsilons])
 
 
-def dp_forest(spark, sf, epsilons=(10.0, 1.0), seed=42):
+def dp_forest(spark, sf, epsilons=EPSILONS, seed=42):
     """Data-independent forest with ε-DP leaf labels per ε."""
     train, test = _silo_data(spark, sf, seed)
     out = []
@@ -258,7 +262,7 @@ def dp_forest(spark, sf, epsilons=(10.0, 1.0), seed=42):
     return R.union_results(out)
 
 
-def dp_utility(spark, sf, seeds=(42, 43), epsilons=(10.0, 1.0)):
+def dp_utility(spark, sf, seeds=(42, 43, 44, 45, 46), epsilons=EPSILONS):
     """D3: ε sweep x seeds x two models with baselines, summarised (A1).
 
     One split for all seeds (X1); every (seed, ε) objective-perturbation fit

@@ -141,7 +141,7 @@ def balanced_weights(spark, sf):
 def silo_assign(spark, sf):
     """The train rows of each seed split into 3, 5 and 10 sites."""
     # the split feeds a second cut search: materialise it once
-    train = materialize(seeded_split(spark, sf, [42, 43]).where(~F.col("is_test"))
+    train = materialize(seeded_split(spark, sf).where(~F.col("is_test"))
                         .select("seed", "o_orderkey"))
     x = train.withColumn("n_sites", F.explode(F.array(*[F.lit(p) for p in SITE_SETTINGS])))
     return assign_silo(x, F.col("n_sites"), F.col("seed"), "o_orderkey", by=["seed", "n_sites"])
@@ -253,15 +253,13 @@ FROM labels GROUP BY doc_id, toxic""",
     "silo_assign": None,
 }
 
-_SPLIT2 = _SPLIT.replace("CROSS JOIN (SELECT unnest([42, 43, 44, 45, 46]) AS seed)",
-                         "CROSS JOIN (SELECT unnest([42, 43]) AS seed)")
 ORACLES["balanced_weights"] = """
 WITH c AS (SELECT toxic, count(*) AS n_c FROM labels GROUP BY toxic),
 t AS (SELECT sum(n_c) AS n, count(*) AS k FROM c)
 SELECT doc_id, l.toxic, CAST(n AS DOUBLE) / CAST(k * n_c AS DOUBLE) AS weight
 FROM labels l JOIN c USING (toxic) CROSS JOIN t"""
 ORACLES["silo_assign"] = f"""
-{_SPLIT2},
+{_SPLIT},
 tr AS (SELECT seed, o_orderkey FROM split WHERE NOT is_test),
 x AS (SELECT tr.*, p.n_sites FROM tr CROSS JOIN (SELECT unnest([3, 5, 10]) AS n_sites) p)
 SELECT seed, o_orderkey, CAST(n_sites AS INTEGER) AS n_sites,

@@ -75,6 +75,11 @@ def resolve_target(df: DataFrame, candidates: Sequence[str]) -> str:
     raise ValueError(f"no target column found; expected one of {list(candidates)}")
 
 
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` rows of a table, as a look at it (no order implied)."""
+    return df.limit(n)
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One-row shape of a table (rows, columns) as a DataFrame."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(

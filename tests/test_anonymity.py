@@ -70,3 +70,13 @@ def test_baseline_suppresses_nothing(spark):
     r = k_stats(df, ["q"], 1).first()
     assert (r["train_rows_used"], r["rows_suppressed"], r["suppression_rate"]) == (3, 0, 0.0)
     assert k_stats(df, ["q"], 2).first()["rows_suppressed"] == 1
+
+
+def test_available_quasi_identifiers_and_model_features(spark):
+    import pytest
+    from privtab.operators.anonymity import model_features, quasi_identifiers
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert quasi_identifiers(df, ["b", "c", "a"]) == ["b", "a"]
+    with pytest.raises(ValueError):
+        quasi_identifiers(df, ["c"])
+    assert model_features(["x", "y", "x_band", "z"], {"x": "x_band"}) == ["x_band", "y", "z"]

@@ -56,3 +56,11 @@ def test_u1_union_by_name_with_missing_columns(spark):
     b = spark.createDataFrame([("n", 0.7, "why")], "model string, accuracy double, reason string")
     u = R.union_results([a, b]).collect()
     assert len(u) == 2 and {r["reason"] for r in u} == {None, "why"}
+
+
+def test_runtime_from_text_and_preview(spark):
+    from privtab.operators.report import runtime_column
+    from privtab.sources.tables import preview
+    df = spark.createDataFrame([("0.0123 ± 0.0040",), (None,)], ["Train Time (s) mean ± std"])
+    assert [r["runtime"] for r in runtime_column(df).collect()] == [0.0123, None]
+    assert preview(spark.range(10), 3).count() == 3
