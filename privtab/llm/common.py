@@ -23,7 +23,7 @@ from privtab.session import checkpoint_dir
 
 #: Words gathered into one block before it is dealt out; bounds a task's memory
 #: (a single longer document still makes one block).
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: Text bytes that one bucket or cell should stand for.
 BUCKET_BYTES = 64 << 20
 #: Least number of buckets; a power of two, as all counts of buckets are.
@@ -165,6 +165,7 @@ def token_blocks(batches, cut, target: int = BLOCK_WORDS, columns: tuple[str, ..
                 since = i + 1
                 yield block()
                 kept, counts, hashes, total = [[] for _ in columns], [], [], 0
+                pa.default_memory_pool().release_unused()  # workers live on; what they hold counts
         for k, v in zip(kept, values):
             k.append(v[since:])
     if counts:

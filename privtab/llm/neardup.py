@@ -99,7 +99,7 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _features(batches):
-    for (ids, no_id, nodes), counts, hashes in C.token_blocks(batches, C.words_lower, 400_000,
+    for (ids, no_id, nodes), counts, hashes in C.token_blocks(batches, C.words_lower, 250_000,
                                                               ("doc_id", "no_id", "node")):
         sizes, values = shingle_sets(counts, hashes)
         some = sizes > 0

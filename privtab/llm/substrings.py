@@ -4,7 +4,7 @@ Every window of ``width`` consecutive words is hashed; a window whose word
 sequence also starts in a document with a smaller id is repeated, and the
 words it covers go.  Repeated windows are merged to maximal intervals.
 
-Plan: one pass over the documents makes blocks of about a million words.
+Plan: one pass over the documents makes blocks of about half a million words.
 Inside a block equal windows are met first: all but those of the smallest
 document id are repeated for certain, so a window that a third of all
 documents share leaves a block once, not once per document.  What remains is
