@@ -9,6 +9,7 @@ number of buckets from the size of the input (`bucket_count`).
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -138,6 +139,14 @@ def window_starts(counts: np.ndarray, width: int) -> np.ndarray:
     return np.arange(int(usable.sum())) + shift
 
 
+def release() -> None:
+    """Give freed memory back: workers live on, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def token_blocks(batches, cut, target: int = BLOCK_WORDS, columns: tuple[str, ...] = ("doc_id",)):
     """Yield (columns as numpy arrays, word counts, word hashes) of runs of documents.
 
@@ -165,7 +174,7 @@ def token_blocks(batches, cut, target: int = BLOCK_WORDS, columns: tuple[str, ..
                 since = i + 1
                 yield block()
                 kept, counts, hashes, total = [[] for _ in columns], [], [], 0
-                pa.default_memory_pool().release_unused()  # workers live on; what they hold counts
+                release()
         for k, v in zip(kept, values):
             k.append(v[since:])
     if counts:

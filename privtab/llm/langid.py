@@ -186,5 +186,6 @@ def identify(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(
                     [*map(batch.column, same), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                      pa.array(rejected, pa.bool_())], schema=schema)
+            C.release()
 
     return kept.mapInArrow(run, kind)
