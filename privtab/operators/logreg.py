@@ -21,33 +21,39 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
-def _coef_lookup(groups: list, coefs: Mapping, gcol: str | None, j: int) -> Column:
-    """Literal coefficient j of the row's group (CASE over the few groups)."""
-    if gcol is None:
-        return F.lit(float(coefs[None][j]))
-    expr = None
-    for g in groups:
-        v = F.lit(float(coefs[g][j]))
-        expr = F.when(F.col(gcol) == F.lit(g), v) if expr is None else expr.when(
-            F.col(gcol) == F.lit(g), v)
-    return expr.otherwise(F.lit(0.0))
+#: Largest coefficient table (bytes) that is sent to every executor; beyond it
+#: the join is left to the engine.
+BROADCAST_BYTES = 8 << 20
+
+
+def coef_table(df: DataFrame, coefs: Mapping, group: str, out: str = "_b") -> DataFrame:
+    """Coefficients as a table (group, array of double), one row per group."""
+    dtype = df.schema[group].dataType
+    width = max((len(c) for c in coefs.values()), default=0)
+    t = df.sparkSession.createDataFrame(
+        [(g, [float(v) for v in c]) for g, c in coefs.items()],
+        StructType([StructField(group, dtype), StructField(out, ArrayType(DoubleType()))]))
+    return F.broadcast(t) if len(coefs) * (8 * width + 64) <= BROADCAST_BYTES else t
 
 
 def newton_lr(df: DataFrame, features: Sequence[str], label: str,
               weight: str | None = None, group: str | None = None, l2=1.0,
               fit_intercept: bool = True, linear_term: Mapping | None = None,
               max_iter: int = 50, tol: float = 1e-9, persist: bool = True,
-              init: Mapping | None = None) -> dict:
+              init: Mapping | None = None, require: bool = True) -> dict:
     """Fit one model per value of ``group`` (or one model when None).
 
     Returns ``{group_value: (coef ndarray(d), intercept float)}``.
     ``linear_term``: ``{group_value: ndarray(d [+1])}`` added to the gradient.
     ``init``: starting ``{group_value: ndarray(d [+1])}`` (default zeros).
     ``l2``: a number, or ``{group_value: number}`` for per-group ridge.
+    A fit that has not converged after ``max_iter`` steps raises, unless
+    ``require`` is false (a fixed number of steps).
     """
     feats = list(features)
     d = len(feats)
@@ -70,17 +76,21 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
         return np.array([float(lam)] * d + ([0.0] if fit_intercept else []))
     try:
         for _ in range(max_iter):
-            score = F.lit(0.0)
-            if groups:
+            rows_in, score = base, F.lit(0.0)
+            if group and groups:  # rows of groups without coefficients are left out
+                rows_in = base.join(coef_table(base, coefs, "_g"), "_g")
+                for j in range(p):
+                    score = score + xs[j] * F.col("_b")[j]
+            elif groups:
                 for j in range(p):
-                    score = score + xs[j] * _coef_lookup(groups, coefs, gcol, j)
-            prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
-            r = F.col("_w") * (prob - F.col("_y"))
-            h = F.col("_w") * prob * (F.lit(1.0) - prob)
+                    score = score + xs[j] * F.lit(float(coefs[None][j]))
+            rows_in = rows_in.withColumn("_p", F.lit(1.0) / (F.lit(1.0) + F.exp(-score)))
+            r = F.col("_w") * (F.col("_p") - F.col("_y"))
+            h = F.col("_w") * F.col("_p") * (F.lit(1.0) - F.col("_p"))
             aggs = [F.sum(r * xs[j]).alias(f"g{j}") for j in range(p)]
             aggs += [F.sum(h * xs[j] * xs[k]).alias(f"h{j}_{k}")
                      for j in range(p) for k in range(j, p)]
-            grouped = base.groupBy("_g") if group else base.groupBy()
+            grouped = rows_in.groupBy("_g") if group else rows_in.groupBy()
             rows = grouped.agg(*aggs).collect()  # one row per group
             max_step = 0.0
             if not groups:
@@ -105,6 +115,9 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
                 max_step = max(max_step, float(np.max(np.abs(step))))
             if max_step < tol:
                 break
+        else:
+            if require:
+                raise RuntimeError(f"no convergence in {max_iter} Newton steps (last step {max_step:g})")
     finally:
         if persist:
             base.unpersist()
@@ -117,14 +130,14 @@ def coef_dict(features: Sequence[str], coef) -> dict:
 
 def predict_grouped(df: DataFrame, fits: dict, features: Sequence[str], group: str,
                     out: str = "predicted", prob: str | None = None) -> DataFrame:
-    """Label rows with their own group's model (CASE over the few groups); a
+    """Label rows with their own group's model (joined as a small table); a
     group without a model gives NULL."""
-    groups = sorted(fits)
     d = len(features)
-    coefs = {g: list(fits[g][0]) + [fits[g][1]] for g in groups}
-    score = _coef_lookup(groups, coefs, group, d)
+    models = {g: [*c, b] for g, (c, b) in fits.items()}
+    df = df.join(coef_table(df, models, group, "_beta"), group, "left")
+    score = F.col("_beta")[d]
     for j, c in enumerate(features):
-        score = score + F.col(c).cast("double") * _coef_lookup(groups, coefs, group, j)
-    p = F.when(F.col(group).isin(groups), F.lit(1.0) / (F.lit(1.0) + F.exp(-score)))
+        score = score + F.col(c).cast("double") * F.col("_beta")[j]
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
     df = df.withColumn(out, (p >= 0.5).cast("int"))
-    return df.withColumn(prob, p) if prob else df
+    return (df.withColumn(prob, p) if prob else df).drop("_beta")

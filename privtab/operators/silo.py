@@ -8,15 +8,16 @@ ever loaded into one worker.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from privtab.functions.exprs import sigmoid, threshold
 from privtab.operators.encode import balanced_weights
-from privtab.operators.logreg import newton_lr
+from privtab.operators.logreg import coef_table, newton_lr
 from privtab.operators.ml import fit_rf
 
 
@@ -27,28 +28,33 @@ def fit_lr_by_silo(train: DataFrame, features: Sequence[str], label: str,
     return newton_lr(df, features, label, weight="_bw" if balanced else None, group=silo)
 
 
-def silo_prob_columns(df: DataFrame, models: dict, features: Sequence[str],
-                      prefix: str = "p_") -> tuple[DataFrame, list[str]]:
-    """Every site model's probability as a column on the scored rows."""
-    names = []
-    for g, (coef, b) in sorted(models.items()):
-        s = F.lit(float(b))
-        for c, w in zip(features, coef):
-            s = s + F.col(c).cast("double") * F.lit(float(w))
-        name = f"{prefix}{g}".replace(":", "_")
-        df = df.withColumn(name, sigmoid(s))
-        names.append(name)
-    return df, names
-
-
 def ensemble_by_silo(test: DataFrame, models: dict, features: Sequence[str],
-                     prob: str = "prob", out: str = "predicted") -> DataFrame:
+                     group: str | None = None, prob: str = "prob",
+                     out: str = "predicted") -> DataFrame:
     """V4: unweighted mean of the site models' probabilities, label >= 0.5.
     (Refitting a deterministic site model each round gives the same model,
-    so the mean over rounds equals the mean over sites.)"""
-    df, names = silo_prob_columns(test, models, features)
-    mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / F.lit(float(len(names)))
-    return df.withColumn(prob, mean).withColumn(out, threshold(F.col(prob))).drop(*names)
+    so the mean over rounds equals the mean over sites.)
+
+    ``models``: ``{site: (coef, intercept)}``; with ``group``, one such dict
+    per value of that column, all with equally many sites."""
+    if group is None:
+        return ensemble_by_silo(test.withColumn("_all", F.lit(0)), {0: models}, features, "_all",
+                                prob, out).drop("_all")
+    flat = {g: [v for _, (coef, b) in sorted(m.items()) for v in (*coef, b)]
+            for g, m in models.items()}
+    n_sites, step = {len(m) for m in models.values()}, len(features) + 1
+    if len(n_sites) != 1:
+        raise ValueError("every group needs the same number of site models")
+    n = n_sites.pop()
+    df = test.join(coef_table(test, flat, group, "_site"), group, "left")
+    total = F.lit(0.0)
+    for i in range(n):
+        s = F.col("_site")[i * step + len(features)]
+        for j, c in enumerate(features):
+            s = s + F.col(c).cast("double") * F.col("_site")[i * step + j]
+        total = total + sigmoid(s)
+    return (df.withColumn(prob, total / F.lit(float(n)))
+              .withColumn(out, threshold(F.col(prob))).drop("_site"))
 
 
 def fit_rf_by_silo(train: DataFrame, features: Sequence[str], label: str, silo: str = "silo",
@@ -93,14 +99,30 @@ def fed_avg(train: DataFrame, features: Sequence[str], label: str, silo: str = "
     ``local_steps`` Newton steps from the global coefficients (all sites in
     one aggregate per step); the new global coefficients are the average of
     the sites' weighted by their row counts.  One site => plain L1 fit."""
-    df = balanced_weights(train, label, by=[silo], out="_bw") if balanced else train
-    sizes = {r[0]: r[1] for r in df.groupBy(silo).count().collect()}  # one row per site
-    total = float(sum(sizes.values()))
-    d = len(features)
-    glob = np.zeros(d + 1)
-    for _ in range(rounds):
-        init = {s: glob.copy() for s in sizes}
-        fits = newton_lr(df, features, label, weight="_bw" if balanced else None, group=silo,
-                         max_iter=local_steps, init=init, tol=0.0)
-        glob = sum(np.append(c, b) * (sizes[s] / total) for s, (c, b) in fits.items())
-    return glob[:d], float(glob[d])
+    one = train.withColumn("_fed", F.lit(0))
+    return fed_avg_many(one, features, label, "_fed", {0: rounds}, silo, local_steps, balanced)[0]
+
+
+def fed_avg_many(train: DataFrame, features: Sequence[str], label: str, federation: str,
+                 rounds: Mapping, silo: str = "silo", local_steps: int = 1,
+                 balanced: bool = True) -> dict:
+    """V5 for several federations (a column) in the same jobs; ``rounds`` per
+    federation, site names unique over all.  Rows are weighted and cached once."""
+    df = balanced_weights(train, label, by=[silo], out="_bw") if balanced else \
+        train.withColumn("_bw", F.lit(1.0))
+    df = df.select(*features, label, silo, federation, "_bw").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = df.groupBy(federation, silo).count().collect()  # one row per site
+        glob = {f: np.zeros(len(features) + 1) for f in rounds}
+        for t in range(max(rounds.values(), default=0)):
+            live = [r for r in sizes if t < rounds[r[0]]]
+            fits = newton_lr(df, features, label, weight="_bw", group=silo, max_iter=local_steps,
+                             init={r[1]: glob[r[0]] for r in live}, tol=0.0, persist=False,
+                             require=False)
+            for f in {r[0] for r in live}:
+                mine = [r for r in live if r[0] == f]
+                total = float(sum(r[2] for r in mine))
+                glob[f] = sum(np.append(*fits[r[1]]) * (r[2] / total) for r in mine)
+    finally:
+        df.unpersist()
+    return {f: (c[:-1], float(c[-1])) for f, c in glob.items()}

@@ -1,4 +1,4 @@
-"""Model queries (rows-only checks; properties are tested in pytest).
+"""Model queries (logistic regressions have exact oracles, forests rows-only checks).
 
 Two cohorts:
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from privtab.functions.exprs import round_fixed
 from privtab.functions.hashing import hash_hex, hash_unit
 from privtab.operators import anonymity as K
 from privtab.operators import dp as D
@@ -21,8 +22,11 @@ from privtab.operators import report as R
 from privtab.operators import silo as V
 from privtab.operators.encode import label_encode, minmax_scale
 from privtab.operators.linear import linear_score
-from privtab.operators.sampling import assign_silo, stratified_split
+from privtab.operators.logreg import newton_lr, predict_grouped
+from privtab.operators.sampling import assign_silo, stratified_split, with_seeds
+from privtab.plans import modelsql
 from privtab.plans.kanon import orders_qi
+from privtab.plans.sqlparts import SEEDS
 from privtab.session import materialize
 from privtab.sources import load
 
@@ -75,7 +79,6 @@ def lr_utility(spark, sf, seed=42):
     model are two groups of ONE Newton fit of the L1 objective (rows repeated
     per variant, weight 1 or n/(2 n_c))."""
     from privtab.operators.encode import balanced_weights
-    from privtab.operators.logreg import newton_lr, predict_grouped
     sp = _split(doc_cohort(spark, sf), seed, "doc_id")
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
     variants = F.explode(F.array(F.lit("Baseline (No Privacy)"), F.lit("Baseline (balanced)")))
@@ -111,7 +114,6 @@ def k_utility(spark, sf, ks=(2, 10, 50), seed=42):
     and evaluated per k and model.  k = 1 is the baseline (K8 statistics).
     Skipped runs (K9) carry NULL metrics."""
     from privtab.operators.encode import balanced_weights, minmax_by
-    from privtab.operators.logreg import newton_lr, predict_grouped
     qis = ["o_orderpriority", "o_year", "o_month"]
     sp = _split(order_cohort(spark, sf), seed, "o_orderkey")
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
@@ -184,14 +186,33 @@ def _silo_data(spark, sf, seed=42):
     return sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
 
 
-def silo_lr(spark, sf, n_sites=3):
-    """V2: balanced LR coefficients of every site (one Newton job per step)."""
-    train, _ = _silo_data(spark, sf)
-    train = materialize(assign_silo(train, n_sites, 42, "o_orderkey"))
-    fits = V.fit_lr_by_silo(train, ORD_FEATS, "target")
-    rows = [(int(s), name, float(v)) for s, (coef, b) in fits.items()
+def _seeded(spark, sf, seeds):
+    """One stored split for all seeds."""
+    sp = materialize(stratified_split(with_seeds(order_cohort(spark, sf), seeds), "target", 0.2,
+                                      F.col("seed"), "o_orderkey", by=["seed"]))
+    return sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
+
+
+def _sites(train, settings):
+    """Train rows once per site setting, with their site (unique names)."""
+    x = train.withColumn("n_sites", F.explode(F.array(*[F.lit(p) for p, _ in settings])))
+    x = assign_silo(x, F.col("n_sites"), F.col("seed"), "o_orderkey", by=["seed", "n_sites"])
+    return x.withColumn("site", F.format_string("%d:%d:%d", "seed", "n_sites", "silo"))
+
+
+# The published federation settings (sites, rounds).
+FL_SETTINGS = ((3, 10), (5, 20), (10, 20))
+
+
+def silo_lr(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
+    """V2: balanced LR coefficients of every site of every setting and seed
+    (one Newton job per step for all)."""
+    train, _ = _seeded(spark, sf, seeds)
+    fits = V.fit_lr_by_silo(_sites(train, settings), ORD_FEATS, "target", silo="site")
+    rows = [(*map(int, s.split(":")), name, float(v)) for s, (coef, b) in fits.items()
             for name, v in list(zip(ORD_FEATS, coef)) + [("intercept", b)]]
-    return spark.createDataFrame(rows, "silo int, feature string, coef double")
+    out = spark.createDataFrame(rows, "seed int, n_sites int, silo int, feature string, coef double")
+    return out.withColumn("coef", round_fixed("coef", 6))
 
 
 def silo_rf(spark, sf, n_sites=3):
@@ -204,49 +225,75 @@ def silo_rf(spark, sf, n_sites=3):
     return _evaluate(pred, 42, "Federated Random Forest", f"FL ({n_sites} clients, 2 rounds)")
 
 
-def fed_avg(spark, sf, n_sites=3, rounds=5):
-    """V5: weighted parameter averaging over rounds, then scoring."""
-    train, test = _silo_data(spark, sf)
-    train = materialize(assign_silo(train, n_sites, 42, "o_orderkey"))
-    coef, b = V.fed_avg(train, ORD_FEATS, "target", rounds=rounds)
-    pred = linear_score(test, dict(zip(ORD_FEATS, coef)), b, label="predicted")
-    return _evaluate(pred, 42, "FedAvg Logistic Regression", f"FL ({n_sites} clients, {rounds} rounds)")
-
-
-def silo_utility(spark, sf, settings=((3, 10), (5, 20)), seed=42):
-    """V6: the balanced LR baseline and every site of every setting are
-    groups of ONE Newton fit (rows repeated per setting by a generator); each
-    setting's sites are then averaged (V4) and evaluated."""
-    from privtab.operators.logreg import predict_grouped
-    train, test = _silo_data(spark, sf, seed)
-    x = train.withColumn("n_sites", F.explode(F.array(*[F.lit(p) for p, _ in settings])))
-    x = assign_silo(x, F.col("n_sites"), seed, "o_orderkey", by=["n_sites"])
-    x = x.withColumn("site", F.format_string("%d:%d", F.col("n_sites"), F.col("silo")))
-    base = train.withColumn("site", F.lit("base"))
-    x = materialize(x.select(*base.columns).unionByName(base))
-    fits = V.fit_lr_by_silo(x, ORD_FEATS, "target", silo="site")
-    out = [_evaluate(predict_grouped(test.withColumn("site", F.lit("base")),
-                                     {"base": fits["base"]}, ORD_FEATS, "site"),
-                     seed, "Logistic Regression", "Baseline (No Privacy)")]
+def fed_avg(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
+    """V5: weighted parameter averaging over rounds, then scoring; every
+    (seed, setting) is a federation of the same jobs."""
+    train, test = _seeded(spark, sf, seeds)
+    x = _sites(train, settings).withColumn("fed", F.format_string("%d:%d", "seed", "n_sites"))
+    rounds = {f"{s}:{p}": r for s in seeds for p, r in settings}
+    fits = V.fed_avg_many(x, ORD_FEATS, "target", "fed", rounds, silo="site")
+    t = test.withColumn("fl", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.lit(f"FL ({p} clients, {r} rounds)").alias("setting"))
+        for p, r in settings])))
+    t = t.withColumn("fed", F.format_string("%d:%d", "seed", "fl.p"))
+    pred = predict_grouped(t, fits, ORD_FEATS, "fed")
+    return M.evaluate(pred.select("seed", F.lit("FedAvg Logistic Regression").alias("model"),
+                                  "fl.setting", F.col("target").alias("actual"), "predicted"), KEYS)
+
+
+def silo_utility(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
+    """V6: the balanced LR baseline and every site of every setting and seed
+    are groups of ONE Newton fit (rows repeated per setting by a generator);
+    each setting's sites are then averaged (V4) and evaluated.  ``rounds``
+    only names the setting: a refitted site model is the same model."""
+    train, test = _seeded(spark, sf, seeds)
+    x = _sites(train, settings)
+    base = train.withColumn("site", F.format_string("%d:0:0", "seed"))
+    fits = V.fit_lr_by_silo(x.select(*base.columns).unionByName(base), ORD_FEATS, "target",
+                            silo="site")
+    runs = [predict_grouped(test, {s: fits[f"{s}:0:0"] for s in seeds}, ORD_FEATS, "seed").select(
+        "seed", F.lit("Logistic Regression").alias("model"),
+        F.lit("Baseline (No Privacy)").alias("setting"), F.col("target").alias("actual"), "predicted")]
     for n_sites, rounds in settings:
-        mine = {k: v for k, v in fits.items() if k.startswith(f"{n_sites}:")}
-        pred = V.ensemble_by_silo(test, mine, ORD_FEATS)
-        out.append(_evaluate(pred, seed, "Federated Logistic Regression",
-                             f"FL ({n_sites} clients, {rounds} rounds)"))
-    return R.union_results(out)
+        models = {s: {i: fits[f"{s}:{n_sites}:{i}"] for i in range(n_sites)} for s in seeds}
+        runs.append(V.ensemble_by_silo(test, models, ORD_FEATS, "seed").select(
+            "seed", F.lit("Federated Logistic Regression").alias("model"),
+            F.lit(f"FL ({n_sites} clients, {rounds} rounds)").alias("setting"),
+            F.col("target").alias("actual"), "predicted"))
+    return M.evaluate(R.union_results(runs), KEYS)
 
 
 # The published privacy budgets.
 EPSILONS = (10.0, 5.0, 1.0, 0.5, 0.1)
 
 
-def dp_lr(spark, sf, epsilons=EPSILONS, seed=42):
-    """Objective-perturbation LR, all ε in one Newton run."""
-    train, test = _silo_data(spark, sf, seed)
-    fits = D.fit_dp_lr_sweep(train, ORD_FEATS, "target", list(epsilons), seed=seed)
-    return R.union_results([
-        _evaluate(D.predict_dp_lr(test, fits[eps]), seed, "DP Logistic Regression", f"DP e={eps}")
-        for eps in epsilons])
+def _dp_lr_runs(train, test, seeds, epsilons):
+    """D1 test labels: every (seed, ε) objective-perturbation fit is a group
+    of one Newton run."""
+    clipped, names = D.clip_rows(train, ORD_FEATS)
+    n_by_seed = {r["seed"]: r["count"] for r in clipped.groupBy("seed").count().collect()}
+    terms = {f"{s}:{i}": (n_by_seed[s], *D.perturbation_terms(e, n_by_seed[s], len(names), s * 1000 + i))
+             for s in seeds for i, e in enumerate(epsilons)}
+    eps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f"DP e={e}").alias("setting"))
+                              for i, e in enumerate(epsilons)]))
+
+    def grouped(df):
+        return df.withColumn("_e", eps).withColumn("grp", F.format_string("%d:%d", "seed", "_e.i"))
+
+    fits = newton_lr(grouped(clipped), names, "target", group="grp", fit_intercept=False,
+                     l2={k: 1.0 + n * delta for k, (n, _, delta) in terms.items()},
+                     linear_term={k: b for k, (_, b, _) in terms.items()})
+    # clipped rows are positive multiples of [x, 1]: same sign, so score raw rows
+    models = {k: (c[:len(ORD_FEATS)], float(c[len(ORD_FEATS)])) for k, (c, _) in fits.items()}
+    return predict_grouped(grouped(test), models, ORD_FEATS, "grp").select(
+        "seed", F.lit("DP Logistic Regression").alias("model"), "_e.setting",
+        F.col("target").alias("actual"), "predicted")
+
+
+def dp_lr(spark, sf, epsilons=EPSILONS, seeds=SEEDS):
+    """Objective-perturbation LR, all seeds and ε in one Newton run."""
+    train, test = _seeded(spark, sf, seeds)
+    return M.evaluate(_dp_lr_runs(train, test, seeds, epsilons), KEYS)
 
 
 def dp_forest(spark, sf, epsilons=EPSILONS, seed=42):
@@ -262,41 +309,15 @@ def dp_forest(spark, sf, epsilons=EPSILONS, seed=42):
     return R.union_results(out)
 
 
-def dp_utility(spark, sf, seeds=(42, 43, 44, 45, 46), epsilons=EPSILONS):
+def dp_utility(spark, sf, seeds=SEEDS, epsilons=EPSILONS):
     """D3: ε sweep x seeds x two models with baselines, summarised (A1).
 
     One split for all seeds (X1); every (seed, ε) objective-perturbation fit
     is a group of one Newton run and the per-seed LR baselines are groups of
     a second; DP forests (one counting job each) and plain forest baselines
     are fitted per seed."""
-    from privtab.operators.logreg import newton_lr, predict_grouped
-    from privtab.operators.sampling import with_seeds
-    sp = materialize(stratified_split(with_seeds(order_cohort(spark, sf), seeds), "target", 0.2,
-                                      F.col("seed"), "o_orderkey", by=["seed"]))
-    train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
-    clipped, names = D.clip_rows(train, ORD_FEATS)
-    n_by_seed = {r["seed"]: r["count"] for r in clipped.groupBy("seed").count().collect()}
-    terms, grp = {}, {}
-    for s_ in seeds:
-        for i, eps in enumerate(epsilons):
-            key = f"{s_}:{i}"
-            grp[key] = (s_, eps)
-            terms[key] = D.perturbation_terms(eps, n_by_seed[s_], len(names), s_ * 1000 + i)
-    eps_col = F.explode(F.array(*[F.lit(i) for i in range(len(epsilons))]))
-    x = clipped.withColumn("_e", eps_col).withColumn(
-        "grp", F.format_string("%d:%d", F.col("seed"), F.col("_e")))
-    dp = newton_lr(x, names, "target", group="grp", fit_intercept=False,
-                   l2={k: 1.0 + n_by_seed[grp[k][0]] * t[1] for k, t in terms.items()},
-                   linear_term={k: t[0] for k, t in terms.items()})
-    # clipped rows are positive multiples of [x, 1]: same sign, so score raw rows
-    dp_models = {k: (c[:len(ORD_FEATS)], float(c[len(ORD_FEATS)])) for k, (c, _) in dp.items()}
-    t_dp = test.withColumn("_e", eps_col).withColumn(
-        "grp", F.format_string("%d:%d", F.col("seed"), F.col("_e")))
-    labels = F.create_map(*[v for i, e in enumerate(epsilons)
-                            for v in (F.lit(i), F.lit(f"DP e={e}"))])
-    runs = [predict_grouped(t_dp, dp_models, ORD_FEATS, "grp").select(
-        "seed", F.lit("DP Logistic Regression").alias("model"),
-        labels[F.col("_e")].alias("setting"), F.col("target").alias("actual"), "predicted")]
+    train, test = _seeded(spark, sf, seeds)
+    runs = [_dp_lr_runs(train, test, seeds, epsilons)]
     base = newton_lr(train, ORD_FEATS, "target", group="seed")
     runs.append(predict_grouped(test, base, ORD_FEATS, "seed").select(
         "seed", F.lit("Logistic Regression").alias("model"),
@@ -335,4 +356,10 @@ QUERIES = {
     "dp_utility": dp_utility,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "lr_utility": modelsql.lr_utility(),
+    "silo_lr": modelsql.silo_lr(FL_SETTINGS, ORD_FEATS),
+    "silo_utility": modelsql.silo_utility(FL_SETTINGS, ORD_FEATS),
+    "fed_avg": modelsql.fed_avg(FL_SETTINGS, ORD_FEATS),
+    "dp_lr": modelsql.dp_lr(EPSILONS, ORD_FEATS),
+}
