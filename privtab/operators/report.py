@@ -74,6 +74,19 @@ def model_family(model) -> Column:
              .when(m.contains("Random Forest"), F.lit("RF")).otherwise(F.lit("other")))
 
 
+def techniques(model) -> Column:
+    """Techniques a run belongs to (an array): a privacy run and the baseline
+    of hidden scoring to one, a plain baseline to all that share it."""
+    m = F.col(model) if isinstance(model, str) else model
+    one = [("HE ", "HE"), ("Normal", "HE"), ("DP ", "DP"), ("Federated", "FL"),
+           ("K-anonymised", "K-anonymity")]
+    expr = None
+    for mark, name in one:
+        c, v = m.contains(mark), F.array(F.lit(name))
+        expr = F.when(c, v) if expr is None else expr.when(c, v)
+    return expr.otherwise(F.array(F.lit("DP"), F.lit("FL"), F.lit("K-anonymity")))
+
+
 def is_baseline(setting) -> Column:
     """case-insensitive 'baseline' test, NULL -> False."""
     s = F.col(setting) if isinstance(setting, str) else setting

@@ -21,7 +21,6 @@ from privtab.operators import ml
 from privtab.operators import report as R
 from privtab.operators import silo as V
 from privtab.operators.encode import label_encode, minmax_scale
-from privtab.operators.linear import linear_score
 from privtab.operators.logreg import newton_lr, predict_grouped
 from privtab.operators.sampling import assign_silo, stratified_split, with_seeds
 from privtab.plans import modelsql
@@ -166,19 +165,37 @@ K_STATS = ["train_rows_used", "rows_suppressed", "suppression_rate", "classes_be
            "classes_after", "min_class_size"]
 
 
-def hidden_utility(spark, sf):
-    """M2 with a fitted model: plain L1 scoring vs secret-shared scoring."""
-    sp = _split(doc_cohort(spark, sf), 42, "doc_id")
+def _hidden_runs(spark, sf, seeds):
+    """M2 test labels of every seed's fitted model (L1): plain scoring and
+    secret-shared scoring, in its production form (masks under a secret salt
+    from the operating system)."""
+    sp = materialize(stratified_split(with_seeds(doc_cohort(spark, sf), seeds), "target", 0.2,
+                                      F.col("seed"), "doc_id", by=["seed"]))
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
-    w, b = ml.lr_weights(ml.fit_lr(train, DOC_FEATS, "target"), DOC_FEATS)
-    plain = linear_score(test, w, b, label="predicted").select("doc_id", "target", "predicted")
-    # production form: masks under a secret salt from the operating system
-    hid = MK.hidden_score(test, DOC_FEATS, MK.weights_of(w, DOC_FEATS), b, "doc_id", seed=None) \
-        .select("doc_id", F.col("label").alias("predicted")) \
-        .join(test.select("doc_id", "target"), "doc_id")
-    return R.union_results([
-        _evaluate(plain, 42, "Normal Logistic Regression", "Baseline"),
-        _evaluate(hid, 42, "HE Logistic Regression Inference", "Encrypted Inference")])
+    fits = newton_lr(train, DOC_FEATS, "target", group="seed")
+    runs = [predict_grouped(test, fits, DOC_FEATS, "seed").select(
+        "seed", F.lit("Normal Logistic Regression").alias("model"), F.lit("Baseline").alias("setting"),
+        F.col("target").alias("actual"), "predicted")]
+    for s, (coef, b) in sorted(fits.items()):  # one pair of share tables per seed
+        mine = test.where(F.col("seed") == s)
+        w = dict(zip(DOC_FEATS, map(float, coef)))
+        hid = MK.hidden_score(mine, DOC_FEATS, MK.weights_of(w, DOC_FEATS), b, "doc_id", seed=None)
+        runs.append(hid.select("doc_id", F.col("label").alias("predicted"))
+                    .join(mine.select("doc_id", F.col("target").alias("actual")), "doc_id")
+                    .select(F.lit(s).alias("seed"),
+                            F.lit("HE Logistic Regression Inference").alias("model"),
+                            F.lit("Encrypted Inference").alias("setting"), "actual", "predicted"))
+    return R.union_results(runs)
+
+
+def hidden_utility(spark, sf, seeds=SEEDS):
+    """M2 with fitted models: metrics of plain and hidden scoring per seed."""
+    return M.evaluate(_hidden_runs(spark, sf, seeds), KEYS)
+
+
+def hidden_confusion(spark, sf, seeds=SEEDS):
+    """M2: confusion rows of plain and hidden scoring per seed."""
+    return M.confusion(_hidden_runs(spark, sf, seeds), KEYS)
 
 
 def _silo_data(spark, sf, seed=42):
@@ -347,6 +364,7 @@ QUERIES = {
     "rf_utility": rf_utility,
     "k_utility": k_utility,
     "hidden_utility": hidden_utility,
+    "hidden_confusion": hidden_confusion,
     "silo_lr": silo_lr,
     "silo_rf": silo_rf,
     "fed_avg": fed_avg,
@@ -358,6 +376,8 @@ QUERIES = {
 
 ORACLES = {
     "lr_utility": modelsql.lr_utility(),
+    "hidden_utility": modelsql.hidden_utility(),
+    "hidden_confusion": modelsql.hidden_confusion(),
     "silo_lr": modelsql.silo_lr(FL_SETTINGS, ORD_FEATS),
     "silo_utility": modelsql.silo_utility(FL_SETTINGS, ORD_FEATS),
     "fed_avg": modelsql.fed_avg(FL_SETTINGS, ORD_FEATS),

@@ -201,9 +201,11 @@ preds AS (SELECT seed, 'DP Logistic Regression' AS model, split_part(grp, '/', 2
 {_METRICS}"""
 
 
-def lr_utility() -> str:
-    feats = ["len_s", "upper_s", "digit_s", "lang_s"]
-    x = [*feats, "one"]
+DOC_FEATS = ["len_s", "upper_s", "digit_s", "lang_s"]
+
+
+def _documents(seeds) -> str:
+    """CTEs up to ``tr``: scaled documents with their label, per seed."""
     n = "CAST(greatest(length(text), 1) AS DOUBLE)"
     return f"""WITH RECURSIVE
 raw AS (SELECT doc_id, CAST(toxic AS INTEGER) AS target, ln(1.0 + CAST(n_chars AS DOUBLE)) AS len_s,
@@ -212,15 +214,42 @@ raw AS (SELECT doc_id, CAST(toxic AS INTEGER) AS target, ln(1.0 + CAST(n_chars A
                CASE WHEN lang IS NOT NULL
                     THEN CAST(dense_rank() OVER (ORDER BY lang NULLS LAST) - 1 AS DOUBLE) END AS lang_s
         FROM documents JOIN labels USING (doc_id)),
-lab AS (SELECT doc_id, target, {', '.join(_scaled(c, 'raw') for c in feats)} FROM raw),
-{split_ctes('lab', 'doc_id', 'target', seeds=[42])},
-tr AS MATERIALIZED (SELECT * FROM split WHERE NOT is_test),
+lab AS (SELECT doc_id, target, {', '.join(_scaled(c, 'raw') for c in DOC_FEATS)} FROM raw),
+{split_ctes('lab', 'doc_id', 'target', seeds=seeds)},
+tr AS MATERIALIZED (SELECT * FROM split WHERE NOT is_test)"""
+
+
+def lr_utility() -> str:
+    x = [*DOC_FEATS, "one"]
+    return f"""{_documents([42])},
 {_weights('tr', 'tw', 'seed')},
-fx AS MATERIALIZED (SELECT setting, {', '.join(feats)}, CAST(1 AS DOUBLE) AS one,
+fx AS MATERIALIZED (SELECT setting, {', '.join(DOC_FEATS)}, CAST(1 AS DOUBLE) AS one,
          CAST(target AS DOUBLE) AS y, CASE WHEN setting = 'Baseline (balanced)' THEN w ELSE 1.0 END AS w
        FROM tw CROSS JOIN (VALUES ('Baseline (No Privacy)'), ('Baseline (balanced)')) v(setting)),
-{_newton('fit', 'fx', 'setting', x, ['1.0'] * len(feats) + ['0.0'])},
+{_newton('fit', 'fx', 'setting', x, ['1.0'] * len(DOC_FEATS) + ['0.0'])},
 preds AS (SELECT seed, 'Logistic Regression' AS model, setting, target AS actual,
                  CAST(1.0 / (1.0 + exp(-({_score(x)}))) >= 0.5 AS INTEGER) AS predicted
           FROM (SELECT *, CAST(1 AS DOUBLE) AS one FROM split WHERE is_test) CROSS JOIN fit),
 {_METRICS}"""
+
+
+def hidden_utility(tail: str = _METRICS) -> str:
+    """Hidden scoring has to give the labels of plain scoring."""
+    x = [*DOC_FEATS, "one"]
+    return f"""{_documents(SEEDS)},
+fx AS MATERIALIZED (SELECT *, CAST(1 AS DOUBLE) AS one, CAST(target AS DOUBLE) AS y,
+                           CAST(1 AS DOUBLE) AS w FROM tr),
+{_newton('fit', 'fx', 'seed', x, ['1.0'] * len(DOC_FEATS) + ['0.0'])},
+preds AS (SELECT seed, model, setting, target AS actual,
+                 CAST(1.0 / (1.0 + exp(-({_score(x)}))) >= 0.5 AS INTEGER) AS predicted
+          FROM (SELECT *, CAST(1 AS DOUBLE) AS one FROM split WHERE is_test) JOIN fit USING (seed)
+          CROSS JOIN (VALUES ('Normal Logistic Regression', 'Baseline'),
+                             ('HE Logistic Regression Inference', 'Encrypted Inference')) v(model, setting)),
+{tail}"""
+
+
+def hidden_confusion() -> str:
+    cells = _METRICS[:_METRICS.index("SELECT seed, model, setting,\n   coalesce")]
+    return hidden_utility(f"""{cells}
+SELECT seed, model, setting, 0 AS actual_class, tn AS predicted_0, fp AS predicted_1 FROM cells
+UNION ALL SELECT seed, model, setting, 1, fn, tp FROM cells""")

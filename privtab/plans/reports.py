@@ -99,15 +99,15 @@ def labels_and_order(spark, sf):
 
 
 def tradeoff_table(spark, sf):
-    """J2 + X3: privacy rows next to the same family's baseline."""
-    runs = metrics_by_run(spark, sf)
-    # privacy rows plus the two plain baselines, selected in one pass
-    keep = ~R.is_baseline("setting") | F.col("model").isin("Logistic Regression",
-                                                           "Random Forest")
-    summary = R.summarise(runs.where(keep), ["model", "setting"], ["accuracy", "f1"], digits=10)
+    """J2 + X3: privacy rows next to the baseline of their own technique and
+    model family.  The plain baselines serve DP, FL and k-anonymity; hidden
+    scoring has a baseline of its own."""
+    runs = metrics_by_run(spark, sf).withColumn("technique", F.explode(R.techniques("model")))
+    keys = ["technique", "model", "setting"]
+    summary = R.summarise(runs, keys, ["accuracy", "f1"], digits=10)
     summary = summary.withColumn("accuracy_std", F.coalesce("accuracy_std", F.lit(0.0))) \
                      .withColumn("f1_std", F.coalesce("f1_std", F.lit(0.0)))
-    return R.with_baseline(summary, "model", "setting", ["accuracy_mean", "f1_mean"])
+    return R.with_baseline(summary, "model", "setting", ["accuracy_mean", "f1_mean"], by=["technique"])
 
 
 QUERIES = {
@@ -217,19 +217,21 @@ SELECT model, setting, {_SHORT} AS model_short, {_SSET} AS setting_short,
        0 AS he_1
 FROM disp"""
 ORACLES["tradeoff_table"] = f"""{_RUNS},
-sel AS (SELECT * FROM metrics WHERE NOT coalesce(contains(lower(setting), 'baseline'), false)
-        UNION ALL
-        SELECT * FROM metrics WHERE coalesce(contains(lower(setting), 'baseline'), false)
-          AND model IN ('Logistic Regression', 'Random Forest')),
-s AS (SELECT model, setting, {rnd('avg(accuracy)', 10)} AS accuracy_mean,
+sel AS (SELECT *, unnest(CASE WHEN contains(model, 'HE ') OR contains(model, 'Normal') THEN ['HE']
+                              WHEN contains(model, 'DP ') THEN ['DP']
+                              WHEN contains(model, 'Federated') THEN ['FL']
+                              WHEN contains(model, 'K-anonymised') THEN ['K-anonymity']
+                              ELSE ['DP', 'FL', 'K-anonymity'] END) AS technique FROM metrics),
+s AS (SELECT technique, model, setting, {rnd('avg(accuracy)', 10)} AS accuracy_mean,
              coalesce({rnd('stddev_samp(accuracy)', 10)}, 0.0) AS accuracy_std,
              {rnd('avg(f1)', 10)} AS f1_mean, coalesce({rnd('stddev_samp(f1)', 10)}, 0.0) AS f1_std
       FROM sel GROUP BY ALL),
 fam AS (SELECT *, CASE WHEN contains(model, 'Logistic') THEN 'LR'
                        WHEN contains(model, 'Random Forest') THEN 'RF' ELSE 'other' END AS fam FROM s),
-base AS (SELECT fam, arg_min(accuracy_mean, model) AS base_accuracy_mean,
+base AS (SELECT technique, fam, arg_min(accuracy_mean, model) AS base_accuracy_mean,
                 arg_min(f1_mean, model) AS base_f1_mean
-         FROM fam WHERE coalesce(contains(lower(setting), 'baseline'), false) GROUP BY fam)
-SELECT model, setting, accuracy_mean, accuracy_std, f1_mean, f1_std, base_accuracy_mean, base_f1_mean
-FROM fam LEFT JOIN base USING (fam)
+         FROM fam WHERE coalesce(contains(lower(setting), 'baseline'), false) GROUP BY technique, fam)
+SELECT technique, model, setting, accuracy_mean, accuracy_std, f1_mean, f1_std,
+       base_accuracy_mean, base_f1_mean
+FROM fam LEFT JOIN base USING (technique, fam)
 WHERE NOT coalesce(contains(lower(setting), 'baseline'), false)"""

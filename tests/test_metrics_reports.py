@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from privtab.operators import metrics as M
 from privtab.operators import report as R
@@ -64,3 +65,15 @@ def test_runtime_from_text_and_preview(spark):
     df = spark.createDataFrame([("0.0123 ± 0.0040",), (None,)], ["Train Time (s) mean ± std"])
     assert [r["runtime"] for r in runtime_column(df).collect()] == [0.0123, None]
     assert preview(spark.range(10), 3).count() == 3
+
+
+def test_baseline_of_the_own_technique(spark):
+    rows = [("Logistic Regression", "Baseline (No Privacy)", 0.7),
+            ("Normal Logistic Regression", "Baseline", 0.9),
+            ("DP Logistic Regression", "DP e=1.0", 0.6),
+            ("HE Logistic Regression Inference", "Encrypted Inference", 0.89)]
+    df = spark.createDataFrame(rows, "model string, setting string, accuracy double")
+    df = df.withColumn("technique", F.explode(R.techniques("model")))
+    out = R.with_baseline(df, "model", "setting", ["accuracy"], by=["technique"])
+    got = {r["technique"]: r["base_accuracy"] for r in out.collect()}
+    assert got == {"DP": 0.7, "HE": 0.9}

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from privtab.operators import dp as D
 from privtab.operators import masked as MK
 from privtab.operators import ml
-from privtab.operators.logreg import newton_lr
-from privtab.operators.silo import fed_avg
+from privtab.operators.logreg import newton_lr, predict_grouped
+from privtab.operators.silo import ensemble_by_silo, fed_avg, fed_avg_many
 
 
 def _data(spark, n=600, seed=0):
@@ -126,3 +126,39 @@ def test_null_feature_and_unknown_group_have_no_label(spark):
     rows = spark.createDataFrame([("g", 1.0), ("h", 1.0)], "grp string, a double")
     got = {r.grp: r.predicted for r in predict_grouped(rows, {"g": ([1.0], 0.0)}, ["a"], "grp").collect()}
     assert got == {"g": 1, "h": None}
+
+
+def test_fit_that_does_not_converge_raises(spark):
+    df = _data(spark)
+    with pytest.raises(RuntimeError, match="no convergence"):
+        newton_lr(df, ["a", "b", "c"], "y", max_iter=2)
+
+
+def test_many_groups_equal_single_fits_and_unknown_group_is_null(spark):
+    df = _data(spark).withColumn("site", (F.col("key") % 60).cast("int"))
+    fits = newton_lr(df, ["a", "b", "c"], "y", group="site")
+    assert len(fits) == 60
+    for g in (0, 31, 59):
+        coef, b = newton_lr(df.where(F.col("site") == g), ["a", "b", "c"], "y")[None]
+        assert np.allclose(fits[g][0], coef, atol=1e-8) and fits[g][1] == pytest.approx(b, abs=1e-8)
+    odd = df.limit(1).withColumn("site", F.lit(99))
+    assert predict_grouped(odd, fits, ["a", "b", "c"], "site").first()["predicted"] is None
+
+
+def test_ensemble_is_the_mean_of_site_probabilities(spark):
+    df = _data(spark, 20)
+    models = {0: (np.array([1.0, -2.0, 0.5]), 0.1), 1: (np.array([0.0, 3.0, -1.0]), -0.4)}
+    got = ensemble_by_silo(df, models, ["a", "b", "c"]).collect()
+    for r in got:
+        x = np.array([r["a"], r["b"], r["c"]])
+        want = np.mean([1 / (1 + np.exp(-(c @ x + b))) for c, b in models.values()])
+        assert r["prob"] == pytest.approx(want) and r["predicted"] == int(want >= 0.5)
+
+
+def test_federations_do_not_mix(spark):
+    df = _data(spark).withColumn("fed", F.when(F.col("key") < 200, "p").otherwise("q"))
+    df = df.withColumn("silo", F.concat("fed", (F.col("key") % 2).cast("string")))
+    both = fed_avg_many(df, ["a", "b", "c"], "y", "fed", {"p": 2, "q": 4})
+    for name, rounds in (("p", 2), ("q", 4)):
+        coef, b = fed_avg(df.where(F.col("fed") == name), ["a", "b", "c"], "y", rounds=rounds)
+        assert np.allclose(both[name][0], coef) and both[name][1] == pytest.approx(b)
