@@ -53,7 +53,8 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
     ``init``: starting ``{group_value: ndarray(d [+1])}`` (default zeros).
     ``l2``: a number, or ``{group_value: number}`` for per-group ridge.
     A fit that has not converged after ``max_iter`` steps raises, unless
-    ``require`` is false (a fixed number of steps).
+    ``require`` is false (a fixed number of steps).  A group of one class has
+    no finite intercept, so it raises as well.
     """
     feats = list(features)
     d = len(feats)

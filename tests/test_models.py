@@ -135,10 +135,10 @@ def test_fit_that_does_not_converge_raises(spark):
 
 
 def test_many_groups_equal_single_fits_and_unknown_group_is_null(spark):
-    df = _data(spark).withColumn("site", (F.col("key") % 60).cast("int"))
+    df = _data(spark).withColumn("site", (F.col("key") % 15).cast("int"))
     fits = newton_lr(df, ["a", "b", "c"], "y", group="site")
-    assert len(fits) == 60
-    for g in (0, 31, 59):
+    assert len(fits) == 15
+    for g in (0, 14):
         coef, b = newton_lr(df.where(F.col("site") == g), ["a", "b", "c"], "y")[None]
         assert np.allclose(fits[g][0], coef, atol=1e-8) and fits[g][1] == pytest.approx(b, abs=1e-8)
     odd = df.limit(1).withColumn("site", F.lit(99))
