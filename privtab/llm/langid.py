@@ -4,7 +4,10 @@ A text is a vector of character n-grams (1 to 3 code points of the lower-cased
 text, everything but letters as a gap) hashed into FEATURES places, weighed by
 TF-IDF and scaled to length one.  Each language has several centroids (spherical
 k-means); a text gets the language of the centroid with the largest cosine and
-is rejected if that is far below what the language's own texts reach.
+is rejected if that lies below what the language's own texts of such a length
+reach.  For that, half of a language's sample is compared with centroids of the
+other half, whole and cut to 1, 2, 4, ... letters; the limit of a length is the
+share ``MARGIN`` of the ``QUANTILE`` of these cosines.
 
 Document frequencies come from all training texts (one pass, one vector per
 task, summed in Spark).  Clusters are fitted on a bounded sample: about
@@ -14,11 +17,14 @@ number of documents.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; without training texts every text is; ties go to the first language
-in order; equal rows get equal results.
+in order; equal rows get equal results; a language learned from a single text
+has no limits.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,8 +36,10 @@ from pyspark.sql.types import StructType
 from privtab.llm import common as C
 
 FEATURES, CLUSTERS, SAMPLE = 2048, 4, 1000
-#: A text is rejected below this share of the lowest cosine of the sample.
-REJECT = 0.15
+#: A text is rejected below this share of this quantile of the cosines of a language's texts of its length.
+MARGIN, QUANTILE = 0.5, 0.05
+#: Letters of a text in powers of two, the last for all longer ones.
+LENGTHS = 12
 UNKNOWN = "und"
 
 _TABLE: list[np.ndarray] = []
@@ -45,6 +53,12 @@ def _letters() -> np.ndarray:
     return _TABLE[0]
 
 
+def _is_letter(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(which code points are letters, code points)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return _letters()[np.minimum(codes, 0x10FFFF)], codes
+
+
 def _place(h: np.ndarray) -> np.ndarray:
     h = h ^ h >> np.uint32(15)
     h = h * _D
@@ -54,8 +68,7 @@ def _place(h: np.ndarray) -> np.ndarray:
 
 def counts_of(text: str) -> tuple[np.ndarray, bool]:
     """(n-gram counts by place, has a letter) of a whole text."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = _letters()[np.minimum(codes, 0x10FFFF)]
+    letter, codes = _is_letter(text.lower())
     if not letter.any():
         return np.zeros(FEATURES), False
     # gaps of any length count once
@@ -64,10 +77,38 @@ def counts_of(text: str) -> tuple[np.ndarray, bool]:
     c = np.r_[np.uint32(1), c, np.uint32(1)]
     two = c[:-1] * _A + c[1:] * _B
     three = two[:-1] * _D + c[2:] * _A + np.uint32(7)
-    grams = np.concatenate([_place(c[1:-1] * _B + np.uint32(3)), _place(two), _place(three)])
+    one = c[c != 1]  # a gap alone says nothing of a language
+    grams = np.concatenate([_place(one * _B + np.uint32(3)), _place(two), _place(three)])
     return np.bincount(grams, minlength=FEATURES).astype(np.float64), True
 
 
+def length_of(text: str) -> int:
+    """Number of letters as a power of two, rounded down; the last for all longer ones."""
+    return min(max(int(_is_letter(text)[0].sum()), 1).bit_length(), LENGTHS) - 1
+
+
+def passage(text: str) -> str:
+    """As many letters as the last length has, from the start of a word that the text itself chooses."""
+    letter, codes = _is_letter(text.lower())
+    starts = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
+    if not len(starts):
+        return ""
+    # not so late that the text ends before the passage does, if that can be
+    upto = np.cumsum(letter)
+    last = np.flatnonzero(upto[-1] - upto[starts] >= 1 << LENGTHS - 1)
+    start = starts[zlib.crc32(codes.tobytes()) % max(len(last), 1)]
+    return codes[start:][:np.searchsorted(np.cumsum(letter[start:]), 1 << LENGTHS - 1) + 1].tobytes().decode(
+        "utf-32-le", "surrogatepass")
+
+
+def cuts(text: str) -> list[tuple[int, np.ndarray]]:
+    """(length, n-gram counts) of a passage's first 1, 2, 4, ... letters."""
+    letter, codes = _is_letter(text)
+    upto = np.cumsum(letter)
+    return [(k, counts_of(codes[:np.searchsorted(upto, 1 << k) + 1].tobytes().decode("utf-32-le", "surrogatepass"))[0])
+            for k in range(LENGTHS) if len(upto) and upto[-1] >= 1 << k]
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(vectors, axis=-1, keepdims=True)
     return vectors / np.where(size > 0, size, 1)
@@ -91,22 +132,23 @@ def _frequencies(batches):
 
 
 def _vectors(idf: np.ndarray):
+    kinds = (pa.string(), pa.binary(), pa.int32(), pa.string())
+
     def run(batches):
         for batch in batches:
             for small in C.sliced([batch], 256):
-                rows = [(l, unit(weigh(v, idf)).astype(np.float32).tobytes())
+                rows = [(l, unit(weigh(v, idf)).astype(np.float32).tobytes(), length_of(t), passage(t))
                         for l, t in zip(small.column("lang").to_pylist(), small.column("text").to_pylist())
                         for v, some in [counts_of(t or "")] if some]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary()))],
-                                                     names=["lang", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                                     names=["lang", "vector", "length", "passage"])
 
     return run
 
 
-def _cluster(frame: pd.DataFrame) -> pd.DataFrame:
-    """Spherical k-means of one language's sample; starts at the farthest texts."""
-    vectors = np.stack([np.frombuffer(v, np.float32) for v in sorted(frame["vector"])]).astype(np.float64)
+def _centroids(vectors: np.ndarray) -> np.ndarray:
+    """Spherical k-means; starts at the farthest texts."""
     chosen = [unit(vectors.mean(0))]
     while len(chosen) < min(CLUSTERS, len(vectors)):
         chosen.append(vectors[int(np.argmin((vectors @ np.stack(chosen).T).max(1)))])
@@ -118,14 +160,48 @@ def _cluster(frame: pd.DataFrame) -> pd.DataFrame:
         if np.allclose(after, centroids):
             break
         centroids = after
-    near = (vectors @ centroids.T).max(1)
-    return pd.DataFrame({"lang": frame["lang"].iloc[0], "lowest": float(near.min()),
-                         "centroid": [c.astype(np.float32).tobytes() for c in centroids]})
+    return centroids
+
+
+def limits(lengths: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine that is not rejected, by length; it never falls as texts get longer."""
+    out = np.full(LENGTHS, np.nan)
+    for k in np.unique(lengths):
+        out[k] = MARGIN * max(0.0, float(np.quantile(cosines[lengths == k], QUANTILE)))
+    # a length that no text has takes the limit of the next shorter one that some have
+    for k in range(LENGTHS):
+        if np.isnan(out[k]):
+            out[k] = out[k - 1] if k else 0.0
+    return np.minimum.accumulate(out[::-1])[::-1]
+
+
+def _cluster(idf: np.ndarray):
+    """Centroids of one language's sample, and the limits of its texts."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["vector", "passage"], ignore_index=True)
+        vectors = np.stack([np.frombuffer(v, np.float32) for v in frame["vector"]]).astype(np.float64)
+        lengths, cosines = [], []
+        for half in (0, 1):
+            mine = np.arange(len(vectors)) % 2 == half
+            if mine.any() and not mine.all():
+                other = _centroids(vectors[~mine])
+                lengths += frame["length"][mine].tolist()
+                cosines += (vectors[mine] @ other.T).max(1).tolist()
+                for text in frame["passage"][mine]:
+                    for k, counts in cuts(text):
+                        lengths.append(k)
+                        cosines.append(float((other @ unit(weigh(counts, idf))).max()))
+        least = limits(np.asarray(lengths, int), np.asarray(cosines))
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes()
+                                                                         for c in _centroids(vectors)],
+                             "limits": [least.tolist()] * min(CLUSTERS, len(vectors))})
+
+    return run
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, langs: list[str], lowest: list[float], centroids: np.ndarray):
-        self.idf, self.langs, self.lowest, self.centroids = idf, langs, lowest, centroids
+    def __init__(self, idf: np.ndarray, langs: list[str], limits: list[list[float]], centroids: np.ndarray):
+        self.idf, self.langs, self.limits, self.centroids = idf, langs, limits, centroids
 
     def predict(self, texts: list[str | None]):
         """(language, cosine, rejected) of each text."""
@@ -138,7 +214,7 @@ class Model:
         best = cosine.argmax(1)
         for (i, _), k, row in zip(found, best, cosine):
             score = float(min(1.0, max(0.0, row[k])))
-            out[i] = (self.langs[k], score, score < REJECT * self.lowest[k])
+            out[i] = (self.langs[k], score, score < self.limits[k][length_of(texts[i])])
         return out
 
 
@@ -155,12 +231,12 @@ def fit(train: DataFrame) -> Model:
     limit = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, (SAMPLE << 20) // n)]) if sizes else None
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     sample = train.filter(spot < limit[F.col("lang")] if sizes else F.lit(False)).select("lang", "text")
-    rows = (sample.mapInArrow(_vectors(idf), "lang string, vector binary")
-            .groupBy("lang").applyInPandas(_cluster, "lang string, lowest double, centroid binary").collect())
+    rows = (sample.mapInArrow(_vectors(idf), "lang string, vector binary, length int, passage string")
+            .groupBy("lang").applyInPandas(_cluster(idf), "lang string, centroid binary, limits array<double>").collect())
     rows = sorted(rows, key=lambda r: (r["lang"], r["centroid"]))
     centroids = np.stack([np.frombuffer(r["centroid"], np.float32) for r in rows]).astype(np.float64) \
         if rows else np.zeros((0, FEATURES))
-    return Model(idf, [r["lang"] for r in rows], [r["lowest"] for r in rows], centroids)
+    return Model(idf, [r["lang"] for r in rows], [list(r["limits"]) for r in rows], centroids)
 
 
 def identify(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -335,3 +335,22 @@ def test_empty_tables(spark):
                 bpe.encode_texts(d, VOCABULARY), fingerprint.fingerprints(d),
                 langid.identify(d, F.lit(True)), lm.score_texts(d, F.lit(False)), html_text.extract_pages(p), urls.judge(p)):
         assert out.count() == 0
+
+
+STRANGE = ["Все люди рождаются свободными и равными в своём достоинстве и правах.", "Все", "人人生而自由,在尊严和权利上一律平等。",
+           "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+           "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+           "xkcd qwrtz bcdfg hjklm npqrst vwxzq zzkx ptkfgh mnbvc lkjhg fdsqz wrtpl kjhgf dsxcv bnmqw rtzpl"]
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    short = docs.select(F.col("doc_id") + 10**6, F.substring("text", 1, 40).alias("text"), "lang").filter("length(text) = 40")
+    strange = spark.createDataFrame([(-1 - i, t * n, None) for n in (1, 20) for i, t in enumerate(STRANGE)],
+                                    "doc_id long, text string, lang string")
+    both = docs.unionByName(short.toDF("doc_id", "text", "lang")).unionByName(strange)
+    trains = (F.col("doc_id").between(0, 10**6 - 1)) & (queries.remainder("doc_id", 4) != 2)
+    out = langid.identify(both, trains, carry=("lang",)).collect()
+    assert all(r.rejected for r in out if r.doc_id < 0)
+    clean = [r for r in out if r.doc_id >= 10**6]
+    assert sum(r.rejected for r in clean) < 0.01 * len(clean)
