@@ -17,9 +17,14 @@ edited copies).  Round 1 pairs each text with the most central text it shares
 a key with, so a group of thousands of copies is mostly one class at one pair
 per member.  Round 2 takes the keys that still hold several classes: their
 members, gathered by the key's most central text, are compared on their full
-sets in pairs of blocks of bounded size (a matrix product counts the shared
-shingles), and a task returns a spanning forest of the links it finds between
-classes.  So no link is lost and pairs are never rows.
+sets in pairs of blocks of bounded size, in shingles and in texts (a matrix
+product counts the shared shingles of a slice of rows at a time), and a task
+returns a spanning forest of the links it finds between classes.  Before that a
+group of more than one block is pruned exactly: sets as similar as asked for
+share a shingle among the first quarter of each in any one order, so with rare
+shingles first a member stays only if a member of another class has one of its
+first shingles; and only blocks of sizes that can be similar meet.  So no link
+is lost and pairs are never rows.
 
 Equal texts are one node (a hash of the text), so exact copies never form
 pairs.  Lineage between rounds is cut with tables in the checkpoint folder.
@@ -34,7 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from privtab.llm import common as C
@@ -45,8 +50,14 @@ SYMBOLS, CHUNK = 64, 4
 PERCENT = 75
 #: Parts into which a class is split where its members are joined with its head.
 SALT = 32
-#: Shingles that a block of a group's members holds.
-BLOCK = 200_000
+#: Shingles and texts that a block of a group's members holds.
+BLOCK, DOCS = 200_000, 2_000
+#: Cells of a matrix of overlaps.
+CELLS = 1 << 20
+#: Members of a group that its common shingles are taken from, and how many of those are kept.
+PICKS, COMMON = 64, 4096
+#: Members from which a shingle's cell is looked up by broadcast.
+HOT = 10_000
 
 _SEEDS = np.random.default_rng(20240501)
 _MULTIPLY = (_SEEDS.integers(1, 1 << 32, SYMBOLS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -112,6 +123,12 @@ def _features(batches):
             names=["doc_id", "node", "n", "keys"])
 
 
+def _set_of(packed: bytes) -> np.ndarray:
+    """The shingles of a packed text."""
+    words = C.unzip_text(packed).lower().split()
+    return shingle_sets(np.asarray([len(words)]), C.word_hashes(words))[1]
+
+
 def _compared(batches):
     """Pairs with both texts -> whether their full sets are similar enough."""
     last = {}
@@ -120,8 +137,7 @@ def _compared(batches):
         if node not in last:
             if len(last) >= 64:
                 last.clear()
-            words = C.unzip_text(packed).lower().split()
-            last[node] = shingle_sets(np.asarray([len(words)]), C.word_hashes(words))[1]
+            last[node] = _set_of(packed)
         return last[node]
 
     for batch in batches:
@@ -174,6 +190,23 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray], chunk: int = 4096) -> np
     return out
 
 
+def _similar(x: list[np.ndarray], y: list[np.ndarray]):
+    """(places in x, places in y) of the sets that are similar enough, by slices
+    of x; without equal places if x is y."""
+    nx, ny = (np.asarray([len(s) for s in sets]) for sets in (x, y))
+    if x is y:
+        # a shingle that only one set has is in no overlap
+        values, counts = np.unique(np.concatenate(x), return_counts=True)
+        several = values[counts > 1]
+        x = y = [s[np.isin(s, several)] for s in x]
+    step = max(1, CELLS // len(y))
+    for a in range(0, len(x), step):
+        both = _overlaps(x[a:a + step], y)
+        i, j = np.nonzero(100 * both >= PERCENT * (nx[a:a + step, None] + ny[None] - both))
+        i += a
+        yield (i[i != j], j[i != j]) if x is y else (i, j)
+
+
 def _block_links(table: pa.Table) -> pa.Table:
     """Links between classes among the members of one pair of blocks, of one
     group or of several small ones; at most a spanning forest of them."""
@@ -190,24 +223,114 @@ def _block_links(table: pa.Table) -> pa.Table:
     links = []
     for rows in groups.values():
         for r in rows:
-            words = C.unzip_text(r["text"]).lower().split()
-            r["set"] = shingle_sets(np.asarray([len(words)]), C.word_hashes(words))[1]
+            r["set"] = _set_of(r["text"])
         x = [r for r in rows if r["block"] == r["bi"]]
         y = [r for r in rows if r["block"] == r["bj"]]
         if not x or not y:
             continue
-        both = _overlaps([r["set"] for r in x], [r["set"] for r in y])
-        union = np.asarray([len(r["set"]) for r in x])[:, None] + np.asarray([len(r["set"]) for r in y])[None] - both
+        sx = [r["set"] for r in x]
+        sy = sx if rows[0]["bi"] == rows[0]["bj"] else [r["set"] for r in y]
         lx, ly = np.asarray([r["label"] for r in x]), np.asarray([r["label"] for r in y])
-        i, j = np.nonzero((100 * both >= PERCENT * union) & (lx[:, None] != ly[None]))
-        for a, b in np.unique(np.stack([lx[i], ly[j]], 1), axis=0).tolist():
-            a, b = root(a), root(b)
-            if a != b:
-                found[max(a, b)] = min(a, b)
-                links.append((a, b))
+        for i, j in _similar(sx, sy):
+            apart = lx[i] != ly[j]
+            for a, b in np.unique(np.stack([lx[i[apart]], ly[j[apart]]], 1), axis=0).tolist():
+                a, b = root(a), root(b)
+                if a != b:
+                    found[max(a, b)] = min(a, b)
+                    links.append((a, b))
     return pa.Table.from_arrays([pa.array([k[n] for k in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
 
 
+def _common(table: pa.Table) -> pa.Table:
+    """Shingles that several of a group's picked members have, the most frequent ones,
+    and in how many."""
+    values, counts = np.unique(np.concatenate([_set_of(t) for t in table.column("text").to_pylist()]), return_counts=True)
+    most = np.lexsort((values, -counts))[:COMMON]
+    most = np.sort(most[counts[most] > 1])
+    return pa.Table.from_arrays([table.column("head")[:1], pa.array([values[most].tobytes()], pa.binary()),
+                                 pa.array([counts[most].astype(np.uint8).tobytes()], pa.binary())],
+                                names=["head", "common", "often"])
+
+
+def _prefixes(batches):
+    """The shingles of each member by which it must meet any member it is linked
+    with: the first of its set, those that the picked members have least first."""
+    for whole in batches:
+        for batch in C.sliced([whole], 256):
+            rows = []
+            for r in batch.to_pylist():
+                own = _set_of(r["text"])
+                often = np.zeros(len(own), np.uint8)
+                if r["common"]:
+                    known = np.frombuffer(r["common"], np.uint64)
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    often = np.where(known[at] == own, np.frombuffer(r["often"], np.uint8)[at], 0)
+                first = len(own) - (PERCENT * len(own) + 99) // 100 + 1
+                rows.append(own[np.lexsort((own, often))[:first]].view(np.int64))
+            at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            yield pa.RecordBatch.from_arrays([batch.column(n).take(pa.array(at)) for n in ("head", "node", "label", "n")]
+                                             + [pa.array(np.concatenate(rows), pa.int64())],
+                                             names=["head", "node", "label", "n", "shingle"])
+
+
+def alive(group: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members (head, node, label, n) of groups that share one of their first
+    shingles with a member of another class; no other can have a link to one."""
+    counts = group.groupBy("head").agg(F.ceil(F.count("*") / PICKS).alias("every"))
+    picks = group.join(counts, "head").filter(F.pmod(F.xxhash64("node"), "every") == 0).select("head", "node")
+    common = (picks.join(texts, "node").select("head", "text").groupBy("head")
+              .applyInArrow(_common, "head long, common binary, often binary")
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
+    met = (group.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT))).join(common, ["head", "salt"], "left")
+           .join(texts, "node").select("head", "node", "label", "n", "text", "common", "often"))
+    firsts = C.stored(met.mapInArrow(_prefixes, "head long, node long, label long, n long, shingle long"), "firsts")
+    cells = (firsts.groupBy("head", "shingle").agg(F.count("*").alias("size"), F.min("label").alias("lo"),
+                                                   F.max("label").alias("hi")))
+    cells = C.stored(cells.filter("lo != hi").select("head", "shingle", "size"), "cells")
+    hot = F.broadcast(cells.filter(F.col("size") > HOT))
+    by = ["head", "shingle"]
+    stay = firsts.join(hot, by, "left_semi").unionByName(
+        firsts.join(hot, by, "left_anti").join(cells.filter(F.col("size") <= HOT), by, "left_semi"))
+    return stay.select("head", "node", "label", "n").distinct()
+
+
+def _blocks() -> Column:
+    """Number of blocks of a group's members."""
+    return F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / DOCS))
+
+
+def _spots(group: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members by the pairs of blocks in which they are compared: task, head,
+    node, label, block, bi, bj.  Groups of one block share tasks; members of
+    larger ones are pruned and then dealt by size, so that only neighbouring
+    sizes (a factor of just over 100 / PERCENT) meet."""
+    sizes = C.stored(group.groupBy("head").agg(_blocks().alias("blocks"), F.sum("n").alias("n"), F.count("*").alias("rows")),
+                     "sizes")
+    one = sizes.filter("blocks = 1")
+    total, rows = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    packs = max(1, total // BLOCK, rows // DOCS)
+    zero = F.lit(0).cast("long")
+    small = group.join(one.select("head"), "head", "left_semi").select(
+        F.pmod("head", F.lit(packs)).alias("task"), "head", "node", "label", zero.alias("block"), zero.alias("bi"),
+        zero.alias("bj"))
+    large = sizes.filter("blocks > 1").select("head")
+    if large.isEmpty():
+        return small
+    kept = C.stored(alive(group.join(large, "head", "left_semi"), texts), "alive")
+    kept = kept.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT * 1.000001))).cast("long"))
+    each = kept.groupBy("head", "size").agg(_blocks().alias("blocks"))
+    each = each.groupBy("head").agg(F.collect_list(F.struct("size", "blocks")).alias("sizes"))  # a few dozen at most
+    near = F.filter("sizes", lambda s: F.abs(s["size"] - F.col("size")) <= 1)
+    number = lambda s, b: s["size"] * (1 << 32) + b
+    others = F.flatten(F.transform(near, lambda s: F.transform(F.sequence(zero, s["blocks"] - 1), lambda b: number(s, b))))
+    own = F.filter("sizes", lambda s: s["size"] == F.col("size"))[0]
+    met = (kept.join(each, "head").withColumn("block", number(own, F.pmod(F.xxhash64("node"), own["blocks"])))
+           .withColumn("with", F.explode(others)))
+    return small.unionByName(met.select(
+        F.col("head").alias("task"), "head", "node", "label", "block", F.least("block", "with").alias("bi"),
+        F.greatest("block", "with").alias("bj")))
+
+
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label): the least node reachable, for every node with a link.
 
@@ -265,17 +388,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(tests.filter("linked").select("a", "b"))
 
     # round 2: the members of torn keys, gathered by the key's head and compared
-    # on their full sets block by block; a block has BLOCK shingles, so a large
-    # group becomes many tasks of bounded size, and small groups share one
+    # on their full sets block by block; a block is bounded in shingles and texts,
+    # so a large group becomes many tasks of bounded size, and small groups share one
     group = C.stored(torn(labels).select("head", "node", "label", "n").distinct(), "torn")
-    sizes = group.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    packs = max(1, (group.agg(F.sum("n")).first()[0] or 0) // BLOCK)
-    each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spots = (group.join(sizes, "head").withColumn("block", F.pmod(F.hash("node"), "blocks"))
-             .withColumn("task", F.when(F.col("blocks") > 1, F.col("head")).otherwise(F.pmod("head", F.lit(packs))))
-             .withColumn("with", F.explode(each))
-             .select("task", "head", "node", "label", "block", F.least("block", "with").alias("bi"),
-                     F.greatest("block", "with").alias("bj")))
+    spots = _spots(group, texts)
     met2 = spots.join(texts, "node").select("task", "head", "bi", "bj", "block", "node", "label", "text")
     more = C.stored(met2.groupBy("task", "bi", "bj").applyInArrow(_block_links, "a long, b long"), "links")
     labels = components(tests.filter("linked").select("a", "b").unionByName(more))

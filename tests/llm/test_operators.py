@@ -7,9 +7,11 @@ import html as html_module
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,3 +356,47 @@ def test_language_rejects_what_it_has_not_learned(spark):
     assert all(r.rejected for r in out if r.doc_id < 0)
     clean = [r for r in out if r.doc_id >= 10**6]
     assert sum(r.rejected for r in clean) < 0.01 * len(clean)
+
+
+def _notices(n):
+    """Distinct short texts, one word of each of its own: not similar, but of one key each."""
+    return [f"this notice was sent to m{i} on behalf of the office and needs no reply" for i in range(n)]
+
+
+def test_blocks_of_short_texts_are_bounded_in_memory():
+    n = 4000
+    table = pa.Table.from_pydict({"head": [0] * n, "node": list(range(n)), "label": list(range(n)), "block": [0] * n,
+                                  "bi": [0] * n, "bj": [0] * n,
+                                  "text": [neardup.C.zip_text(t.encode()) for t in _notices(n - 1)] +
+                                  [neardup.C.zip_text(_notices(1)[0].encode())]})
+    tracemalloc.start()
+    links = neardup._block_links(table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == [{"a": 0, "b": n - 1}] and peak < 200 << 20
+
+
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    """Large groups are pruned and dealt by size, and give the same classes."""
+    monkeypatch.setattr(neardup, "DOCS", 16)
+    monkeypatch.setattr(neardup, "HOT", 20)
+    rng = random.Random(3)
+    texts = _notices(150)
+    for size in (60, 200, 70, 55):
+        base = [f"w{i}" for i in range(size)]
+        for _ in range(60):
+            words = base[:rng.randrange(size // 2, size + 1)] if rng.random() < 0.3 else list(base)
+            for _ in range(rng.choice((1, 2, 3, 5))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(4000)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows)
+
+
+def test_template_texts_do_not_meet(spark):
+    rows = [(i, neardup.C.zip_text(t.encode())) for i, t in enumerate(_notices(500))]
+    texts = spark.createDataFrame(rows, "node long, text binary")
+    group = texts.select(F.lit(0).cast("long").alias("head"), "node", F.col("node").alias("label"),
+                         F.lit(10).cast("long").alias("n"))
+    assert neardup.alive(group, texts).count() == 0
