@@ -5,9 +5,12 @@ element's text is a line with its number of tags; lines inside parts that say
 what they are (navigation, footers, forms, scripts, adverts, comments ...) are
 set aside.  The text-to-tag ratios of the others are smoothed with a Gaussian
 and split at a threshold found by clustering (two means); lines above it are
-content lines.  The region is the deepest element that holds nearly all of the
-content lines' text, widened to the article or main element around it, and to
-the page's only headline.  All lines of the region are the main text, so short
+content lines.  A class, id or role names a part by a whole token or its last
+word (``site-footer``, but not ``has-sidebar`` or ``search-result``), and not if
+the part holds most of the page's content lines and no article or main element
+stands outside it.  The region is the deepest
+element that holds every content line, widened to the article or main element
+around it, and to the page's only headline.  All lines of the region are the main text, so short
 paragraphs and headings between long ones stay.
 
 Cases: a null or empty page gives an empty text; a page cut off anywhere is
@@ -48,13 +51,17 @@ NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising b
     recommended comment comments commentlist reply replies disqus respond widget toolbar pagination pager search
     skip contentinfo complementary dialog menubar""".split())
 HOLDERS = frozenset("html body main article".split())
+#: First words of a class that say what a part has or lacks.
+STATES = frozenset("has no with without is show hide enable disable".split())
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: A tag or reference that the end of the page cuts off.
 _CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 SIGMA = 1.0
-COVER = 0.9
+#: A named part with this share of the content text is main text, and at the lower
+#: share if it has a headline, article or main element.
+MOST, HALF = 0.9, 0.5
 
 
 class _Events(HTMLParser):
@@ -63,6 +70,7 @@ class _Events(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack = []      # (name, element number, noise?)
+        self.named = set()   # elements that a class, id or role calls noise
         self.noise = 0
         self.names = [""]    # by element number
         self.lines = []
@@ -82,7 +90,7 @@ class _Events(HTMLParser):
 
     def close_to(self, depth):
         while len(self.stack) > depth:
-            if self.stack[-1][0] in BLOCKS or self.stack[-1][2]:
+            if self.stack[-1][0] in BLOCKS or self.stack[-1][2] or self.stack[-1][1] in self.named:
                 self.end_line()
             self.pop()
 
@@ -100,9 +108,10 @@ class _Events(HTMLParser):
             if not value:
                 continue
             if key in ("class", "id", "role"):
-                words = NOISE_WORDS.intersection(_WORD.findall(value.lower()))
+                words = {w[-1] for w in map(_WORD.findall, value.lower().split()) if w and w[0] not in STATES}
+                words &= NOISE_WORDS
                 if words and not (inside and words == {"header"}):
-                    return True
+                    self.called = True
             elif key == "style" and _HIDDEN.search(value.lower()):
                 return True
         return False
@@ -122,11 +131,14 @@ class _Events(HTMLParser):
             if tag in BLOCKS:
                 self.end_line()
             return
+        self.called = False
         noise = self.is_noise(tag, attrs)
-        if tag in BLOCKS or noise:
+        if tag in BLOCKS or noise or self.called:
             self.end_line()
             self.tags = 1
         self.names.append(tag)
+        if self.called:
+            self.named.add(len(self.names) - 1)
         self.stack.append((tag, len(self.names) - 1, noise))
         self.noise += noise
 
@@ -167,6 +179,31 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def content_lines(lines: list) -> np.ndarray:
+    """Which lines have a high smoothed text-to-tag ratio."""
+    smooth = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
+    return smooth >= threshold(smooth)
+
+
+def without_named(events: _Events) -> list:
+    """The lines that are in no part that a class, id or role calls noise; a part
+    with most of the content text is none, if no article or main element stands outside it."""
+    lines, named = events.lines, events.named
+    if not named or not lines:
+        return lines
+    mass, total, heads, held = {}, 0, set(), set()
+    for (text, _, path), chosen in zip(lines, content_lines(lines)):
+        total += len(text) * bool(chosen)
+        if any(events.names[e] in ("h1", "article", "main") for e in path):
+            heads.update(path)
+        if any(events.names[e] in ("article", "main") for e in path):
+            held.update(path)
+        for e in named.intersection(path):
+            mass[e] = mass.get(e, 0) + len(text) * bool(chosen)
+    noise = {e for e in named if held and e not in held or mass.get(e, 0) <= (HALF if e in heads else MOST) * total}
+    return [line for line in lines if not noise.intersection(line[2])]
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page; blocks joined by a newline."""
     if not html:
@@ -176,20 +213,12 @@ def main_text(html: str | None) -> str:
     events.close()
     events.close_to(0)
     events.end_line()
-    lines = events.lines
+    lines = without_named(events)
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
-    smooth = smoothed(ratios)
-    content = smooth >= threshold(smooth)
-    mass, total = {}, 0
-    for (text, _, path), chosen in zip(lines, content):
-        if chosen:
-            total += len(text)
-            for element in path:
-                mass[element] = mass.get(element, 0) + len(text)
-    # the deepest element with nearly all of the content; elements are numbered in page order
-    region = max((e for e, m in mass.items() if m >= COVER * total), default=0)
+    # the deepest element with all of the content; elements are numbered in page order
+    region = max(set.intersection(*(set(path) for (_, _, path), chosen in zip(lines, content_lines(lines)) if chosen)),
+                 default=0)
     path = next((p for _, _, p in lines if region in p), ())
     path = path[:path.index(region) + 1] if region else ()
     holder = next((e for e in path if events.names[e] == "article"),

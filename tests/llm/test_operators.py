@@ -400,3 +400,24 @@ def test_template_texts_do_not_meet(spark):
     group = texts.select(F.lit(0).cast("long").alias("head"), "node", F.col("node").alias("label"),
                          F.lit(10).cast("long").alias("n"))
     assert neardup.alive(group, texts).count() == 0
+
+
+LONG = ["A long paragraph with many words, and so on and on, until there are enough of them.",
+        "Another long paragraph, with as many words as the first one had, or nearly so.",
+        "A third one that ends the page, and that is a little longer than the others are here."]
+
+
+@pytest.mark.parametrize("wrapper", ["site has-sidebar", "no-sidebar", "with-banner", "search-result", "post social"])
+def test_main_text_in_a_wrapper_with_a_noise_word(wrapper):
+    body = "".join(f"<p>{x}</p>" for x in LONG)
+    page = f"""<html><body><div class="site-footer nav"><a href=x>Menu</a> <a href=y>More</a></div><div class="{wrapper}">
+        <div class="text">{body}</div><div class="sidebar"><a href=x>Side</a></div></div></body></html>"""
+    assert html_text.main_text(page) == "\n".join(LONG)
+
+
+def test_main_text_keeps_a_small_second_part():
+    first = "".join(f"<p>{x}</p>" for x in LONG * 6)
+    links = "<p><a href=x>Go</a> <a href=y>on</a></p>" * 6
+    page = (f"<html><body><div>{links}</div><div id=wrap><div>{first}</div><div><p>{LONG[0]}</p></div></div>"
+            f"<div>{links}</div></body></html>")
+    assert html_text.main_text(page) == "\n".join(LONG * 6 + LONG[:1])
