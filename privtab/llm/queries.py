@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privtab.llm import bpe, decontaminate, fingerprint, html_text, langid, licenses, lm, neardup, substrings, urls
+from privtab.llm import (bpe, decontaminate, fingerprint, html_text, langid, licenses, linedup, lm, neardup, substrings,
+                         urls)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +70,15 @@ def op10_language_model(spark, sf_dir):
     return lm.score_texts(_table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
 
 
+def op13_line_dedup(spark, sf_dir):
+    out = linedup.drop_common_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_main_text, op2_near_duplicates, op3_repeated_substrings, op4_license_texts, op5_decontamination, op6_bpe,
-        op7_fingerprints, op8_url_filter, op9_language, op10_language_model)}
+        op7_fingerprints, op8_url_filter, op9_language, op10_language_model, op13_line_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,7 +133,19 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(words.k, 0) AS n_hit, coalesce(ite
 FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP13 = """
+WITH l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT doc_id, i, x, translate(trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT doc_id, i, x, last IS NOT NULL AND last <> doc_id AS gone FROM k LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_near_duplicates": _OP2, "op3_repeated_substrings": _OP3, "op4_license_texts": licenses.oracle(),
-            "op5_decontamination": _OP5}
+            "op5_decontamination": _OP5, "op13_line_dedup": _OP13}
