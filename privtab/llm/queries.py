@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privtab.llm import (bpe, decontaminate, fingerprint, html_text, langid, licenses, linedup, lm, neardup, substrings,
-                         urls)
+                         turns, urls)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op10_language_model(spark, sf_dir):
     return lm.score_texts(_table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
 
 
+def op12_conversation_repair(spark, sf_dir):
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    return turns.repair(turns.damaged(_table(spark, sf_dir, "conversations"), F.crc32(key) % 20))
+
+
 def op13_line_dedup(spark, sf_dir):
     out = linedup.drop_common_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -78,7 +83,8 @@ def op13_line_dedup(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_main_text, op2_near_duplicates, op3_repeated_substrings, op4_license_texts, op5_decontamination, op6_bpe,
-        op7_fingerprints, op8_url_filter, op9_language, op10_language_model, op13_line_dedup)}
+        op7_fingerprints, op8_url_filter, op9_language, op10_language_model,
+        op12_conversation_repair, op13_line_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
