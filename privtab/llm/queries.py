@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privtab.llm import (bpe, decontaminate, fingerprint, html_text, langid, licenses, linedup, lm, neardup, substrings,
+from privtab.llm import (bpe, decontaminate, divergence, fingerprint, html_text, langid, licenses, linedup, lm, neardup, substrings,
                          turns, urls)
 
 
@@ -70,6 +70,10 @@ def op10_language_model(spark, sf_dir):
     return lm.score_texts(_table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark, sf_dir):
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
     return turns.repair(turns.damaged(_table(spark, sf_dir, "conversations"), F.crc32(key) % 20))
@@ -84,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_main_text, op2_near_duplicates, op3_repeated_substrings, op4_license_texts, op5_decontamination, op6_bpe,
         op7_fingerprints, op8_url_filter, op9_language, op10_language_model,
-        op12_conversation_repair, op13_line_dedup)}
+        op11_source_divergence, op12_conversation_repair, op13_line_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,6 +143,33 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(words.k, 0) AS n_hit, coalesce(ite
 FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_TERMS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOWER}, {_TERMS}) AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT w.lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY w.lang, source, term),
+size AS (SELECT lang, source, sum(c) AS n FROM n GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n.c, 0) AS c,
+             1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n.c, 0) + 1)) // (coalesce(size.n, 0) + v.v) AS p,
+             1 + (CAST(1000000000 AS HUGEINT) * (kept.c + 1)) // (v.n + v.v) AS q
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN size USING (lang, source)
+      LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+part AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+         FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+         LEFT JOIN sums ON sums.lang = x.lang AND sums.source = x.source AND sums.item = y.source
+         UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM part)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR k <= 200
+"""
+
 _OP13 = """
 WITH l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
@@ -154,4 +185,5 @@ FROM marked GROUP BY doc_id
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_near_duplicates": _OP2, "op3_repeated_substrings": _OP3, "op4_license_texts": licenses.oracle(),
-            "op5_decontamination": _OP5, "op13_line_dedup": _OP13}
+            "op5_decontamination": _OP5, "op11_source_divergence": _OP11,
+            "op13_line_dedup": _OP13}
