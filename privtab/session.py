@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -67,11 +69,41 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return local
 
 
-def materialize(df):
-    """Cut lineage: write ``df`` to the shared checkpoint folder and return
-    the re-read frame.  Used where one derived table (e.g. a seeded split
-    cohort) feeds many jobs — iterative fits, scalar subqueries, several
-    evaluations — so its plan is not re-executed by each of them.  A
-    reliable checkpoint survives executor loss (a local one would not)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder; Spark's file system
+    removes the folder when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet to the shared folder and return the
+    re-read frame.  Survives lost executors, keeps column pruning and pushed
+    filters, and gives later plans the table's real size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``stored``, where one derived table (e.g. a seeded split cohort) feeds
+    many jobs: iterative fits, several evaluations."""
+    return stored(df, "rows")
+
+
+#: Largest stored table (bytes on disk) that is sent to every executor.
+BROADCAST_BYTES = 8 << 20
+
+
+def small_table(df: DataFrame, name: str = "small") -> DataFrame:
+    """``stored``, with a broadcast hint only if what was written is at most
+    BROADCAST_BYTES; beyond it joins are left to the engine."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(out) if fs.getContentSummary(where).getLength() <= BROADCAST_BYTES else out
