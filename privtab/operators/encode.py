@@ -1,7 +1,8 @@
 """Feature encoding (E1-E3, E6): label codes, min-max scaling, class weights.
 
 Fitted constants enter the plan as literals (min/max: one aggregate job) or
-as small broadcast tables (per-group min/max, class sizes, dictionaries).
+as stored tables, broadcast if their size allows (per-group min/max, class
+sizes); dictionaries are joined as the engine chooses.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from privtab.session import materialize
+from privtab.session import materialize, small_table
 
 def label_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     """Dictionary of ``col``: each distinct non-null value (as text) and its
@@ -77,13 +78,14 @@ def minmax_by(df: DataFrame, cols: Sequence[str], by: Sequence[str],
               fit_on: DataFrame | None = None) -> DataFrame:
     """E3 per group: min-max fitted on ``fit_on`` (default ``df``) separately
     for each ``by`` group (e.g. every k of a sweep) and applied to ``df``.
-    The fitted table has one row per group (AQE broadcasts it when small)."""
+    The fitted table has one row per group; it is stored, and broadcast only
+    if small, so rows are not shuffled by group."""
     src = fit_on if fit_on is not None else df
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.min(x).alias(f"_mn{i}"), F.max(x).alias(f"_mx{i}")]
-    params = src.groupBy(*by).agg(*aggs)
+    params = small_table(src.groupBy(*by).agg(*aggs), "minmax")
     out = df.join(params, list(by), "inner")
     for i, c in enumerate(cols):
         x, mn, mx = F.col(c).cast("double"), F.col(f"_mn{i}"), F.col(f"_mx{i}")
@@ -96,7 +98,8 @@ def balanced_weights(df: DataFrame, target: str, by: Sequence[str] = (),
                      out: str = "weight") -> DataFrame:
     """Class weight ``n / (n_classes * n_c)`` on every row.
 
-    Class counts are an aggregate of (groups x classes) rows joined back."""
+    Class counts are a stored table of (groups x classes) rows, broadcast only
+    if small, so rows are not shuffled by class."""
     by = list(by)
     counts = df.groupBy(*by, target).agg(F.count(F.lit(1)).alias("_nc"))
     g = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -105,4 +108,4 @@ def balanced_weights(df: DataFrame, target: str, by: Sequence[str] = (),
                     .select(*by, target,
                             (F.col("_n").cast("double") / (F.col("_k") * F.col("_nc")).cast("double"))
                             .alias(out)))
-    return df.join(counts, [*by, target], "left")
+    return df.join(small_table(counts, "class-weights"), [*by, target], "left")

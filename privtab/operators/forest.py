@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from privtab.functions.hashing import hash_bucket, hash_hex
-from privtab.session import stored
+from privtab.session import small_table, stored
 
 BINS, BUCKETS, TREES, DEPTH = 16, 64, 100, 12
 #: Weight of a bucket in a tree, for sixteen equally likely draws (Poisson of mean 1, nearly).
@@ -63,25 +63,24 @@ def _picks(n_features: int) -> int:
 
 
 def bagged_cells(train: DataFrame, asked: DataFrame, features: Sequence[str], label: str, key: str, group: str,
-                 balanced: bool, bins: int) -> DataFrame:
+                 balanced: Column, bins: int) -> DataFrame:
     """(group, seed, tree, bins, c0, c1, w0, w1, asked): bagged counts and class
     weights of training cells and, with counts 0, the cells to be scored.
     ``train`` and ``asked`` have columns ``group``, seed, trees."""
     rows = train.select(
         F.col(group).alias("grp"), F.col("seed").cast("long").alias("seed"), F.col("trees").cast("int").alias("trees"),
-        bins_of(features, bins).alias("bins"), F.col(label).cast("int").alias("y"),
+        balanced.alias("balanced"), bins_of(features, bins).alias("bins"), F.col(label).cast("int").alias("y"),
         (hash_bucket(F.substring(hash_hex(F.col("seed"), key), 15, 2), 2) % BUCKETS).alias("bucket"))
-    counts = stored(rows.groupBy("grp", "seed", "trees", "bins", "bucket").agg(
+    counts = stored(rows.groupBy("grp", "seed", "trees", "balanced", "bins", "bucket").agg(
         F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")), "forest-counts")
-    sums = counts.groupBy("grp").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+    sums = counts.groupBy("grp", "balanced").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
     kinds = (F.col("t0") > 0).cast("int") + (F.col("t1") > 0).cast("int")
 
     def weight(n):
-        if not balanced:
-            return F.lit(1.0)
-        return F.coalesce(F.try_divide((F.col("t0") + F.col("t1")).cast("double"), (kinds * F.col(n)).cast("double")), F.lit(0.0))
+        even = F.try_divide((F.col("t0") + F.col("t1")).cast("double"), (kinds * F.col(n)).cast("double"))
+        return F.when(F.col("balanced"), F.coalesce(even, F.lit(0.0))).otherwise(F.lit(1.0))
 
-    weights = sums.select(F.col("grp").alias("g"), weight("t0").alias("w0"), weight("t1").alias("w1"))
+    weights = small_table(sums.select(F.col("grp").alias("g"), weight("t0").alias("w0"), weight("t1").alias("w1")), "weights")
     tree = F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree")
     table = F.array(*[F.lit(d) for d in DRAWS])
     drawn = F.element_at(table, (F.floor(draw(F.col("seed"), F.col("tree"), F.col("bucket")) / 1024) % 16 + 1).cast("int"))
@@ -140,7 +139,7 @@ def _large_levels(cells: DataFrame, n_features: int, depth: int, small: int) ->
     """Split the nodes of more than ``small`` cells until there are none; the
     cells that remain, and (grp, bins, share) of scored cells at closed leaves."""
     closed = []
-    for level in range(depth):
+    for _ in range(depth + 1):
         large = cells.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("n"), F.sum("c0").alias("s0"), F.sum("c1").alias("s1"))
         large = stored(large.filter(F.col("n") > small), "forest-large")
         if large.isEmpty():
@@ -153,8 +152,8 @@ def _large_levels(cells: DataFrame, n_features: int, depth: int, small: int) ->
         splits = splits.select(F.col("grp").alias("_grp"), F.col("tree").alias("_tree"), F.col("node").alias("_at"), "feature", "cut")
         same = F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_at"))
         routed = stored(cells.join(splits, same, "left"), "forest-cells")
-        split = F.col("feature").isNotNull()
-        ended = here & (~split | F.lit(level + 1 > depth))
+        split = F.col("feature").isNotNull() & (F.col("depth") < depth)
+        ended = here & ~split
         closed.append(routed.filter(ended & (F.col("asked") == 1)).select("grp", "bins", share_of(
             F.col("s0"), F.col("s1"), F.col("w0"), F.col("w1")).alias("share")))
         right = (F.element_at("bins", F.col("feature") + 1) > F.col("cut")).cast("long")
@@ -286,17 +285,21 @@ def _finish(cells: DataFrame, ddl: str, n_bins: int, most: int, held: int, nodes
     return dealt.mapInArrow(_grown(n_bins, most, held, nodes), f"grp {kind}, {ddl}")
 
 
+def _flag(balanced: bool | Column) -> Column:
+    return balanced if isinstance(balanced, Column) else F.lit(balanced)
+
+
 def forest_votes(train: DataFrame, asked: DataFrame, features: Sequence[str], label: str, key: str, group: str,
-                 balanced: bool = True, bins: int = BINS, depth: int = DEPTH, small: int = SMALL,
+                 balanced: bool | Column = True, bins: int = BINS, depth: int = DEPTH, small: int = SMALL,
                  held: int = HELD) -> DataFrame:
     """Fit one forest per value of ``group`` on ``train`` and score the cells of
     ``asked``: (group, bins, votes), ``votes`` the sum over its trees of the
     share of class 1, in parts of UNIT.
 
     Both tables have the group, ``seed`` and ``trees`` (trees of the group's
-    forest); a group without training rows gives no votes.  Features are taken
+    forest); ``balanced`` (one value in a group) weighs classes evenly; a group without training rows gives no votes.  Features are taken
     in [0, 1], labels 0 and 1 (rows of other labels count as neither)."""
-    cells = bagged_cells(train, asked, features, label, key, group, balanced, bins)
+    cells = bagged_cells(train, asked, features, label, key, group, _flag(balanced), bins)
     if small < bins ** min(len(features), 32):  # else no node can hold more cells than ``small``
         cells, closed = _large_levels(stored(cells, "forest-cells"), len(features), depth, small)
     else:
@@ -307,11 +310,11 @@ def forest_votes(train: DataFrame, asked: DataFrame, features: Sequence[str], la
     return found.groupBy("grp", "bins").agg(F.sum("share").alias("votes")).withColumnRenamed("grp", group)
 
 
-def forest_nodes(train: DataFrame, features: Sequence[str], label: str, key: str, group: str, balanced: bool = True,
-                 bins: int = BINS, depth: int = DEPTH, held: int = HELD) -> DataFrame:
+def forest_nodes(train: DataFrame, features: Sequence[str], label: str, key: str, group: str,
+                 balanced: bool | Column = True, bins: int = BINS, depth: int = DEPTH, held: int = HELD) -> DataFrame:
     """The trees themselves: (group, tree, node, feature, cut, c0, c1, share), a
     row a node; children of n are 2n and 2n + 1, feature -1 marks a leaf."""
-    cells = bagged_cells(train, train.limit(0), features, label, key, group, balanced, bins)
+    cells = bagged_cells(train, train.limit(0), features, label, key, group, _flag(balanced), bins)
     ddl = "tree int, node long, feature int, cut int, c0 long, c1 long, share long"
     return _finish(cells, ddl, bins, depth, held, True).withColumnRenamed("grp", group)
 

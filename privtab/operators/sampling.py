@@ -7,16 +7,19 @@ positions are found first, in tables whose size does not depend on the rows:
 
 1. rows are counted per (group, first three hash digits); bucket offsets (a
    window over that small table) say which bucket holds each cut;
-2. rows of those buckets are counted by the next three digits, which leaves
-   about n / 16^6 rows per cut, each cut's in a window partition of its own;
-   the row at the cut is its exact (hash, key);
-3. every row is labelled by comparing its (hash, key) with its group's cuts:
-   one scan and one join, no window and no union.
-
-The same path is taken at every size and for any number of groups, and nothing
-comes to the driver.  Groups match null-safely, so a NULL class or group is a
-group like any other.  A cut that falls between two rows of one key cannot be
-made and is refused: the key must tell rows of a group apart.
+2. if such a bucket holds more than RANKED rows, its rows are counted by the
+   next three digits too, which leaves about n / 16^6 rows per cut;
+3. the rows of those buckets are ranked, each bucket in a window partition of
+   its own; the row at the cut is its exact (hash, key);
+4. every row is labelled by comparing its (hash, key) with its group's cuts:
+   no window, and no shuffle of rows while the stored table of cuts is at most
+   the broadcast limit (``small_table``).
+
+So the input is read three times, or four times with large buckets.  Nothing
+comes to the driver but one number, the size of the largest bucket.  Groups
+match null-safely, so a NULL class or group is a group like any other.  A cut
+that falls between two rows of one key cannot be made and is refused: the key
+must tell rows of a group apart.
 
 The result equals ``row_number() OVER (PARTITION BY group ORDER BY hash, key)``
 compared with the cuts, which is what the SQL oracles use.
@@ -30,12 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from privtab.functions.hashing import hash_hex
-from privtab.session import materialize
+from privtab.session import small_table, stored
 
 CutFn = Callable[[DataFrame], DataFrame]
 
 #: Hash digits of each of the two counting levels (16^3 buckets).
 LEVEL_DIGITS = 3
+#: Rows of a bucket that one window partition ranks.
+RANKED = 1 << 18
 
 
 def _join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
@@ -52,7 +57,15 @@ def _locate(counts: DataFrame, cuts: DataFrame, by: Sequence[str], bucket: str)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(w), F.lit(0)))
     return (_join(offsets, cuts, by)
             .where((F.col("_c") > F.col("_off")) & (F.col("_c") <= F.col("_off") + F.col("_bn")))
-            .select(*by, bucket, (F.col("_c") - F.col("_off")).alias("_c")))
+            .select(*by, bucket, (F.col("_c") - F.col("_off")).alias("_c"), "_bn"))
+
+
+def _buckets(at: DataFrame, level: Sequence[str]) -> DataFrame:
+    """The buckets that hold cuts, each once: no more rows than cuts, so the
+    hint that the table of cuts has or has not holds for them as well."""
+    one = Window.partitionBy(*level).orderBy("_c")
+    out = at.withColumn("_first", F.row_number().over(one) == 1).where("_first").select(*level)
+    return small_table(out, "buckets")
 
 
 def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
@@ -74,27 +87,26 @@ def rank_cut(df: DataFrame, key: str, seed, by: Sequence[str], cuts: CutFn,
                        F.substring("_h", 1, LEVEL_DIGITS).alias("_b1"),
                        F.substring("_h", 1 + LEVEL_DIGITS, LEVEL_DIGITS).alias("_b2"))
     # groups x 4096 rows at most, read by the totals and by the search
-    coarse = materialize(slim.groupBy(*by, "_b1").agg(F.count(F.lit(1)).alias("_bn")))
+    coarse = stored(slim.groupBy(*by, "_b1").agg(F.count(F.lit(1)).alias("_bn")), "cut-counts")
     totals = coarse.groupBy(*by).agg(F.sum("_bn").alias("_n"))
-    wanted = materialize(cuts(totals).select(*by, F.explode("_cuts").alias("_c")))
-    at1 = materialize(_locate(coarse, wanted, by, "_b1"))
-    level1 = [*by, "_b1"]
-    fine = (_join(slim, at1.select(*level1).distinct(), level1)
-            .groupBy(*level1, "_b2").agg(F.count(F.lit(1)).alias("_bn")))
-    at2 = materialize(_locate(fine, at1, level1, "_b2"))
-    level2 = [*level1, "_b2"]
-    order = Window.partitionBy(*level2).orderBy("_h", "_k")
-    ranked = (_join(slim, at2.select(*level2).distinct(), level2)
+    wanted = cuts(totals).select(*by, F.explode("_cuts").alias("_c"))
+    level = [*by, "_b1"]
+    at = small_table(_locate(coarse, wanted, by, "_b1"), "cuts")
+    if (at.agg(F.max("_bn")).first()[0] or 0) > RANKED:
+        fine = (_join(slim, _buckets(at, level), level)
+                .groupBy(*level, "_b2").agg(F.count(F.lit(1)).alias("_bn")))
+        at, level = small_table(_locate(fine, at.drop("_bn"), level, "_b2"), "cuts"), [*level, "_b2"]
+    order = Window.partitionBy(*level).orderBy("_h", "_k")
+    ranked = (_join(slim, _buckets(at, level), level)
               .withColumn("_rn", F.row_number().over(order))
               .withColumn("_same", F.lead("_k").over(order).eqNullSafe(F.col("_k"))
                           & (F.lead("_h").over(order) == F.col("_h"))))
     point = F.struct("_h", F.when(F.col("_same"), F.raise_error(F.lit(f"key {key} is not unique at a cut")))
                      .otherwise(F.col("_k")).alias("_k"))
-    points = (_join(ranked, at2, level2).where(F.col("_rn") == F.col("_c"))
+    points = (_join(ranked, at.drop("_bn"), level).where(F.col("_rn") == F.col("_c"))
               .groupBy(*by).agg(F.collect_list(point).alias("_points")))
     low = wanted.groupBy(*by).agg(F.count_if(F.col("_c") <= 0).alias("_low"))
-    table = materialize(_join(low, points, by, "left"))
-    labelled = _join(rows, table, by, "left")  # groups x cuts rows; AQE broadcasts it when small
+    labelled = _join(rows, small_table(_join(low, points, by, "left"), "cut-points"), by, "left")
     above = F.size(F.filter(F.coalesce("_points", F.array()), lambda x: (x["_h"] < F.col("_h"))
                             | ((x["_h"] == F.col("_h")) & (x["_k"] < F.col(key)))))
     return labelled.withColumn(out, (F.coalesce("_low", F.lit(0)) + above).cast("int")).drop(*helpers)

@@ -42,3 +42,36 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = _plan(entry.queries()["k_sweep_orders"](spark, SF_MID))
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
     assert schemas and all("o_totalprice" not in s and "o_custkey" not in s for s in schemas)
+
+
+@pytest.fixture
+def no_static_broadcast(spark):
+    """Estimates alone broadcast nothing; only stored tables of checked size are."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_fitted_tables_do_not_shuffle_rows(spark, no_static_broadcast):
+    """Cuts, class weights and per-group minima meet the rows without an Exchange of rows."""
+    from privtab.operators import encode, sampling
+    o = spark.read.parquet(f"{SF_MID}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+    plans = [sampling.stratified_split(o, "o_orderstatus", 0.2, 42, "o_orderkey"),
+             sampling.assign_silo(o, 5, 42, "o_orderkey", by=["o_orderstatus"]),
+             sampling.sample_exact(o, 100, 42, "o_orderkey"),
+             encode.balanced_weights(o, "o_orderstatus"),
+             encode.minmax_by(o, ["o_totalprice"], ["o_orderstatus"])]
+    for df in plans:
+        plan = _plan(df)
+        assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan, plan
+        assert "BroadcastHashJoin" in plan or "_g" in plan
+
+
+def test_a_large_fitted_table_is_not_broadcast(spark, no_static_broadcast, monkeypatch):
+    from privtab import session
+    from privtab.operators import encode
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    o = spark.read.parquet(f"{SF_MID}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    assert "SortMergeJoin" in _plan(encode.balanced_weights(o, "o_orderstatus"))

@@ -73,7 +73,17 @@ def test_labels_take_one_scan(spark):
     """No window and no union: each row is compared with its group's cuts."""
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_orderstatus")
     plan = stratified_split(df, "o_orderstatus", 0.2, 42, "o_orderkey")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("parquet") == 1 and "Window" not in plan and "Union" not in plan
+    assert plan.count("Relation [o_orderkey#") == 1 and "Window" not in plan and "Union" not in plan
+    assert plan.count("Relation [") == 2  # the rows, and the stored table of cuts
+
+
+def test_large_buckets_are_refined(spark, monkeypatch):
+    """The second digit level gives the same cuts as ranking whole buckets."""
+    from privtab.operators import sampling
+    df = spark.range(4000).withColumn("c", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 3))
+    small = {(r.id, r.is_test) for r in stratified_split(df, "c", 0.2, 5, "id").collect()}
+    monkeypatch.setattr(sampling, "RANKED", 0)
+    assert {(r.id, r.is_test) for r in stratified_split(df, "c", 0.2, 5, "id").collect()} == small
 
 
 def test_two_level_search_matches_window_form(spark):
