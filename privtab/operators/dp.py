@@ -8,31 +8,78 @@ perturbed objective is minimised by ``logreg.newton_lr`` (one aggregate job
 per Newton step).
 
 D2 — ε-DP random forest with data-independent trees: split features and
-thresholds are drawn from the DECLARED feature bounds (never learned from
+thresholds are drawn within the DECLARED feature bounds (never learned from
 data), every row goes to exactly one tree by hash (disjoint subsets, so each
 tree may spend the whole ε), and each leaf's label is chosen by the
 exponential mechanism (Gumbel-max on counts, sensitivity 1).  The only data
-job is one ``groupBy(tree, leaf, label).count()``; the noisy leaf labels
-(trees x leaves numbers) come back as literal arrays for prediction.
+job is one count by (group, tree, leaf, label), whatever the number of ε;
+rows are then scored for every ε in one pass of Arrow batches.
 
-Noise is drawn on the driver from a numpy generator; pass ``seed=None`` to
-seed it from the operating system's secure source.
+Bounds are declared: ``declare`` scales and clips features to bounds that are
+known without the data and gives a ``Bounded`` frame, which the fits take.
+Scaling by minima and maxima of the data leaks them, so a frame from
+``learned`` is refused unless the caller says that the fit is not private.
+
+Noise is drawn on the driver (D1) or from keyed hashes (D2); pass
+``seed=None`` to draw or key it from the operating system's secure source.
 """
 
 from __future__ import annotations
 
 import math
 import secrets
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from privtab.functions.hashing import hash_bucket, hash_hex
+from privtab.operators.encode import minmax_scale
+from privtab.operators.forest import PRIME, draw
 from privtab.operators.logreg import newton_lr
 
 
+@dataclass(frozen=True)
+class Bounded:
+    """Rows whose ``features`` lie in [0, 1], and whether the bounds that they
+    were scaled by were declared or learned from the rows."""
+
+    rows: DataFrame
+    features: tuple[str, ...]
+    declared: bool
+
+    def where(self, condition) -> Bounded:
+        return Bounded(self.rows.where(condition), self.features, self.declared)
+
+    def private_rows(self, non_private: bool = False) -> DataFrame:
+        if not (self.declared or non_private):
+            raise ValueError("features are scaled by learned bounds, which the privacy budget does not cover: "
+                             "declare bounds, or pass non_private=True")
+        return self.rows
+
+
+def declare(df: DataFrame, bounds: Mapping[str, tuple[float, float]], suffix: str = "") -> Bounded:
+    """Scale by declared (low, high) and clip to [0, 1]; NULL and NaN stay NULL."""
+    out = {}
+    for c, (low, high) in bounds.items():
+        if not low < high:
+            raise ValueError(f"bounds of {c}: {low} is not below {high}")
+        x = (F.col(c).cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low))
+        x = F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+        out[c + suffix] = x
+    return Bounded(df.withColumns(out), tuple(out), True)
+
+
+def learned(df: DataFrame, features: Sequence[str]) -> Bounded:
+    """Min-max scaled by the rows themselves (E2): not private."""
+    return Bounded(minmax_scale(df, list(features)), tuple(features), False)
+
+
 def _rng(seed: int | None) -> np.random.Generator:
     return np.random.default_rng(secrets.randbits(128) if seed is None else seed)
 
@@ -70,20 +117,20 @@ def perturbation_terms(epsilon: float, n: int, d: int, seed: int | None,
     return direction * radius, max(delta, 0.0)
 
 
-def fit_dp_lr(train: DataFrame, features: Sequence[str], label: str, epsilon: float,
-              seed: int | None = None, data_norm: float = 1.0) -> dict:
+def fit_dp_lr(train: Bounded, label: str, epsilon: float, seed: int | None = None,
+              data_norm: float = 1.0, non_private: bool = False) -> dict:
     """Returns {'coef': ndarray over clipped features incl. intercept,
     'features': names, 'n': rows}."""
-    return fit_dp_lr_sweep(train, features, label, [epsilon], seed, data_norm)[epsilon]
+    return fit_dp_lr_sweep(train, label, [epsilon], seed, data_norm, non_private)[epsilon]
 
 
-def fit_dp_lr_sweep(train: DataFrame, features: Sequence[str], label: str,
-                    epsilons: Sequence[float], seed: int | None = None,
-                    data_norm: float = 1.0) -> dict:
+def fit_dp_lr_sweep(train: Bounded, label: str, epsilons: Sequence[float], seed: int | None = None,
+                    data_norm: float = 1.0, non_private: bool = False) -> dict:
     """D1 for several ε at once: the clipped rows are repeated per ε (a
     generator) and every ε's perturbed objective is one group of the same
     Newton aggregates, so the sweep costs the jobs of a single fit."""
-    clipped, names = clip_rows(train, features, data_norm, intercept=True)
+    features = train.features
+    clipped, names = clip_rows(train.private_rows(non_private), features, data_norm, intercept=True)
     n = clipped.count()
     if n == 0:
         raise ValueError("no training rows")
@@ -109,89 +156,164 @@ def predict_dp_lr(df: DataFrame, model: dict, out: str = "predicted") -> DataFra
 
 # ---------------------------------------------------------------- D2 forest
 
-def random_trees(n_trees: int, depth: int, bounds: Sequence[tuple[float, float]],
-                 seed: int | None) -> tuple[list[list[int]], list[list[float]]]:
-    """Data-independent trees: per tree, a feature index and a threshold
-    (uniform within the declared bounds) for each of the 2^depth - 1 nodes."""
-    rng = _rng(seed)
-    nodes = 2 ** depth - 1
-    feats, ths = [], []
-    for _ in range(n_trees):
-        f = rng.integers(0, len(bounds), size=nodes)
-        t = [float(rng.uniform(bounds[i][0], bounds[i][1])) for i in f]
-        feats.append([int(i) for i in f])
-        ths.append(t)
-    return feats, ths
-
-
-def leaf_expr(x: Column, feats: Column, ths: Column, depth: int) -> Column:
-    """Leaf index (0-based) of a row in a tree given as literal arrays:
-    fold over levels, node -> 2*node + 1 + (x[f[node]] > t[node])."""
-    node = F.aggregate(
-        F.sequence(F.lit(1), F.lit(depth)), F.lit(0),
-        lambda n, _i: F.lit(2) * n + F.lit(1) + F.when(
-            F.element_at(x, F.element_at(feats, n + 1) + 1) > F.element_at(ths, n + 1), 1
-        ).otherwise(0))
-    return node - F.lit(2 ** depth - 1)
-
-
-def _tree_arrays(feats, ths):
-    fa = F.array(*[F.array(*[F.lit(i) for i in f]) for f in feats])
-    ta = F.array(*[F.array(*[F.lit(float(t)) for t in th]) for th in ths])
-    return fa, ta
-
-
-def forest_leaf_counts(df: DataFrame, features: Sequence[str], label: str, key: str,
-                       feats, ths, depth: int, tree_seed: int = 0) -> DataFrame:
-    """D2 data pass: (tree, leaf, label, n).  Row -> tree by md5(seed:key)."""
-    n_trees = len(feats)
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    fa, ta = _tree_arrays(feats, ths)
-    tree = F.pmod(hash_bucket(hash_hex(tree_seed, key), 8), F.lit(n_trees)).cast("int")
-    t = df.select(tree.alias("tree"), x.alias("_x"), F.col(label).cast("int").alias("label"))
-    t = t.withColumn("leaf", leaf_expr(F.col("_x"), F.element_at(fa, F.col("tree") + 1),
-                                       F.element_at(ta, F.col("tree") + 1), depth))
-    return t.groupBy("tree", "leaf", "label").agg(F.count(F.lit(1)).alias("n"))
-
-
-def noisy_leaf_labels(counts: list, n_trees: int, depth: int, epsilon: float,
-                      seed: int | None, classes=(0, 1)) -> list[list[int]]:
-    """Exponential mechanism per leaf (Gumbel-max on ε·count/2)."""
-    rng = _rng(seed)
-    leaves = 2 ** depth
-    table = np.zeros((n_trees, leaves, len(classes)))
-    for r in counts:
-        table[r["tree"], r["leaf"], classes.index(r["label"])] = r["n"]
-    noisy = epsilon * table / 2.0 + rng.gumbel(size=table.shape)
-    return [[int(classes[i]) for i in row] for row in noisy.argmax(axis=2)]
-
-
-def fit_dp_forest(train: DataFrame, features: Sequence[str], label: str, key: str,
-                  epsilon: float, bounds: Sequence[tuple[float, float]], n_trees: int = 100,
-                  depth: int = 5, seed: int | None = None) -> dict:
-    """Data-independent forest with ε-DP leaf labels."""
-    rng_seed = None if seed is None else seed
-    feats, ths = random_trees(n_trees, depth, bounds, rng_seed)
-    counts = forest_leaf_counts(train, features, label, key, feats, ths, depth,
-                                tree_seed=seed or 0).collect()  # trees x leaves x 2 rows
-    labels = noisy_leaf_labels(counts, n_trees, depth, epsilon,
-                               None if seed is None else seed + 1)
-    return {"feats": feats, "ths": ths, "labels": labels, "depth": depth,
-            "features": list(features)}
-
-
-def predict_dp_forest(df: DataFrame, model: dict, out: str = "predicted",
-                      prob: str | None = None) -> DataFrame:
-    """Share of trees voting 1; label 1 when >= 0.5."""
-    x = F.array(*[F.col(c).cast("double") for c in model["features"]])
-    fa, ta = _tree_arrays(model["feats"], model["ths"])
-    la = F.array(*[F.array(*[F.lit(v) for v in row]) for row in model["labels"]])
-    n_trees = len(model["feats"])
-    votes = F.aggregate(
-        F.sequence(F.lit(1), F.lit(n_trees)), F.lit(0),
-        lambda acc, t: acc + F.element_at(
-            F.element_at(la, t),
-            leaf_expr(x, F.element_at(fa, t), F.element_at(ta, t), model["depth"]) + 1))
-    share = votes.cast("double") / F.lit(float(n_trees))
-    df = df.withColumn(out, F.when(share >= 0.5, 1).otherwise(0))
-    return df.withColumn(prob, share) if prob else df
+def random_trees(n_trees: int, depth: int, n_features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Data-independent trees over features in [0, 1]: (trees x nodes) feature
+    places and thresholds of the 2^depth - 1 inner nodes.  The trees are public
+    (only leaf labels are protected), so a hash draws them."""
+    tree, node = np.arange(n_trees)[:, None], np.arange(2 ** depth - 1)[None, :]
+    return (draw(seed, tree, node * 2) % n_features).astype(np.int64), draw(seed, tree, node * 2 + 1) / PRIME
+
+
+def walk(x: np.ndarray, feats: np.ndarray, ths: np.ndarray, depth: int) -> np.ndarray:
+    """Leaf (0-based) of every row (rows x features) in every tree; a missing
+    value goes left."""
+    trees = np.arange(len(feats))[None, :]
+    node = np.zeros((len(x), len(feats)), np.int64)
+    rows = np.arange(len(x))[:, None]
+    for _ in range(depth):
+        node = 2 * node + 1 + (x[rows, feats[trees, node]] > ths[trees, node])
+    return node - (2 ** depth - 1)
+
+
+def _matrix(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
+    """Rows x features, NULL as NaN."""
+    return np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in features], 1)
+
+
+def forest_leaf_counts(df: DataFrame, features: Sequence[str], label: str, key: str, forests: Mapping, depth: int,
+                       group: str | None = None) -> DataFrame:
+    """D2 data pass: (group, tree, leaf, label, n).
+
+    ``forests``: {group value: (features, thresholds)} of ``random_trees``; with
+    ``group`` None one forest under the key None.  A row's tree comes from
+    md5(group:key), with 0 for no group.  Tasks count before the shuffle."""
+    n_trees = len(next(iter(forests.values()))[0])
+    seed = F.lit(0) if group is None else F.col(group)
+    tree = F.pmod(hash_bucket(hash_hex(seed, key), 8), F.lit(n_trees)).cast("int")
+    named = (F.lit(None).cast("int") if group is None else F.col(group)).alias("grp")
+    rows = df.select(named, tree.alias("tree"), F.col(label).cast("int").alias("label"),
+                     *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)])
+    kind = StructType([rows.schema["grp"], *StructType.fromDDL("tree int, leaf int, label int, n long").fields])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group_of = batch.column("grp").to_pylist()
+            tree_of = batch.column("tree").to_numpy()
+            label_of = batch.column("label").fill_null(-1).to_numpy()
+            x = _matrix(batch, [f"x{j}" for j in range(len(features))])
+            for g in set(group_of):
+                at = np.flatnonzero([v == g for v in group_of])
+                feats, ths = forests[g]
+                node = np.zeros(len(at), np.int64)
+                for _ in range(depth):
+                    node = 2 * node + 1 + (x[at, feats[tree_of[at], node]] > ths[tree_of[at], node])
+                code = np.stack([tree_of[at], node - (2 ** depth - 1), label_of[at]])
+                found, n = np.unique(code, axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g] * len(n), arrow[0].type), *[pa.array(c, pa.int32()) for c in found], pa.array(n)],
+                    schema=arrow)
+
+    keys = ["tree", "leaf", "label"]
+    out = rows.mapInArrow(run, kind).groupBy("grp", *keys).agg(F.sum("n").alias("n"))
+    out = out.withColumn("label", F.when(F.col("label") >= 0, F.col("label")))
+    return out.drop("grp") if group is None else out.withColumnRenamed("grp", group)
+
+
+def gumbel(seed, *keys):
+    """Gumbel noise of (seed, keys): -ln(-ln u), u from 52 hash bits, never 0 or 1."""
+    u = (hash_bucket(hash_hex(seed, *keys), 13).cast("double") + F.lit(0.5)) / F.lit(float(16 ** 13))
+    return -F.log(-F.log(u))
+
+
+def _secret_gumbel(salt: str, *keys):
+    h = F.sha2(F.concat_ws(":", F.lit(salt), *[F.col(k).cast("string") if isinstance(k, str) else k for k in keys]), 256)
+    u = (hash_bucket(h, 13).cast("double") + F.lit(0.5)) / F.lit(float(16 ** 13))
+    return -F.log(-F.log(u))
+
+
+def noisy_leaf_labels(counts: DataFrame, n_trees: int, depth: int, epsilons: Sequence[float],
+                      seed: int | None, by: Sequence[str] = ()) -> DataFrame:
+    """Exponential mechanism per leaf (Gumbel-max on ε·count/2) for every ε:
+    (by.., e, tree, leaf, label), ``e`` the place of ε.  Leaves without rows
+    get labels too.  Its rows are trees x leaves x ε (x ``by``), no data rows."""
+    wide = counts.groupBy(*by, "tree", "leaf").agg(*[
+        F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)])
+    grid = (counts.select(*by).distinct() if by else counts.sparkSession.range(1).select())
+    grid = (grid.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+            .withColumn("leaf", F.explode(F.sequence(F.lit(0), F.lit(2 ** depth - 1)))))
+    cells = grid.join(wide, [*by, "tree", "leaf"], "left").fillna(0, ["n0", "n1"])
+    eps = F.explode(F.array(*[F.struct(F.lit(i).alias("e"), F.lit(float(v)).alias("eps")) for i, v in enumerate(epsilons)]))
+    cells = cells.withColumn("_e", eps).select("*", "_e.e", "_e.eps").drop("_e")
+    salt = secrets.token_hex(32) if seed is None else None
+
+    def noise(k):
+        keys = [*by, "e", "tree", "leaf", F.lit(k)]
+        return _secret_gumbel(salt, *keys) if salt else gumbel(seed, *keys)
+
+    score = [F.col("eps") * F.col(f"n{k}") / F.lit(2.0) + noise(k) for k in (0, 1)]
+    return cells.select(*by, "e", "tree", "leaf", (score[1] > score[0]).cast("int").alias("label"))
+
+
+def vote_rows(df: DataFrame, features: Sequence[str], forests: Mapping, depth: int, group: str | None = None,
+              out: str = "votes") -> DataFrame:
+    """Adds ``out``, an array with the number of trees that vote 1 for each ε.
+
+    ``forests``: {group value: (features, thresholds, labels)}, ``labels`` an
+    (ε x trees x leaves) array; a group without a forest gives NULL."""
+    kind = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} array<int>").fields])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch, features)
+            group_of = batch.column(group).to_pylist() if group else [None] * batch.num_rows
+            votes = np.empty(batch.num_rows, object)
+            for g in set(group_of):
+                if g not in forests:
+                    continue
+                at = np.flatnonzero([v == g for v in group_of])
+                feats, ths, labels = forests[g]
+                leaf = walk(x[at], feats, ths, depth)
+                trees = np.arange(len(feats))[None, :]
+                sums = np.stack([own[trees, leaf].sum(1) for own in labels], 1)
+                votes[at] = list(sums.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes, pa.list_(pa.int32()))], schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
+def label_arrays(labels: DataFrame, n_eps: int, n_trees: int, depth: int, by: str | None = None) -> dict:
+    """Leaf labels as {group: (ε x trees x leaves) array}; the table's size is
+    given by parameters, so it may come to the driver."""
+    out: dict = {}
+    for r in labels.toLocalIterator():
+        table = out.setdefault(r[by] if by else None, np.zeros((n_eps, n_trees, 2 ** depth), np.int8))
+        table[r["e"], r["tree"], r["leaf"]] = r["label"]
+    return out
+
+
+def fit_dp_forest(train: Bounded, label: str, key: str, epsilons: Sequence[float], n_trees: int = 100, depth: int = 5,
+                  seed: int | None = None, seeds: Sequence[int] = (0,), group: str | None = None,
+                  non_private: bool = False) -> dict:
+    """One data-independent forest for every value in ``seeds`` (of column
+    ``group``, or a single one), with ε-DP leaf labels for every ε: {'forests':
+    {group: (features, thresholds, labels)}, ...}.  Leaves are counted once."""
+    rows = train.private_rows(non_private)
+    trees = {s if group else None: random_trees(n_trees, depth, len(train.features), s) for s in seeds}
+    counts = forest_leaf_counts(rows, train.features, label, key, trees, depth, group)
+    labels = noisy_leaf_labels(counts, n_trees, depth, epsilons, seed, [group] if group else [])
+    tables = label_arrays(labels, len(epsilons), n_trees, depth, group)
+    return {"forests": {g: (*trees[g], tables[g]) for g in tables}, "depth": depth, "features": train.features,
+            "group": group, "epsilons": tuple(epsilons), "n_trees": n_trees}
+
+
+def predict_dp_forest(df: DataFrame, model: dict, out: str = "predicted", prob: str | None = None) -> DataFrame:
+    """One row for every row and ε (column ``epsilon``): the share of trees that
+    vote 1, and label 1 where it is at least one half."""
+    voted = vote_rows(df, model["features"], model["forests"], model["depth"], model["group"], "_votes")
+    eps = F.array(*[F.lit(float(e)) for e in model["epsilons"]])
+    each = voted.select(*df.columns, F.explode(F.arrays_zip(eps.alias("e"), F.col("_votes").alias("v"))).alias("_z"))
+    share = F.col("_z.v") / F.lit(float(model["n_trees"]))
+    each = each.withColumn("epsilon", F.col("_z.e")).withColumn(out, (share >= 0.5).cast("int"))
+    return (each.withColumn(prob, share) if prob else each).drop("_z")

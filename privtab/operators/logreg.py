@@ -53,8 +53,10 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
     ``init``: starting ``{group_value: ndarray(d [+1])}`` (default zeros).
     ``l2``: a number, or ``{group_value: number}`` for per-group ridge.
     A fit that has not converged after ``max_iter`` steps raises, unless
-    ``require`` is false (a fixed number of steps).  A group of one class has
-    no finite intercept, so it raises as well.
+    ``require`` is false (a fixed number of steps).  With an intercept, a group
+    whose rows have one class has no finite fit: it is left out of the result
+    (its rows get NULL labels) and does not stop the others; without groups it
+    raises.
     """
     feats = list(features)
     d = len(feats)
@@ -91,12 +93,19 @@ def newton_lr(df: DataFrame, features: Sequence[str], label: str,
             aggs = [F.sum(r * xs[j]).alias(f"g{j}") for j in range(p)]
             aggs += [F.sum(h * xs[j] * xs[k]).alias(f"h{j}_{k}")
                      for j in range(p) for k in range(j, p)]
+            aggs += [F.min("_y").alias("_low"), F.max("_y").alias("_high")]
             grouped = rows_in.groupBy("_g") if group else rows_in.groupBy()
             rows = grouped.agg(*aggs).collect()  # one row per group
             max_step = 0.0
             if not groups:
                 groups = sorted(row["_g"] for row in rows)
                 coefs = {g: np.zeros(p) for g in groups}
+            if fit_intercept and linear_term is None and require:
+                one = [row["_g"] if group else None for row in rows if row["_low"] == row["_high"]]
+                if one and not group:
+                    raise ValueError("the rows have one class")
+                for g in one:
+                    coefs.pop(g, None)
             for row in rows:
                 g = row["_g"] if group else None
                 if g not in coefs:  # a group absent from ``init``

@@ -12,13 +12,14 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from privtab.functions.exprs import sigmoid, threshold
 from privtab.operators.encode import balanced_weights
+from privtab.operators.forest import BINS, forest_votes, label_rows
 from privtab.operators.logreg import coef_table, newton_lr
-from privtab.operators.ml import fit_rf
+from privtab.session import small_table
 
 
 def fit_lr_by_silo(train: DataFrame, features: Sequence[str], label: str,
@@ -57,40 +58,24 @@ def ensemble_by_silo(test: DataFrame, models: dict, features: Sequence[str],
               .withColumn(out, threshold(F.col(prob))).drop("_site"))
 
 
-def fit_rf_by_silo(train: DataFrame, features: Sequence[str], label: str, silo: str = "silo",
-                   trees_per_round: int = 20, rounds: int = 1, max_depth: int = 12,
-                   seed: int = 42) -> dict:
-    """V3: balanced forest per site; ``trees_per_round * rounds`` trees (the
-    same averaged probability, in distribution, as ``rounds`` forests)."""
-    df = balanced_weights(train, label, by=[silo], out="_bw")
-    sites = sorted(r[0] for r in df.select(silo).distinct().collect())
-    return {s: fit_rf(df.where(F.col(silo) == s), features, label, "_bw",
-                      num_trees=trees_per_round * rounds, max_depth=max_depth, seed=seed + i)
-            for i, s in enumerate(sites)}
-
-
-def ensemble_rf_by_silo(test: DataFrame, models: dict, features: Sequence[str],
-                        key: str | None = None, prob: str = "prob",
-                        out: str = "predicted") -> DataFrame:
-    """V4 for forests: every site model scores the same rows in turn (each
-    transform only adds a column, so no join), then probabilities are
-    averaged."""
-    from pyspark.ml.functions import vector_to_array
-
-    from privtab.operators.ml import assemble
-    df = assemble(test, features, "_feat")
-    names = []
-    for s, m in sorted(models.items()):
-        name = f"p_{s}"
-        df = (m.copy({m.featuresCol: "_feat", m.probabilityCol: "_prob",
-                      m.rawPredictionCol: "_raw", m.predictionCol: "_pred"})
-              .transform(df)
-              .withColumn(name, vector_to_array(F.col("_prob"))[1])
-              .drop("_prob", "_raw", "_pred"))
-        names.append(name)
-    mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / F.lit(float(len(names)))
-    return (df.withColumn(prob, mean).withColumn(out, threshold(F.col(prob)))
-              .drop(*names, "_feat"))
+def rf_by_silo(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, federation: str,
+               trees, silo: str = "silo", balanced: bool = True, bins: int = BINS, out: str = "predicted") -> DataFrame:
+    """V3 + V4: a balanced forest for every site of every federation (a column),
+    all in the same jobs; a test row gets the mean probability over the trees of
+    its federation's sites, label 1 from one half on.
+
+    ``trees``: a number or a column over ``train``, the trees of each of a
+    federation's sites (trees of a round times rounds).  ``train`` has the
+    federation, the site (named apart from those of other federations) and
+    ``seed``; ``test`` the federation.  A federation without sites gives NULL."""
+    fit_on = train.withColumn("trees", trees if isinstance(trees, Column) else F.lit(trees))
+    sites = small_table(fit_on.select(federation, silo, "seed", "trees").distinct(), "sites")
+    each = test.select(federation, *features).join(sites, federation)
+    votes = forest_votes(fit_on, each, features, label, key, silo, balanced, bins)
+    sums = (votes.join(sites, silo).groupBy(federation, "bins").agg(F.sum("votes").alias("votes")))
+    whole = small_table(sites.groupBy(federation).agg(F.sum("trees").alias("_trees")), "federations")
+    met = test.join(whole, federation, "left")
+    return label_rows(met, sums, features, [federation], F.col("_trees"), bins, out).drop("_trees")
 
 
 def fed_avg(train: DataFrame, features: Sequence[str], label: str, silo: str = "silo",

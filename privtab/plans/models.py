@@ -1,4 +1,4 @@
-"""Model queries (logistic regressions have exact oracles, forests rows-only checks).
+"""Model queries: every run of the published grids, all of a family in the same jobs.
 
 Two cohorts:
 
@@ -16,17 +16,17 @@ from privtab.functions.hashing import hash_hex, hash_unit
 from privtab.operators import anonymity as K
 from privtab.operators import dp as D
 from privtab.operators import masked as MK
+from privtab.operators import forest as FO
 from privtab.operators import metrics as M
-from privtab.operators import ml
 from privtab.operators import report as R
 from privtab.operators import silo as V
-from privtab.operators.encode import label_encode, minmax_scale
+from privtab.operators.encode import balanced_weights, label_encode, minmax_by, minmax_scale
 from privtab.operators.logreg import newton_lr, predict_grouped
 from privtab.operators.sampling import assign_silo, stratified_split, with_seeds
 from privtab.plans import modelsql
 from privtab.plans.kanon import orders_qi
-from privtab.plans.sqlparts import SEEDS
-from privtab.session import materialize
+from privtab.plans.sqlparts import K_VALUES, SEEDS
+from privtab.session import materialize, small_table
 from privtab.sources import load
 
 DOC_FEATS = ["len_s", "upper_s", "digit_s", "lang_s"]
@@ -66,18 +66,17 @@ def _split(df, seed, key):
     return materialize(stratified_split(df, "target", 0.2, seed, key))
 
 
-def _evaluate(pred, seed, model, setting):
-    p = pred.select(F.col("target").alias("actual"), "predicted") \
-            .withColumn("seed", F.lit(seed)).withColumn("model", F.lit(model)) \
-            .withColumn("setting", F.lit(setting))
-    return M.evaluate(p, KEYS)
+def _preds(df, model, setting):
+    """Run rows: seed, model, setting, actual, predicted."""
+    return df.select("seed", F.lit(model).alias("model") if isinstance(model, str) else model.alias("model"),
+                     F.lit(setting).alias("setting") if isinstance(setting, str) else setting.alias("setting"),
+                     F.col("target").alias("actual"), "predicted")
 
 
 def lr_utility(spark, sf, seed=42):
     """L1 + L3 + A12 on the document cohort: the plain and the class-balanced
     model are two groups of ONE Newton fit of the L1 objective (rows repeated
     per variant, weight 1 or n/(2 n_c))."""
-    from privtab.operators.encode import balanced_weights
     sp = _split(doc_cohort(spark, sf), seed, "doc_id")
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
     variants = F.explode(F.array(F.lit("Baseline (No Privacy)"), F.lit("Baseline (balanced)")))
@@ -91,80 +90,65 @@ def lr_utility(spark, sf, seed=42):
     return M.evaluate(p, KEYS)
 
 
-def rf_utility(spark, sf):
-    """L2 + L3 + A12: forests of 20 trees, plain and balanced."""
-    from privtab.operators.encode import balanced_weights
-    sp = _split(doc_cohort(spark, sf), 42, "doc_id")
-    train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
-    plain = ml.fit_rf(train, DOC_FEATS, "target", num_trees=20, max_depth=8, seed=42)
-    bal = ml.fit_rf(balanced_weights(train, "target"), DOC_FEATS, "target", "weight",
-                    num_trees=20, max_depth=8, seed=42)
-    return R.union_results([
-        _evaluate(ml.predict(plain, test, DOC_FEATS), 42, "Random Forest", "Baseline (No Privacy)"),
-        _evaluate(ml.predict(bal, test, DOC_FEATS), 42, "Random Forest", "Baseline (balanced)")])
-
-
-def k_utility(spark, sf, ks=(2, 10, 50), seed=42):
-    """K10 for every k in one set of jobs: rows of the train set are repeated
-    per k where their class has at least k rows (K2 via W1), rescaled per k
-    on the kept rows (E3, one grouped min/max), weighted per k (E6) and fitted
-    as groups of ONE Newton run (balanced L2 LR, the L1 objective), plus one
-    balanced forest per k (L2); the test rows are scored by their k's models
-    and evaluated per k and model.  k = 1 is the baseline (K8 statistics).
-    Skipped runs (K9) carry NULL metrics."""
-    from privtab.operators.encode import balanced_weights, minmax_by
-    qis = ["o_orderpriority", "o_year", "o_month"]
-    sp = _split(order_cohort(spark, sf), seed, "o_orderkey")
+# Fixed value: trees of the published forests.
+TREES = 100
+SETTINGS = ("Baseline (No Privacy)", "Baseline (balanced)")
+
+
+def rf_utility(spark, sf, seeds=SEEDS):
+    """L2 + L3 + A12 on the document cohort: a plain and a balanced forest of
+    100 trees per seed, as groups of one grouped forest."""
+    sp = materialize(stratified_split(with_seeds(doc_cohort(spark, sf), seeds), "target", 0.2,
+                                      F.col("seed"), "doc_id", by=["seed"]))
+    variant = F.explode(F.array(*[F.lit(x) for x in SETTINGS]))
+    sp = (sp.withColumn("setting", variant).withColumn("trees", F.lit(TREES))
+          .withColumn("grp", F.concat_ws(":", "seed", "setting")))
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
-    stats = K.skip_reason(K.k_sweep(train, qis, [1] + list(ks), target="target")).collect()
-    run_ks = [st["k"] for st in stats if not st["skipped_reason"]]
-    report = []
-    for st in stats:  # |ks| + 1 rows, two model families each
-        base = st["k"] == 1
-        for fam in ("Logistic Regression", "Random Forest"):
-            report.append((fam if base else f"K-anonymised {fam}",
-                           "Baseline (No Privacy)" if base else f"K-anonymity k={st['k']}",
-                           int(st["k"]), *[st[c] for c in K_STATS], st["skipped_reason"]))
-    stats_df = spark.createDataFrame(
-        report, "model string, setting string, k int, train_rows_used long, "
-                "rows_suppressed long, suppression_rate double, classes_before long, "
-                "classes_after long, min_class_size long, skipped_reason string")
-    if not run_ks:
-        return stats_df.drop("k").withColumn("seed", F.lit(seed))
-    ks_col = F.explode(F.array(*[F.lit(k) for k in run_ks]))
-    kept = (K.with_class_size(train, qis).withColumn("k", ks_col)
-            .where(F.col("class_size") >= F.col("k")))
-    kept = materialize(balanced_weights(minmax_by(kept, ORD_FEATS, ["k"]), "target", by=["k"]))
-    fits = newton_lr(kept, ORD_FEATS, "target", weight="weight", group="k")
-    tests = minmax_by(test.withColumn("k", ks_col), ORD_FEATS, ["k"], fit_on=kept)
-    pred = predict_grouped(tests, fits, ORD_FEATS, "k")
-    fam = F.when(F.col("k") == 1, F.lit("Logistic Regression")).otherwise(
-        F.lit("K-anonymised Logistic Regression"))
-    runs = [pred.select("k", fam.alias("model"), F.col("target").alias("actual"), "predicted")]
-    # balanced forests (L2): one distributed fit per k, submitted from a few
-    # driver threads so independent fits share the executors
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fit_k(k):
-        return ml.fit_rf(kept.where(F.col("k") == k), ORD_FEATS, "target", "weight",
-                         num_trees=20, max_depth=8, seed=seed)
-
-    with ThreadPoolExecutor(max_workers=min(4, len(run_ks))) as pool:
-        forests = dict(zip(run_ks, pool.map(fit_k, run_ks)))
-    for k in run_ks:
-        rf = forests[k]
-        name = "Random Forest" if k == 1 else "K-anonymised Random Forest"
-        runs.append(ml.predict(rf, tests.where(F.col("k") == k), ORD_FEATS).select(
-            "k", F.lit(name).alias("model"), F.col("target").alias("actual"), "predicted"))
-    metrics = M.evaluate(R.union_results(runs), ["k", "model"])
-    return (stats_df.join(metrics, ["k", "model"], "left").drop("k")
-            .withColumn("seed", F.lit(seed)))
+    votes = FO.forest_votes(train, test, DOC_FEATS, "target", "doc_id", "grp", F.col("setting") == SETTINGS[1])
+    pred = FO.label_rows(test, votes, DOC_FEATS, ["grp"], F.col("trees"))
+    return M.evaluate(_preds(pred, "Random Forest", F.col("setting")), KEYS)
 
 
+K_QIS = ["o_orderpriority", "o_year", "o_month"]
 K_STATS = ["train_rows_used", "rows_suppressed", "suppression_rate", "classes_before",
            "classes_after", "min_class_size"]
 
 
+def k_utility(spark, sf, ks=K_VALUES, seeds=SEEDS):
+    """Every k and seed in one set of jobs.  Rows of a seed's train set are
+    repeated per k where their class has at least k rows (K2 via W1), rescaled
+    per (seed, k) on the kept rows (E3), weighted (E6) and fitted as groups of
+    ONE Newton run (balanced L2 LR, the L1 objective) and of ONE grouped forest
+    (L2, balanced, 100 trees); the seed's test rows are scored by the model of
+    their (seed, k).  k = 1 is the baseline (K8 statistics).  Skipped runs (K9)
+    carry NULL metrics."""
+    sp = _seeded_split(order_cohort(spark, sf), seeds)
+    train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
+    grid = [1, *ks]
+    stats = K.skip_reason(K.k_sweep(train, K_QIS, grid, by=["seed"], target="target"))
+    stats = small_table(stats.select("seed", "k", *K_STATS, "skipped_reason"), "k-stats")
+    runs = stats.where("skipped_reason = ''").select("seed", "k")
+    ks_col = F.explode(F.array(*[F.lit(k) for k in grid]))
+    kept = (K.with_class_size(train, K_QIS, by=["seed"]).withColumn("k", ks_col)
+            .where((F.col("k") <= 1) | (F.col("class_size") >= F.col("k"))).join(runs, ["seed", "k"], "left_semi"))
+    grp = F.format_string("%d:%d", "seed", "k")
+    kept = materialize(balanced_weights(minmax_by(kept, ORD_FEATS, ["seed", "k"]), "target", by=["seed", "k"])
+                       .withColumns({"grp": grp, "trees": F.lit(TREES)}))
+    tests = materialize(minmax_by(test.withColumn("k", ks_col), ORD_FEATS, ["seed", "k"], fit_on=kept)
+                        .withColumns({"grp": grp, "trees": F.lit(TREES)}))
+    fits = newton_lr(kept, ORD_FEATS, "target", weight="weight", group="grp")
+    lr = predict_grouped(tests, fits, ORD_FEATS, "grp").withColumn("family", F.lit("Logistic Regression"))
+    votes = FO.forest_votes(kept, tests, ORD_FEATS, "target", "o_orderkey", "grp")
+    rf = FO.label_rows(tests, votes, ORD_FEATS, ["grp"], F.col("trees")).withColumn("family", F.lit("Random Forest"))
+    cols = ["seed", "k", "family", F.col("target").alias("actual"), "predicted"]
+    metrics = M.evaluate(lr.select(*cols).unionByName(rf.select(*cols)), ["seed", "k", "family"])
+    families = F.explode(F.array(F.lit("Logistic Regression"), F.lit("Random Forest")))
+    name = F.when(F.col("k") == 1, F.col("family")).otherwise(F.concat(F.lit("K-anonymised "), "family"))
+    setting = F.when(F.col("k") == 1, F.lit(SETTINGS[0])).otherwise(F.concat(F.lit("K-anonymity k="), F.col("k").cast("string")))
+    return (stats.withColumn("family", families).join(metrics, ["seed", "k", "family"], "left")
+            .select("seed", name.alias("model"), setting.alias("setting"), *K_STATS, "skipped_reason", *M.METRICS))
+
+
 def _hidden_runs(spark, sf, seeds):
     """M2 test labels of every seed's fitted model (L1): plain scoring and
     secret-shared scoring, in its production form (masks under a secret salt
@@ -198,15 +182,13 @@ def hidden_confusion(spark, sf, seeds=SEEDS):
     return M.confusion(_hidden_runs(spark, sf, seeds), KEYS)
 
 
-def _silo_data(spark, sf, seed=42):
-    sp = _split(order_cohort(spark, sf), seed, "o_orderkey")
-    return sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
+def _seeded_split(cohort, seeds):
+    """One stored split for all seeds."""
+    return materialize(stratified_split(with_seeds(cohort, seeds), "target", 0.2, F.col("seed"), "o_orderkey", by=["seed"]))
 
 
 def _seeded(spark, sf, seeds):
-    """One stored split for all seeds."""
-    sp = materialize(stratified_split(with_seeds(order_cohort(spark, sf), seeds), "target", 0.2,
-                                      F.col("seed"), "o_orderkey", by=["seed"]))
+    sp = _seeded_split(order_cohort(spark, sf), seeds)
     return sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
 
 
@@ -232,14 +214,37 @@ def silo_lr(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
     return out.withColumn("coef", round_fixed("coef", 6))
 
 
-def silo_rf(spark, sf, n_sites=3):
-    """V3 + V4: per-site balanced forests, probabilities averaged."""
-    train, test = _silo_data(spark, sf)
-    train = materialize(assign_silo(train, n_sites, 42, "o_orderkey"))
-    models = V.fit_rf_by_silo(train, ORD_FEATS, "target", trees_per_round=5, rounds=2,
-                              max_depth=6)
-    pred = V.ensemble_rf_by_silo(test, models, ORD_FEATS, "o_orderkey")
-    return _evaluate(pred, 42, "Federated Random Forest", f"FL ({n_sites} clients, 2 rounds)")
+# Fixed value: trees of a site's forest in one published round.
+ROUND_TREES = 20
+#: Bins of a feature in the federated forests: 33,000 trees share the cells.
+FL_BINS = 8
+
+
+def _fl_setting(p, r):
+    return f"FL ({p} clients, {r} rounds)"
+
+
+def _fl_rows(test, settings):
+    """Test rows once per site setting, with their federation and its name."""
+    fl = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(_fl_setting(p, r)).alias("setting")) for p, r in settings]))
+    t = test.withColumn("_fl", fl).select("*", "_fl.setting", F.col("_fl.p").alias("n_sites")).drop("_fl")
+    return t.withColumn("fed", F.format_string("%d:%d", "seed", "n_sites"))
+
+
+def _fl_forest_runs(sites, test, settings):
+    """V3 + V4 test labels: the rounds of a site are bagging groups of its forest."""
+    rounds = F.create_map(*[F.lit(v) for p, r in settings for v in (p, r * ROUND_TREES)])
+    x = sites.withColumn("fed", F.format_string("%d:%d", "seed", "n_sites"))
+    pred = V.rf_by_silo(x, _fl_rows(test, settings), ORD_FEATS, "target", "o_orderkey", "fed", rounds[F.col("n_sites")],
+                        silo="site", bins=FL_BINS)
+    return _preds(pred, "Federated Random Forest", F.col("setting"))
+
+
+def silo_rf(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
+    """V3 + V4: balanced forests of every site, setting and seed (20 trees a
+    round) in one grouped forest, probabilities averaged over sites."""
+    train, test = _seeded(spark, sf, seeds)
+    return M.evaluate(_fl_forest_runs(materialize(_sites(train, settings)), test, settings), KEYS)
 
 
 def fed_avg(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
@@ -249,22 +254,18 @@ def fed_avg(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
     x = _sites(train, settings).withColumn("fed", F.format_string("%d:%d", "seed", "n_sites"))
     rounds = {f"{s}:{p}": r for s in seeds for p, r in settings}
     fits = V.fed_avg_many(x, ORD_FEATS, "target", "fed", rounds, silo="site")
-    t = test.withColumn("fl", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.lit(f"FL ({p} clients, {r} rounds)").alias("setting"))
-        for p, r in settings])))
-    t = t.withColumn("fed", F.format_string("%d:%d", "seed", "fl.p"))
-    pred = predict_grouped(t, fits, ORD_FEATS, "fed")
-    return M.evaluate(pred.select("seed", F.lit("FedAvg Logistic Regression").alias("model"),
-                                  "fl.setting", F.col("target").alias("actual"), "predicted"), KEYS)
+    pred = predict_grouped(_fl_rows(test, settings), fits, ORD_FEATS, "fed")
+    return M.evaluate(_preds(pred, "FedAvg Logistic Regression", F.col("setting")), KEYS)
 
 
 def silo_utility(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
     """V6: the balanced LR baseline and every site of every setting and seed
-    are groups of ONE Newton fit (rows repeated per setting by a generator);
-    each setting's sites are then averaged (V4) and evaluated.  ``rounds``
-    only names the setting: a refitted site model is the same model."""
+    are groups of ONE Newton fit (rows repeated per setting by a generator),
+    and of ONE grouped forest; each setting's sites are then averaged (V4) and
+    evaluated.  For LR ``rounds`` only names the setting: a refitted site model
+    is the same model; a site's forest has 20 trees a round."""
     train, test = _seeded(spark, sf, seeds)
-    x = _sites(train, settings)
+    x = materialize(_sites(train, settings))
     base = train.withColumn("site", F.format_string("%d:0:0", "seed"))
     fits = V.fit_lr_by_silo(x.select(*base.columns).unionByName(base), ORD_FEATS, "target",
                             silo="site")
@@ -277,17 +278,41 @@ def silo_utility(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
             "seed", F.lit("Federated Logistic Regression").alias("model"),
             F.lit(f"FL ({n_sites} clients, {rounds} rounds)").alias("setting"),
             F.col("target").alias("actual"), "predicted"))
+    runs += [_baseline_forest(train, test, True), _fl_forest_runs(x, test, settings)]
     return M.evaluate(R.union_results(runs), KEYS)
 
 
+def _baseline_forest(train, test, balanced):
+    """L2 test labels: a forest of 100 trees per seed."""
+    votes = FO.forest_votes(*[x.withColumn("trees", F.lit(TREES)).withColumn("grp", F.col("seed")) for x in (train, test)],
+                            ORD_FEATS, "target", "o_orderkey", "grp", balanced)
+    pred = FO.label_rows(test.withColumn("grp", F.col("seed")), votes, ORD_FEATS, ["grp"], F.lit(TREES))
+    return _preds(pred, "Random Forest", SETTINGS[0])
+
+
 # The published privacy budgets.
 EPSILONS = (10.0, 5.0, 1.0, 0.5, 0.1)
 
 
+# Declared bounds of the order features: known without looking at the data.
+ORD_BOUNDS = {"o_totalprice": (0.0, 600_000.0), "prio": (1.0, 5.0), "o_month": (1.0, 12.0)}
+DP_FEATS = [f"{c}_d" for c in ORD_BOUNDS]
+DP_DEPTH = 5
+
+
+def _dp_seeded(spark, sf, seeds):
+    """Train and test rows with features scaled by declared bounds; the plain
+    baselines keep the learned scaling."""
+    cohort = order_cohort(spark, sf).withColumn("prio", F.substring("o_orderpriority", 1, 1).cast("double"))
+    declared = D.declare(cohort, ORD_BOUNDS, "_d")
+    sp = D.Bounded(_seeded_split(declared.rows, seeds), declared.features, declared.declared)
+    return sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
+
+
 def _dp_lr_runs(train, test, seeds, epsilons):
     """D1 test labels: every (seed, ε) objective-perturbation fit is a group
     of one Newton run."""
-    clipped, names = D.clip_rows(train, ORD_FEATS)
+    clipped, names = D.clip_rows(train.private_rows(), DP_FEATS)
     n_by_seed = {r["seed"]: r["count"] for r in clipped.groupBy("seed").count().collect()}
     terms = {f"{s}:{i}": (n_by_seed[s], *D.perturbation_terms(e, n_by_seed[s], len(names), s * 1000 + i))
              for s in seeds for i, e in enumerate(epsilons)}
@@ -301,62 +326,41 @@ def _dp_lr_runs(train, test, seeds, epsilons):
                      l2={k: 1.0 + n * delta for k, (n, _, delta) in terms.items()},
                      linear_term={k: b for k, (_, b, _) in terms.items()})
     # clipped rows are positive multiples of [x, 1]: same sign, so score raw rows
-    models = {k: (c[:len(ORD_FEATS)], float(c[len(ORD_FEATS)])) for k, (c, _) in fits.items()}
-    return predict_grouped(grouped(test), models, ORD_FEATS, "grp").select(
-        "seed", F.lit("DP Logistic Regression").alias("model"), "_e.setting",
-        F.col("target").alias("actual"), "predicted")
+    models = {k: (c[:len(DP_FEATS)], float(c[len(DP_FEATS)])) for k, (c, _) in fits.items()}
+    return _preds(predict_grouped(grouped(test.rows), models, DP_FEATS, "grp"), "DP Logistic Regression", F.col("_e.setting"))
 
 
 def dp_lr(spark, sf, epsilons=EPSILONS, seeds=SEEDS):
     """Objective-perturbation LR, all seeds and ε in one Newton run."""
-    train, test = _seeded(spark, sf, seeds)
-    return M.evaluate(_dp_lr_runs(train, test, seeds, epsilons), KEYS)
+    return M.evaluate(_dp_lr_runs(*_dp_seeded(spark, sf, seeds), seeds, epsilons), KEYS)
+
 
+def _dp_forest_runs(train, test, seeds, epsilons):
+    """D2 test labels: 100 data-independent trees per seed, leaves counted once
+    for all ε, all ε scored in one pass."""
+    model = D.fit_dp_forest(train, "target", "o_orderkey", epsilons, TREES, DP_DEPTH, 7, seeds, "seed")
+    pred = D.predict_dp_forest(test.rows.select("seed", "target", *DP_FEATS), model)
+    return _preds(pred, "DP Random Forest", F.concat(F.lit("DP e="), F.col("epsilon").cast("string")))
 
-def dp_forest(spark, sf, epsilons=EPSILONS, seed=42):
-    """Data-independent forest with ε-DP leaf labels per ε."""
-    train, test = _silo_data(spark, sf, seed)
-    out = []
-    for i, eps in enumerate(epsilons):
-        model = D.fit_dp_forest(train, ORD_FEATS, "target", "o_orderkey", eps,
-                                [(0.0, 1.0)] * len(ORD_FEATS), n_trees=20, depth=4,
-                                seed=seed * 100 + i)
-        out.append(_evaluate(D.predict_dp_forest(test, model), seed, "DP Random Forest",
-                             f"DP e={eps}"))
-    return R.union_results(out)
+
+def dp_forest(spark, sf, epsilons=EPSILONS, seeds=SEEDS):
+    """Data-independent forests with ε-DP leaf labels, all seeds and ε."""
+    return M.evaluate(_dp_forest_runs(*_dp_seeded(spark, sf, seeds), seeds, epsilons), KEYS)
 
 
 def dp_utility(spark, sf, seeds=SEEDS, epsilons=EPSILONS):
-    """D3: ε sweep x seeds x two models with baselines, summarised (A1).
+    """D3: ε sweep x seeds x two models with plain baselines, summarised (A1).
 
     One split for all seeds (X1); every (seed, ε) objective-perturbation fit
-    is a group of one Newton run and the per-seed LR baselines are groups of
-    a second; DP forests (one counting job each) and plain forest baselines
-    are fitted per seed."""
-    train, test = _seeded(spark, sf, seeds)
-    runs = [_dp_lr_runs(train, test, seeds, epsilons)]
-    base = newton_lr(train, ORD_FEATS, "target", group="seed")
-    runs.append(predict_grouped(test, base, ORD_FEATS, "seed").select(
-        "seed", F.lit("Logistic Regression").alias("model"),
-        F.lit("Baseline (No Privacy)").alias("setting"), F.col("target").alias("actual"),
-        "predicted"))
-    for s_ in seeds:
-        rf = ml.fit_rf(train.where(F.col("seed") == s_), ORD_FEATS, "target", num_trees=20,
-                       max_depth=8, seed=s_)
-        runs.append(ml.predict(rf, test.where(F.col("seed") == s_), ORD_FEATS).select(
-            "seed", F.lit("Random Forest").alias("model"),
-            F.lit("Baseline (No Privacy)").alias("setting"), F.col("target").alias("actual"),
-            "predicted"))
-        for i, eps in enumerate(epsilons):
-            model = D.fit_dp_forest(train.where(F.col("seed") == s_), ORD_FEATS, "target",
-                                    "o_orderkey", eps, [(0.0, 1.0)] * len(ORD_FEATS),
-                                    n_trees=20, depth=4, seed=s_ * 100 + i)
-            runs.append(D.predict_dp_forest(test.where(F.col("seed") == s_), model).select(
-                "seed", F.lit("DP Random Forest").alias("model"),
-                F.lit(f"DP e={eps}").alias("setting"), F.col("target").alias("actual"),
-                "predicted"))
-    metrics = M.evaluate(R.union_results(runs), KEYS)
-    return R.summarise(metrics, ["model", "setting"], M.METRICS)
+    is a group of one Newton run, the per-seed LR baselines are groups of a
+    second, the per-seed plain forests (100 trees) groups of one grouped
+    forest, and the DP forests share their leaf counts over ε."""
+    train, test = _dp_seeded(spark, sf, seeds)
+    base = newton_lr(train.rows, ORD_FEATS, "target", group="seed")
+    runs = [_dp_lr_runs(train, test, seeds, epsilons), _dp_forest_runs(train, test, seeds, epsilons),
+            _preds(predict_grouped(test.rows, base, ORD_FEATS, "seed"), "Logistic Regression", SETTINGS[0]),
+            _baseline_forest(train.rows, test.rows, False)]
+    return R.summarise(M.evaluate(R.union_results(runs), KEYS), ["model", "setting"], M.METRICS)
 
 
 QUERIES = {
@@ -374,12 +378,19 @@ QUERIES = {
     "dp_utility": dp_utility,
 }
 
+_DP = (EPSILONS, ORD_FEATS, ORD_BOUNDS, DP_FEATS)
+
 ORACLES = {
     "lr_utility": modelsql.lr_utility(),
+    "rf_utility": modelsql.rf_utility(TREES, SETTINGS),
+    "k_utility": modelsql.k_utility(ORD_FEATS, K_QIS, TREES),
     "hidden_utility": modelsql.hidden_utility(),
     "hidden_confusion": modelsql.hidden_confusion(),
     "silo_lr": modelsql.silo_lr(FL_SETTINGS, ORD_FEATS),
-    "silo_utility": modelsql.silo_utility(FL_SETTINGS, ORD_FEATS),
+    "silo_rf": modelsql.silo_rf(FL_SETTINGS, ORD_FEATS, ROUND_TREES, FL_BINS),
+    "silo_utility": modelsql.silo_utility(FL_SETTINGS, ORD_FEATS, TREES, ROUND_TREES, FL_BINS),
     "fed_avg": modelsql.fed_avg(FL_SETTINGS, ORD_FEATS),
-    "dp_lr": modelsql.dp_lr(EPSILONS, ORD_FEATS),
+    "dp_lr": modelsql.dp_lr(*_DP),
+    "dp_forest": modelsql.dp_forest(*_DP, TREES, DP_DEPTH, 7),
+    "dp_utility": modelsql.dp_utility(*_DP, TREES, DP_DEPTH, 7),
 }

@@ -1,14 +1,14 @@
 """Scoring queries with exact oracles (L4, F11, M1, M2, V4, D2 counts).
 
-Rows: labelled orders joined to their customer, three features min-max
-scaled on all rows, scored by fixed exported weights.
+Rows: all orders joined to their customer, three features min-max scaled by
+the labelled ones (E3), scored by fixed exported weights.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from privtab.functions.exprs import round_fixed
+from privtab.functions.exprs import recode, round_fixed
 from privtab.operators import dp as D
 from privtab.operators import masked as MK
 from privtab.operators import metrics as M
@@ -16,7 +16,7 @@ from privtab.operators.encode import minmax_scale
 from privtab.operators.linear import ensemble_mean as _ensemble_mean
 from privtab.operators.linear import linear_score as _linear_score
 from privtab.operators.sampling import stratified_split
-from privtab.plans.kanon import _LAB, _SPLIT, orders_labelled
+from privtab.plans.kanon import _LAB, _OQI, _SPLIT, orders_labelled, orders_qi
 from privtab.plans.sqlparts import md5_of, rnd
 from privtab.session import materialize
 from privtab.sources import load
@@ -29,19 +29,28 @@ ENSEMBLE = [
     ({"o_totalprice": -1.0, "c_acctbal": 2.0, "c_nationkey": 0.0}, 0.25),
     ({"o_totalprice": 0.5, "c_acctbal": 0.5, "c_nationkey": -3.0}, 1.0),
 ]
-FOREST_TREES, FOREST_DEPTH, FOREST_SEED = 10, 4, 7
+FOREST_TREES, FOREST_DEPTH, FOREST_SEED = 100, 5, 7
+# Declared bounds of the features: known without looking at the data.
+BOUNDS = {"o_totalprice": (0.0, 600_000.0), "c_acctbal": (-1000.0, 10_000.0), "c_nationkey": (0.0, 24.0)}
+
+
+def _with_customer(spark, orders):
+    c = load(spark, orders[0], "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_nationkey")
+    return orders[1].join(c, "o_custkey")
 
 
 def features(spark, sf, split: bool = False):
-    """Scaled features (fit on all labelled rows, E2); with ``split`` the
-    seed-42 stratified split flag is added after scaling."""
-    src = orders_labelled(spark, sf)
-    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"),
-                                           "c_acctbal", "c_nationkey")
-    scaled = minmax_scale(src.join(c, "o_custkey"), FEATS)
+    """Scaled features of every order (fit on the labelled ones, applied to
+    all); with ``split``, labelled orders with the seed-42 stratified split
+    flag, added after scaling."""
+    o = orders_qi(spark, sf)
+    o = o.withColumn("target", F.when(F.col("o_orderstatus").isin("F", "O"),
+                                      recode("o_orderstatus", {"F": 1, "O": 0})).cast("int"))
+    rows = _with_customer(spark, (sf, o))
+    scaled = minmax_scale(rows, FEATS, fit_on=rows.where(F.col("target").isNotNull()))
     if not split:
         return scaled
-    return stratified_split(scaled, "target", 0.2, 42, "o_orderkey")
+    return stratified_split(scaled.where(F.col("target").isNotNull()), "target", 0.2, 42, "o_orderkey")
 
 
 def linear_score(spark, sf):
@@ -82,10 +91,10 @@ def ensemble_mean(spark, sf):
 
 
 def dp_forest_counts(spark, sf):
-    feats, ths = D.random_trees(FOREST_TREES, FOREST_DEPTH, [(0.0, 1.0)] * len(FEATS),
-                                FOREST_SEED)
-    return D.forest_leaf_counts(features(spark, sf), FEATS, "target", "o_orderkey",
-                                feats, ths, FOREST_DEPTH, tree_seed=0)
+    """D2 data pass over the labelled orders, features by declared bounds."""
+    rows = D.declare(_with_customer(spark, (sf, orders_labelled(spark, sf))), BOUNDS)
+    trees = D.random_trees(FOREST_TREES, FOREST_DEPTH, len(FEATS), FOREST_SEED)
+    return D.forest_leaf_counts(rows.private_rows(), rows.features, "target", "o_orderkey", {None: trees}, FOREST_DEPTH)
 
 
 QUERIES = {
@@ -106,10 +115,21 @@ def _scaled(src: str, fit: str) -> str:
     return ", ".join(parts)
 
 
-_FEAT = f"""WITH lab AS ({_LAB}),
+_FEAT = f"""WITH lab AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS target FROM ({_OQI})),
 j AS (SELECT lab.o_orderkey, lab.target, o_totalprice, c_acctbal, c_nationkey
       FROM lab JOIN customer ON o_custkey = c_custkey),
-f AS (SELECT o_orderkey, target, {_scaled('j', 'j')} FROM j)"""
+fit AS (SELECT * FROM j WHERE target IS NOT NULL),
+f AS (SELECT o_orderkey, target, {_scaled('j', 'fit')} FROM j)"""
+
+
+def declared_sql(col: str, low: float, high: float) -> str:
+    """SQL twin of ``dp.declare`` for a column that is never NULL."""
+    return (f"least(greatest((CAST({col} AS DOUBLE) - CAST('{low!r}' AS DOUBLE)) / CAST('{high - low!r}' AS DOUBLE), 0.0), 1.0)")
+
+
+_DECLARED = f"""WITH lab AS ({_LAB}),
+f AS (SELECT o_orderkey, target, {', '.join(f"{declared_sql(c, *b)} AS {c}" for c, b in BOUNDS.items())}
+      FROM lab JOIN customer ON o_custkey = c_custkey)"""
 
 
 def _score_sql(weights, bias) -> str:
@@ -145,9 +165,8 @@ hs AS (SELECT o_orderkey, score_a, score_b,
 
 
 def _forest_sql() -> str:
-    feats, ths = D.random_trees(FOREST_TREES, FOREST_DEPTH, [(0.0, 1.0)] * len(FEATS),
-                                FOREST_SEED)
-    trees = ", ".join(f"({i}, {list(f)}, [{', '.join(f'CAST({t!r} AS DOUBLE)' for t in th)}])"
+    feats, ths = D.random_trees(FOREST_TREES, FOREST_DEPTH, len(FEATS), FOREST_SEED)
+    trees = ", ".join(f"({i}, {f.tolist()}, [{', '.join(f'CAST({t!r} AS DOUBLE)' for t in th.tolist())}])"
                       for i, (f, th) in enumerate(zip(feats, ths)))
     x = "[" + ", ".join(FEATS) + "]"
     ctes = [f"""l0 AS (SELECT CAST((('0x' || substr({md5_of("'0'", 'o_orderkey')}, 1, 8))::BIGINT)
@@ -160,7 +179,7 @@ def _forest_sql() -> str:
                     f"CASE WHEN x[tf[n + 1] + 1] > tt[n + 1] THEN 1 ELSE 0 END AS n FROM {prev})")
         prev = f"l{i}"
     leaves = 2 ** FOREST_DEPTH - 1
-    return (_FEAT + ",\n" + ",\n".join(ctes) +
+    return (_DECLARED + ",\n" + ",\n".join(ctes) +
             f"\nSELECT tree, CAST(n - {leaves} AS INTEGER) AS leaf, CAST(target AS INTEGER) AS label,"
             f" count(*) AS n FROM {prev} GROUP BY ALL")
 

@@ -9,6 +9,9 @@ from privtab.operators.logreg import newton_lr, predict_grouped
 from privtab.operators.silo import ensemble_by_silo, fed_avg, fed_avg_many
 
 
+UNIT = {c: (0.0, 1.0) for c in "abc"}
+
+
 def _data(spark, n=600, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.uniform(size=(n, 3))
@@ -45,7 +48,7 @@ def test_shares_recombine_exactly(spark):
 
 def test_dp_lr_large_epsilon_close_to_noiseless(spark):
     df = _data(spark, 2000)
-    model = D.fit_dp_lr(df, ["a", "b", "c"], "y", epsilon=1e6, seed=1)
+    model = D.fit_dp_lr(D.declare(df, UNIT), "y", epsilon=1e6, seed=1)
     clipped, names = D.clip_rows(df, ["a", "b", "c"])
     ref, _ = newton_lr(clipped, names, "y", fit_intercept=False)[None]
     assert np.allclose(model["coef"], ref, atol=1e-3)
@@ -58,19 +61,64 @@ def test_dp_lr_second_branch_small_epsilon(spark):
     assert delta2 == 0.0
 
 
+def _leaf(row, feats, ths, depth):
+    node = 0
+    for _ in range(depth):
+        v = row["abc"[feats[node]]]
+        node = 2 * node + 1 + (v is not None and v > ths[node])
+    return node - (2 ** depth - 1)
+
+
 def test_dp_forest_large_epsilon_is_majority(spark):
     df = _data(spark, 800)
-    feats, ths = D.random_trees(5, 2, [(0.0, 1.0)] * 3, seed=3)
-    counts = D.forest_leaf_counts(df, ["a", "b", "c"], "y", "key", feats, ths, 2).collect()
-    labels = D.noisy_leaf_labels(counts, 5, 2, epsilon=1e9, seed=0)
+    feats, ths = D.random_trees(5, 2, 3, seed=3)
+    counts = D.forest_leaf_counts(df, ["a", "b", "c"], "y", "key", {None: (feats, ths)}, 2)
+    labels = D.label_arrays(D.noisy_leaf_labels(counts, 5, 2, [1e9], seed=0), 1, 5, 2)[None][0]
     table = {}
-    for r in counts:
+    for r in counts.collect():
         table.setdefault((r["tree"], r["leaf"]), {})[r["label"]] = r["n"]
+    assert sum(sum(c.values()) for c in table.values()) == 800
     for (t, leaf), c in table.items():
         if c.get(0, 0) != c.get(1, 0):
             assert labels[t][leaf] == max(c, key=c.get)
 
 
+def test_dp_forest_counts_and_votes_equal_a_plain_walk(spark):
+    df = _data(spark, 300).withColumn("g", (F.col("key") % 2).cast("int"))
+    df = df.withColumn("a", F.when(F.col("key") % 9 != 0, F.col("a")))  # a missing value goes left
+    model = D.fit_dp_forest(D.declare(df, UNIT), "y", "key", [5.0, 0.1], n_trees=7, depth=3, seed=1, seeds=(0, 1), group="g")
+    rows = D.declare(df, UNIT).rows.collect()
+    got = {(r["key"], r["epsilon"]): (r["predicted"], r["p"])
+           for r in D.predict_dp_forest(D.declare(df, UNIT).rows, model, prob="p").collect()}
+    assert len(got) == 600
+    for r in rows:
+        feats, ths, labels = model["forests"][r["g"]]
+        for i, e in enumerate((5.0, 0.1)):
+            votes = sum(int(labels[i, t, _leaf(r, feats[t], ths[t], 3)]) for t in range(7))
+            assert got[r["key"], e] == (int(votes / 7 >= 0.5), votes / 7)
+
+
+def test_secret_noise_differs_and_keeps_majorities(spark):
+    df = _data(spark, 400)
+    trees = {None: D.random_trees(3, 2, 3, seed=3)}
+    counts = D.forest_leaf_counts(df, ["a", "b", "c"], "y", "key", trees, 2)
+    tables = [D.label_arrays(D.noisy_leaf_labels(counts, 3, 2, [0.001] * 40, seed=s), 40, 3, 2)[None] for s in (None, None, 5, 5)]
+    assert (tables[0] != tables[1]).any() and (tables[2] == tables[3]).all()
+
+
+def test_learned_bounds_are_refused(spark):
+    df = _data(spark, 200)
+    with pytest.raises(ValueError, match="learned bounds"):
+        D.fit_dp_lr(D.learned(df, ["a", "b", "c"]), "y", epsilon=1.0, seed=1)
+    with pytest.raises(ValueError, match="learned bounds"):
+        D.fit_dp_forest(D.learned(df, ["a", "b", "c"]), "y", "key", [1.0], n_trees=2, depth=2, seed=1)
+    assert D.fit_dp_lr(D.learned(df, ["a", "b", "c"]), "y", epsilon=1.0, seed=1, non_private=True)["n"] == 200
+    with pytest.raises(ValueError, match="not below"):
+        D.declare(df, {"a": (1.0, 1.0)})
+    odd = spark.createDataFrame([(-5.0,), (3.0,), (None,), (float("nan"),), (0.5,)], "a double")
+    assert [r.a for r in D.declare(odd, {"a": (0, 2)}).rows.collect()] == [0.0, 1.0, None, None, 0.25]
+
+
 def test_grouped_fit_equals_separate_fits(spark):
     from privtab.operators.encode import minmax_by
     df = _data(spark, 900).withColumn("grp", (F.col("key") % 3).cast("int"))
@@ -97,17 +145,23 @@ def test_secret_salt_masks_recombine_exactly(spark):
     assert same.count() == 0  # salted masks are not the replayable ones
 
 
-def test_site_forest_ensemble_and_dp_forest_predict(spark):
-    from privtab.operators.silo import ensemble_rf_by_silo, fit_rf_by_silo
-    df = _data(spark, 600).withColumn("silo", (F.col("key") % 2).cast("int"))
-    models = fit_rf_by_silo(df, ["a", "b", "c"], "y", trees_per_round=3, rounds=1, max_depth=3)
-    assert sorted(models) == [0, 1]
-    pred = ensemble_rf_by_silo(df, models, ["a", "b", "c"]).collect()
-    assert len(pred) == 600 and all(0.0 <= r["prob"] <= 1.0 for r in pred)
-    assert all(r["predicted"] == (1 if r["prob"] >= 0.5 else 0) for r in pred)
-    forest = D.fit_dp_forest(df, ["a", "b", "c"], "y", "key", epsilon=1e9,
-                             bounds=[(0.0, 1.0)] * 3, n_trees=4, depth=2, seed=5)
-    scored = D.predict_dp_forest(df, forest, prob="votes").collect()
+def test_site_forests_vote_together_and_dp_forest_predicts(spark):
+    from privtab.operators import forest as FO
+    from privtab.operators.silo import rf_by_silo
+    df = _data(spark, 600).withColumn("silo", (F.col("key") % 2).cast("int")).withColumn("fed", F.lit("f"))
+    feats = ["a", "b", "c"]
+    pred = rf_by_silo(df.withColumn("seed", F.lit(1)), df, feats, "y", "key", "fed", 6).collect()
+    assert len(pred) == 600
+    x = df.withColumns({"seed": F.lit(1), "trees": F.lit(6)})
+    asked = x.drop("silo").withColumn("silo", F.explode(F.array(F.lit(0), F.lit(1))))
+    votes = {}
+    for r in FO.forest_votes(x, asked, feats, "y", "key", "silo").collect():
+        votes[tuple(r.bins)] = votes.get(tuple(r.bins), 0) + r.votes
+    cell = {r.key: tuple(r.b) for r in df.select("key", FO.bins_of(feats).alias("b")).collect()}
+    assert all(r["predicted"] == int(votes[cell[r["key"]]] * 2 >= 12 * FO.UNIT) for r in pred)
+    bounded = D.declare(df, UNIT)
+    forest = D.fit_dp_forest(bounded, "y", "key", [1e9], n_trees=4, depth=2, seed=5)
+    scored = D.predict_dp_forest(bounded.rows, forest, prob="votes").collect()
     assert {r["predicted"] for r in scored} <= {0, 1}
     assert all(r["votes"] in (0.0, 0.25, 0.5, 0.75, 1.0) for r in scored)
 
