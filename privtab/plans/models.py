@@ -129,12 +129,13 @@ def k_utility(spark, sf, ks=K_VALUES, seeds=SEEDS):
     stats = small_table(stats.select("seed", "k", *K_STATS, "skipped_reason"), "k-stats")
     runs = stats.where("skipped_reason = ''").select("seed", "k")
     ks_col = F.explode(F.array(*[F.lit(k) for k in grid]))
-    kept = (K.with_class_size(train, K_QIS, by=["seed"]).withColumn("k", ks_col)
-            .where((F.col("k") <= 1) | (F.col("class_size") >= F.col("k"))).join(runs, ["seed", "k"], "left_semi"))
+    raw = materialize(K.with_class_size(train, K_QIS, by=["seed"]).withColumn("k", ks_col)
+                      .where((F.col("k") <= 1) | (F.col("class_size") >= F.col("k")))
+                      .join(runs, ["seed", "k"], "left_semi"))
     grp = F.format_string("%d:%d", "seed", "k")
-    kept = materialize(balanced_weights(minmax_by(kept, ORD_FEATS, ["seed", "k"]), "target", by=["seed", "k"])
+    kept = materialize(balanced_weights(minmax_by(raw, ORD_FEATS, ["seed", "k"]), "target", by=["seed", "k"])
                        .withColumns({"grp": grp, "trees": F.lit(TREES)}))
-    tests = materialize(minmax_by(test.withColumn("k", ks_col), ORD_FEATS, ["seed", "k"], fit_on=kept)
+    tests = materialize(minmax_by(test.withColumn("k", ks_col), ORD_FEATS, ["seed", "k"], fit_on=raw)
                         .withColumns({"grp": grp, "trees": F.lit(TREES)}))
     fits = newton_lr(kept, ORD_FEATS, "target", weight="weight", group="grp")
     lr = predict_grouped(tests, fits, ORD_FEATS, "grp").withColumn("family", F.lit("Logistic Regression"))
