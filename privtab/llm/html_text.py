@@ -3,15 +3,22 @@
 The standard library's parser sends events as it reads the page.  Each block
 element's text is a line with its number of tags; lines inside parts that say
 what they are (navigation, footers, forms, scripts, adverts, comments ...) are
-set aside.  The text-to-tag ratios of the others are smoothed with a Gaussian
-and split at a threshold found by clustering (two means); lines above it are
-content lines.  A class, id or role names a part by a whole token or its last
-word (``site-footer``, but not ``has-sidebar`` or ``search-result``), and not if
-the part holds most of the page's content lines and no article or main element
-stands outside it.  The region is the deepest
-element that holds every content line, widened to the article or main element
-around it, and to the page's only headline.  All lines of the region are the main text, so short
-paragraphs and headings between long ones stay.
+set aside.  The logarithms of the others' text-to-tag ratios are smoothed with
+a Gaussian and split at a threshold found by clustering (two means, from a
+link's ratio and the median of the upper half); a ratio of prose is always
+content, so one long line cannot be the only content.
+
+A class, id or role names a part by any word of a token that says so
+(``comment-list``, ``ad-container``, ``cookie-notice-bar``; a few words only as
+a whole token or at its end), but not after a state (``has-sidebar``), and not
+if the part holds most of the page's content lines and no article or main
+element stands outside it.
+
+The main text is the article element that holds most content, if it holds more
+than stands outside of articles; else the deepest element that holds every
+content line outside of articles (of all, if there are none), widened to the
+main element around it and to the page's only headline.  All lines of that
+region stay, so do short paragraphs and headings between long ones.
 
 Cases: a null or empty page gives an empty text; a page cut off anywhere is
 read up to there (an unfinished tag is no text); unclosed elements end with
@@ -44,21 +51,28 @@ ENDED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "d
 #: Elements that never hold main text.
 NOISE = frozenset("""head title script style noscript template svg math canvas iframe object nav footer aside form
     button select textarea input label dialog menu audio video map""".split())
-#: Words of a class, id or role that name a part around the main text.
-NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion
-    sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice
-    alert popup modal overlay newsletter subscribe subscription signup login share sharing social related
-    recommended comment comments commentlist reply replies disqus respond widget toolbar pagination pager search
-    skip contentinfo complementary dialog menubar""".split())
-HOLDERS = frozenset("html body main article".split())
+#: Words of a class, id or role that name a part around the main text ...
+NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsbygoogle adsense
+    banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead
+    cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share
+    sharing social related recommended comment comments commentlist reply replies disqus respond widget toolbar
+    pagination pager skip contentinfo complementary dialog menubar""".split())
+#: ... and those that do so only as a whole token or as its last word.
+LAST_WORDS = frozenset("header search".split())
+#: A header of one of these belongs to the text.
+OWN_HEADER = frozenset("article post entry story content".split())
+HOLDERS = frozenset("html body main".split())
 #: First words of a class that say what a part has or lacks.
-STATES = frozenset("has no with without is show hide enable disable".split())
+STATES = frozenset("has no not with without is show hide enable disable".split())
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: A tag or reference that the end of the page cuts off.
 _CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 SIGMA = 1.0
+#: Characters a tag of a typical link, and of prose.
+LINK_RATIO, PROSE_RATIO = 10, 80
 #: A named part with this share of the content text is main text, and at the lower
 #: share if it has a headline, article or main element.
 MOST, HALF = 0.9, 0.5
@@ -94,6 +108,18 @@ class _Events(HTMLParser):
                 self.end_line()
             self.pop()
 
+    def names_noise(self, value, inside):
+        """Does a class, id or role call the part noise?"""
+        for token in value.split():
+            words = _WORD.findall(_CAMEL.sub("-", token).lower())
+            if not words or words[0] in STATES:
+                continue
+            if NOISE_WORDS.intersection(words):
+                return True
+            if words[-1] in LAST_WORDS and not (words[-1] == "header" and (inside or OWN_HEADER.intersection(words))):
+                return True
+        return False
+
     def is_noise(self, tag, attrs):
         if tag in NOISE:
             return True
@@ -108,10 +134,7 @@ class _Events(HTMLParser):
             if not value:
                 continue
             if key in ("class", "id", "role"):
-                words = {w[-1] for w in map(_WORD.findall, value.lower().split()) if w and w[0] not in STATES}
-                words &= NOISE_WORDS
-                if words and not (inside and words == {"header"}):
-                    self.called = True
+                self.called = self.called or self.names_noise(value, inside)
             elif key == "style" and _HIDDEN.search(value.lower()):
                 return True
         return False
@@ -165,8 +188,9 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """Midpoint between two means (started at the extremes)."""
-    low, high = float(values.min()), float(values.max())
+    """Midpoint between two means of log ratios, at most the ratio of prose."""
+    upper = np.sort(values)[len(values) // 2:]
+    low, high = float(np.log1p(LINK_RATIO)), float(np.median(upper))
     for _ in range(32):
         cut = (low + high) / 2
         above = values > cut
@@ -176,13 +200,14 @@ def threshold(values: np.ndarray) -> float:
         if (a, b) == (low, high):
             break
         low, high = a, b
-    return (low + high) / 2
+    return min((low + high) / 2, float(np.log1p(PROSE_RATIO)))
 
 
 def content_lines(lines: list) -> np.ndarray:
-    """Which lines have a high smoothed text-to-tag ratio."""
-    smooth = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
-    return smooth >= threshold(smooth)
+    """Which lines have a high smoothed text-to-tag ratio; all, if none has."""
+    smooth = smoothed(np.log1p([len(text) / max(1, tags) for text, tags, _ in lines]))
+    chosen = smooth >= threshold(smooth)
+    return chosen if chosen.any() else ~chosen
 
 
 def without_named(events: _Events) -> list:
@@ -216,13 +241,23 @@ def main_text(html: str | None) -> str:
     lines = without_named(events)
     if not lines:
         return ""
-    # the deepest element with all of the content; elements are numbered in page order
-    region = max(set.intersection(*(set(path) for (_, _, path), chosen in zip(lines, content_lines(lines)) if chosen)),
-                 default=0)
+    chosen = content_lines(lines)
+    # content of each outermost article, and outside of articles; elements are numbered in page order
+    articles, outside = {}, 0
+    for (text, _, path), content in zip(lines, chosen):
+        article = next((e for e in path if events.names[e] == "article"), None)
+        if article is not None:
+            articles[article] = articles.get(article, 0) + len(text) * bool(content)
+        else:
+            outside += len(text) * bool(content)
+    best = max(articles, key=lambda e: (articles[e], -e), default=None)
+    if best is not None and articles[best] >= outside:
+        return "\n".join(text for text, _, p in lines if best in p)
+    core = [path for (_, _, path), content in zip(lines, chosen) if content and not articles.keys() & set(path)]
+    region = max(set.intersection(*map(set, core)), default=0)
     path = next((p for _, _, p in lines if region in p), ())
     path = path[:path.index(region) + 1] if region else ()
-    holder = next((e for e in path if events.names[e] == "article"),
-                  next((e for e in path if events.names[e] == "main"), None))
+    holder = next((e for e in path if events.names[e] == "main"), None)
     if holder is not None:
         region = holder
     elif region:
