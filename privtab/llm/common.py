@@ -25,8 +25,9 @@ from privtab.session import checkpoint_dir
 #: Words gathered into one block before it is dealt out; bounds a task's memory
 #: (a single longer document still makes one block).
 BLOCK_WORDS = 500_000
-#: Text bytes that one bucket or cell should stand for.
-BUCKET_BYTES = 64 << 20
+#: Text bytes that one bucket or cell may stand for: a full one takes a task of
+#: the language model about 400 MB, one of the repeated windows about 250 MB.
+BUCKET_BYTES = 8 << 20
 #: Least number of buckets; a power of two, as all counts of buckets are.
 LEAST_BUCKETS = 256
 

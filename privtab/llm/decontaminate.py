@@ -3,15 +3,19 @@
 A window is ``width`` (10) consecutive item words; an item of fewer words is
 one window.  Fingerprints are k-gram hashes: of every w consecutive k-grams the
 smallest is kept (the leftmost of equal ones), with w + k - 1 no longer than
-the shortest window, so every shared window leaves a shared fingerprint.
+the window, so every shared window leaves a shared fingerprint.  Each window
+length that occurs is winnowed by itself (at most ``width`` of them), so a
+short item does not change what longer ones look like.
 Fingerprints of documents and items are joined in Spark (the benchmark side is
 broadcast only if Spark finds it below its broadcast limit); the hits are
 extended on the whole text: each window of the candidate items is looked up by
 its Rabin-Karp value among the document's windows.
 
-Cases: a null or empty text or item has no words; an item with a null id is
-left out; rows that share a doc_id are told apart by a hash of their text;
-equal rows get equal results.  Other columns ride in a struct.
+Cases: a null or empty text or item has no words; an item with a null id counts
+as one item of that id and adds nothing to the list of ids; a document with a
+null id is judged as any other (it is told by a hash of its text); rows that
+share a doc_id are told apart by that hash too; equal rows get equal results.
+Other columns ride in a struct.
 """
 
 from __future__ import annotations
@@ -45,12 +49,20 @@ def winnow(counts: np.ndarray, hashes: np.ndarray, gram: int, window: int):
     return doc[change], least[change]
 
 
-def _fingerprints(gram: int, window: int):
+def _fingerprints(width: int, gram: int, spans: list[int], own: bool):
+    """(doc, sig, print) for every window length in ``spans``; with ``own``
+    only of texts whose window has that length."""
     def run(batches):
-        for (ids, sigs), counts, hashes in C.token_blocks(batches, C.words_alnum, columns=("doc_id", "sig")):
-            doc, prints = winnow(counts, hashes, gram, window)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(sigs[doc]), pa.array(prints.view(np.int64))],
-                                             names=["doc_id", "sig", "print"])
+        for (ids, sigs), counts, hashes in C.token_blocks(batches, C.words_alnum, columns=("doc", "sig")):
+            for span in spans:
+                k = min(gram, span)
+                doc, prints = winnow(counts, hashes, k, span - k + 1)
+                if own:
+                    mine = np.minimum(counts, width)[doc] == span
+                    doc, prints = doc[mine], prints[mine]
+                prints = prints ^ np.uint64(span * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(sigs[doc]), pa.array(prints.view(np.int64))],
+                                                 names=["doc", "sig", "print"])
 
     return run
 
@@ -72,7 +84,7 @@ def _extend(width: int, schema: pa.Schema):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             found = batch.column("found")
-            n_words, n_hit, items, begins, ends = [], [], [], [], []
+            n_words, n_hit, n_items, items, begins, ends = [], [], [], [], [], []
             for i in range(batch.num_rows):
                 words = C.words_alnum(texts[i].as_py() or b"")
                 n_words.append(len(words))
@@ -99,8 +111,9 @@ def _extend(width: int, schema: pa.Schema):
                 n_hit.append(int((end - begin).sum()))
                 begins.append(begin)
                 ends.append(end)
-                items.append(sorted(str(h) for h in set(hits)))
-            made = {"n_words": n_words, "n_hit": n_hit, "n_items": [len(x) for x in items], "items": items,
+                n_items.append(len(set(hits)))
+                items.append(sorted(str(h) for h in set(hits) if h is not None))
+            made = {"n_words": n_words, "n_hit": n_hit, "n_items": n_items, "items": items,
                     "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
                     "contaminated": [h > 0 for h in n_hit], "begins": begins, "ends": ends}
             yield pa.RecordBatch.from_arrays(
@@ -119,31 +132,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.xxhash64(F.col(text_col).cast("string")).alias("sig"), C.carried(carry))
     items = (benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-             .filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-             .withColumn("doc_id", F.xxhash64("item_id", "text")).withColumn("sig", F.lit(0).cast("long")))
-
-    # the shortest window any item has decides the span that fingerprints must guarantee
-    def count_words(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                n = len(C.words_alnum((batch.column(0)[i].as_py() or "").encode()))
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    shortest = (items.select("text").mapInArrow(count_words, "n long").filter("n > 0")
-                .agg(F.min("n")).first()[0])
-    span = min(width, shortest or width)
-    gram = min(gram, span)
-    prints = "doc_id long, sig long, print long"
-    ours = (items.filter("text IS NOT NULL").select("doc_id", "sig", "text")
-            .mapInArrow(_fingerprints(gram, span - gram + 1), prints)
-            .select(F.col("doc_id").alias("item"), "print").distinct())
-    theirs = (base.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "sig", "text")
-              .mapInArrow(_fingerprints(gram, span - gram + 1), prints))
-    met = theirs.join(ours, "print").select("doc_id", "sig", "item").distinct()
-    found = (met.join(items.select(F.col("doc_id").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
-             .groupBy(F.col("doc_id").alias("k"), F.col("sig").alias("s"))
+             .filter("text IS NOT NULL").distinct()
+             .withColumn("doc", F.xxhash64("item_id", "text")).withColumn("sig", F.lit(0).cast("long")))
+    # what tells rows apart: the id, or the text's hash where there is none
+    base = base.withColumn("doc", F.coalesce("doc_id", "sig"))
+
+    def window_lengths(batches):
+        found = {min(width, len(C.words_alnum((text or "").encode())))
+                 for batch in batches for text in batch.column(0).to_pylist()}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["n"])
+
+    # at most ``width`` lengths
+    spans = sorted(r["n"] for r in items.select("text").mapInArrow(window_lengths, "n long").filter("n > 0").distinct().collect())
+    prints = "doc long, sig long, print long"
+    ours = (items.select("doc", "sig", "text").mapInArrow(_fingerprints(width, gram, spans, True), prints)
+            .select(F.col("doc").alias("item"), "print").distinct())
+    theirs = (base.filter("text IS NOT NULL").select("doc", "sig", "text")
+              .mapInArrow(_fingerprints(width, gram, spans, False), prints))
+    met = theirs.join(ours, "print").select("doc", "sig", "item").distinct()
+    found = (met.join(items.select(F.col("doc").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
+             .groupBy(F.col("doc").alias("k"), F.col("sig").alias("s"))
              .agg(F.collect_list(F.struct("item_id", "item_text")).alias("found")))
-    whole = (base.join(found, (F.col("doc_id") == F.col("k")) & (F.col("sig") == F.col("s")), "left")
+    whole = (base.join(found, (F.col("doc") == F.col("k")) & (F.col("sig") == F.col("s")), "left")
              .select("doc_id", "text", "carry", "found"))
     kind = StructType(C.row_type(whole, "doc_id", "text", "carry").fields + StructType.fromDDL(
         "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, "

@@ -228,8 +228,9 @@ def fit(train: DataFrame) -> Model:
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
     # about SAMPLE texts per language: those whose hash falls under the language's share
     sizes = train.groupBy("lang").count().collect()  # a row per language, as the model has
-    limit = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, (SAMPLE << 20) // n)]) if sizes else None
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    # (a share of 2^52, so it is no less than SAMPLE texts of any number of them)
+    limit = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, (SAMPLE << 52) // n)]) if sizes else None
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
     sample = train.filter(spot < limit[F.col("lang")] if sizes else F.lit(False)).select("lang", "text")
     rows = (sample.mapInArrow(_vectors(idf), "lang string, vector binary, length int, passage string")
             .groupBy("lang").applyInPandas(_cluster(idf), "lang string, centroid binary, limits array<double>").collect())

@@ -158,7 +158,7 @@ def test_decontamination(spark, docs, rows):
         w = cut(t)
         n = min(10, len(w))
         for a in range(len(w) - n + 1):
-            if n and i is not None:
+            if n:
                 windows[tuple(w[a:a + n])].add(i)
     got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, carry=("sig",)).collect()}
     for i, t in rows:
@@ -169,12 +169,59 @@ def test_decontamination(spark, docs, rows):
                 if tuple(w[a:a + n]) in windows:
                     hits |= windows[tuple(w[a:a + n])]
                     cover[a:a + n] = [True] * n
-        names = ",".join(sorted(map(str, hits)))
+        names = ",".join(sorted(str(h) for h in hits if h is not None))
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), sum(cover), len(hits), any(cover))
         assert r.items_sha256 == hashlib.sha256(names.encode()).hexdigest()
 
 
+def test_documents_and_items_without_ids(spark):
+    """Judged as others are; a short item changes nothing for long ones."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, f"x {text} y"), (None, f"x {text} y"), (None, "clean words only here"), (None, None), (6, "zebra"), (6, "none")]
+    items = [(None, text), (3, text + " thirteen"), (3, "zebra"), (4, None), (None, None), (8, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.items, r.contaminated)
+           for r in decontaminate.contamination(docs, bench).collect()}
+    assert got[5, 14] == got[None, 14] == (12, 2, ["3"], True)
+    assert got[None, 4] == (0, 0, [], False) and got[None, 0] == (0, 0, [], False)
+    assert len(got) == 5 and got[6, 1] in ((1, 1, ["3"], True), (0, 0, [], False))
+    spans = [s for s in (1, 3, 10)]
+    hashes = decontaminate.C.word_hashes(decontaminate.C.words_alnum(text.encode()))
+    alone = decontaminate.winnow(np.array([len(hashes)]), hashes, 6, 5)[1]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["doc", "sig", "text"])
+    def made(spans):
+        return [b.column("print").to_pylist() for b in decontaminate._fingerprints(10, 6, spans, False)(iter([batch]))]
+    assert made(spans)[-1] == made([10])[0] and len(made([10])[0]) == len(alone)
+
+
+def test_a_full_bucket_fits_a_task():
+    """A bucket of BUCKET_BYTES of text, all of its windows different."""
+    from privtab.llm import common
+    rng = np.random.default_rng(1)
+    words = common.BUCKET_BYTES // 6
+    rows = []
+    for part in range(4):
+        n = words // 4
+        ids = np.sort(rng.integers(0, 1 << 40, n // 300 + 1))[np.arange(n) // 300]
+        rows.append((0, False, *substrings._pack(ids, np.zeros(n, np.uint16), (np.arange(n) % 300).astype(np.int64)),
+                     common.squeeze(rng.integers(0, 1 << 63, n).astype(np.uint64))))
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), substrings._REQUEST)], schema=substrings._REQUEST)
+    tracemalloc.start()
+    out = substrings._answers(256)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 0 and peak < 400 << 20
+
+
+def test_a_sample_of_any_language():
+    """The share that is learned from does not vanish however many texts there are."""
+    for n in (1, 10**6, 1_048_576_001, 10**13):
+        limit = (langid.SAMPLE << 52) // n
+        assert 0 < limit < 1 << 63 and (n < langid.SAMPLE or limit * n // (1 << 52) in (langid.SAMPLE, langid.SAMPLE - 1))
+
+
 def test_bpe_equals_the_library(spark, rows):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(VOCABULARY)

@@ -82,9 +82,49 @@ def test_run_equals_the_stages(spark, stages):
         i: r.ids_sha256 for i, r in stages[5].items()}
 
 
+def awkward(spark):
+    """Null ids, texts and languages, repeated rows, empty texts, clashing extra columns."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).collect()[:60]]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").collect()[0].text
+    long = next(r for r in rows if len(r[1] or "") > 400)
+    rows += [(None, long[1], None, None, None), (None, long[1], "en", "s", 5), (None, None, "en", "s", None), (9001, None, None, None, None),
+             (9002, "", "en", "s", 0), (9003, " \t\n", "en", "s", 3), long, long, (None, f"{long[1]} {item}", "en", "s", 1),
+             (9004, f"{long[1][:300]} {item}", "en", "s", 1)]
+    named = "doc_id long, text string, lang string, source string, n_chars long, sig string, node int, carry string, doc int"
+    return spark.createDataFrame([(*r, "x", 1, "c", 2) for r in rows], named).repartition(4), item
+
+
+def test_stages_take_awkward_rows(spark):
+    docs, item = awkward(spark)
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.common.stored(stage(spark, docs, SF), name)
+        rows = docs.collect()
+        sizes.append(len(rows))
+        if name == "language_id":
+            assert all(r.text for r in rows) and {9001, 9002, 9003}.isdisjoint({r.doc_id for r in rows})
+            assert sum(r.doc_id is None for r in rows) == 3
+        elif name == "near_duplicates":
+            ids = [(r.doc_id, r.text) for r in rows if r.doc_id is not None]
+            assert len(set(ids)) == len(ids) and sum(r.doc_id is None for r in rows) == 3
+        elif name == "decontamination":
+            assert all(item not in r.text for r in rows)
+            assert sum(r.doc_id is None for r in rows) == 2 and 9004 not in {r.doc_id for r in rows}
+        elif name == "bpe_tokens":
+            assert all(r.n_tokens == len(r.ids) for r in rows)
+    assert all(a >= b > 0 for a, b in zip(sizes, sizes[1:]))
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.common.stored(stage(spark, docs, SF), name)
+        assert docs.count() == 0
+
+
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
 
 
 def test_language_model_is_small():
