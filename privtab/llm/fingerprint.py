@@ -200,7 +200,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = max(C.text_bytes(base) // (16 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = C.zipped_texts(base.withColumn("tie", F.xxhash64("text")))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie").asc()]
-    ordered = packed.repartitionByRange(parts, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
+    ordered = packed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows = C.stored(ordered.select("doc_id", "text").mapInArrow(_along, _ROW_DDL + ", part int, role string, text binary"), "prints")
     # one number per partition comes to the driver
     filled = sorted(r[0] for r in rows.filter("role = 'first'").select("part").collect())

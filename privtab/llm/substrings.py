@@ -214,7 +214,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = (base.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", sig.alias("sig"), "text")
              .mapInArrow(_requests(width, buckets), _REQUEST_DDL))
     hits = asked.groupBy("bucket").applyInArrow(_answers(buckets), _HIT_DDL)
-    whole = base.select("doc_id", sig.alias("sig"), "carry", "text", C.cell_of(F.col("doc_id"), buckets).alias("cell"))
+    # rows without an id have no hits, so any cell will do: by text, that they do not gather in one
+    place = F.coalesce("doc_id", F.xxhash64("text"))
+    whole = base.select("doc_id", sig.alias("sig"), "carry", "text", C.cell_of(place, buckets).alias("cell"))
     packed = C.zipped_texts(whole)
     kind = C.row_type(whole, "doc_id", "carry")
     extra = "n_words long, n_removed long, begins array<int>, ends array<int>, kept_sha256 string"
