@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from privtab.functions.exprs import mean_std_text, round_fixed, round_half_up_ratio
-from privtab.functions.labels import epsilon_of, k_of
+from privtab.functions.labels import epsilon_of, k_of, mean_of, std_of
 
 # K order of the published k-anonymity reports.
 K_ORDER = [2, 5, 10, 20, 50, 100]
@@ -54,6 +54,20 @@ def display_table(summary: DataFrame, keys: Sequence[str], metrics: Sequence[str
                       na_text).alias(m) for m in metrics])
 
 
+def fill_mean_std(df: DataFrame, metrics: Sequence[str], name: str = "{metric}_{stat}") -> DataFrame:
+    """mean and std columns that a report lacks, from its ``mean ± std``
+    texts (std 0 without ``±``, both NULL where the text is no number); columns
+    that are there stay, metrics without a text column are left out."""
+    have, out = set(df.columns), {}
+    for m in metrics:
+        mean, std = name.format(metric=m, stat="mean"), name.format(metric=m, stat="std")
+        if mean not in have and m in have:
+            value = mean_of(F.col(m).cast("string"))
+            out[mean] = value
+            out[std] = F.when(value.isNotNull(), std_of(F.col(m).cast("string")))
+    return df.withColumns(out) if out else df
+
+
 def class_distribution(df: DataFrame, target: str, labels: Mapping | None = None) -> DataFrame:
     """A4: count and percentage (2 places) per class, with readable labels."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("count"))

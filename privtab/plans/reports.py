@@ -78,6 +78,11 @@ def display_table(spark, sf):
     return R.display_table(summary_rounded(spark, sf), ["model", "setting"], M.METRICS)
 
 
+def filled_summary(spark, sf):
+    """mean and std columns filled from the display table's texts."""
+    return R.fill_mean_std(display_table(spark, sf), [*M.METRICS, "runtime"])
+
+
 def labels_and_order(spark, sf):
     """F1-F5, F7, F9, F10, W3-W6 over the display table."""
     d = display_table(spark, sf)
@@ -119,6 +124,7 @@ QUERIES = {
     "summary_rounded": summary_rounded,
     "main_results": main_results,
     "display_table": display_table,
+    "filled_summary": filled_summary,
     "labels_and_order": labels_and_order,
     "tradeoff_table": tradeoff_table,
 }
@@ -187,6 +193,10 @@ ORACLES = {
                      + ", ".join(f"{_text(m)} AS {m}" for m in M.METRICS)
                      + f" FROM ({_summary_sql(4)})",
 }
+ORACLES["filled_summary"] = "SELECT *, " + ", ".join(
+    f"TRY_CAST(trim(split_part({m}, '±', 1)) AS DOUBLE) AS {m}_mean, CASE WHEN TRY_CAST(trim(split_part({m}, '±', 1)) AS DOUBLE) "
+    f"IS NOT NULL THEN CASE WHEN contains({m}, '±') THEN TRY_CAST(trim(split_part({m}, '±', 2)) AS DOUBLE) ELSE 0.0 END END AS {m}_std"
+    for m in M.METRICS) + f" FROM ({ORACLES['display_table']})"
 ORACLES["labels_and_order"] = f"""{_RUNS},
 disp AS (SELECT model, setting, {_text('accuracy')} AS accuracy FROM ({_summary_sql(4)}))
 SELECT model, setting, {_SHORT} AS model_short, {_SSET} AS setting_short,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from privtab.functions import labels as L
 from privtab.functions.exprs import recode, round_fixed
 from privtab.operators import dp as D
 from privtab.operators import masked as MK
@@ -85,6 +86,13 @@ def hidden_vs_plain(spark, sf):
     return M.evaluate(plain.unionByName(hid), ["method"])
 
 
+def method_settings(spark, sf):
+    """runs that name a method only get their model and setting from it."""
+    runs = hidden_vs_plain(spark, sf).withColumn("model", F.lit(None).cast("string"))
+    runs = runs.withColumn("model", L.model_from_method("model", "method"))
+    return runs.withColumn("setting", L.setting_from_model("model"))
+
+
 def ensemble_mean(spark, sf):
     e = _ensemble_mean(features(spark, sf), ENSEMBLE)
     return e.select("o_orderkey", round_fixed("prob", 10).alias("prob"), "label")
@@ -101,6 +109,7 @@ QUERIES = {
     "linear_score": linear_score,
     "hidden_score": hidden_score,
     "hidden_vs_plain": hidden_vs_plain,
+    "method_settings": method_settings,
     "ensemble_mean": ensemble_mean,
     "dp_forest_counts": dp_forest_counts,
 }
@@ -226,3 +235,5 @@ SELECT method,
    coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) AS precision,
    coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) AS recall
 FROM cells"""
+ORACLES["method_settings"] = f"""SELECT *, method AS model, CASE WHEN contains(method, 'HE') THEN 'Encrypted Inference'
+  ELSE 'Baseline' END AS setting FROM ({ORACLES['hidden_vs_plain']})"""

@@ -1,12 +1,14 @@
 from privtab.sources.tables import (
+    accepted,
     existing,
     load,
     profile,
     read_first,
     read_table,
+    refused,
     resolve_target,
     write_table,
 )
 
-__all__ = ["existing", "load", "profile", "read_first", "read_table",
-           "resolve_target", "write_table"]
+__all__ = ["accepted", "existing", "load", "profile", "read_first", "read_table",
+           "refused", "resolve_target", "write_table"]

@@ -7,7 +7,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from privtab.operators.clean import nan_to_null
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,25 +17,56 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
-               fmt: str | None = None, null_values: str | None = None) -> DataFrame:
-    """Read a headered CSV or a Parquet table.
+#: CSV that any column type comes back from as it was written: quotes doubled,
+#: blanks kept, NULL an empty field and an empty text a pair of quotes.
+CSV = {"header": "true", "quote": '"', "escape": '"', "nullValue": "",
+       "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+       "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+       "positiveInf": "Infinity", "negativeInf": "-Infinity"}
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | None = None, fmt: str | None = None,
+               null_values: str | None = None, corrupt: str | None = None, multi_line: bool = False,
+               keep_nan: bool = False) -> DataFrame:
+    """Read a headered CSV or a Parquet table; NaN becomes NULL
+    unless ``keep_nan``.
 
     Pass ``schema`` for CSV in production: inference costs a full extra scan.
+    With a schema, a row that does not fit it stops the read, unless ``corrupt``
+    names a column that takes the text of such rows (their other fields that do
+    not fit are NULL; see ``accepted``).  ``multi_line``: fields may hold line
+    breaks; files are then not split, so only for files of bounded size.
     """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(path)
-    reader = spark.read.option("header", "true")
+        df = reader.parquet(path)
+        return df if keep_nan else nan_to_null(df)
+    reader = spark.read.options(**CSV).option("multiLine", str(multi_line).lower())
     if null_values is not None:
         reader = reader.option("nullValue", null_values)
     if schema is None:
         reader = reader.option("inferSchema", "true")
+    elif corrupt is None:
+        reader = reader.schema(schema).option("mode", "FAILFAST")
     else:
-        reader = reader.schema(schema)
-    # Spark parses "NaN" in double columns to NaN; to_null_nan turns it to NULL.
-    return reader.csv(path)
+        if corrupt in schema.fieldNames():
+            raise ValueError(f"{corrupt} is a column of the schema")
+        reader = (reader.schema(StructType([*schema.fields, StructField(corrupt, StringType())]))
+                  .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).option("enforceSchema", "true"))
+    df = reader.csv(path)
+    return df if keep_nan else nan_to_null(df)
+
+
+def accepted(df: DataFrame, corrupt: str) -> DataFrame:
+    """The rows that fitted their schema, without the channel of the others."""
+    return df.where(F.col(corrupt).isNull()).drop(corrupt)
+
+
+def refused(df: DataFrame, corrupt: str) -> DataFrame:
+    """The text of the rows that did not; every column is named, as Spark
+    refuses to read that channel alone."""
+    return df.where(F.col(corrupt).isNotNull())
 
 
 def read_first(spark: SparkSession, paths: Sequence[str], **kwargs) -> DataFrame:
@@ -52,11 +85,12 @@ def read_first(spark: SparkSession, paths: Sequence[str], **kwargs) -> DataFrame
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 mode: str = "overwrite", single_file: bool = False) -> None:
-    """S3: write a table.  ``single_file`` only for small report tables."""
+    """S3: write a table; a CSV reads back as it was with ``read_table`` and its
+    schema.  ``single_file`` only for small report tables."""
     out = df.coalesce(1) if single_file else df
     writer = out.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", "true").csv(path)
+        writer.options(**CSV).csv(path)
     else:
         writer.format(fmt).save(path)
 

@@ -77,3 +77,21 @@ def test_baseline_of_the_own_technique(spark):
     out = R.with_baseline(df, "model", "setting", ["accuracy"], by=["technique"])
     got = {r["technique"]: r["base_accuracy"] for r in out.collect()}
     assert got == {"DP": 0.7, "HE": 0.9}
+
+
+def test_mean_and_std_are_filled_from_text(spark):
+    from privtab.operators.report import fill_mean_std
+    rows = [("a", "0.91 ± 0.02", "0.5", 7.0), ("b", "n/a", None, 8.0), ("c", "1 ± x", "0.25 ± 0", 9.0)]
+    df = spark.createDataFrame(rows, "model string, accuracy string, f1 string, recall_mean double").withColumn("recall", F.lit("1 ± 1"))
+    got = {r.model: r for r in fill_mean_std(df, ["accuracy", "f1", "recall", "precision"]).collect()}
+    assert (got["a"].accuracy_mean, got["a"].accuracy_std, got["a"].f1_mean, got["a"].f1_std) == (0.91, 0.02, 0.5, 0.0)
+    assert (got["b"].accuracy_mean, got["b"].accuracy_std, got["b"].f1_mean, got["b"].f1_std) == (None,) * 4
+    assert got["c"].accuracy_std is None and got["c"].f1_mean == 0.25 and got["c"].recall_mean == 9.0
+    assert not {"precision_mean", "recall_std"} & set(got["a"].asDict())
+
+
+def test_model_from_method(spark):
+    from privtab.functions.labels import model_from_method, setting_from_model
+    df = spark.createDataFrame([("M", "x"), (None, "HE y"), (None, None)], "model string, method string")
+    got = df.select(model_from_method("model", "method").alias("m"), setting_from_model(model_from_method("model", "method")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [("M", "Baseline"), ("HE y", "Encrypted Inference"), (None, "Baseline")]
