@@ -19,7 +19,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: CSV that any column type comes back from as it was written: quotes doubled,
 #: blanks kept, NULL an empty field and an empty text a pair of quotes.
-CSV = {"header": "true", "quote": '"', "escape": '"', "nullValue": "",
+CSV = {"header": "true", "quote": '"', "escape": '"',
        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
        "positiveInf": "Infinity", "negativeInf": "-Infinity"}
@@ -42,7 +42,9 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
         reader = spark.read if schema is None else spark.read.schema(schema)
         df = reader.parquet(path)
         return df if keep_nan else nan_to_null(df)
-    reader = spark.read.options(**CSV).option("multiLine", str(multi_line).lower())
+    # a field without quotes that is empty reads as NULL whatever the null text is;
+    # one that no table holds keeps a pair of quotes an empty text
+    reader = spark.read.options(**CSV).option("multiLine", str(multi_line).lower()).option("nullValue", "\0NULL")
     if null_values is not None:
         reader = reader.option("nullValue", null_values)
     if schema is None:
