@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from privtab.functions.hashing import hash_bucket, hash_hex
 from privtab.session import small_table, stored
@@ -81,22 +83,53 @@ def bagged_cells(train: DataFrame, asked: DataFrame, features: Sequence[str], la
         return F.when(F.col("balanced"), F.coalesce(even, F.lit(0.0))).otherwise(F.lit(1.0))
 
     weights = small_table(sums.select(F.col("grp").alias("g"), weight("t0").alias("w0"), weight("t1").alias("w1")), "weights")
-    tree = F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree")
-    table = F.array(*[F.lit(d) for d in DRAWS])
-    drawn = F.element_at(table, (F.floor(draw(F.col("seed"), F.col("tree"), F.col("bucket")) / 1024) % 16 + 1).cast("int"))
-    bagged = (counts.select("grp", "seed", "bins", "bucket", "n0", "n1", tree).withColumn("w", drawn).filter("w > 0")
-              .select("grp", "seed", "tree", "bins", (F.col("w") * F.col("n0")).alias("c0"),
-                      (F.col("w") * F.col("n1")).alias("c1"), F.lit(0).alias("asked")))
+    cell = ["grp", "seed", "trees", "bins"]
+    held = counts.select(*cell, F.struct("bucket", "n0", "n1").alias("h"), F.lit(0).alias("asked"))
     wanted = (asked.select(F.col(group).alias("grp"), F.col("seed").cast("long").alias("seed"),
                            F.col("trees").cast("int").alias("trees"), bins_of(features, bins).alias("bins")).distinct()
-              .select("grp", "seed", tree, "bins", F.lit(0).cast("long").alias("c0"), F.lit(0).cast("long").alias("c1"),
-                      F.lit(1).alias("asked")))
-    cells = bagged.unionByName(wanted).groupBy("grp", "seed", "tree", "bins").agg(
-        F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.max("asked").alias("asked"))
+              .select(*cell, F.lit(None).cast(held.schema["h"].dataType).alias("h"), F.lit(1).alias("asked")))
+    # at most BUCKETS entries in a list
+    each = held.unionByName(wanted).groupBy(*cell).agg(F.collect_list("h").alias("held"), F.max("asked").alias("asked"))
+    kind = StructType([each.schema["grp"], *StructType.fromDDL(
+        "seed long, tree int, bins array<int>, c0 long, c1 long, asked int").fields])
+    cells = each.mapInArrow(_bagged(to_arrow_schema(kind)), kind)
     return (cells.join(weights, F.col("grp").eqNullSafe(F.col("g"))).drop("g")
             .withColumns({"node": F.lit(1).cast("long"), "depth": F.lit(0)}))
 
 
+def _bagged(schema: pa.Schema):
+    """A cell's counts by bucket to its counts in every tree: a matrix product
+    with the trees' bucket weights.  Trees that miss an unasked cell are left out."""
+    def run(batches):
+        for batch in batches:
+            held = batch.column("held")
+            ends = held.offsets.to_numpy().astype(np.int64)
+            bucket, n0, n1 = (held.values.field(k).to_numpy().astype(np.int64) for k in range(3))
+            seeds, trees = batch.column("seed").to_numpy(), batch.column("trees").to_numpy()
+            asked = batch.column("asked").to_numpy() == 1
+            for seed, many in sorted(set(zip(seeds.tolist(), trees.tolist()))):
+                w = np.asarray(DRAWS, float)[draw(seed, np.arange(many)[None, :], np.arange(BUCKETS)[:, None]) // 1024 % 16]
+                mine = np.flatnonzero((seeds == seed) & (trees == many))
+                step = max(1, (1 << 19) // max(many, 1))
+                for k in range(0, len(mine), step):
+                    rows = mine[k:k + step]
+                    sizes = ends[rows + 1] - ends[rows]
+                    at = np.repeat(ends[rows], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    sums = []
+                    for n in (n0, n1):
+                        table = np.zeros((len(rows), BUCKETS))
+                        table[np.repeat(np.arange(len(rows)), sizes), bucket[at]] = n[at]
+                        sums.append((table @ w).astype(np.int64))
+                    r, tree = np.nonzero(asked[rows][:, None] | (sums[0] + sums[1] > 0))
+                    take = pa.array(rows[r])
+                    made = [batch.column("grp").take(take), pa.array(np.full(len(r), seed)), pa.array(tree.astype(np.int32)),
+                            batch.column("bins").take(take), pa.array(sums[0][r, tree]), pa.array(sums[1][r, tree]),
+                            pa.array(asked[rows][r].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, schema)], schema=schema)
+
+    return run
+
+
 # ---- large nodes: one level of all of them by DataFrame aggregates ----------------------------------
 
 _NODE = ["grp", "tree", "node"]
