@@ -355,6 +355,74 @@ def test_licenses(spark):
         (6, "Apache-2.0", "Apache-2.0"), (6, "Apache-2.0", "Apache-2.0")]
 
 
+def wrapped(text, width, lead=""):
+    lines, line = [], ""
+    for word in text.split():
+        if line and len(line) + len(word) >= width:
+            lines.append(line)
+            line = ""
+        line = f"{line} {word}".strip()
+    return "\n".join(lead + x for x in [*lines, line])
+
+
+def canonical_lines(text):
+    """The lines of ``licenses.canonical``, by plain Python."""
+    out = re.sub(licenses.COPYRIGHT, "\n", text.lower())
+    lines = [re.sub(licenses.BETWEEN_WORDS, " ", x).strip(" ") for x in out.split("\n")]
+    for said, meant in licenses.SPELLINGS:
+        lines = [x.replace(said, meant) for x in lines]
+    return [re.sub(r"(^| )v([0-9])", r"\1v \2", x) for x in lines if x]
+
+
+def test_license_runs_of_lines_against_brute_force(spark):
+    bsd = licenses.KNOWN[-1][1]
+    texts = ["/*\n" + wrapped(licenses._MIT, 60, " * ") + "\n */\nint main() {}", "# Tool\n\nSome words.\n\n## License\n\n" +
+             wrapped(licenses._MIT, 72) + "\n\n## More\nwords", wrapped(bsd, 40, "// "), wrapped(licenses._APACHE_NOTICE, 30, "# "),
+             "see " + licenses._MIT, licenses._MIT + " and more", licenses._MIT.replace("free of charge", "for money"),
+             "\n".join(licenses._ISC.split()), wrapped(licenses._UNLICENSE, 70) + "\n" + wrapped(licenses._ZLIB, 70), None, "", " \n\n",
+             "Licensed under\nthe MIT\n\nLicense.", "Copyright (c) 2020 X\n" + wrapped(licenses._MIT, 50), "Licensed under CC-BY-4.0",
+             "This work is licensed under the GNU General Public Licence, v3", "license\n" * 2000 + "Licensed under the MIT License."]
+    known = {}
+    for name, text in licenses.KNOWN:
+        known.setdefault(" ".join(canonical_lines(text)), set()).add(name)
+
+    def brute(text):
+        lines = canonical_lines(text or "")
+        found, places = set(), set()
+        for i in range(len(lines)):
+            run = ""
+            for j in range(i, min(len(lines), i + 300)):
+                run = f"{run} {lines[j]}".strip()
+                if run in known:
+                    found |= known[run]
+                    places.add(i)
+        return ",".join(sorted(known.get(" ".join(lines), ()))) or None, len(places), ",".join(sorted(found))
+
+    rows = [(i, t, "x", i) for i, t in enumerate(texts)] + [(None, texts[0], None, 1), (0, texts[0], "x", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, license string, row int")
+    got = [(r.doc_id, r.whole, r.n_notices, r.licenses) for r in licenses.scan(d).collect()]
+    assert sorted(got, key=repr) == sorted([(i, *brute(t)) for i, t, *_ in rows], key=repr)
+    assert [g[3] for g in sorted(got, key=repr) if g[0] in (1, 2)] == ["MIT", "BSD-3-Clause"]
+
+
+def test_licenses_found_by_digest_only(spark):
+    """A long text given by its digest alone: wrapped anew and inside of other lines."""
+    long = " ".join(f"Term {i} of the sub-licence, version {i % 7}." for i in range(900))
+    d = spark.createDataFrame([(1, "Intro\n" + wrapped(long, 33, "* ") + "\nend"), (2, wrapped(long, 90) + " tail"), (3, long)],
+                              "doc_id long, text string")
+    known = spark.createDataFrame([("Long", long), ("Empty", " . "), ("Short", "end")], "license string, text string")
+    got = sorted((r.doc_id, r.whole, r.n_notices, r.licenses) for r in licenses.scan(d, known).collect())
+    assert got == [(1, None, 2, "Long,Short"), (2, None, 0, ""), (3, "Long", 1, "Long")]
+    nothing = known.filter("license = 'Empty'")
+    assert [r.licenses for r in licenses.scan(d, nothing).collect()] == ["", "", ""]
+
+
+def test_license_digests_are_of_canonical_texts(spark):
+    table = licenses.known_texts(spark).collect()
+    assert len({r.license for r in table}) == 23
+    assert all(len(r.form_start.split()) == licenses.FIRST_WORDS and len(r.digest) == 64 for r in table if r.words > 4)
+
+
 def test_main_text_on_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
