@@ -245,8 +245,8 @@ known AS (SELECT DISTINCT license, split_part(form, ' ', 1) AS word, len(string_
           length(form) AS chars, sha256(form) AS digest FROM spelled WHERE form <> ''
           UNION SELECT license, split_part(start, ' ', 1), words, chars, digest
           FROM (VALUES {table}) v(license, start, words, chars, digest)),
-docs AS (SELECT doc_id, form, list_filter(string_split(form, chr(10)), x -> x <> '') AS ls
-         FROM (SELECT doc_id, {form('text')} AS form FROM documents WHERE text IS NOT NULL)),
+docs AS (SELECT doc_id, form, string_split(form, chr(10)) AS ls
+         FROM (SELECT doc_id, {form('text')} AS form FROM documents) WHERE form <> ''),
 starts AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS unit, unnest(ls) AS line FROM docs),
 runs AS (SELECT s.doc_id, s.unit, license, chars, digest, array_to_string(ls[s.unit:s.unit + words - 1], chr(10)) AS run
          FROM starts s JOIN known ON split_part(line, ' ', 1) = word JOIN docs d ON d.doc_id = s.doc_id),
