@@ -11,22 +11,23 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from privtab.functions.exprs import sigmoid, threshold
 from privtab.operators.encode import balanced_weights
 from privtab.operators.forest import BINS, forest_votes, label_rows
-from privtab.operators.logreg import coef_table, newton_lr
+from privtab.operators.logreg import coef_table
+from privtab.operators.sitefit import average_sites, fit_sites
 from privtab.session import small_table
 
 
 def fit_lr_by_silo(train: DataFrame, features: Sequence[str], label: str,
-                   silo: str = "silo", balanced: bool = True) -> dict:
-    """V2: balanced L2 logistic regression per site, all sites per job."""
+                   silo: str = "silo", balanced: bool = True) -> DataFrame:
+    """V2: balanced L2 logistic regression per site, all sites per job, as a
+    table (silo, beta, state)."""
     df = balanced_weights(train, label, by=[silo], out="_bw") if balanced else train
-    return newton_lr(df, features, label, weight="_bw" if balanced else None, group=silo)
+    return fit_sites(df, features, label, silo, weight="_bw" if balanced else None)
 
 
 def ensemble_by_silo(test: DataFrame, models: dict, features: Sequence[str],
@@ -92,22 +93,16 @@ def fed_avg_many(train: DataFrame, features: Sequence[str], label: str, federati
                  rounds: Mapping, silo: str = "silo", local_steps: int = 1,
                  balanced: bool = True) -> dict:
     """V5 for several federations (a column) in the same jobs; ``rounds`` per
-    federation, site names unique over all.  Rows are weighted and cached once."""
+    federation, site names unique over all; ``{federation: (coef, intercept)}``."""
+    fits = fed_avg_table(train, features, label, federation, rounds, silo, local_steps, balanced)
+    got = fits.collect()  # one row per federation, named by the caller
+    return {r[0]: (np.array(r["beta"][:-1]), float(r["beta"][-1])) for r in got}
+
+
+def fed_avg_table(train: DataFrame, features: Sequence[str], label: str, federation: str,
+                  rounds: Mapping, silo: str = "silo", local_steps: int = 1,
+                  balanced: bool = True) -> DataFrame:
+    """V5 as a table (federation, beta); the sites stay in Spark."""
     df = balanced_weights(train, label, by=[silo], out="_bw") if balanced else \
         train.withColumn("_bw", F.lit(1.0))
-    df = df.select(*features, label, silo, federation, "_bw").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sizes = df.groupBy(federation, silo).count().collect()  # one row per site
-        glob = {f: np.zeros(len(features) + 1) for f in rounds}
-        for t in range(max(rounds.values(), default=0)):
-            live = [r for r in sizes if t < rounds[r[0]]]
-            fits = newton_lr(df, features, label, weight="_bw", group=silo, max_iter=local_steps,
-                             init={r[1]: glob[r[0]] for r in live}, tol=0.0, persist=False,
-                             require=False)
-            for f in {r[0] for r in live}:
-                mine = [r for r in live if r[0] == f]
-                total = float(sum(r[2] for r in mine))
-                glob[f] = sum(np.append(*fits[r[1]]) * (r[2] / total) for r in mine)
-    finally:
-        df.unpersist()
-    return {f: (c[:-1], float(c[-1])) for f, c in glob.items()}
+    return average_sites(df, features, label, federation, rounds, silo, "_bw", local_steps)

@@ -20,6 +20,7 @@ from privtab.operators import forest as FO
 from privtab.operators import metrics as M
 from privtab.operators import report as R
 from privtab.operators import silo as V
+from privtab.operators import sitefit as S
 from privtab.operators.encode import balanced_weights, label_encode, minmax_by, minmax_scale
 from privtab.operators.logreg import newton_lr, predict_grouped
 from privtab.operators.sampling import assign_silo, stratified_split, with_seeds
@@ -208,11 +209,16 @@ def silo_lr(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
     """V2: balanced LR coefficients of every site of every setting and seed
     (one Newton job per step for all)."""
     train, _ = _seeded(spark, sf, seeds)
-    fits = V.fit_lr_by_silo(_sites(train, settings), ORD_FEATS, "target", silo="site")
-    rows = [(*map(int, s.split(":")), name, float(v)) for s, (coef, b) in fits.items()
-            for name, v in list(zip(ORD_FEATS, coef)) + [("intercept", b)]]
-    out = spark.createDataFrame(rows, "seed int, n_sites int, silo int, feature string, coef double")
-    return out.withColumn("coef", round_fixed("coef", 6))
+    fits = _named(V.fit_lr_by_silo(_sites(train, settings), ORD_FEATS, "target", silo="site"))
+    names = F.array(*[F.lit(c) for c in [*ORD_FEATS, "intercept"]])
+    each = fits.select("seed", "n_sites", "silo", F.posexplode("beta"))
+    return each.select("seed", "n_sites", "silo", names[F.col("pos")].alias("feature"), round_fixed("col", 6).alias("coef"))
+
+
+def _named(fits):
+    """Site models with the parts of their site's name."""
+    parts = F.split("site", ":")
+    return fits.select(*[parts[i].cast("int").alias(c) for i, c in enumerate(("seed", "n_sites", "silo"))], "beta")
 
 
 # Fixed value: trees of a site's forest in one published round.
@@ -254,8 +260,8 @@ def fed_avg(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
     train, test = _seeded(spark, sf, seeds)
     x = _sites(train, settings).withColumn("fed", F.format_string("%d:%d", "seed", "n_sites"))
     rounds = {f"{s}:{p}": r for s in seeds for p, r in settings}
-    fits = V.fed_avg_many(x, ORD_FEATS, "target", "fed", rounds, silo="site")
-    pred = predict_grouped(_fl_rows(test, settings), fits, ORD_FEATS, "fed")
+    fits = V.fed_avg_table(x, ORD_FEATS, "target", "fed", rounds, silo="site")
+    pred = S.label_by_table(_fl_rows(test, settings), fits, ORD_FEATS, "fed")
     return M.evaluate(_preds(pred, "FedAvg Logistic Regression", F.col("setting")), KEYS)
 
 
@@ -268,17 +274,12 @@ def silo_utility(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
     train, test = _seeded(spark, sf, seeds)
     x = materialize(_sites(train, settings))
     base = train.withColumn("site", F.format_string("%d:0:0", "seed"))
-    fits = V.fit_lr_by_silo(x.select(*base.columns).unionByName(base), ORD_FEATS, "target",
-                            silo="site")
-    runs = [predict_grouped(test, {s: fits[f"{s}:0:0"] for s in seeds}, ORD_FEATS, "seed").select(
-        "seed", F.lit("Logistic Regression").alias("model"),
-        F.lit("Baseline (No Privacy)").alias("setting"), F.col("target").alias("actual"), "predicted")]
-    for n_sites, rounds in settings:
-        models = {s: {i: fits[f"{s}:{n_sites}:{i}"] for i in range(n_sites)} for s in seeds}
-        runs.append(V.ensemble_by_silo(test, models, ORD_FEATS, "seed").select(
-            "seed", F.lit("Federated Logistic Regression").alias("model"),
-            F.lit(f"FL ({n_sites} clients, {rounds} rounds)").alias("setting"),
-            F.col("target").alias("actual"), "predicted"))
+    fits = _named(V.fit_lr_by_silo(x.select(*base.columns).unionByName(base), ORD_FEATS, "target", silo="site"))
+    alone = S.label_by_table(test, fits.where("n_sites = 0"), ORD_FEATS, "seed")
+    models = fits.where("n_sites > 0").withColumn("fed", F.format_string("%d:%d", "seed", "n_sites"))
+    joint = S.label_by_sites(_fl_rows(test, settings), models, ORD_FEATS, "fed", "silo")
+    runs = [_preds(alone, "Logistic Regression", SETTINGS[0]),
+            _preds(joint, "Federated Logistic Regression", F.col("setting"))]
     runs += [_baseline_forest(train, test, True), _fl_forest_runs(x, test, settings)]
     return M.evaluate(R.union_results(runs), KEYS)
 
