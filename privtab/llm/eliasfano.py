@@ -1,13 +1,18 @@
-"""Elias-Fano sequences and a two-level n-gram trie in one flat buffer.
+"""Elias-Fano sequences and a three-level n-gram trie in memory-mapped levels.
 
 A monotone sequence of n values below u takes about 2 + log2(u / n) bits a
 value: the low bits are packed, the high bits stand in unary in a bit vector
-with a rank directory.  All levels of a trie lie in one buffer of bytes, so it
-can be held in memory, in a binary column or in a mapped file.
+with a rank directory.  A level keeps, for each of its grams, a monotone
+pointer to its first child; the contexts of one gram ascend from the last
+context of the gram before, so that the whole level is monotone, and one is
+found by a successor search between its parent's pointers.
 """
 
 from __future__ import annotations
 
+import mmap
+import os
+
 import numpy as np
 
 U = np.uint64
@@ -82,13 +87,19 @@ class EliasFano:
         out[some] = _select(~self.high, self.zeros, k) - k
         return out
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each value (its successor, if equal), or -1."""
+    def find(self, x: np.ndarray, since: np.ndarray | None = None, until: np.ndarray | None = None) -> np.ndarray:
+        """Place of each value (its successor, if equal), or -1; only places
+        in [since, until) of each value count, if given."""
         out = np.full(len(x), -1, np.int64)
         for a in range(0, len(x), self.CHUNK):
             some = x[a:a + self.CHUNK]
             top = (some >> U(self.low_bits)).astype(np.int64)
+            # a value above all others is in no bucket
+            top = np.minimum(top, len(self.high) * 64 - self.n - 1)
             at, end = self._before_bucket(top), self._before_bucket(top + 1)
+            if since is not None:
+                at = np.maximum(at, since[a:a + self.CHUNK])
+                end = np.minimum(end, until[a:a + self.CHUNK])
             # binary search for the successor inside the bucket
             open_ = np.flatnonzero(at < end)
             while len(open_):
@@ -106,33 +117,77 @@ class EliasFano:
         return [np.asarray([self.n, self.low_bits, len(self.low), len(self.high)], np.int64), self.low, self.high]
 
 
-CONTEXT_BITS = 48
+#: Bits of a context's hash in level 2, and of the context before it in level 3.
+NEAR_BITS = 36
+FAR_BITS = 28
 
 
-class Trie:
-    """Level 1: words (sorted hashes), count, quantised back-off and context
-    weight.  Level 2: the contexts of each word, as (place of the word, low
-    bits of the context's hash), with quantised probabilities."""
+class Children:
+    """A level: pointers from each parent to its first child, and the children."""
 
-    def __init__(self, words, contexts, counts, backoff, weight, prob):
-        self.words, self.contexts = words, contexts
-        self.counts, self.backoff, self.weight, self.prob = counts, backoff, weight, prob
+    def __init__(self, pointers: EliasFano, values: EliasFano):
+        self.pointers, self.values = pointers, values
 
     @classmethod
-    def build(cls, words, counts, backoff, weight, of_word, context, prob, lowest: int, span: int) -> Trie:
-        """``words`` sorted within [lowest, lowest + span); (of_word, context) sorted."""
-        keys = of_word.astype(U) << U(CONTEXT_BITS) | context
-        return cls(EliasFano.of(words - U(lowest), span),
-                   EliasFano.of(keys, max(1, len(words)) << CONTEXT_BITS), counts, backoff, weight, prob)
+    def of(cls, parents: int, parent: np.ndarray, value: np.ndarray) -> Children:
+        """``(parent, value)`` sorted; a parent may have no child."""
+        starts = np.searchsorted(parent, np.arange(parents + 1))
+        last = np.zeros(parents, U)
+        some = starts[1:] > starts[:-1]
+        last[some] = value[starts[1:][some] - 1]
+        top = np.cumsum(last)
+        whole = value + (top - last)[parent]
+        return cls(EliasFano.of(starts.astype(U), len(value) + 1),
+                   EliasFano.of(whole, int(top[-1]) + 1 if parents else 1))
+
+    def find(self, parent: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Place of ``value`` among the children of ``parent`` (-1: no parent), or -1."""
+        out = np.full(len(parent), -1, np.int64)
+        asked = np.flatnonzero(parent >= 0)
+        own, back = np.unique(parent[asked], return_inverse=True)
+        since, until = (self.pointers.access(own + k).astype(np.int64) for k in (0, 1))
+        before = np.zeros(len(own), U)
+        before[since > 0] = self.values.access(since[since > 0] - 1)
+        out[asked] = self.values.find(before[back] + value[asked], since[back], until[back])
+        return out
+
+    def parts(self) -> list[np.ndarray]:
+        return self.pointers.parts() + self.values.parts()
+
 
-    def to_bytes(self) -> bytes:
-        arrays = [*self.words.parts(), *self.contexts.parts(), self.counts.astype(np.int64),
-                  self.backoff.astype(np.int16), self.weight.astype(np.int16), self.prob.astype(np.int16)]
-        return b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+class Trie:
+    """Level 1: words (sorted hashes) with their counts; level 2: the context
+    of each word; level 3: the context before it.  Levels 1 and 2 have a
+    quantised back-off probability and context weight, level 3 a probability."""
+
+    _QUANTISED = ("backoff", "weight", "backoff2", "weight2", "prob")
+
+    def __init__(self, words: EliasFano, near: Children, far: Children, counts, *quantised):
+        self.words, self.near, self.far, self.counts = words, near, far, counts
+        self.backoff, self.weight, self.backoff2, self.weight2, self.prob = quantised
+
+    @classmethod
+    def build(cls, words, counts, of_word, near, of_pair, far, *quantised) -> Trie:
+        """``words`` sorted; (of_word, near) and (of_pair, far) sorted, without repeats."""
+        return cls(EliasFano.of(words, 1 << 64), Children.of(len(words), of_word, near),
+                   Children.of(len(near), of_pair, far), counts, *quantised)
+
+    def mapped(self, file: int = -1) -> Trie:
+        """The same trie with all levels in one memory map, of ``file`` (a
+        descriptor) or anonymous."""
+        arrays = [*self.words.parts(), *self.near.parts(), *self.far.parts(), np.asarray(self.counts, np.int64),
+                  *(np.asarray(getattr(self, name), np.int16) for name in self._QUANTISED)]
+        size = sum(-(-a.nbytes // 8) * 8 for a in arrays)
+        if file >= 0:
+            os.truncate(file, size)
+        area = mmap.mmap(file, size)
+        for a in arrays:
+            area.write(a.tobytes() + bytes(-a.nbytes % 8))
+        return Trie.from_buffer(area)
 
     @classmethod
     def from_buffer(cls, buffer) -> Trie:
-        """Views into ``buffer`` (bytes, or a numpy.memmap); nothing is copied."""
+        """Views into ``buffer`` (a memory map, or bytes); nothing is copied."""
         at = 0
 
         def take(dtype, n):
@@ -145,14 +200,6 @@ class Trie:
             n, low_bits, low, high = (int(x) for x in take(np.int64, 4))
             return EliasFano(n, low_bits, take(U, low), take(U, high))
 
-        words, contexts = sequence(), sequence()
-        return cls(words, contexts, take(np.int64, words.n), take(np.int16, words.n), take(np.int16, words.n),
-                   take(np.int16, contexts.n))
-
-    def lookup(self, word: np.ndarray, context: np.ndarray, lowest: int):
-        """(place of the word or -1, place of the context under the word or -1)."""
-        first = self.words.find(word - U(lowest))
-        second = np.full(len(word), -1, np.int64)
-        known = np.flatnonzero(first >= 0)
-        second[known] = self.contexts.find(first[known].astype(U) << U(CONTEXT_BITS) | context[known])
-        return first, second
+        words, near, far = sequence(), Children(sequence(), sequence()), Children(sequence(), sequence())
+        sizes = (words.n, words.n, near.values.n, near.values.n, far.values.n)
+        return cls(words, near, far, take(np.int64, words.n), *(take(np.int16, n) for n in sizes))

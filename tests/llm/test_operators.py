@@ -275,18 +275,22 @@ def test_language_model(docs, rows):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     got = {r.doc_id: r for r in lm.score_texts(docs, queries.remainder("doc_id", 7) == 2).collect()}
     tokens = {i: [*words_of(t, True), None] for i, t in rows}
-    one, two, texts = collections.Counter(), collections.Counter(), 0
+    one, two, three, texts = collections.Counter(), collections.Counter(), collections.Counter(), 0
     for i, w in tokens.items():
         if not held(i):
             one.update(w)
             two.update(zip(["start", *w], w))
+            three.update(zip(["start", "start", *w], ["start", *w], w))
             texts += 1
     total, distinct = sum(one.values()), len(one)
     for i, w in tokens.items():
         r = got[i]
         base = sum(math.log10((one[x] + 1) / (total + distinct + 1)) for x in w)
-        score = sum(math.log10((two[u, x] + lm.PRIOR * (one[x] + 1) / (total + distinct + 1))
-                               / ((texts if u == "start" else one[u]) + lm.PRIOR)) for u, x in zip(["start", *w], w))
+        score = 0
+        for v, u, x in zip(["start", "start", *w], ["start", *w], w):
+            least = lm.MERGE * (two[u, x] + lm.PRIOR * (one[x] + 1) / (total + distinct + 1))
+            seen, near = (texts, texts) if u == "start" else (two[v, u], one[u])
+            score += math.log10((three[v, u, x] + least) / (seen + lm.MERGE * (near + lm.PRIOR)))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(one[x] > 0 for x in w), total)
         assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) <= 0.0015 * len(w) + 1e-3
 
@@ -302,6 +306,39 @@ def test_elias_fano():
             assert (e.find(ask) == np.where(np.isin(ask, values), np.searchsorted(values, ask), -1)).all()
 
 
+def test_trie_levels(tmp_path):
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 1 << 63, 50, dtype=np.uint64))
+    grams = sorted({(int(a), int(b), int(c)) for a, b, c in zip(
+        rng.integers(0, 50, 4000), rng.integers(0, 40, 4000) ** 2, rng.integers(0, 1 << 28, 4000) % 9)
+        if a % 7})  # some words have no context
+    pairs = sorted({g[:2] for g in grams})
+    of_pair = np.asarray([pairs.index(g[:2]) for g in grams])
+    column = lambda rows, k, t: np.asarray([r[k] for r in rows], t)
+    numbers = [np.arange(n) for n in (50, 50, len(pairs), len(pairs), len(grams))]
+    trie = eliasfano.Trie.build(words, np.arange(50), column(pairs, 0, np.int64), column(pairs, 1, np.uint64),
+                                of_pair, column(grams, 2, np.uint64), *numbers)
+    with open(tmp_path / "trie", "wb+") as file:
+        for t in (trie, trie.mapped(), trie.mapped(file.fileno())):
+            place = {p: i for i, p in enumerate(pairs)}
+            asked = [(a, b, c) for a in range(50) for b in range(0, 41 ** 2, 9) for c in range(10)]
+            one = t.words.find(words[column(asked, 0, np.int64)])
+            two = t.near.find(one, column(asked, 1, np.uint64))
+            three = t.far.find(two, column(asked, 2, np.uint64))
+            own = {g: i for i, g in enumerate(grams)}
+            assert two.tolist() == [place.get(g[:2], -1) for g in asked]
+            assert three.tolist() == [own.get(g, -1) for g in asked] and max(three) > 0
+            assert t.prob[three[three >= 0]].tolist() == three[three >= 0].tolist()
+
+
+def test_blocks_that_lack_answers_are_refused():
+    roster = pa.Table.from_arrays([pa.array([v], t) for v, (_, t) in zip(
+        (1, 0, lm.C.squeeze(np.asarray([5])), lm.C.squeeze(np.asarray([2, 3])), lm.C.squeeze(np.zeros(1, np.uint8)),
+         lm.C.squeeze(np.zeros(1, np.uint8))), lm._ANSWER_ARROW)], names=[n for n, _ in lm._ANSWER_ARROW])
+    with pytest.raises(RuntimeError, match="rerun"):
+        lm._finish(10, 3, 1, lm.PRIOR, lm.MERGE)(roster)
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, "en"), (10**6 + 1, "", "en"), (10**6 + 2, "123 ... 456", None)],
