@@ -21,6 +21,7 @@ the operating system; an int seed gives md5 masks that tests can replay.
 from __future__ import annotations
 
 import secrets
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from privtab.functions.exprs import sigmoid, threshold
 from privtab.functions.hashing import hash_hex
+from privtab.session import scratch
 
 MODULUS = 2 ** 61 - 1
 FRAC_BITS = 20
@@ -77,13 +79,50 @@ def share(df: DataFrame, cols: Sequence[str], key: str, seed: int | None = None
     return a, b
 
 
+def share_tables(df: DataFrame, cols: Sequence[str], key: str, seed: int | None = None,
+                 buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """M1: ``share`` as stored tables, one folder a party, bucketed by key.
+
+    The features are scanned and shuffled once, when the tables are written;
+    any number of scorings then joins the two parties' scores bucket with
+    bucket, without another shuffle.  ``buckets`` is the session's number of
+    shuffle partitions by default.  Bucketing is a property of a catalog table:
+    the name stays in the session's catalog until ``drop_shares``."""
+    spark = df.sparkSession
+    salt = secrets.token_hex(32) if seed is None else seed
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = F.lit(MODULUS).cast(DEC)
+    fixed = df.select(key, *[fixed_point(c).alias(f"x_{j}") for j, c in enumerate(cols)])
+    masked = fixed.repartition(buckets, key).select(
+        "*", *[_mask(salt, key, j).alias(f"r_{j}") for j in range(len(cols))])
+    names = [f"s_{j}" for j in range(len(cols))]
+    parties = F.array(
+        F.struct(F.lit("a").alias("party"), *[F.col(f"r_{j}").cast("bigint").alias(n) for j, n in enumerate(names)]),
+        F.struct(F.lit("b").alias("party"), *[F.pmod(F.col(f"x_{j}") - F.col(f"r_{j}"), p).cast("bigint").alias(n)
+                                              for j, n in enumerate(names)]))
+    table = f"privtab_shares_{uuid.uuid4().hex}"
+    (masked.select(F.col(key), F.explode(parties).alias("row")).select(key, "row.*")
+     .write.format("parquet").option("path", scratch(spark, "shares")).partitionBy("party")
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+    a, b = (spark.table(table).where(F.col("party") == party).select(key, *names) for party in "ab")
+    return a, b
+
+
+def drop_shares(spark) -> int:
+    """Take the tables of ``share_tables`` out of the catalog; how many there were."""
+    names = [r["tableName"] for r in spark.sql("SHOW TABLES LIKE 'privtab_shares_*'").collect()]
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return len(names)
+
+
 def score_share(sh: DataFrame, weights: Sequence[float], key: str,
                 out: str = "share_score") -> DataFrame:
     """M1: one party's score of its own shares, ``(Σ W_j s_j) mod P``."""
     p = F.lit(MODULUS).cast(DEC)
     total = F.lit(0).cast(DEC)
     for j, w in enumerate(weights):
-        total = total + F.col(f"s_{j}") * F.lit(fixed_weight(w)).cast(DEC)
+        total = total + F.col(f"s_{j}").cast(DEC) * F.lit(fixed_weight(w)).cast(DEC)
     return sh.select(key, F.pmod(total, p).cast("bigint").alias(out))
 
 

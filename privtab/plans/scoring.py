@@ -62,7 +62,7 @@ def linear_score(spark, sf):
 
 def hidden_score(spark, sf):
     df = features(spark, sf)
-    a, b = MK.share(df, FEATS, "o_orderkey", seed=0)
+    a, b = MK.share_tables(df, FEATS, "o_orderkey", seed=0)
     w = MK.weights_of(WEIGHTS, FEATS)
     sa = MK.score_share(a, w, "o_orderkey", "score_a")
     sb = MK.score_share(b, w, "o_orderkey", "score_b")

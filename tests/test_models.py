@@ -46,6 +46,25 @@ def test_shares_recombine_exactly(spark):
     assert j.count() == 200 and j.where(F.col("score") != F.col("plain")).count() == 0
 
 
+def test_share_tables_score_alike_again_and_again(spark):
+    df = _data(spark, 300).unionByName(spark.createDataFrame([(1000, None, 1.0, 2.0, 0)], "key long, a double, b double, c double, y int"))
+    cols, w = ["a", "b", "c"], [1.5, -2.25, 0.125]
+    tables, plain = MK.share_tables(df, cols, "key", seed=3, buckets=5), MK.share(df, cols, "key", seed=3)
+    for one, two in zip(tables, plain):
+        assert one.columns == two.columns == ["key", "s_0", "s_1", "s_2"]
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.select("key", *[F.col(c).cast("long") for c in two.columns[1:]]).collect()))
+    for weights in (w, [0.5, 0.5, -4.0]):  # shared once, scored twice
+        a, b = (MK.score_share(t, weights, "key") for t in tables)
+        got = {r.key: r.score for r in MK.recombine(a, b, "key", 0.3).collect()}
+        want = {r.key: r.score for r in MK.plain_fixed_score(df, cols, weights, 0.3, "key").collect()}
+        assert got == want and got[1000] is None and len(got) == 301
+    empty = MK.share_tables(df.where("key < 0"), cols, "key", buckets=2)
+    assert MK.recombine(*(MK.score_share(t, w, "key") for t in empty), "key", 0.0).count() == 0
+    secret, _ = MK.share_tables(df, cols, "key", buckets=2)
+    assert secret.join(tables[0], ["key", "s_0"]).count() == 0
+    assert MK.drop_shares(spark) >= 3 and MK.drop_shares(spark) == 0
+
+
 def test_dp_lr_large_epsilon_close_to_noiseless(spark):
     df = _data(spark, 2000)
     model = D.fit_dp_lr(D.declare(df, UNIT), "y", epsilon=1e6, seed=1)

@@ -69,6 +69,13 @@ def test_fitted_tables_do_not_shuffle_rows(spark, no_static_broadcast):
         assert "BroadcastHashJoin" in plan or "_g" in plan
 
 
+def test_share_tables_meet_without_an_exchange(spark, no_static_broadcast):
+    plan = _plan(entry.queries()["hidden_score"](spark, SF_MID))
+    assert "Exchange" not in plan and "SortMergeJoin" in plan, plan
+    assert plan.count("Bucketed: true") == 2 or plan.count("SelectedBucketsCount") == 2, plan
+    assert "o_totalprice" not in plan  # features are read when the tables are written, not here
+
+
 def test_a_large_fitted_table_is_not_broadcast(spark, no_static_broadcast, monkeypatch):
     from privtab import session
     from privtab.operators import encode
