@@ -2,14 +2,14 @@
 
 Spark's exact ``percentile``/``median`` merges every distinct value of the
 column into one aggregation buffer; on a continuous column of billions of
-rows that buffer is the whole column.  Here the value at the middle rank is
-narrowed by rank: each pass takes approximate quantiles of the values still in
-question as edges (they are values of the column, so infinities and any spread
-of magnitudes are fine), counts the rows below and up to each edge exactly, and
-keeps the open interval between two edges that holds the rank.  A pass leaves
-about 1 / EDGES of the rows and ends the search if an edge is the value itself,
-so a value shared by many rows ends it at once.  All columns are searched in
-the same two jobs per pass.
+rows that buffer is the whole column.  Here a mergeable sketch of bounded size
+gives two edges closely around the middle rank (they are values of the column,
+so infinities and any spread of magnitudes are fine), exact counts at the edges
+say which open interval holds the rank, and an interval of at most FEW rows is
+fetched as distinct values with counts.  All columns share the three jobs; an
+interval of more rows is sketched and counted again (a pass leaves about
+5 / SKETCH of the rows).  An edge that is the value itself ends the search, so
+a value shared by many rows is never fetched.
 """
 
 from __future__ import annotations
@@ -19,58 +19,82 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EDGES = 32
+#: Size of a sketch: a rank is met within 1 / SKETCH of the rows.
+SKETCH = 5000
+#: Most rows of a column whose values are fetched.
+FEW = 8192
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Median of each column, interpolating between the two middle values
     for an even count (NULL and NaN ignored); None for an empty column."""
+    cols = list(dict.fromkeys(cols))
     if not cols:
         return {}
     value = {}
     for c in cols:
         x = F.col(c).cast("double")
         value[c] = F.when(~F.isnan(x), x)
-    counts = df.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    size = {c: counts[f"n{i}"] for i, c in enumerate(cols)}
-    low: dict[str, float | None] = {c: None for c in cols}   # the answer is above
-    high: dict[str, float | None] = {c: None for c in cols}  # and below
-    found: dict[str, float] = {}
-    shares = [(2 * i + 1) / (2 * EDGES) for i in range(EDGES)]
-    while open_ := [c for c in cols if size[c] and c not in found]:
-        aggs = []
-        for i, c in enumerate(open_):
-            inside = value[c].isNotNull()
-            if low[c] is not None:
-                inside = inside & (value[c] > F.lit(low[c]))
-            if high[c] is not None:
-                inside = inside & (value[c] < F.lit(high[c]))
-            v = F.when(inside, value[c])
-            aggs += [F.percentile_approx(v, shares, 1000).alias(f"q{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}")]
-        row = df.agg(*aggs).first()
-        edges = {c: sorted({*row[f"q{i}"], row[f"a{i}"], row[f"z{i}"]}) for i, c in enumerate(open_)}
-        aggs = [f(value[c], e).alias(f"{name}{i}_{j}") for i, c in enumerate(open_) for j, e in enumerate(edges[c])
-                for name, f in (("b", lambda x, e: F.count_if(x < F.lit(e))), ("u", lambda x, e: F.count_if(x <= F.lit(e))))]
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(open_):
-            rank = (size[c] - 1) // 2
-            for j, e in enumerate(edges[c]):
-                if rank < row[f"b{i}_{j}"]:
-                    high[c] = e
-                    break
-                if rank < row[f"u{i}_{j}"]:
-                    found[c] = e
+    low: dict[str, float] = {}   # the answer is above
+    high: dict[str, float] = {}  # and below
+    middle: dict[str, tuple[float, float | None]] = {}  # the values of the middle rank and the next
+
+    def inside(c):
+        cond = value[c].isNotNull()
+        if c in low:
+            cond = cond & (value[c] > F.lit(low[c]))
+        if c in high:
+            cond = cond & (value[c] < F.lit(high[c]))
+        return F.when(cond, value[c])
+
+    def sketch(names, share):
+        """Two values around each share of the rows inside, and how many rows."""
+        near = 2 / SKETCH
+        row = df.agg(*[f.alias(f"{name}{i}") for i, c in enumerate(names) for name, f in (
+            ("n", F.count(inside(c))),
+            ("q", F.percentile_approx(inside(c), [max(0.0, share[c] - near), min(1.0, share[c] + near)], SKETCH)))]).first()
+        return {c: row[f"n{i}"] for i, c in enumerate(names)}, {c: row[f"q{i}"] for i, c in enumerate(names)}
+
+    size, edges = sketch(cols, dict.fromkeys(cols, 0.5))
+    rank = {c: (size[c] - 1) // 2 for c in cols}
+    since, until = dict.fromkeys(cols, 0), dict(size)  # ranks of the rows inside
+    while wide := [c for c in cols if c not in middle and until[c] - since[c] > FEW]:
+        if not edges:
+            _, edges = sketch(wide, {c: (rank[c] - since[c] + 0.5) / (until[c] - since[c]) for c in wide})
+        asked = [(c, e) for c in wide for e in sorted(set(edges[c]))]
+        row = df.agg(*[f.alias(f"{name}{i}") for i, (c, e) in enumerate(asked) for name, f in (
+            ("b", F.count_if(value[c] < F.lit(e))), ("u", F.count_if(value[c] <= F.lit(e))),
+            ("m", F.min(F.when(value[c] > F.lit(e), value[c]))))]).first()
+        for i, (c, e) in enumerate(asked):
+            below, upto = row[f"b{i}"], row[f"u{i}"]
+            if rank[c] < below:
+                if below < until[c]:
+                    high[c], until[c] = e, below
+            elif rank[c] < upto:
+                middle[c] = e, e if rank[c] + 1 < upto else row[f"m{i}"]
+            elif upto > since[c]:
+                low[c], since[c] = e, upto
+        edges = {}
+    rest = [c for c in cols if size[c] and c not in middle]
+    if rest:
+        pairs = [F.when(inside(c).isNotNull(), F.struct(F.lit(i).alias("i"), inside(c).alias("v")))
+                 for i, c in enumerate(rest)]
+        rows = (df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).groupBy("p.i", "p.v")
+                .agg(F.count("*").alias("n")).collect())
+        values: list[list[tuple[float, int]]] = [[] for _ in rest]
+        for r in rows:
+            values[r["i"]].append((r["v"], r["n"]))
+        for c, mine in zip(rest, values):
+            mine.sort()
+            at = since[c]
+            for k, (v, n) in enumerate(mine):
+                at += n
+                if rank[c] < at:
+                    after = mine[k + 1][0] if k + 1 < len(mine) else high.get(c)
+                    middle[c] = v, v if rank[c] + 1 < at else after
                     break
-                low[c] = e
-    # an even count needs the value of the next rank: the same one or the next larger
-    even = [c for c in found if size[c] % 2 == 0]
-    if even:
-        row = df.agg(*[f.alias(f"{name}{i}") for i, c in enumerate(even) for name, f in (
-            ("u", F.count_if(value[c] <= F.lit(found[c]))),
-            ("m", F.min(F.when(value[c] > F.lit(found[c]), value[c]))))]).first()
-    out: dict[str, float | None] = {c: found.get(c) for c in cols}
-    for i, c in enumerate(even):
-        if row[f"u{i}"] <= size[c] // 2:
-            v1, v2 = found[c], row[f"m{i}"]
-            out[c] = v1 + (v2 - v1) * 0.5
+    out: dict[str, float | None] = {}
+    for c in cols:
+        first, second = middle.get(c, (None, None))
+        out[c] = first if size[c] % 2 or first == second else first + (second - first) * 0.5
     return out

@@ -4,6 +4,7 @@ import pytest
 
 from privtab.operators import clean as C
 from privtab.operators import encode as E
+from privtab.operators import quantile
 from privtab.operators.quantile import exact_medians
 
 
@@ -91,6 +92,34 @@ def test_medians_of_wide_and_infinite_values(spark):
     assert got["b"] == pytest.approx((values[124_999] + values[125_000]) / 2)
 
 
+def test_medians_of_many_columns_in_three_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 3000
+    kinds = [rng.normal(size=n), rng.exponential(size=n), rng.integers(0, 3, n) * 1.0, np.full(n, 7.0),
+             np.where(rng.random(n) < 0.4, np.nan, rng.normal(size=n)), np.sign(rng.normal(size=n)) * np.inf,
+             np.r_[np.full(n // 2, -1.0), np.full(n - n // 2, 1.0)], np.arange(n) - 0.5]
+    data = {f"c{i}": np.roll(kinds[i % len(kinds)], i) * (i + 1) for i in range(100)}
+    data = {c: v[:n - i % 2] if i % 3 else v for i, (c, v) in enumerate(data.items())}
+    rows = [tuple(float(v[k]) if k < len(v) else None for v in data.values()) for k in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).persist()
+    want = {c: float(np.median(v[~np.isnan(v)])) if not np.isinf(v).any() else None for c, v in data.items()}
+    calls, plain = [], type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *a: calls.append(1) or plain(self, *a))
+    for few in (64, 1 << 20, 1):  # sketch, count, fetch; fetch alone; passes to the end
+        monkeypatch.setattr(quantile, "FEW", few)
+        calls.clear()
+        asked = list(data)[:8] if few == 1 else list(data)
+        got = exact_medians(df, asked)
+        assert few == 1 or len(calls) == (2 if few == 64 else 1)
+        for c in asked:
+            v = data[c]
+            if want[c] is not None:
+                assert got[c] == want[c], (few, c)
+            else:
+                s = np.sort(v)
+                assert got[c] == s[(len(s) - 1) // 2] or np.isnan(got[c])
+
+
 def test_only_numbers_become_numbers(spark):
     from privtab.operators.clean import to_numeric
     texts = ["1.5d", "12f", "3D", "nan", "", None, " 7 ", "-1e3", ".5", "0x10", "2."]
