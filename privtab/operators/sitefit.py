@@ -5,7 +5,9 @@ data, so nothing of a site reaches the driver: a step sums each site's gradient
 and Hessian (map-side first, so a site may hold any share of the rows), Arrow
 batches of these sums are solved, and coefficients are a stored table (site,
 beta, state) that meets the rows again by a checked broadcast.  Only the number
-of steps still to take is asked for.
+of steps still to take is asked for.  The rows of a fit are stored once, with
+flat columns; the sums are numbers only, so that they are summed by hash: an
+array among them would sort all rows by site at every step.
 
 ``state`` tells what became of a site: ``done``, ``one class`` (no finite fit),
 ``diverged`` or ``not converged``; beta is NULL but for ``done``.  No site stops
@@ -19,13 +21,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, StructField, StructType)
 
 from privtab.functions.exprs import sigmoid, threshold
-from privtab.session import small_table
+from privtab.session import materialize, small_table
 
 #: A step beyond this in any coefficient counts as diverging.
 FARTHEST = 1e8
@@ -34,31 +35,32 @@ AT_ONCE = 1 << 20
 
 
 def _base(df: DataFrame, features: Sequence[str], label: str, group: str, weight: str | None) -> DataFrame:
-    """(group, _x: features and 1, _y, _w) of the rows that can be fitted."""
-    xs = [F.col(c).cast("double") for c in features]
+    """(group, _x0.. the features, _y, _w) of the rows that can be fitted."""
+    xs = [F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(features)]
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.select(F.col(group), F.array(*xs, F.lit(1.0)).alias("_x"), F.col(label).cast("double").alias("_y"), w.alias("_w"))
-    return rows.where(F.col(group).isNotNull() & F.col("_y").isNotNull() & F.col("_w").isNotNull()
-                      & ~F.exists("_x", lambda x: x.isNull()))
+    rows = df.select(F.col(group), *xs, F.col(label).cast("double").alias("_y"), w.alias("_w"))
+    return rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in rows.columns]))
 
 
 def _sums(base: DataFrame, beta: DataFrame | None, group: str, p: int) -> DataFrame:
     """Per site: beta, row sums of the gradient and the upper Hessian, and the
     classes met; sites without coefficients are left out."""
-    x = [F.col("_x")[j] for j in range(p)]
+    x = [F.col(f"_x{j}") for j in range(p - 1)] + [F.lit(1.0)]
     if beta is None:
         rows = base.withColumn("_p", F.lit(0.5))
-        start = F.array(*[F.lit(0.0)] * p)
     else:
-        rows = base.join(beta.select(group, "beta"), group)
-        score = reduce(lambda a, b: a + b, [x[j] * F.col("beta")[j] for j in range(p)])
+        rows = base.join(beta.select(group, *[F.col("beta")[j].alias(f"_b{j}") for j in range(p)]), group)
+        score = reduce(lambda a, b: a + b, [x[j] * F.col(f"_b{j}") for j in range(p)])
         rows = rows.withColumn("_p", sigmoid(score))
-        start = F.first("beta")
     r = F.col("_w") * (F.col("_p") - F.col("_y"))
     h = F.col("_w") * F.col("_p") * (F.lit(1.0) - F.col("_p"))
     sums = [F.sum(r * x[j]) for j in range(p)] + [F.sum(h * x[j] * x[k]) for j in range(p) for k in range(j, p)]
-    return rows.groupBy(group).agg(start.alias("beta"), F.array(*sums).alias("sums"),
-                                   (F.min("_y") == F.max("_y")).alias("one_class"))
+    names = [f"_s{i}" for i in range(len(sums))]
+    met = rows.groupBy(group).agg(*[c.alias(n) for c, n in zip(sums, names)], F.min("_y").alias("_low"), F.max("_y").alias("_high"))
+    met = met.select(group, F.array(*names).alias("sums"), (F.col("_low") == F.col("_high")).alias("one_class"))
+    if beta is None:
+        return met.withColumn("beta", F.array(*[F.lit(0.0)] * p))
+    return met.join(beta.select(group, "beta"), group)
 
 
 def solve_steps(beta: np.ndarray, sums: np.ndarray, l2: float) -> np.ndarray:
@@ -118,21 +120,18 @@ def fit_sites(df: DataFrame, features: Sequence[str], label: str, group: str, we
     """One L2 model per value of ``group``: (group, beta: coefficients and
     intercept, state).  A site that is settled leaves the later steps."""
     p = len(features) + 1
-    base = _base(df, features, label, group, weight).persist(StorageLevel.MEMORY_AND_DISK)
+    base = materialize(_base(df, features, label, group, weight))
     settled, live = [], None
-    try:
-        for _ in range(max_iter):
-            stepped = small_table(_solved(_sums(base, live, group, p), group, p, l2, tol, True), "fits")
-            settled.append(stepped.where("state <> 'open'"))
-            live = stepped.where("state = 'open'")
-            if live.isEmpty():
-                break
-        else:
-            settled.append(live.select(group, F.lit(None).cast("array<double>").alias("beta"),
-                                       F.lit("not converged").alias("state")))
-        return small_table(reduce(DataFrame.unionAll, settled), "fits")
-    finally:
-        base.unpersist()
+    for _ in range(max_iter):
+        stepped = small_table(_solved(_sums(base, live, group, p), group, p, l2, tol, True), "fits")
+        settled.append(stepped.where("state <> 'open'"))
+        live = stepped.where("state = 'open'")
+        if live.isEmpty():
+            break
+    else:
+        settled.append(live.select(group, F.lit(None).cast("array<double>").alias("beta"),
+                                   F.lit("not converged").alias("state")))
+    return small_table(reduce(DataFrame.unionAll, settled), "fits")
 
 
 def average_sites(df: DataFrame, features: Sequence[str], label: str, federation: str, rounds: Mapping, group: str,
@@ -145,25 +144,23 @@ def average_sites(df: DataFrame, features: Sequence[str], label: str, federation
     kind = StructType([StructField(federation, df.schema[federation].dataType), StructField("_rounds", LongType()),
                        StructField("beta", ArrayType(DoubleType()))])
     zero = df.sparkSession.createDataFrame([(f, int(n), [0.0] * p) for f, n in rounds.items()], kind)
-    base = _base(df, features, label, group, weight).persist(StorageLevel.MEMORY_AND_DISK)
+    base = materialize(_base(df, features, label, group, weight))
     sizes = df.where(F.col(group).isNotNull()).groupBy(federation, group).agg(F.count(F.lit(1)).alias("_n"))
     sites = small_table(sizes.join(zero, federation), "sites")  # every site with its federation's coefficients
     mean = F.array(*[F.sum(F.col("beta")[j] * F.col("_n")) / F.sum("_n") for j in range(p)])
-    try:
-        for t in range(max(rounds.values(), default=0)):
-            live = sites.where(F.col("_rounds") > t)
-            fits = live
-            for s in range(local_steps):
-                fits = _solved(_sums(base, fits, group, p), group, p, l2, 0.0, False)
-                if s + 1 < local_steps:
-                    fits = small_table(fits, "fits")
-            met = live.drop("beta").join(fits, group).groupBy(federation).agg(mean.alias("_mean"))
-            sites = small_table(sites.join(met, federation, "left").select(
-                federation, group, "_n", "_rounds", F.coalesce("_mean", "beta").alias("beta")), "sites")
-    finally:
-        base.unpersist()
-    found = sites.groupBy(federation).agg(F.first("beta").alias("_found"))
-    return zero.join(found, federation, "left").select(federation, F.coalesce("_found", "beta").alias("beta"))
+    for t in range(max(rounds.values(), default=0)):
+        live = sites.where(F.col("_rounds") > t)
+        fits = live
+        for s in range(local_steps):
+            fits = _solved(_sums(base, fits, group, p), group, p, l2, 0.0, False)
+            if s + 1 < local_steps:
+                fits = small_table(fits, "fits")
+        met = live.drop("beta").join(fits, group).groupBy(federation).agg(mean.alias("_mean"))
+        sites = small_table(sites.join(met, federation, "left").select(
+            federation, group, "_n", "_rounds", F.coalesce("_mean", "beta").alias("beta")), "sites")
+    found = sites.groupBy(federation).agg(F.max("beta").alias("_found"))  # all sites hold the same
+    return small_table(zero.join(found, federation, "left").select(
+        federation, F.coalesce("_found", "beta").alias("beta")), "federations")
 
 
 def label_by_table(df: DataFrame, fits: DataFrame, features: Sequence[str], group: str, out: str = "predicted",

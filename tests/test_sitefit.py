@@ -122,3 +122,12 @@ def test_rows_are_not_shuffled_by_site(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_rows_are_not_sorted_by_site(spark):
+    """Sums of a step are aggregated by hash; an array among them would sort the rows."""
+    base = sitefit._base(noisy(spark, 100, 4), FEATS, "y", "site", None)
+    first = sitefit.small_table(sitefit._solved(sitefit._sums(base, None, "site", 4), "site", 4, 1.0, 1e-9, True))
+    for beta in (None, first):
+        plan = sitefit._sums(base, beta, "site", 4)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
