@@ -27,7 +27,7 @@ from privtab.operators.sampling import assign_silo, stratified_split, with_seeds
 from privtab.plans import modelsql
 from privtab.plans.kanon import orders_qi
 from privtab.plans.sqlparts import K_VALUES, SEEDS
-from privtab.session import materialize, small_table
+from privtab.session import materialize, small_table, spread
 from privtab.sources import load
 
 DOC_FEATS = ["len_s", "upper_s", "digit_s", "lang_s"]
@@ -185,20 +185,20 @@ def hidden_confusion(spark, sf, seeds=SEEDS):
 
 
 def _seeded_split(cohort, seeds):
-    """One stored split for all seeds."""
-    return materialize(stratified_split(with_seeds(cohort, seeds), "target", 0.2, F.col("seed"), "o_orderkey", by=["seed"]))
+    """One stored split for all seeds, of a cohort stored in even parts."""
+    return materialize(stratified_split(with_seeds(materialize(spread(cohort)), seeds), "target", 0.2, F.col("seed"), "o_orderkey", by=["seed"]))
 
 
 def _seeded(spark, sf, seeds):
-    sp = _seeded_split(order_cohort(spark, sf), seeds)
+    sp = _seeded_split(order_cohort(spark, sf).select("o_orderkey", *ORD_FEATS, "target"), seeds)
     return sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
 
 
 def _sites(train, settings):
-    """Train rows once per site setting, with their site (unique names)."""
+    """Train rows once per site setting, with their site (unique names), stored."""
     x = train.withColumn("n_sites", F.explode(F.array(*[F.lit(p) for p, _ in settings])))
     x = assign_silo(x, F.col("n_sites"), F.col("seed"), "o_orderkey", by=["seed", "n_sites"])
-    return x.withColumn("site", F.format_string("%d:%d:%d", "seed", "n_sites", "silo"))
+    return materialize(x.withColumn("site", F.concat_ws(":", "seed", "n_sites", "silo")))
 
 
 # The published federation settings (sites, rounds).
@@ -251,7 +251,7 @@ def silo_rf(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
     """V3 + V4: balanced forests of every site, setting and seed (20 trees a
     round) in one grouped forest, probabilities averaged over sites."""
     train, test = _seeded(spark, sf, seeds)
-    return M.evaluate(_fl_forest_runs(materialize(_sites(train, settings)), test, settings), KEYS)
+    return M.evaluate(_fl_forest_runs(_sites(train, settings), test, settings), KEYS)
 
 
 def fed_avg(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
@@ -272,7 +272,7 @@ def silo_utility(spark, sf, settings=FL_SETTINGS, seeds=SEEDS):
     evaluated.  For LR ``rounds`` only names the setting: a refitted site model
     is the same model; a site's forest has 20 trees a round."""
     train, test = _seeded(spark, sf, seeds)
-    x = materialize(_sites(train, settings))
+    x = _sites(train, settings)
     base = train.withColumn("site", F.format_string("%d:0:0", "seed"))
     fits = _named(V.fit_lr_by_silo(x.select(*base.columns).unionByName(base), ORD_FEATS, "target", silo="site"))
     alone = S.label_by_table(test, fits.where("n_sites = 0"), ORD_FEATS, "seed")

@@ -7,6 +7,7 @@ from privtab.operators import masked as MK
 from privtab.operators import ml
 from privtab.operators.logreg import newton_lr, predict_grouped
 from privtab.operators.silo import ensemble_by_silo, fed_avg, fed_avg_many
+from privtab.plans import models
 
 
 UNIT = {c: (0.0, 1.0) for c in "abc"}
@@ -235,3 +236,22 @@ def test_federations_do_not_mix(spark):
     for name, rounds in (("p", 2), ("q", 4)):
         coef, b = fed_avg(df.where(F.col("fed") == name), ["a", "b", "c"], "y", rounds=rounds)
         assert np.allclose(both[name][0], coef) and both[name][1] == pytest.approx(b)
+
+
+def _few_orders(spark, folder):
+    """60 orders in three classes of 26, 30 and 4 rows."""
+    day = F.when(F.col("id") < 26, "1995-03-04").when(F.col("id") < 56, "1996-07-08").otherwise("1997-01-02")
+    price = (F.col("id") * 7919 % 60) * 1000.0
+    spark.range(60).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("F").alias("o_orderstatus"), price.alias("o_totalprice"),
+        day.cast("timestamp").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_sites_hold_only_the_columns_of_a_fit(spark, tmp_path):
+    train, test = models._seeded(spark, _few_orders(spark, tmp_path), (7,))
+    assert train.columns == test.columns == ["o_orderkey", *models.ORD_FEATS, "target", "seed", "is_test"]
+    assert train.count() + test.count() == 60 and len(train.inputFiles()) > 1
+    sites = models._sites(train, ((2, 1), (3, 1)))
+    assert "Window" not in sites._jdf.queryExecution().executedPlan().toString()  # stored
+    assert sorted(r.site for r in sites.select("site").distinct().collect()) == ["7:2:0", "7:2:1", "7:3:0", "7:3:1", "7:3:2"]
