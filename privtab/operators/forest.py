@@ -355,8 +355,9 @@ def forest_nodes(train: DataFrame, features: Sequence[str], label: str, key: str
 def label_rows(asked: DataFrame, votes: DataFrame, features: Sequence[str], by: Sequence[str], trees: Column,
                bins: int = BINS, out: str = "predicted") -> DataFrame:
     """L3: label 1 where the mean share over ``trees`` trees is at least one half;
-    rows meet their cell's votes by ``by`` and bins."""
-    named = votes.withColumnsRenamed({c: f"_{c}" for c in [*by, "bins"]})
+    rows meet their cell's votes by ``by`` and bins, a stored table that is
+    broadcast if small, so rows are not shuffled by cell."""
+    named = small_table(votes.withColumnsRenamed({c: f"_{c}" for c in [*by, "bins"]}), "votes")
     rows = asked.withColumn("_cell", bins_of(features, bins))
     same = F.col("_cell") == F.col("_bins")
     for c in by:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from privtab.functions.exprs import sigmoid, threshold
 from privtab.operators.encode import balanced_weights
-from privtab.operators.forest import BINS, forest_votes, label_rows
+from privtab.operators.forest import BINS, bins_of, forest_votes, label_rows
 from privtab.operators.logreg import coef_table
 from privtab.operators.sitefit import average_sites, fit_sites
 from privtab.session import small_table
@@ -71,7 +71,10 @@ def rf_by_silo(train: DataFrame, test: DataFrame, features: Sequence[str], label
     ``seed``; ``test`` the federation.  A federation without sites gives NULL."""
     fit_on = train.withColumn("trees", trees if isinstance(trees, Column) else F.lit(trees))
     sites = small_table(fit_on.select(federation, silo, "seed", "trees").distinct(), "sites")
-    each = test.select(federation, *features).join(sites, federation)
+    # a row of every cell of a federation (its least values) before they meet the sites
+    least = test.groupBy(federation, bins_of(features, bins).alias("_cell")).agg(
+        *[F.min(F.col(c).cast("double")).alias(c) for c in features])
+    each = least.drop("_cell").join(sites, federation)
     votes = forest_votes(fit_on, each, features, label, key, silo, balanced, bins)
     sums = (votes.join(sites, silo).groupBy(federation, "bins").agg(F.sum("votes").alias("votes")))
     whole = small_table(sites.groupBy(federation).agg(F.sum("trees").alias("_trees")), "federations")

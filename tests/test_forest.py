@@ -102,3 +102,29 @@ def test_nodes_and_labels(spark, tables):
 def test_no_rows(spark, tables):
     train, test = tables
     assert FO.forest_votes(train.limit(0), test, FEATS, "y", "id", "g").collect() == []
+
+
+def test_sites_are_asked_for_cells_not_rows(spark, monkeypatch):
+    """Test rows are one per cell before they meet their federation's sites; votes are broadcast."""
+    from privtab.operators import forest, silo
+    x = spark.range(400).select(F.col("id"), F.lit("f").alias("fed"), F.concat(F.lit("s"), (F.col("id") >= 200).cast("int")).alias("site"), F.lit(1).alias("seed"),
+                                (F.col("id") % 10 / 10).alias("a"), (F.col("id") % 10 > 4).cast("int").alias("y"))
+    odd = spark.createDataFrame([(-1.0,), (2.0,), (None,), (float("nan"),)], "a double").withColumns({"id": F.lit(0).cast("long"), "fed": F.lit("f")})
+    test = x.select("id", "fed", "a").unionByName(odd)
+    asked = []
+
+    def votes(train, each, *args):
+        asked.append(each.count())
+        return forest.forest_votes(train, each, *args)
+
+    monkeypatch.setattr(silo, "forest_votes", votes)
+    out = silo.rf_by_silo(x, test, ["a"], "y", "id", "fed", 5, silo="site", bins=10)
+    assert asked == [20]  # 10 cells x 2 sites; 404 rows x 2 before
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = out.collect()
+    assert len(got) == 404 and all(r.predicted == int(r.a is not None and r.a == r.a and r.a > 0.45) for r in got)
