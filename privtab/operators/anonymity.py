@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from privtab.functions.exprs import round_half_up_ratio
+from privtab.session import small_table
 
 NO_ROWS = "No training rows left after K-anonymity"
 ONE_CLASS = "Only one class left after K-anonymity"
@@ -71,11 +72,11 @@ def class_sizes(df: DataFrame, qis: Sequence[str], by: Sequence[str] = (),
 def with_class_size(df: DataFrame, qis: Sequence[str], by: Sequence[str] = (),
                     null_policy: str = "suppress", out: str = "class_size") -> DataFrame:
     """The size of its equivalence class on every row (NULL for unclassed
-    rows).  Aggregate-then-join: AQE broadcasts the size table when it is
-    small at run time, and splits a hot class when it is not."""
+    rows).  Aggregate-then-join: the size table is stored and broadcast only if
+    small, so rows are not shuffled by class; AQE splits a hot class otherwise."""
     sizes = class_sizes(df, qis, by, null_policy)
     keys = list(by) + list(qis)
-    s = sizes.where(~F.col("unclassed")).select(*keys, F.col("n").alias(out))
+    s = small_table(sizes.where(~F.col("unclassed")).select(*keys, F.col("n").alias(out)), "class-sizes")
     if null_policy == "suppress":
         return df.join(s, keys, "left")
     left, right = df.alias("_l"), s.alias("_r")

@@ -9,6 +9,7 @@ Two cohorts:
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from privtab.functions.exprs import round_fixed
@@ -122,32 +123,38 @@ def k_utility(spark, sf, ks=K_VALUES, seeds=SEEDS):
     ONE Newton run (balanced L2 LR, the L1 objective) and of ONE grouped forest
     (L2, balanced, 100 trees); the seed's test rows are scored by the model of
     their (seed, k).  k = 1 is the baseline (K8 statistics).  Skipped runs (K9)
-    carry NULL metrics."""
-    sp = _seeded_split(order_cohort(spark, sf), seeds)
+    carry NULL metrics.
+
+    A larger k keeps some of the rows of a smaller one, so those of a seed that
+    keep equally many rows keep the same: they are one fit, scored once, and
+    each k has its metrics."""
+    sp = _seeded_split(order_cohort(spark, sf).select("o_orderkey", *K_QIS, *ORD_FEATS, "target"), seeds)
     train, test = sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
-    grid = [1, *ks]
-    stats = K.skip_reason(K.k_sweep(train, K_QIS, grid, by=["seed"], target="target"))
+    stats = K.skip_reason(K.k_sweep(train, K_QIS, [1, *ks], by=["seed"], target="target"))
     stats = small_table(stats.select("seed", "k", *K_STATS, "skipped_reason"), "k-stats")
-    runs = stats.where("skipped_reason = ''").select("seed", "k")
-    ks_col = F.explode(F.array(*[F.lit(k) for k in grid]))
-    raw = materialize(K.with_class_size(train, K_QIS, by=["seed"]).withColumn("k", ks_col)
-                      .where((F.col("k") <= 1) | (F.col("class_size") >= F.col("k")))
-                      .join(runs, ["seed", "k"], "left_semi"))
-    grp = F.format_string("%d:%d", "seed", "k")
-    kept = materialize(balanced_weights(minmax_by(raw, ORD_FEATS, ["seed", "k"]), "target", by=["seed", "k"])
-                       .withColumns({"grp": grp, "trees": F.lit(TREES)}))
-    tests = materialize(minmax_by(test.withColumn("k", ks_col), ORD_FEATS, ["seed", "k"], fit_on=raw)
-                        .withColumns({"grp": grp, "trees": F.lit(TREES)}))
-    fits = newton_lr(kept, ORD_FEATS, "target", weight="weight", group="grp")
+    alike = Window.partitionBy("seed", "train_rows_used")
+    shared = stats.where("skipped_reason = ''").select("seed", "k", F.min("k").over(alike).alias("fit"))
+    shared = small_table(shared, "k-fits")
+    runs = shared.where("k = fit").select("seed", "k")
+    cols = ["seed", "o_orderkey", *ORD_FEATS, "target", "is_test"]
+    sized = materialize(K.with_class_size(train, K_QIS, by=["seed"]).select(*cols, "class_size"))
+    raw = sized.join(runs, "seed").where((F.col("k") <= 1) | (F.col("class_size") >= F.col("k"))).select(*cols, "k")
+    both = raw.unionByName(test.select(*cols).join(runs, "seed"))
+    scaled = materialize(minmax_by(both, ORD_FEATS, ["seed", "k"], fit_on=raw))
+    scaled = scaled.withColumns({"grp": F.concat_ws(":", "seed", "k"), "trees": F.lit(TREES)})
+    kept = balanced_weights(scaled.where(~F.col("is_test")), "target", by=["seed", "k"])
+    tests = scaled.where(F.col("is_test"))
+    fits = newton_lr(kept, ORD_FEATS, "target", weight="weight", group="grp", persist=False)  # stored rows
     lr = predict_grouped(tests, fits, ORD_FEATS, "grp").withColumn("family", F.lit("Logistic Regression"))
     votes = FO.forest_votes(kept, tests, ORD_FEATS, "target", "o_orderkey", "grp")
     rf = FO.label_rows(tests, votes, ORD_FEATS, ["grp"], F.col("trees")).withColumn("family", F.lit("Random Forest"))
-    cols = ["seed", "k", "family", F.col("target").alias("actual"), "predicted"]
-    metrics = M.evaluate(lr.select(*cols).unionByName(rf.select(*cols)), ["seed", "k", "family"])
+    cols = ["seed", F.col("k").alias("fit"), "family", F.col("target").alias("actual"), "predicted"]
+    metrics = M.evaluate(lr.select(*cols).unionByName(rf.select(*cols)), ["seed", "fit", "family"])
     families = F.explode(F.array(F.lit("Logistic Regression"), F.lit("Random Forest")))
     name = F.when(F.col("k") == 1, F.col("family")).otherwise(F.concat(F.lit("K-anonymised "), "family"))
     setting = F.when(F.col("k") == 1, F.lit(SETTINGS[0])).otherwise(F.concat(F.lit("K-anonymity k="), F.col("k").cast("string")))
-    return (stats.withColumn("family", families).join(metrics, ["seed", "k", "family"], "left")
+    return (stats.join(shared, ["seed", "k"], "left").withColumn("family", families)
+            .join(metrics, ["seed", "fit", "family"], "left")
             .select("seed", name.alias("model"), setting.alias("setting"), *K_STATS, "skipped_reason", *M.METRICS))
 
 

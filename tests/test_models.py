@@ -248,6 +248,25 @@ def _few_orders(spark, folder):
     return str(folder)
 
 
+def test_k_that_keep_the_same_rows_are_one_fit(spark, tmp_path, monkeypatch):
+    seen = []
+
+    def newton(df, *args, **kwargs):
+        seen.extend(r.grp for r in df.select("grp").distinct().collect())
+        return newton_lr(df, *args, **kwargs)
+
+    monkeypatch.setattr(models, "newton_lr", newton)
+    got = {(r.setting, r.model): r for r in models.k_utility(spark, _few_orders(spark, tmp_path), ks=(2, 10, 500), seeds=(7,)).collect()}
+    assert sorted(seen) == ["7:1", "7:10"] and len(got) == 8
+    for family in ("Logistic Regression", "Random Forest"):
+        base, two = got["Baseline (No Privacy)", family], got["K-anonymity k=2", f"K-anonymised {family}"]
+        assert base.train_rows_used == two.train_rows_used == 48
+        assert base.accuracy is not None and base[-4:] == two[-4:]
+        assert got["K-anonymity k=10", f"K-anonymised {family}"].train_rows_used < 48
+        assert got["K-anonymity k=10", f"K-anonymised {family}"].accuracy is not None
+        assert got["K-anonymity k=500", f"K-anonymised {family}"].accuracy is None
+
+
 def test_sites_hold_only_the_columns_of_a_fit(spark, tmp_path):
     train, test = models._seeded(spark, _few_orders(spark, tmp_path), (7,))
     assert train.columns == test.columns == ["o_orderkey", *models.ORD_FEATS, "target", "seed", "is_test"]
